@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,13 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers of a session that was started elsewhere import this package."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -122,6 +129,7 @@ def map_rows(df: DataFrame, f: Callable[[Iterator[dict[str, list]]], Iterator[di
     """``mapInArrow`` over plain column lists; long batches are cut so that a worker's memory stays bounded."""
     from pyspark.sql.types import StructType
 
+    importable(df.sparkSession)
     target = pa.schema([pa.field(x.name, _arrow(x.dataType)) for x in StructType.fromDDL(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

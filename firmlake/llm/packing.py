@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlake.llm.bpe import opened
-from firmlake.llm.common import Memo, durable, local_path, map_rows, table
+from firmlake.llm.common import Memo, durable, importable, local_path, map_rows, table
 
 CAPACITY = 4096
 CLOSING_ID = 1
@@ -123,6 +123,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
         return pd.DataFrame({"item": frame.item.to_numpy(), "bin": first.loc[bins].to_numpy(), "at": offsets, "fill": np.array(fills, np.int64)[bins]})
 
     schema = "item long, bin long, at long, fill long"
+    importable(items.sparkSession)
     n = items.count()
     groups = max(1, -(-n // group_items))
     current, parts = items.select("item", "length"), None
