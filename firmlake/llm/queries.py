@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from firmlake.llm.bpe import op9_bpe_chunks
+from firmlake.llm.line_dedup import op8_line_dedup
 from firmlake.llm.ngram_join import op7_ngram_jaccard_join
 from firmlake.llm.packing import op10_best_fit_packing
 
@@ -14,6 +15,7 @@ from firmlake.llm.packing import op10_best_fit_packing
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+        "op8_line_dedup": op8_line_dedup,
         "op9_bpe_chunks": op9_bpe_chunks,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
