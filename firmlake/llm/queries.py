@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from firmlake.llm.bpe import op9_bpe_chunks
+from firmlake.llm.langid import op5_language_id
 from firmlake.llm.line_dedup import op8_line_dedup
 from firmlake.llm.ngram_join import op7_ngram_jaccard_join
 from firmlake.llm.packing import op10_best_fit_packing
+from firmlake.llm.quality import op4_quality
+from firmlake.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_toxicity": op3_toxicity,
+        "op4_quality": op4_quality,
+        "op5_language_id": op5_language_id,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op8_line_dedup": op8_line_dedup,
         "op9_bpe_chunks": op9_bpe_chunks,
