@@ -28,17 +28,23 @@ SAYING = frozenset("said says wrote writes called calls quote quoted quotes dit
 ADDRESS = frozenset("you your you're yourself tu toi vous votre du dich dir dein ihr euch tú te usted tus".split())
 #: Words on either side of a match that count as its context.
 WINDOW = 8
-#: Labelled rows learned from at most; learned terms at most; documents that must hold one; share of them that is toxic.
+#: Labelled rows learned from at most; learned terms at most; toxic documents that must hold one (once, or twice and
+#: more); their share of all that do; and what a clean one counts against it.
 SAMPLE_ROWS = 6_000
 LEARNED_TERMS = 150
 LEARNED_SUPPORT = 4
-LEARNED_PRECISION = 0.97
+LEARNED_PRECISION = 0.75
+CLEAN_COST = 2
+#: Candidates that are weighed against each other, those found in most toxic documents first.
+CANDIDATES = 4_000
+FEATURES = 9
 WORD = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»„]")
 
 
-def edits_allowed(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+def edits_allowed(term: str, stem: bool) -> int:
+    """A stem stands for many words, so only long ones may be misspelled."""
+    return 0 if len(term) < (9 if stem else 5) else 1 if len(term) < 9 or stem else 2
 
 
 class Automaton:
@@ -52,8 +58,8 @@ class Automaton:
         self.child: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.room = [0]
-        for i, (text, _) in enumerate(terms):
-            node, room = 0, edits_allowed(text)
+        for i, (text, stem) in enumerate(terms):
+            node, room = 0, edits_allowed(text, stem)
             self.room[0] = max(self.room[0], room)
             for c in text:
                 if c not in self.child[node]:
@@ -87,7 +93,7 @@ class Automaton:
     def _id(self, nodes: dict[int, int], hit: tuple[int, int] | None) -> int:
         for node, e in nodes.items():
             for i in self.ends[node]:
-                if self.terms[i][1] and e <= edits_allowed(self.terms[i][0]) and (hit is None or (e, i) < hit):
+                if self.terms[i][1] and e <= edits_allowed(*self.terms[i]) and (hit is None or (e, i) < hit):
                     hit = (e, i)
         key = (frozenset(nodes.items()), hit)
         if key not in self.ids:
@@ -123,7 +129,7 @@ class Automaton:
         nodes, hit = self.sets[state]
         for node, e in nodes.items():
             for i in self.ends[node]:
-                if e <= edits_allowed(self.terms[i][0]) and (hit is None or (e, i) < hit):
+                if e <= edits_allowed(*self.terms[i]) and (hit is None or (e, i) < hit):
                     hit = (e, i)
         return hit
 
@@ -134,8 +140,8 @@ class Matcher:
         self.memo = Memo(lambda words: [self.automaton.match(w) or 0 for w in words], 400_000)
 
     def features(self, text: str | None) -> np.ndarray:
-        """exact, misspelled, stem, misspelled stem, quoted and addressed matches (logs), density, and whether there is one."""
-        out = np.zeros(8)
+        """exact, misspelled, stem, misspelled stem, quoted and addressed matches (logs), density of words and of stems, whether there is one."""
+        out = np.zeros(FEATURES)
         low = (text or "").lower()
         words = WORD.findall(low)
         found = [x for x in self.memo.look(words) if x]
@@ -153,8 +159,8 @@ class Matcher:
             quoted += bool(marks[k] % 2 or not SAYING.isdisjoint(around))
             addressed += not ADDRESS.isdisjoint(around)
         out[:6] = np.log1p([exact, len(found) - exact - stems - fuzzy_stems, stems, fuzzy_stems, quoted, addressed])
-        out[6] = min(1.0, 20 * len(found) / len(words))
-        out[7] = float(exact + stems > 0)
+        out[6:8] = np.log1p(np.array([exact, stems]) * 300 / (len(words) + 20))
+        out[8] = float(exact + stems > 0)
         return out
 
 
@@ -169,48 +175,64 @@ def matcher(terms: list[tuple[str, bool]]) -> Matcher:
     return _MATCHERS[key]
 
 
+def _terms(text: str | None) -> Counter:
+    """How often each word (with a closing mark) and each stem stands in a text."""
+    out: Counter = Counter()
+    for w, n in Counter(WORD.findall((text or "").lower())).items():
+        if len(w) > 2:
+            out[w + "$"] += n
+            for k in range(3, min(len(w), 10) + 1):
+                out[w[:k]] += n
+    return out
+
+
 def learned_terms(sample: DataFrame, most: int = LEARNED_TERMS) -> list[tuple[str, bool]]:
-    """Words and stems of the sample that hardly any clean document holds, chosen to cover the toxic ones."""
-    def prefixes(batches: Iterator[dict]) -> Iterator[dict]:
-        count: Counter = Counter()
+    """Words and stems of the sample that clean documents hardly hold, or hardly repeat, chosen to cover the toxic ones."""
+    def counted(batches: Iterator[dict]) -> Iterator[dict]:
+        seen: dict[str, list[int]] = {}
         for batch in batches:
             for text, y in zip(batch["text"], batch["y"]):
-                words = set(WORD.findall((text or "").lower()))
-                terms = {w[:k] for w in words for k in range(3, min(len(w), 11))} | {w + "$" for w in words if len(w) > 2}
-                count.update((t, int(y)) for t in terms)
-        rows = list(count.items())
-        yield {"term": [t for (t, _), _ in rows], "y": [y for (_, y), _ in rows], "n": [n for _, n in rows]}
-
-    counts = map_rows(sample.select("text", "y"), prefixes, "term string, y int, n long").groupBy("term").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("toxic"))
-    good = counts.where((F.col("toxic") >= LEARNED_SUPPORT) & (F.col("toxic") >= LEARNED_PRECISION * F.col("n")))
-    candidates = {r.term for r in good.orderBy(F.desc("toxic"), "term").limit(4_000).collect()}
-    if not candidates:
+                for t, n in _terms(text).items():
+                    x = seen.setdefault(t, [0, 0, 0, 0])
+                    x[int(y)] += 1
+                    if n > 1:
+                        x[2 + int(y)] += 1
+        rows = list(seen.values())
+        yield {"term": list(seen), "c1": [x[0] for x in rows], "t1": [x[1] for x in rows], "c2": [x[2] for x in rows], "t2": [x[3] for x in rows]}
+
+    schema = "term string, c1 long, t1 long, c2 long, t2 long"
+    counts = map_rows(sample.select("text", "y"), counted, schema).groupBy("term").agg(*[F.sum(c).alias(c) for c in ("c1", "t1", "c2", "t2")])
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("least"), F.col(f"c{k}").alias("clean"), F.col(f"t{k}").alias("toxic")) for k in (1, 2)]))
+    good = counts.select("term", kinds.alias("x")).select("term", "x.*").where((F.col("toxic") >= LEARNED_SUPPORT) & (F.col("toxic") >= LEARNED_PRECISION * (F.col("toxic") + F.col("clean"))))
+    clean = {(r.term, r.least): r.clean for r in good.orderBy(F.desc(F.col("toxic") - CLEAN_COST * F.col("clean")), "term", "least").limit(CANDIDATES).collect()}
+    if not clean:
         return []
+    least = {}
+    for t, k in clean:
+        least[t] = min(k, least.get(t, 9))
 
     def holds(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "terms": []}
-            for i, text in zip(batch["doc_id"], batch["text"]):
-                words = set(WORD.findall((text or "").lower()))
-                out["doc_id"].append(i)
-                out["terms"].append(sorted(({w[:k] for w in words for k in range(3, min(len(w), 11))} | {w + "$" for w in words}) & candidates))
-            yield out
-
-    held = map_rows(sample.where("y = 1").select("doc_id", "text"), holds, "doc_id long, terms array<string>").collect()
-    in_docs: dict[str, set[int]] = {t: set() for t in candidates}
+            found = [sorted((t, n) for t, n in _terms(text).items() if n >= least.get(t, 1_000_000)) for text in batch["text"]]
+            yield {"doc_id": batch["doc_id"], "terms": [[t for t, _ in f] for f in found], "n": [[n for _, n in f] for f in found]}
+
+    held = map_rows(sample.where("y = 1").select("doc_id", "text"), holds, "doc_id long, terms array<string>, n array<long>").collect()
+    in_docs: dict[tuple[str, int], set[int]] = {x: set() for x in clean}
     for r in held:
-        for t in r.terms:
-            in_docs[t].add(r.doc_id)
-    out = []
+        for t, n in zip(r.terms, r.n):
+            for k in (1, 2):
+                if n >= k and (t, k) in in_docs:
+                    in_docs[t, k].add(r.doc_id)
+    out: dict[tuple[str, bool], None] = {}
     while len(out) < most:
-        best = max(in_docs, key=lambda t: (len(in_docs[t]), t[-1] == "$", len(t), t))
+        best = max(in_docs, key=lambda x: (len(in_docs[x]) - CLEAN_COST * clean[x], x[0][-1] == "$", len(x[0]), x))
         covered = set(in_docs[best])
-        if len(covered) < LEARNED_SUPPORT:
+        if len(covered) - CLEAN_COST * clean[best] < LEARNED_SUPPORT:
             break
-        out.append((best.rstrip("$"), not best.endswith("$")))
+        out[best[0].rstrip("$"), not best[0].endswith("$")] = None
         for x in in_docs.values():
             x -= covered
-    return out
+    return list(out)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[tuple[str, bool]], np.ndarray]:
@@ -227,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[li
     got = map_rows(sample.select("doc_id", "text", "y"), run, "doc_id long, y int, x array<double>").orderBy("doc_id").collect()
     if len({r.y for r in got}) < 2:
         prior = np.clip(np.mean([r.y for r in got]) if got else 0.0, 0.001, 0.999)
-        return terms, np.array([0.0] * 8 + [np.log(prior / (1 - prior))])
+        return terms, np.array([0.0] * FEATURES + [np.log(prior / (1 - prior))])
     return terms, logistic(np.array([r.x for r in got]), np.array([r.y for r in got], float))
 
 
