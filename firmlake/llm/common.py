@@ -135,7 +135,7 @@ def map_rows(df: DataFrame, f: Callable[[Iterator[dict[str, list]]], Iterator[di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[dict[str, list]]:
             for batch in batches:
-                step = max(1, int(batch.num_rows * min(1.0, 8e6 / max(1, batch.nbytes))))
+                step = max(1, int(batch.num_rows * min(1.0, 4e6 / max(1, batch.nbytes))))
                 for at in range(0, batch.num_rows, step):
                     cut = batch.slice(at, step)
                     yield {name: cut.column(i).to_pylist() for i, name in enumerate(cut.schema.names)}

@@ -10,8 +10,6 @@ Null texts and texts without a letter are `und` with score 0 and rejected. Repea
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import Memo, bucket, durable, map_rows, table
+from firmlake.llm.common import Memo, bucket, durable, map_rows, mix, table
 
 #: Hash buckets and width of the embeddings; n-gram lengths; documents learned from at most.
 BUCKETS = 1 << 15
@@ -29,17 +27,34 @@ SAMPLE_ROWS = 2_000
 #: A text is rejected below the confidence that this share of rightly recognised left-out texts stays under.
 REJECT_SHARE = 0.001
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the n-grams of all runs of letters in a word."""
-    out = []
-    for run in LETTERS.findall(word):
-        run = f"<{run}>"
-        for n in GRAMS:
-            out += [zlib.crc32(run[i : i + n].encode()) % BUCKETS for i in range(len(run) - n + 1)]
-    return out
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, number of its word) of all n-grams of the runs of letters in ``words``; a run's ends count as a letter.
+
+    Runs stand one after the other with a mark between them; an n-gram may hold a mark only at its ends.
+    """
+    marked = "\x01" + "\x01\x01".join(words) + "\x01"
+    code = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    kinds, which = np.unique(code, return_inverse=True)
+    letter = np.array([chr(int(c)).isalpha() for c in kinds])[which]
+    code = np.where(letter, code, np.uint64(1))
+    buckets, owners = [], []
+    h, inner = np.zeros(len(code), np.uint64), np.ones(len(code), bool)
+    for n in range(1, max(GRAMS) + 1):
+        m = len(code) - n + 1
+        if m <= 0:
+            break
+        with np.errstate(over="ignore"):
+            h = h[:m] * np.uint64(0x100000001B3) + code[n - 1 :] + np.uint64(n)
+        if n > 2:
+            inner = inner[:m] & letter[n - 2 : n - 2 + m]
+        fine = inner[:m] & (letter[:m] | letter[n - 1 :])
+        if n in GRAMS:
+            buckets.append((mix(h[fine]) % np.uint64(BUCKETS)).astype(np.int32))
+            owners.append(word[:m][fine])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 @dataclass
@@ -107,7 +122,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, folds: int = 4, held_out: int
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "y": [], "at": [], "n": []}
             for i, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"]):
-                at, n = np.unique(np.array([g for w in text.lower().split() for g in grams(w)], np.int32), return_counts=True)
+                at, n = np.unique(grams(text.lower().split())[0], return_counts=True)
                 if len(at):
                     for k, v in zip(out, (i, number[lang], at.tobytes(), n.astype(np.int32).tobytes())):
                         out[k].append(v)
@@ -123,11 +138,12 @@ _MEMOS: dict[int, Memo] = {}
 def _memo(model: Model) -> Memo:
     if model.number not in _MEMOS:
         def vectors(words: list[str]) -> list[bytes]:
-            out = []
-            for w in words:
-                at = grams(w)
-                out.append(np.append(model.logits[at].sum(0), len(at)).astype(np.float32).tobytes())
-            return out
+            at, owner = grams(words)
+            out = np.zeros((len(words), len(model.languages) + 1), np.float32)
+            for k in range(len(model.languages)):
+                out[:, k] = np.bincount(owner, model.logits[at, k], minlength=len(words))
+            out[:, -1] = np.bincount(owner, minlength=len(words))
+            return [row.tobytes() for row in out]
 
         _MEMOS.clear()
         _MEMOS[model.number] = Memo(vectors, 400_000)
@@ -142,9 +158,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         m = held.value
         memo, width = _memo(m), len(m.languages) + 1
         for batch in batches:
+            words = [(t or "").lower().split() for t in batch["text"]]
+            flat = np.frombuffer(b"".join(memo.look([w for ws in words for w in ws])), np.float32).reshape(-1, width)
+            ends = np.cumsum([len(ws) for ws in words])
             out: dict[str, list] = {"doc_id": batch["doc_id"], "lang_pred": [], "score": [], "rejected": []}
-            for text in batch["text"]:
-                sums = np.frombuffer(b"".join(memo.look((text or "").lower().split())), np.float32).reshape(-1, width).sum(0, dtype=float)
+            for ws, end in zip(words, ends):
+                sums = flat[end - len(ws) : end].sum(0, dtype=float)
                 if m.languages and sums[-1] > 0:
                     p = m.probabilities(sums[:-1] / sums[-1])
                     best = int(p.argmax())

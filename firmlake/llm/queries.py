@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from firmlake.llm.bpe import op9_bpe_chunks
+from firmlake.llm.embed_dedup import op6_embedding_near_dedup
 from firmlake.llm.langid import op5_language_id
 from firmlake.llm.line_dedup import op8_line_dedup
 from firmlake.llm.ngram_join import op7_ngram_jaccard_join
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_quality": op4_quality,
         "op5_language_id": op5_language_id,
+        "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
         "op8_line_dedup": op8_line_dedup,
         "op9_bpe_chunks": op9_bpe_chunks,
