@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import Memo, bucket, durable, map_rows, mix, table
+from firmlake.llm.common import Memo, bucket, durable, filtered, map_rows, mix, table
 
 #: Hash buckets and width of the embeddings; n-gram lengths; documents learned from at most.
 BUCKETS = 1 << 15
@@ -150,35 +150,42 @@ def _memo(model: Model) -> Memo:
     return _MEMOS[model.number]
 
 
+def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+    """(language, confidence, rejected) of each text."""
+    memo, width = _memo(model), len(model.languages) + 1
+    words = [(t or "").lower().split() for t in texts]
+    flat = np.frombuffer(b"".join(memo.look([w for ws in words for w in ws])), np.float32).reshape(-1, width)
+    out = []
+    for ws, end in zip(words, np.cumsum([len(ws) for ws in words])):
+        sums = flat[end - len(ws) : end].sum(0, dtype=float)
+        if not model.languages or not sums[-1]:
+            out.append((UNKNOWN, 0.0, True))
+            continue
+        p = model.probabilities(sums[:-1] / sums[-1])
+        best = int(p.argmax())
+        out.append((model.languages[best], float(p[best]), bool(p[best] < model.reject_below)))
+    return out
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for every row of ``docs``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        m = held.value
-        memo, width = _memo(m), len(m.languages) + 1
         for batch in batches:
-            words = [(t or "").lower().split() for t in batch["text"]]
-            flat = np.frombuffer(b"".join(memo.look([w for ws in words for w in ws])), np.float32).reshape(-1, width)
-            ends = np.cumsum([len(ws) for ws in words])
-            out: dict[str, list] = {"doc_id": batch["doc_id"], "lang_pred": [], "score": [], "rejected": []}
-            for ws, end in zip(words, ends):
-                sums = flat[end - len(ws) : end].sum(0, dtype=float)
-                if m.languages and sums[-1] > 0:
-                    p = m.probabilities(sums[:-1] / sums[-1])
-                    best = int(p.argmax())
-                    found = m.languages[best], float(p[best])
-                else:
-                    found = UNKNOWN, 0.0
-                out["lang_pred"].append(found[0])
-                out["score"].append(found[1])
-                out["rejected"].append(found[0] == UNKNOWN or found[1] < m.reject_below)
-            yield out
+            found = predict(held.value, batch["text"])
+            yield {"doc_id": batch["doc_id"], "lang_pred": [x for x, _, _ in found], "score": [x for _, x, _ in found], "rejected": [x for _, _, x in found]}
 
     got = map_rows(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double, rejected boolean")
     return got.select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def kept(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is not rejected."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return filtered(docs, lambda texts: np.array([not rejected for _, _, rejected in predict(held.value, texts)]))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs))

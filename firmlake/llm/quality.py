@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import Memo, bucket, map_rows, table
+from firmlake.llm.common import Memo, bucket, filtered, map_rows, table
 from firmlake.llm.learning import labelled_sample, sigmoid
 
 #: Buckets of hashed words and shapes, rank of the factors, statistics; labelled rows learned from at most.
@@ -124,6 +124,11 @@ def score_quality(docs: DataFrame, machine: Machine, threshold: float = THRESHOL
     return got.select("doc_id", (bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def kept(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
+    return filtered(docs, lambda texts: sigmoid(np.array([machine.score(*features(t)) for t in texts])) >= threshold)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit(docs, table(spark, sf_dir, "labels")))
