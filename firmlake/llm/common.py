@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which an id list is broadcast; longer lists are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Edges of one file while components are worked out; few edges need few files.
+EDGES_A_PART = 200_000
 
 
 def importable(spark: SparkSession) -> None:
@@ -184,7 +186,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b")
-        now = durable(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        parts = 1 + state[0] // EDGES_A_PART
+        now = durable(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(parts))
         last, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if last == state:
             break

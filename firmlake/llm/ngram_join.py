@@ -11,8 +11,9 @@ differences of a pair are spread over the groups by a hash, and each group indep
 with probability over 0.5 even at the threshold, so all fail with probability under 1e-6 (measured in the tests).
 
 Equal sets are collapsed first. Sets with a common signature are compared with one leader of the group at first,
-and every group whose members are linked already needs no more; what is left is compared pair by pair, so no link
-is lost and a group of copies never becomes all its pairs. Pairs are verified exactly on the whole sets.
+and every group whose members are linked already needs no more, so a group of copies never becomes all its pairs.
+In what is left, sets of different components meet pair by pair; a bitmap of each set bounds the difference of two
+from below and rules out nearly all that merely share a passage. Pairs are verified exactly on the whole sets.
 
 Null or word-free texts have no shingles and link with nothing. Rows that repeat a doc_id count as one document.
 Rows without a doc_id link with nothing and have no component.
@@ -26,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from firmlake.llm.common import components, durable, map_rows, mix, semi_by_id, shingle_hashes, table, word_hashes
@@ -36,9 +37,8 @@ PERCENT = 80
 GROUPS = 20
 #: Independent partitions for small sets, whose parts may be empty.
 REPEATS = 3
-#: Pairs for each row up to which groups with several components are compared pair by pair.
-PAIRS_A_ROW = 8
-STAR_ROUNDS = 6
+#: 64-bit words of the bitmap of a set.
+BITMAP = 8
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -96,21 +96,24 @@ def signatures(s: np.ndarray, percent: int = PERCENT, most: int = GROUPS, repeat
 
 def _described(batches: Iterator[dict], percent: int, size: int) -> Iterator[dict]:
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n_shingles", "k1", "k2", "sigs")}
-        seen: set[bytes] = set()
+        out: dict[str, list] = {k: [] for k in ("doc_id", "n_shingles", "k1", "k2", "sigs", "bits")}
         for i, text in zip(batch["doc_id"], batch["text"]):
             s = shingle_set(text, size)
-            key = xxhash.xxh3_128_digest(s.tobytes())
-            out["doc_id"].append(i)
-            out["n_shingles"].append(len(s))
-            k = np.frombuffer(key, "<i8")
-            out["k1"].append(int(k[0]))
-            out["k2"].append(int(k[1]))
-            out["sigs"].append(signatures(s, percent).view(np.int64))
-            seen.add(key)
+            k = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
+            bits = np.zeros(64 * BITMAP, bool)
+            bits[(s % np.uint64(64 * BITMAP)).astype(np.int64)] = True
+            for name, value in zip(out, (i, len(s), int(k[0]), int(k[1]), signatures(s, percent).view(np.int64), np.packbits(bits).view(np.int64))):
+                out[name].append(value)
         yield out
 
 
+def _may_be_similar(x: str, y: str, percent: int) -> Column:
+    """Sizes and bitmaps of two sets leave the similarity possible: every bit that differs is an element that does."""
+    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = sum(F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))) for i in range(BITMAP))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * differ <= (100 - percent) * (a + b))
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -133,41 +136,28 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> Dat
 def ngram_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = durable(map_rows(docs, lambda b: _described(b, percent, size), "doc_id long, n_shingles long, k1 long, k2 long, sigs array<long>"))
-    reps = base.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    ids = durable(reps.select(F.col("rep").alias("doc_id"), "n"))
-    signed = semi_by_id(base.where(F.size("sigs") > 0), ids.select("doc_id").distinct(), "doc_id").select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("rep"))
+    schema = "doc_id long, n_shingles long, k1 long, k2 long, sigs array<long>, bits array<long>"
+    base = durable(map_rows(docs, lambda b: _described(b, percent, size), schema))
+    reps = base.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    sketch = durable(reps.select("rep", "n", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP)]))
+    signed = semi_by_id(base.where(F.size("sigs") > 0), sketch.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
     group = Window.partitionBy("sig")
-    shared = signed.withColumn("low", F.min("rep").over(group)).withColumn("high", F.max("rep").over(group))
-    shared = durable(shared.where("low < high").select("sig", "rep", "low"))
-
-    tested = durable(shared.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct())
-    edges = _verified(docs, tested, percent, size)
-    for star in range(1, STAR_ROUNDS + 2):
-        linked = durable(components(edges))
-        known = shared.select("sig", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        rest = known.withColumn("lo", F.min("component").over(group)).withColumn("hi", F.max("component").over(group)).where("lo < hi")
-        shared = durable(rest.select("sig", "rep", "component").distinct())
-        parts = shared.groupBy("sig", "component").agg(F.count("*").alias("n"))
-        sizes = parts.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        pairs, rows = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
-        if not rows:
-            break
-        if star > STAR_ROUNDS or pairs <= PAIRS_A_ROW * rows:
-            sized = shared.join(ids.select(F.col("doc_id").alias("rep"), "n"), "rep")
-            x, y = sized.alias("x"), sized.alias("y")
-            near = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-            near = near & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-            left = x.join(y, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-            edges = edges.unionByName(_verified(docs, left, percent, size))
-            linked = durable(components(edges))
-            break
-        order = F.struct(F.xxhash64("rep", F.lit(star)), "rep", "component")
-        led = shared.withColumn("leader", F.min(order).over(group))
-        led = led.where("component <> leader.component").select(F.least("rep", "leader.rep").alias("a"), F.greatest("rep", "leader.rep").alias("b"))
-        fresh = durable(led.distinct().join(tested, ["a", "b"], "left_anti"))
-        edges = edges.unionByName(_verified(docs, fresh, percent, size))
-        tested = tested.unionByName(fresh)
+    shared = signed.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("rep")).withColumn("low", F.min("rep").over(group))
+    shared = durable(shared.withColumn("high", F.max("rep").over(group)).where("low < high").select("sig", "rep", "low"))
+
+    star = shared.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    star = star.join(sketch.alias("x"), F.col("a") == F.col("x.rep")).join(sketch.alias("y"), F.col("b") == F.col("y.rep"))
+    edges = _verified(docs, star.where(_may_be_similar("x", "y", percent)).select("a", "b"), percent, size)
+    linked = durable(components(edges))
+    known = shared.select("sig", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rest = known.withColumn("lo", F.min("component").over(group)).withColumn("hi", F.max("component").over(group)).where("lo < hi")
+    rest = durable(rest.select("sig", "rep", "component").join(sketch, "rep"))
+    x, y = rest.alias("x"), rest.alias("y")
+    apart = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
+    pairs = x.join(y, apart & _may_be_similar("x", "y", percent)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    more = _verified(docs, pairs, percent, size)
+    if not more.isEmpty():
+        linked = durable(components(edges.unionByName(more)))
     found = base.select("doc_id", "n_shingles", "k1", "k2").join(reps.select("k1", "k2", "rep").where("rep is not null"), ["k1", "k2"], "left")
     found = found.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     whole = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
