@@ -10,7 +10,6 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,20 +92,6 @@ class Memo:
         return out
 
 
-def _hash_words(words: list[bytes]) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(w) for w in words]
-
-
-WORD_HASHES = Memo(_hash_words, 600_000)
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash for each word."""
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.fromiter(WORD_HASHES.look(words), np.uint64, len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: spreads every input bit over the result."""
     with np.errstate(over="ignore"):
@@ -115,6 +100,52 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint64) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2 ** 64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 21)
+        _POWERS[:] = [np.cumprod(np.full(size, b, np.uint64), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS
+
+
+class FlatWords:
+    """All words of a list of texts as arrays: A-Z lower-cased, ends at ASCII white space.
+
+    ``h``: a 64-bit hash of each word, ``doc``: number of its text, ``line``: number of its line over all texts,
+    ``first_line``: number of each text's first line. A word's hash is a difference of running sums of its bytes times
+    powers, divided by the power at its start, so that it does not depend on where the word stands.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        raw = [(t or "").encode() for t in texts]
+        data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        space = _SPACE[data]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if len(data) and not space[0]:
+            edge = np.concatenate(([0], edge))
+        start, end = edge[::2], edge[1::2]
+        power, inverse = _powers(len(data))
+        with np.errstate(over="ignore"):
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LOWER[data] * power[: len(data)], dtype=np.uint64)))
+            self.h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+        at = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
+        self.doc = np.searchsorted(at, start, "right") - 1
+        breaks = np.flatnonzero(data == 10)
+        self.line = np.searchsorted(breaks, start)
+        self.first_line = np.searchsorted(breaks, at[:-1])
+        self.word_ends = np.searchsorted(self.doc, np.arange(1, len(raw) + 1))
+
+    def of(self, i: int) -> np.ndarray:
+        """Word hashes of text ``i``."""
+        return self.h[(self.word_ends[i - 1] if i else 0) : self.word_ends[i]]
+
+
 def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words, in order; of the whole sequence if it is shorter."""
     if not len(h):
@@ -127,8 +158,8 @@ def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def map_rows(df: DataFrame, f: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
-    """``mapInArrow`` over plain column lists; long batches are cut so that a worker's memory stays bounded."""
+def map_rows(df: DataFrame, f: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str, size: float = 4e6) -> DataFrame:
+    """``mapInArrow`` over plain column lists; batches over ``size`` bytes are cut so that a worker's memory stays bounded."""
     from pyspark.sql.types import StructType
 
     importable(df.sparkSession)
@@ -137,7 +168,7 @@ def map_rows(df: DataFrame, f: Callable[[Iterator[dict[str, list]]], Iterator[di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[dict[str, list]]:
             for batch in batches:
-                step = max(1, int(batch.num_rows * min(1.0, 4e6 / max(1, batch.nbytes))))
+                step = max(1, int(batch.num_rows * min(1.0, size / max(1, batch.nbytes))))
                 for at in range(0, batch.num_rows, step):
                     cut = batch.slice(at, step)
                     yield {name: cut.column(i).to_pylist() for i, name in enumerate(cut.schema.names)}

@@ -5,8 +5,8 @@ similarity reaches the threshold share a word among the first few of each (prefi
 pass a length filter, a positional filter and a bitmap bound before their whole sets are compared. A line goes if
 an earlier line, in the order of doc_id and line number, is similar to it, whether or not that one stays.
 
-Rarity comes from a fixed table of counters indexed by word hash; it only steers the order, never the result.
-Equal sets are collapsed first. In groups that share a word and are large, lines are compared with the earliest
+Rarity comes from a fixed table of counters indexed by word hash; it only steers the order, never the result. Words
+are compared by 44 bits of their hash. Equal sets are collapsed first. In groups that share a word and are large, lines are compared with the earliest
 line at first, so near-copies of one line never become all their pairs; what stays open is compared in full.
 
 Blank lines hold no words and always stay. Null texts stay null. Rows that repeat a doc_id count as one document.
@@ -21,69 +21,89 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import BROADCAST_ROWS, durable, map_rows, mix, table, word_hashes
+from firmlake.llm.common import BROADCAST_ROWS, FlatWords, durable, map_rows, mix, table
 
 PERCENT = 80
-#: Bits of the rarity counters' index, and counters in one row of what tasks send.
+#: Bits of a word's hash, of the rarity counters' index, and counters in one row of what tasks send.
+WORD_BITS = 44
 SKETCH_BITS = 20
 PART = 4096
+#: Levels of rarity, a power of sqrt(2) apart; a level takes the place of the top bits of a word's hash.
+LEVEL_BITS = 6
 #: Lines with a common prefix word from which the earliest is compared alone at first.
 HOT_WORD = 50
 LINES = "doc_id long, line_no int, k1 long, k2 long, n int, part int, counts binary"
+#: Bytes of text that a task takes apart at once, and lines that it remembers not to send twice.
+PIECE = 2e6
+REMEMBERED = 500_000
 
 
 class _Lines:
-    """All lines of a batch as flat arrays: distinct (line, word hash) pairs sorted by line."""
+    """All lines of a batch that hold words, as flat arrays: the distinct words of each line, line by line."""
 
     def __init__(self, batch: dict[str, list]):
-        docs, numbers, words, lengths = [], [], [], []
-        for i, text in zip(batch["doc_id"], batch["text"]):
-            if i is None or not text:
-                continue
-            for k, line in enumerate(text.encode().lower().split(b"\n")):
-                found = line.split()
-                if found:
-                    docs.append(i)
-                    numbers.append(k)
-                    lengths.append(len(found))
-                    words += found
-        h = word_hashes(words)
-        line = np.repeat(np.arange(len(docs)), lengths)
-        order = np.lexsort((h, line))
-        h, line = h[order], line[order]
-        if len(h):
-            fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])))
-            h, line = h[fresh], line[fresh]
-        self.h, self.line = h, line
-        self.doc = np.array(docs, np.int64)
-        self.no = np.array(numbers, np.int32)
-        self.n = np.bincount(line, minlength=len(docs)).astype(np.int32)
+        flat = FlatWords([t if i is not None else None for i, t in zip(batch["doc_id"], batch["text"])])
+        new = np.concatenate(([True], flat.line[1:] != flat.line[:-1])) if len(flat.h) else np.empty(0, bool)
+        dense = np.cumsum(new) - 1
+        doc = flat.doc[new]
+        self.doc = np.array([i if i is not None else -1 for i in batch["doc_id"]], np.int64)[doc]
+        self.no = (flat.line[new] - flat.first_line[doc]).astype(np.int32)
+        word = flat.h >> np.uint64(64 - WORD_BITS)
+        parts = []
+        for low in range(0, len(doc), 1 << (64 - WORD_BITS)):  # so many lines have a number of their own above a word
+            a, b = np.searchsorted(dense, [low, low + (1 << (64 - WORD_BITS))])
+            key = np.unique(((dense[a:b] - low).astype(np.uint64) << np.uint64(WORD_BITS)) | word[a:b])
+            parts.append(((key >> np.uint64(WORD_BITS)).astype(np.int64) + low, key & np.uint64((1 << WORD_BITS) - 1)))
+        self.line = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
+        self.word = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.uint64)
+        self.n = np.bincount(self.line, minlength=len(doc)).astype(np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.n)[:-1])).astype(np.int64)
+        self.counter = (self.word >> np.uint64(WORD_BITS - SKETCH_BITS)).astype(np.int64)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """A 128-bit hash of each line's set."""
-        if not len(self.h):
+        if not len(self.word):
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        return tuple(mix(np.add.reduceat(mix(self.h ^ np.uint64(salt)), self.start)).view(np.int64) for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
+        salts = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
+        return tuple(mix(np.add.reduceat(mix(self.word ^ np.uint64(s)), self.start)).view(np.int64) for s in salts)
+
+
+class _Once:
+    """Which lines of a batch this task has not met yet; it remembers a bounded number."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
+
+    def fresh(self, k1: np.ndarray) -> np.ndarray:
+        mask = np.zeros(len(k1), bool)
+        _, first = np.unique(k1, return_index=True)
+        mask[first] = True
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        for i in first.tolist():
+            x = int(k1[i])
+            if x in self.seen:
+                mask[i] = False
+            else:
+                self.seen.add(x)
+        return mask
 
 
 def _described(batches: Iterator[dict]) -> Iterator[dict]:
     """Each line's key and size, and at the end of a task its word counters."""
-    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+    counts, once = np.zeros(1 << SKETCH_BITS, np.uint32), _Once()
     for batch in batches:
         x = _Lines(batch)
         if not len(x.doc):
             continue
         k1, k2 = x.keys()
-        _, once = np.unique(k1, return_index=True)
-        mask = np.zeros(len(x.doc), bool)
-        mask[once] = True
-        counts += np.bincount((x.h[mask[x.line]] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+        mask = once.fresh(k1)
+        counts += np.bincount(x.counter[mask[x.line]], minlength=1 << SKETCH_BITS).astype(np.uint32)
         none = [None] * len(x.doc)
-        yield {"doc_id": x.doc, "line_no": x.no, "k1": k1, "k2": k2, "n": x.n, "part": none, "counts": none}
+        yield {"doc_id": x.doc, "line_no": x.no, "k1": k1, "k2": k2, "n": x.n.astype(np.int32), "part": none, "counts": none}
     parts = [i for i, row in enumerate(counts.reshape(-1, PART)) if row.any()]
     none = [None] * len(parts)
     blobs = [zlib.compress(counts[i * PART : (i + 1) * PART].tobytes(), 1) for i in parts]
@@ -107,94 +127,116 @@ def _rarity(rows: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
-    """(k1, k2, bits, words, places): the rarest words of each line that another line may hold too."""
-    held = docs.sparkSession.sparkContext.broadcast(rarity)
+    """(k1, bits, sized, words): the rarest words of each line that another line may hold too, and their places.
+
+    ``sized`` packs the size of the set above the place of a word; a word stands with its level of rarity in front.
+    """
+    levels = np.minimum(2 * np.log2(np.maximum(rarity, 1)), (1 << LEVEL_BITS) - 1).astype(np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast((levels, rarity > 1))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
+        level, repeated = held.value
+        once = _Once()
         for batch in batches:
             x = _Lines(batch)
             if not len(x.doc):
                 continue
-            k1, k2 = x.keys()
-            _, once = np.unique(k1, return_index=True)
-            mask = np.zeros(len(x.doc), bool)
-            mask[once] = True
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (x.h & np.uint64(63)), x.start).view(np.int64)
-            seen = held.value[(x.h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            order = np.lexsort((x.h, seen, x.line))
-            h, seen, line = x.h[order], seen[order], x.line[order]
-            place = np.arange(len(h)) - x.start[line]
-            most = x.n - (x.n.astype(np.int64) * percent + 99) // 100 + 1
-            keep = (place < most[line]) & (seen > 1) & mask[line]
-            h, line, place = h[keep], line[keep], place[keep]
-            got, size = np.unique(line, return_counts=True)
+            k1, _ = x.keys()
+            mask = once.fresh(k1)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (x.word & np.uint64(63)), x.start).view(np.int64)
+            most = x.n - (x.n * percent + 99) // 100 + 1
+            # words in order of level and hash, behind the number of their line
+            shift = WORD_BITS - LEVEL_BITS
+            ranked = (level[x.counter].astype(np.uint64) << np.uint64(shift)) | (x.word >> np.uint64(LEVEL_BITS))
+            single = np.uint64(1) << np.uint64(WORD_BITS)
+            ranked |= np.where(repeated[x.counter], np.uint64(0), single)
+            room = np.uint64(1 << (63 - WORD_BITS))
+            line = x.line.astype(np.uint64)
+            key = np.empty_like(ranked)
+            for low in range(0, len(x.doc), int(room)):
+                a, b = np.searchsorted(x.line, [low, low + int(room)])
+                # words of one line only go first: their mark is turned around
+                key[a:b] = np.sort(((line[a:b] - np.uint64(low)) << np.uint64(WORD_BITS + 1)) | (ranked[a:b] ^ single))
+            ranked = key & np.uint64((1 << (WORD_BITS + 1)) - 1)
+            place = np.arange(len(ranked)) - x.start[x.line]
+            keep = (place < most[x.line]) & (ranked >= single) & mask[x.line]
+            got, size = np.unique(x.line[keep], return_counts=True)
             ends = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+            sized = (x.n[x.line[keep]] << 32) | place[keep]
             yield {
-                "k1": k1[got], "k2": k2[got], "bits": bits[got],
-                "words": pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))),
-                "places": pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32))),
+                "k1": k1[got], "bits": bits[got],
+                "words": pa.ListArray.from_arrays(ends, pa.array(ranked[keep].view(np.int64))), "sized": pa.ListArray.from_arrays(ends, pa.array(sized)),
             }
 
-    return map_rows(docs, run, "k1 long, k2 long, bits long, words array<long>, places array<int>")
+    return map_rows(docs, run, "k1 long, bits long, words array<long>, sized array<long>", PIECE)
 
 
 def _of_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, words) of the lines named by ``lines`` (doc_id, line_no)."""
-    wanted = lines.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
+    """(k1, words) of the lines named by ``lines`` (k1, doc_id, line_no)."""
+    wanted = durable(lines.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "k1")).alias("wanted")))
     small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "line_no": [], "words": []}
-            for i, text, numbers in zip(batch["doc_id"], batch["text"], batch["wanted"]):
-                split = (text or "").encode().lower().split(b"\n")
-                for k in numbers:
-                    if k < len(split):
-                        out["doc_id"].append(i)
-                        out["line_no"].append(k)
-                        out["words"].append(np.unique(word_hashes(split[k].split())).view(np.int64))
+            x = _Lines(batch)
+            at = {(d, n): i for i, (d, n) in enumerate(zip(x.doc.tolist(), x.no.tolist()))}
+            out: dict[str, list] = {"k1": [], "words": []}
+            for i, rows in zip(batch["doc_id"], batch["wanted"]):
+                for r in rows:
+                    k = at.get((i, r["line_no"]))
+                    if k is not None:
+                        out["k1"].append(r["k1"])
+                        out["words"].append(x.word[x.start[k] : x.start[k] + x.n[k]].view(np.int64))
             yield out
 
-    return map_rows(docs.join(F.broadcast(wanted) if small else wanted, "doc_id"), run, "doc_id long, line_no int, words array<long>").dropDuplicates(["doc_id", "line_no"])
+    return map_rows(docs.join(F.broadcast(wanted) if small else wanted, "doc_id"), run, "k1 long, words array<long>", PIECE)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The later lines of ``pairs`` (later, earlier: structs of doc_id and line_no) that are similar to the earlier one."""
+def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b: keys of lines) whose whole sets are similar enough."""
     pairs = durable(pairs.distinct())
-    lines = pairs.select(F.explode(F.array("later", "earlier")).alias("x")).select("x.*").distinct()
+    lines = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct().join(firsts.select("k1", "at.*"), "k1")
     sets = durable(_of_lines(docs, lines))
-    one = sets.select(F.struct("doc_id", "line_no").alias("later"), F.col("words").alias("wa"))
-    two = sets.select(F.struct("doc_id", "line_no").alias("earlier"), F.col("words").alias("wb"))
-    both = pairs.join(one, "later").join(two, "earlier").withColumn("same", F.size(F.array_intersect("wa", "wb")))
-    return durable(both.where((100 + percent) * F.col("same") >= percent * (F.size("wa") + F.size("wb"))).select("later").distinct())
+    both = pairs.join(sets.select(F.col("k1").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("k1").alias("b"), F.col("words").alias("wb")), "b")
+    both = both.withColumn("same", F.size(F.array_intersect("wa", "wb")))
+    return durable(both.where((100 + percent) * F.col("same") >= percent * (F.size("wa") + F.size("wb"))).select("a", "b").distinct())
 
 
 def similar_earlier(docs: DataFrame, percent: int = PERCENT, hot: int = HOT_WORD) -> tuple[DataFrame, DataFrame]:
-    """(all lines with their keys, first lines of their set that an earlier, different set is similar to)."""
-    all_rows = durable(map_rows(docs, _described, LINES))
+    """(all lines with the first line of their set, first lines that an earlier line with another set is similar to)."""
+    all_rows = durable(map_rows(docs, _described, LINES, PIECE))
     lines = all_rows.where("part is null").select("doc_id", "line_no", "k1", "k2", "n")
-    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("n").alias("n"))
-    prefixes = _prefixes(docs, _rarity(all_rows), percent).dropDuplicates(["k1", "k2"])
-    rows = prefixes.join(firsts, ["k1", "k2"]).select("at", "n", "bits", F.posexplode("words").alias("i", "word"), "places")
-    rows = rows.select("word", "at", "n", "bits", F.get("places", F.col("i")).alias("place"))
-    group = Window.partitionBy("word")
-    rows = rows.withColumn("others", F.count("*").over(group)).where("others > 1")
-    rows = durable(rows.withColumn("first", F.min(F.struct("at", "n", "bits", "place")).over(group)))
-
-    def near(a: str, b: str) -> F.Column:
-        both = F.col(f"{a}.n") + F.col(f"{b}.n")
-        length = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
-        after = F.least(F.col(f"{a}.n") - F.col(f"{a}.place"), F.col(f"{b}.n") - F.col(f"{b}.place"))
-        bound = (100 + percent) * F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= (100 - percent) * both
-        return length & ((100 + percent) * after >= percent * both) & bound
-
-    led = rows.select(F.struct("at", "n", "bits", "place").alias("x"), F.col("first").alias("y"), "others").where(F.col("others") > hot)
-    gone = _verified(docs, led.where((F.col("x.at") != F.col("y.at")) & near("x", "y")).select(F.col("x.at").alias("later"), F.col("y.at").alias("earlier")), percent)
-    open_rows = rows.join(gone.withColumnRenamed("later", "at"), "at", "left_anti")
-    x, y = open_rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.at") > F.col("y.at")) & near("x", "y"))
-    rest = _verified(docs, pairs.select(F.col("x.at").alias("later"), F.col("y.at").alias("earlier")), percent)
-    return lines.join(firsts.select("k1", "k2", "at"), ["k1", "k2"]), gone.unionByName(rest).distinct()
+    firsts = durable(lines.groupBy("k1").agg(F.min(F.struct("doc_id", "line_no")).alias("at")))
+    prefixes = _prefixes(docs, _rarity(all_rows), percent).dropDuplicates(["k1"])
+    rows = prefixes.select("k1", "bits", F.explode(F.arrays_zip("words", "sized")).alias("w")).select(F.col("w.words").alias("word"), "k1", "bits", F.col("w.sized").alias("sized"))
+    rows = rows.withColumn("others", F.count("*").over(Window.partitionBy("word"))).where("others > 1")
+
+    def near(a: str, b: str) -> Column:
+        na, nb = F.shiftright(f"{a}.sized", 32), F.shiftright(f"{b}.sized", 32)
+        pa_, pb = F.col(f"{a}.sized").bitwiseAND(F.lit(0xFFFFFFFF)), F.col(f"{b}.sized").bitwiseAND(F.lit(0xFFFFFFFF))
+        length = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+        place = (100 + percent) * F.least(na - pa_, nb - pb) >= percent * (na + nb)
+        bitmap = (100 + percent) * F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= (100 - percent) * (na + nb)
+        return length & place & bitmap
+
+    few = rows.where(F.col("others") <= hot)
+    x, y = few.alias("x"), few.alias("y")
+    pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.k1") < F.col("y.k1")) & near("x", "y"))
+    pairs = pairs.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b"))
+
+    many = durable(rows.where(F.col("others") > hot).join(firsts, "k1").select("word", "k1", "at", "bits", "sized"))
+    first = many.groupBy("word").agg(F.min(F.struct("at", "k1", "bits", "sized")).alias("y"))
+    led = many.join(first, "word").select(F.struct("k1", "at", "bits", "sized").alias("x"), "y")
+    led = led.where((F.col("x.k1") != F.col("y.k1")) & near("x", "y")).select(F.col("x.k1").alias("b"), F.col("y.k1").alias("a"))
+    gone = _verified(docs, firsts, led.select("a", "b"), percent)
+    open_rows = many.join(gone.select(F.col("b").alias("k1")).distinct(), "k1", "left_anti")
+    x, y = open_rows.alias("x"), many.alias("y")
+    rest = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.at") > F.col("y.at")) & near("x", "y"))
+    rest = rest.select(F.least("x.k1", "y.k1").alias("a"), F.greatest("x.k1", "y.k1").alias("b"))
+    found = _verified(docs, firsts, pairs.unionByName(rest), percent).unionByName(gone)
+    at = firsts.select(F.col("k1").alias("a"), F.col("at").alias("at_a"))
+    both = found.join(at, "a").join(at.select(F.col("a").alias("b"), F.col("at_a").alias("at_b")), "b")
+    return lines.join(firsts, "k1"), both.select(F.greatest("at_a", "at_b").alias("later")).distinct()
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, hot: int = HOT_WORD) -> DataFrame:

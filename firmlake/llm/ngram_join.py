@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import components, durable, map_rows, mix, semi_by_id, shingle_hashes, table, word_hashes
+from firmlake.llm.common import FlatWords, components, durable, map_rows, mix, semi_by_id, shingle_hashes, table
 
 SHINGLE = 5
 PERCENT = 80
@@ -43,7 +43,7 @@ BITMAP = 8
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; A-Z is lower-cased, words end at ASCII white space."""
-    return np.unique(shingle_hashes(word_hashes((text or "").encode().lower().split()), size))
+    return np.unique(shingle_hashes(FlatWords([text]).h, size))
 
 
 @lru_cache(100_000)
@@ -97,8 +97,9 @@ def signatures(s: np.ndarray, percent: int = PERCENT, most: int = GROUPS, repeat
 def _described(batches: Iterator[dict], percent: int, size: int) -> Iterator[dict]:
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_shingles", "k1", "k2", "sigs", "bits")}
-        for i, text in zip(batch["doc_id"], batch["text"]):
-            s = shingle_set(text, size)
+        words = FlatWords(batch["text"])
+        for d, i in enumerate(batch["doc_id"]):
+            s = np.unique(shingle_hashes(words.of(d), size))
             k = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
             bits = np.zeros(64 * BITMAP, bool)
             bits[(s % np.uint64(64 * BITMAP)).astype(np.int64)] = True
@@ -117,9 +118,10 @@ def _may_be_similar(x: str, y: str, percent: int) -> Column:
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            yield {"doc_id": batch["doc_id"], "words": [shingle_set(t, size).view(np.int64) for t in batch["text"]]}
+            words = FlatWords(batch["text"])
+            yield {"doc_id": batch["doc_id"], "words": [np.unique(shingle_hashes(words.of(d), size)).view(np.int64) for d in range(len(batch["text"]))]}
 
-    return map_rows(docs, run, "doc_id long, words array<long>").dropDuplicates(["doc_id"])
+    return map_rows(docs, run, "doc_id long, words array<long>", 2e6).dropDuplicates(["doc_id"])
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
@@ -137,7 +139,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGL
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_shingles long, k1 long, k2 long, sigs array<long>, bits array<long>"
-    base = durable(map_rows(docs, lambda b: _described(b, percent, size), schema))
+    base = durable(map_rows(docs, lambda b: _described(b, percent, size), schema, 2e6))
     reps = base.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
     sketch = durable(reps.select("rep", "n", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP)]))
     signed = semi_by_id(base.where(F.size("sigs") > 0), sketch.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
