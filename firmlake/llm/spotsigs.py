@@ -35,9 +35,10 @@ PERCENT = 80
 
 def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds ``name``: the sorted distinct 32-bit signatures of the column ``text``."""
+    # possessive runs: Java matches them in a loop, however many common words follow each other
     anchor = "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w)))
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    out = df.withColumn("__runs", F.regexp_extract_all(F.concat(plain, F.lit(" ")), F.lit(rf"(?:(?:{anchor}) )*[^ ]+ "), F.lit(0)))
+    out = df.withColumn("__runs", F.regexp_extract_all(F.concat(plain, F.lit(" ")), F.lit(rf"(?:(?:{anchor}) )*+[^ ]+ |(?:(?:{anchor}) )++"), F.lit(0)))
     out = out.withColumn("__words", F.transform("__runs", lambda t: F.substring_index(F.rtrim(t), " ", -1)))
     places = F.when(F.size("__runs") > 1, F.sequence(F.lit(0), F.size("__runs") - 2)).otherwise(F.array().cast("array<int>"))
 
