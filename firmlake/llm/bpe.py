@@ -71,7 +71,7 @@ class ByteEncoder:
     def __init__(self, path: str):
         self.library, self.bytes = opened(path), byte_table(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words, self.spans, self.chunks = Memo(self._words, 300_000), Memo(self._spans, 300_000), {}
+        self.words, self.spans, self.chunks = Memo(self._words, 300_000, "bytes"), Memo(self._spans, 300_000, "bytes"), {}
 
     def _words(self, words: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(words, add_special_tokens=False)

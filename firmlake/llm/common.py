@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -65,14 +66,29 @@ def bucket(column: str, mod: int) -> F.Column:
 class Memo:
     """A bounded word memo that survives between tasks of one Python worker.
 
-    Two generations: when the young one is full it becomes the old one, so frequent words stay.
+    Two generations: when the young one is full it becomes the old one, so frequent words stay. Memos of one
+    ``group`` live side by side; a worker that turns to another group lets go of the others' words.
     """
 
-    def __init__(self, make: Callable[[list[str]], list], limit: int = 400_000):
-        self.make, self.limit, self.young, self.old = make, limit // 2, {}, {}
+    active = ""
+    every: weakref.WeakSet = weakref.WeakSet()
+
+    def __init__(self, make: Callable[[list[str]], list], limit: int = 400_000, group: str = "words"):
+        self.make, self.limit, self.young, self.old, self.group = make, limit // 2, {}, {}, group
+        Memo.every.add(self)
+
+    @staticmethod
+    def use(group: str) -> None:
+        """From now on this worker works for ``group``."""
+        if Memo.active != group:
+            Memo.active = group
+            for m in list(Memo.every):
+                if m.group != group:
+                    m.young, m.old = {}, {}
 
     def look(self, words: list) -> list:
         """The value of each word; what is not known yet is made in one go."""
+        Memo.use(self.group)
         out = list(map(self.young.get, words))
         if None in out:
             young, old = self.young, self.old
@@ -123,6 +139,7 @@ class FlatWords:
     """
 
     def __init__(self, texts: list[str | None]):
+        Memo.use("flat words")
         raw = [(t or "").encode() for t in texts]
         data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         space = _SPACE[data]

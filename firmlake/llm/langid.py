@@ -146,7 +146,7 @@ def _memo(model: Model) -> Memo:
             return [row.tobytes() for row in out]
 
         _MEMOS.clear()
-        _MEMOS[model.number] = Memo(vectors, 400_000)
+        _MEMOS[model.number] = Memo(vectors, 400_000, "language")
     return _MEMOS[model.number]
 
 

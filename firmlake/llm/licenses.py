@@ -24,7 +24,8 @@ from firmlake.llm.common import Memo, map_rows, shingle_hashes, table
 #: Words of a fingerprint, and neighbouring fingerprints of which one is kept.
 GRAM = 3
 WINDOW = 2
-#: Share of a template's words that must be matched in order, and words that may be inserted or left out.
+#: Share of a template's words that must be matched in order, and words that may be inserted or left out: a quarter
+#: of a template's, BAND at most.
 COVERAGE = 0.8
 BAND = 12
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -43,7 +44,7 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
 
-_HASHES = Memo(lambda words: [xxhash.xxh3_64_intdigest(w) for w in words], 400_000)
+_HASHES = Memo(lambda words: [xxhash.xxh3_64_intdigest(w) for w in words], 400_000, "licenses")
 
 
 def winnowed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +70,7 @@ class Index:
             for p, x in enumerate(h.tolist()):  # all runs, so that a text's kept ones are found wherever it cuts in
                 self.places[x].append((t, p))
         self.keys = np.array(sorted(self.places), np.uint64)
+        self.band = [min(BAND, max(1, len(w) // 4)) for w in self.words]
 
     def candidates(self, words: list[str]) -> list[tuple[int, int, int]]:
         """(template, lowest diagonal, highest diagonal) of hits that lie close together."""
@@ -77,7 +79,7 @@ class Index:
         hits = sorted((t, p - q) for p, x in zip(at[near].tolist(), h[near].tolist()) for t, q in self.places[x])
         out: list[list[int]] = []
         for t, d in hits:
-            if out and out[-1][0] == t and d - out[-1][2] <= BAND:
+            if out and out[-1][0] == t and d - out[-1][2] <= self.band[t]:
                 out[-1][2] = d
             else:
                 out.append([t, d, d])
@@ -128,7 +130,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
                 found = []
                 for t, lowest, highest in index.candidates(words) if words else []:
                     template = index.words[t]
-                    m, first, behind = align(template, words, lowest - BAND, highest + BAND)
+                    m, first, behind = align(template, words, lowest - index.band[t], highest + index.band[t])
                     if m >= coverage * len(template):
                         found.append((t, first, behind, m))
                 if not found:

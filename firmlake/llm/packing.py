@@ -42,7 +42,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.library = opened(path)
-        self.parts, self.runs = Memo(self._parts, 300_000), Memo(self._runs, 400_000)
+        self.parts, self.runs = Memo(self._parts, 300_000, "packing"), Memo(self._runs, 400_000, "packing")
 
     def _parts(self, parts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]

@@ -41,7 +41,7 @@ def _buckets(words: list[str]) -> list[bytes]:
     return out
 
 
-WORD_BUCKETS = Memo(_buckets, 400_000)
+WORD_BUCKETS = Memo(_buckets, 400_000, "quality")
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:

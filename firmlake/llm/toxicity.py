@@ -32,7 +32,7 @@ WINDOW = 8
 #: more); their share of all that do; and what a clean one counts against it.
 SAMPLE_ROWS = 6_000
 LEARNED_TERMS = 150
-LEARNED_SUPPORT = 4
+LEARNED_SUPPORT = 3
 LEARNED_PRECISION = 0.75
 CLEAN_COST = 2
 #: Candidates that are weighed against each other, those found in most toxic documents first.
@@ -137,7 +137,7 @@ class Automaton:
 class Matcher:
     def __init__(self, terms: list[tuple[str, bool]]):
         self.terms, self.automaton = terms, Automaton(terms)
-        self.memo = Memo(lambda words: [self.automaton.match(w) or 0 for w in words], 400_000)
+        self.memo = Memo(lambda words: [self.automaton.match(w) or 0 for w in words], 400_000, "toxicity")
 
     def features(self, text: str | None) -> np.ndarray:
         """exact, misspelled, stem, misspelled stem, quoted and addressed matches (logs), density of words and of stems, whether there is one."""
