@@ -38,6 +38,8 @@ BLOCK = 512
 SMALL = 16
 KEYS = ("label", "width", "cap", "x", "y")
 SEED = 20_177
+#: Vectors of so few components share one cap: caps are useless there, and blocks of it are compared in full.
+FLAT = 4
 
 
 @lru_cache(16)
@@ -64,6 +66,8 @@ def _products(x: np.ndarray, rotation: np.ndarray, words: list[np.ndarray]) -> t
 
 def caps(vectors: np.ndarray) -> list[np.ndarray]:
     """The numbers of all directions whose cap holds each vector; where those are few, its cap is lowered to hold ``CAPS``."""
+    if vectors.shape[1] <= FLAT:
+        return [np.zeros(1, np.int64)] * len(vectors)
     rotation, words, height = code(vectors.shape[1])
     one, two = _products(vectors, rotation, words)
     size = len(words[0])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import BROADCAST_ROWS, FlatWords, durable, map_rows, mix, table
+from firmlake.llm.common import BROADCAST_ROWS, FlatWords, distinct, durable, map_rows, mix, table
 
 PERCENT = 80
 #: Bits of a word's hash, of the rarity counters' index, and counters in one row of what tasks send.
@@ -55,7 +55,7 @@ class _Lines:
         parts = []
         for low in range(0, len(doc), 1 << (64 - WORD_BITS)):  # so many lines have a number of their own above a word
             a, b = np.searchsorted(dense, [low, low + (1 << (64 - WORD_BITS))])
-            key = np.unique(((dense[a:b] - low).astype(np.uint64) << np.uint64(WORD_BITS)) | word[a:b])
+            key = distinct(((dense[a:b] - low).astype(np.uint64) << np.uint64(WORD_BITS)) | word[a:b])
             parts.append(((key >> np.uint64(WORD_BITS)).astype(np.int64) + low, key & np.uint64((1 << WORD_BITS) - 1)))
         self.line = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
         self.word = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.uint64)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import FlatWords, components, durable, map_rows, mix, semi_by_id, shingle_hashes, table
+from firmlake.llm.common import FlatWords, components, distinct, durable, map_rows, mix, semi_by_id, shingle_hashes, table
 
 SHINGLE = 5
 PERCENT = 80
@@ -43,7 +43,7 @@ BITMAP = 8
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; A-Z is lower-cased, words end at ASCII white space."""
-    return np.unique(shingle_hashes(FlatWords([text]).h, size))
+    return distinct(shingle_hashes(FlatWords([text]).h, size))
 
 
 @lru_cache(100_000)
@@ -99,7 +99,7 @@ def _described(batches: Iterator[dict], percent: int, size: int) -> Iterator[dic
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_shingles", "k1", "k2", "sigs", "bits")}
         words = FlatWords(batch["text"])
         for d, i in enumerate(batch["doc_id"]):
-            s = np.unique(shingle_hashes(words.of(d), size))
+            s = distinct(shingle_hashes(words.of(d), size))
             k = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
             bits = np.zeros(64 * BITMAP, bool)
             bits[(s % np.uint64(64 * BITMAP)).astype(np.int64)] = True
@@ -119,7 +119,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             words = FlatWords(batch["text"])
-            yield {"doc_id": batch["doc_id"], "words": [np.unique(shingle_hashes(words.of(d), size)).view(np.int64) for d in range(len(batch["text"]))]}
+            yield {"doc_id": batch["doc_id"], "words": [distinct(shingle_hashes(words.of(d), size)).view(np.int64) for d in range(len(batch["text"]))]}
 
     return map_rows(docs, run, "doc_id long, words array<long>", 2e6).dropDuplicates(["doc_id"])
 
