@@ -253,3 +253,31 @@ ORACLE: dict[str, str] = {
     "log_tail": f"WITH {LOG} SELECT line_no, \"value\", 'error' \"level\" FROM logl WHERE {LEVEL} = 'error' ORDER BY line_no DESC LIMIT 150",
     "log_matches": f"WITH {LOG} SELECT count(*) n FROM logl WHERE contains(\"value\", 'user=1')",
 }
+
+_SIGNALS = r"^#{1,3}\s*(team|people|partners?|leadership|investment team|our team|the team|general partners?|managing partners?|board partners?)\s*$|General Partner|Managing Partner|linkedin\.com/in/"
+ORACLE["context_slice"] = rf"""WITH a AS (SELECT page_id, html || CASE WHEN page_id % 3 = 0 THEN chr(10) || '## Our Team' || chr(10) || 'A General Partner ' ELSE '' END || html m FROM pages),
+  p AS (SELECT *, regexp_matches(m, '(?im){_SIGNALS}') has, length(regexp_extract(m, '(?ims)\A(.*?)(?:{_SIGNALS})', 1)) pos FROM a)
+  SELECT page_id, sha256(CASE WHEN length(m) <= 4000 THEN m WHEN NOT has THEN substr(m, 1, 4000)
+    ELSE substr(m, 1, 1000) || CASE WHEN pos > 1000 THEN chr(10) || chr(10) || '...[content skipped]...' || chr(10) || chr(10) ELSE '' END || substr(m, pos + 1, 3000) END) slice_sha256 FROM p"""
+
+ORACLE["validate_reason"] = f"""WITH {NAME_CASES}, {URL_CASES}, r AS (SELECT n.id, n."name" nm, u.url src FROM name_cases n JOIN url_cases u ON n.id % (SELECT count(*) FROM url_cases) = u.page_id), {names('r', 'nm', 'a')},
+  {urls('a', 'b', 'src')}, r2 AS (SELECT id, firm_name_norm fn, canonical src2, base base1 FROM b), {urls('r2', 'd', 'src2')}, {names('d', 'fn', 'e')},
+  e9 AS (SELECT id, src2, reject_reason, base1, fn, name_reason nr, firm_key key1, lower(split_part("domain", '.', 1)) b1, replace(lower(split_part("domain", '.', 1)), '-', ' ') b0, "domain" dm FROM e), {names('e9', 'b0', 'g')},
+  m AS (SELECT *, CASE WHEN dm = '' THEN true WHEN reject_reason <> 'ok' OR key1 = '' THEN false WHEN key1 IN ('x', {', '.join(repr(n.lower()) for n in rules.REJECTED_NAMES if n not in ('N/A', 'X'))}, 'na') THEN false
+    WHEN regexp_matches(key1, '{_any(rules.REJECTED_NAME_PARTS)}') OR b1 IN {rules.PUBLISHERS} THEN false
+    WHEN regexp_matches(lower(regexp_extract(src2, {PATH}, 1)), '{_any(rules.ARTICLE_PATHS)}') AND NOT (firm_key = '' OR contains(key1, firm_key) OR contains(firm_key, key1) OR split_part(key1, ' ', 1) = firm_key) THEN false ELSE true END fits FROM g)
+  SELECT id, CASE WHEN src2 <> '' AND reject_reason = 'ok' THEN base1 ELSE '' END website, CASE WHEN fn = '' THEN 'missing_firm_name' WHEN nr <> 'ok' THEN 'rejected_firm_name' WHEN src2 <> '' AND reject_reason <> 'ok' THEN 'rejected_source_url'
+    WHEN src2 <> '' AND NOT fits THEN 'firm_domain_mismatch' ELSE 'ok' END reason FROM m"""
+
+
+def _united(column: str) -> str:
+    new = f"(CASE WHEN n.{column} IS NULL THEN [] WHEN n.{column}[1] = n.{column}[2] THEN [n.{column}[1]] ELSE n.{column} END)"
+    return f"list_concat(coalesce(o.{column}, []), list_filter({new}, lambda x: NOT list_contains(coalesce(o.{column}, []), x)))"
+
+
+ORACLE["merge_firms"] = f"""WITH {FIRMS}, {FACETS}, o AS (SELECT *, CASE WHEN id % 2 = 0 THEN website ELSE '' END source_url FROM firms),
+  n AS (SELECT id + CASE WHEN id % 2 = 0 THEN 0 ELSE 1000000 END id, 'Firm ' || id firm_name, CASE WHEN id % 4 = 0 THEN '' ELSE 'https://new.example.com' END website, focus_sectors, investment_stage, geography FROM fc WHERE id % 3 = 0),
+  m AS (SELECT coalesce(n.id, o.id) id, coalesce(n.firm_name, o.firm_name) firm_name, coalesce(nullif(n.website, ''), o.website) website, CASE WHEN n.id IS NULL THEN o.source_url ELSE 'https://src.example.com' END source_url,
+    {_united('focus_sectors')} fs1, {_united('investment_stage')} st1, {_united('geography')} ge1, CASE WHEN n.id IS NULL THEN strftime(o.updated_at, '%Y-%m-%d') ELSE '2025-01-01' END updated_on FROM o FULL JOIN n ON o.id = n.id)
+  SELECT id, firm_name, website, source_url, {_join('fs1')} focus_sectors, {_join('st1')} investment_stage, {_join('ge1')} geography,
+    firm_name || ' ' || coalesce(website, '') || ' ' || coalesce(array_to_string(fs1, ' '), '') || ' ' || coalesce(array_to_string(st1, ' '), '') || ' ' || coalesce(array_to_string(ge1, ' '), '') embedding_text, updated_on FROM m"""
