@@ -32,8 +32,10 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: Characters up to here are classed alike by every Unicode version; others go to the library whole.
 PLAIN_END = "ɐ"
 ODD = regex.compile(rf"[^\x00-{PLAIN_END}]")
-#: Chunks that the whole cluster shares: how many at most, and the mean bytes of a chunk.
-SHARED_CHUNKS = 16_384
+#: Chunks that the whole cluster shares: how many and how long at most, so 32 MiB of text and four times that of ids
+#: at the very worst; and the mask of the rolling hash, for chunks of 1 KiB on average.
+SHARED_CHUNKS = 8_192
+SHARED_BYTES = 4_096
 CHUNK_MASK = 0x3FF
 
 _OPEN: dict[str, object] = {}
@@ -190,7 +192,7 @@ def shared_chunks(docs: DataFrame, path: str, limit: int = SHARED_CHUNKS) -> lis
             for i, text in zip(batch["doc_id"], batch["text"]):
                 raw = (text or "").encode()
                 for a, b, inside in spans_of(raw):
-                    if inside:
+                    if inside and b - a <= SHARED_BYTES:
                         x = seen.setdefault(xxhash.xxh3_128_digest(raw[a:b]), [i, b - a, 0])
                         x[2] += 1
             yield {"key": list(seen), "owner": [x[0] for x in seen.values()], "size": [x[1] for x in seen.values()], "n": [x[2] for x in seen.values()]}
