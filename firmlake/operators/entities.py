@@ -17,6 +17,8 @@ from firmlake.functions.urls import url_domain
 FUZZY, SEMANTIC, COMBINED = 0.88, 0.82, 0.87
 SCALARS = ("website", "source_url")
 LISTS = ("focus_sectors", "investment_stage", "geography")
+#: Firms of a block of pairwise resolution; a task compares two blocks.
+BLOCK = 1024
 
 
 def keyed(firms: DataFrame) -> DataFrame:
@@ -44,28 +46,29 @@ def session_firsts(df: DataFrame, order: str = "seq") -> DataFrame:
     return df.withColumn("firm_key", firm_key(F.col("firm_name"))).where("firm_key <> ''").withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
+def indel(x: str, y: str) -> float:
+    """2 * LCS / (len x + len y); 0 when either is blank. The LCS is worked out on the bits of one number."""
+    if not x or not y:
+        return 0.0
+    at: dict[str, int] = {}
+    for k, c in enumerate(y):
+        at[c] = at.get(c, 0) | 1 << k
+    full = v = (1 << len(y)) - 1
+    for c in x:
+        u = v & at.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return 2.0 * (len(y) - v.bit_count()) / (len(x) + len(y))
+
+
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * LCS / (len a + len b); 0 when either is blank."""
-    def one(x: str, y: str) -> float:
-        if not x or not y:
-            return 0.0
-        codes = np.frombuffer(y.encode("utf-32-le"), np.uint32)
-        row = np.zeros(len(codes) + 1, np.int64)
-        for c in x:
-            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (codes == ord(c))))
-        return 2.0 * row[-1] / (len(x) + len(y))
-
-    return pd.Series([one(x, y) for x, y in zip(a.fillna(""), b.fillna(""))])
+    return pd.Series([indel(x, y) for x, y in zip(a.fillna(""), b.fillna(""))])
 
 
-def pair_verdict(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Adds same_entity, confidence, method for two firm structs (firm_name, website, embedding)."""
-    x, y = F.col(a), F.col(b)
-    domain = (url_domain(x.website) != "") & (resolver_name(x.website) == resolver_name(y.website))
-    out = df.withColumn("fuzzy", indel_ratio(resolver_name(x.firm_name), resolver_name(y.firm_name)))
-    out = out.withColumn("semantic", F.coalesce(cosine(x.embedding, y.embedding), F.lit(0.0))).withColumn("by_domain", domain)
-    out = out.withColumn("combined", 0.4 * F.col("fuzzy") + 0.6 * F.col("semantic"))
+def _verdict(df: DataFrame) -> DataFrame:
+    """Adds same_entity, confidence, method by fuzzy, semantic and by_domain."""
+    out = df.withColumn("combined", 0.4 * F.col("fuzzy") + 0.6 * F.col("semantic"))
     same = F.col("by_domain") | (F.col("fuzzy") >= FUZZY) | (F.col("semantic") >= SEMANTIC) | (F.col("combined") >= COMBINED)
     return out.withColumns({
         "same_entity": same, "confidence": F.when(F.col("by_domain"), 0.99).otherwise(F.round("combined", 4)),
@@ -73,30 +76,119 @@ def pair_verdict(df: DataFrame, a: str, b: str) -> DataFrame:
     }).drop("by_domain", "combined")
 
 
-def candidate_pairs(firms: DataFrame) -> DataFrame:
-    """(a, b) ids of firms that share a domain or a word of their key, a < b; blocks hold what is worth comparing.
-
-    A word that is in a large share of all keys says nothing; words of more than ``BLOCK`` firms are joined with the
-    next word of the key, so no block grows with the table.
+def pair_verdict(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Adds same_entity, confidence, method for two firm structs (firm_name, website, embedding)."""
+    x, y = F.col(a), F.col(b)
+    domain = (url_domain(x.website) != "") & (resolver_name(x.website) == resolver_name(y.website))
+    out = df.withColumn("fuzzy", indel_ratio(resolver_name(x.firm_name), resolver_name(y.firm_name)))
+    alike = F.nanvl(cosine(x.embedding, y.embedding), F.lit(0.0))
+    return _verdict(out.withColumn("semantic", F.coalesce(alike, F.lit(0.0))).withColumn("by_domain", F.coalesce(domain, F.lit(False))))
+
+
+def _indel_matrix(xs: list[str], ys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Indel ratios of all names of two lists, and which of them are still to be worked out: those of two names of over
+    64 letters. The bits of one 64-bit number hold a name, and one name meets a whole list at once."""
+    out, left = np.zeros((len(xs), len(ys))), np.zeros((len(xs), len(ys)), bool)
+    long_x, long_y = (np.array([len(n) > 64 for n in names], bool) for names in (xs, ys))
+    left[np.ix_(long_x, long_y)] = True
+    for some, others, turned in ((xs, np.flatnonzero(~long_y), False), (ys, np.flatnonzero(~long_x), True)):
+        names = [(xs if turned else ys)[k] for k in others]
+        at: dict[str, np.ndarray] = {}
+        for k, n in enumerate(names):
+            for p, c in enumerate(n):
+                if c not in at:
+                    at[c] = np.zeros(len(names), np.uint64)
+                at[c][k] |= np.uint64(1 << p)
+        sizes = np.array([len(n) for n in names], float)
+        for i, n in enumerate(some):
+            if not n or not len(names) or (turned and not long_y[i]):
+                continue
+            v = np.full(len(names), np.iinfo(np.uint64).max, np.uint64)
+            for c in n:
+                if c in at:
+                    u = v & at[c]
+                    v = (v + u) | (v - u)
+            ratio = 2.0 * np.bitwise_count(~v) / (len(n) + sizes)
+            if turned:
+                out[others, i] = ratio
+            else:
+                out[i, others] = ratio
+    return out, left
+
+
+def _cosine_matrix(xs: list, ys: list) -> np.ndarray:
+    """Cosines of all vectors of two lists; 0 for null, zero and non-finite ones and for those of different width."""
+    out = np.zeros((len(xs), len(ys)))
+
+    def by_width(vectors: list) -> dict[int, tuple[list[int], np.ndarray]]:
+        found: dict[int, list[int]] = {}
+        whole = [None if v is None else np.array([np.nan if z is None else z for z in v], float) for v in vectors]
+        for k, v in enumerate(whole):
+            if v is not None and len(v) and np.isfinite(v).all() and v.any():
+                found.setdefault(len(v), []).append(k)
+        return {w: (at, np.array([whole[k] for k in at])) for w, at in found.items()}
+
+    two = by_width(ys)
+    for width, (rows, x) in by_width(xs).items():
+        if width in two:
+            columns, y = two[width]
+            out[np.ix_(rows, columns)] = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+    return out
+
+
+def _compared(rows: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of two blocks that the rule links or that share a domain."""
+    same = rows.x.iloc[0] == rows.y.iloc[0]
+    one = rows if same else rows[rows.side == 0]
+    two = one if same else rows[rows.side == 1]
+    left, right = one.id.to_numpy(), two.id.to_numpy()
+    (nx, px), (ny, py) = ((sorted(set(d["name"])), d["name"]) for d in (one, two))
+    kx, ky = pd.Index(nx).get_indexer(px), pd.Index(ny).get_indexer(py)
+    ratio, open_ = _indel_matrix(nx, ny)
+    fuzzy, open_ = ratio[np.ix_(kx, ky)], open_[np.ix_(kx, ky)]
+    semantic = _cosine_matrix(list(one.embedding), list(two.embedding))
+    x_first = left[:, None] < right[None, :]
+    pair = x_first if same else left[:, None] != right[None, :]
+    site = one.site.to_numpy()[:, None] == two.site.to_numpy()[None, :]
+    dx, dy = one.domain.to_numpy()[:, None], two.domain.to_numpy()[None, :]
+    by_domain = site & np.where(x_first, dx != "", dy != "")
+    wanted = by_domain | ((dx == dy) & (dx != "")) | (semantic >= SEMANTIC)
+    sx, sy = px.str.len().to_numpy()[:, None], py.str.len().to_numpy()[None, :]
+    for i, j in zip(*np.nonzero(open_ & pair & (wanted | (2.0 * np.minimum(sx, sy) >= FUZZY * (sx + sy) - 1e-9)))):
+        fuzzy[i, j] = indel(px.iloc[i], py.iloc[j])
+    i, j = np.nonzero(pair & (wanted | (fuzzy >= FUZZY)))
+    a, b = left[i], right[j]
+    return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "fuzzy": fuzzy[i, j], "semantic": semantic[i, j], "by_domain": by_domain[i, j]})
+
+
+def compared_pairs(firms: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, fuzzy, semantic, by_domain), a < b: every pair of firms that the rule links, and every pair of one domain.
+
+    Firms are dealt into blocks and every block meets every other, so no link depends on a word or a letter that two
+    firms must share, nor on the size of the table. COMBINED needs no look of its own: what is under FUZZY and under
+    SEMANTIC is under it. The work grows with the square of the table; a task holds two blocks.
     """
-    k = keyed(firms)
-    words = F.split("firm_key", " ")
-    one = k.where("firm_key <> ''").select("id", F.explode(F.array_distinct(words)).alias("w"), "firm_key")
-    sizes = one.groupBy("w").agg(F.count("*").alias("n"))
-    by_word = one.join(sizes, "w").select("id", F.when(F.col("n") <= BLOCK, F.col("w")).otherwise(F.concat_ws("|", F.lit("key"), "firm_key")).alias("block"))
-    by_site = k.where("domain <> ''").select("id", F.concat(F.lit("site|"), "domain").alias("block"))
-    blocks = by_word.unionByName(by_site).distinct()
-    x, y = blocks.alias("x"), blocks.alias("y")
-    return x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-
-
-#: Firms that one word may bring together.
-BLOCK = 200
+    domain, site = url_domain(F.col("website")), resolver_name(F.col("website"))
+    blocks = max(1, -(-firms.count() // block))
+    f = firms.select(
+        "id", resolver_name(F.col("firm_name")).alias("name"), F.coalesce(domain, F.lit("")).alias("domain"), site.alias("site"), "embedding",
+        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("z"),
+    )
+    meet = F.transform(
+        F.sequence(F.lit(0), F.lit(blocks - 1)),
+        lambda o: F.struct(F.least("z", o).alias("x"), F.greatest("z", o).alias("y"), F.when(F.col("z") <= o, 0).otherwise(1).alias("side")),
+    )
+    dealt = f.select("id", "name", "domain", "site", "embedding", F.explode(meet).alias("p")).select("id", "name", "domain", "site", "embedding", "p.*")
+    kind = firms.schema["id"].dataType.simpleString()
+    dealt = dealt.repartition(min(2000, blocks * (blocks + 1) // 2), "x", "y")
+    return dealt.groupBy("x", "y").applyInPandas(_compared, f"a {kind}, b {kind}, fuzzy double, semantic double, by_domain boolean")
 
 
 def resolve_entities(firms: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(a, b, same_entity, confidence, method, fuzzy, semantic) for candidate pairs of firms."""
-    pairs = candidate_pairs(firms) if pairs is None else pairs
+    """(a, b, same_entity, confidence, method, fuzzy, semantic) for given pairs of firms, or else for all that the rule
+    links and all of one domain."""
+    if pairs is None:
+        return _verdict(compared_pairs(firms))
     f = firms.select("id", F.struct("firm_name", "website", "embedding").alias("f"))
     both = pairs.join(f.select(F.col("id").alias("a"), F.col("f").alias("fa")), "a").join(f.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b")
     return pair_verdict(both, "fa", "fb").drop("fa", "fb")
