@@ -12,6 +12,7 @@ as texts without a match. Repeated rows get the same score.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,6 +40,9 @@ CLEAN_COST = 2
 CANDIDATES = 4_000
 FEATURES = 9
 WORD = re.compile(r"[^\W\d_]+")
+#: Words with digits or symbols inside, which WORD takes apart; those without a letter or with nothing else are left out.
+MIXED = re.compile(r"\w+(?:[^\w\s]{1,2}\w+)*")
+ODD = re.compile(r"[\W\d_]")
 TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»„]")
 
 
@@ -137,14 +141,31 @@ class Automaton:
 class Matcher:
     def __init__(self, terms: list[tuple[str, bool]]):
         self.terms, self.automaton = terms, Automaton(terms)
-        self.memo = Memo(lambda words: [self.automaton.match(w) or 0 for w in words], 400_000, "toxicity")
+        self.memo = Memo(lambda words: [self.automaton.match(w) or self.masked(w) or 0 for w in words], 400_000, "toxicity")
+        self.short: dict[str, int] = {}
+        for i, (text, stem) in enumerate(terms):
+            if not stem and len(text) == 4:
+                for k in range(4):
+                    self.short.setdefault(f"{text[:k]}\0{text[k + 1 :]}", i)
+
+    def masked(self, word: str) -> tuple[int, int] | None:
+        """A term of four letters, one of them replaced by a digit or symbol."""
+        i = self.short.get(ODD.sub("\0", word)) if len(word) == 4 else None
+        return None if i is None else (1, i)
+
+    def mixed(self, low: str) -> list[tuple[int, tuple[int, int]]]:
+        """(start, match) of words with digits or symbols inside that are a term as a whole, while none of their parts is."""
+        spans = [(m.start(), m[0]) for m in MIXED.finditer(low) if not m[0].isalpha() and WORD.search(m[0])]
+        found = [(at, w, x) for (at, w), x in zip(spans, self.memo.look([w for _, w in spans])) if x]
+        return [(at, x) for at, w, x in found if not any(self.memo.look(WORD.findall(w)))]
 
     def features(self, text: str | None) -> np.ndarray:
         """exact, misspelled, stem, misspelled stem, quoted and addressed matches (logs), density of words and of stems, whether there is one."""
         out = np.zeros(FEATURES)
         low = (text or "").lower()
         words = WORD.findall(low)
-        found = [x for x in self.memo.look(words) if x]
+        whole = self.mixed(low)
+        found = [x for x in self.memo.look(words) if x] + [x for _, x in whole]
         if not found:
             return out
         exact = sum(1 for e, i in found if not e and not self.terms[i][1])
@@ -152,6 +173,9 @@ class Matcher:
         fuzzy_stems = sum(1 for e, i in found if e and self.terms[i][1])
         tokens = TOKEN.findall(low)
         hits = {k for k, x in enumerate(self.memo.look(tokens)) if x}
+        if whole:
+            starts = [m.start() for m in TOKEN.finditer(low)]
+            hits |= {bisect_left(starts, at) for at, _ in whole}
         marks = np.cumsum([len(t) == 1 and not t.isalpha() for t in tokens])
         quoted = addressed = 0
         for k in hits:

@@ -3,7 +3,7 @@
 import random
 import string
 
-from firmlake.llm import licenses
+from firmlake.llm import licenses, toxicity
 from firmlake.operators import entities
 
 
@@ -53,3 +53,14 @@ def test_licenses_by_name_and_whole_text(spark):
     for k, (text, want) in enumerate(cases.items()):
         assert {r.license for r in got if r.doc_id == 100 + k} == want, text[:90]
     assert sum(r.doc_id == 99 + len(cases) for r in got) == 2
+
+
+def test_misspelled_with_digits_and_symbols():
+    m = toxicity.Matcher([(w, False) for w in toxicity.LEXICON])
+    matches = lambda text: round(float(toxicity.np.expm1(m.features(text)[:4]).sum()))
+    for word in ("id1ot", "m0ron", "st*pid", "ST_PID", "d*mb", "f0ol", "sc#m", "wor7hles5"):
+        assert matches(f"what a {word}, really") == 1, word
+    assert matches("idiot-proof") == 1 and matches("id1ot and stupid") == 2 and matches("\u201cm0ron\u201d") == 1
+    for text in ("user1 sent 12 a1b2c3", "well-known co-op", "d**b", "1234", "f1st", "", None):
+        assert matches(text) == 0, text
+    assert m.features("you are an id1ot")[5] > 0 and m.features("he said id1ot")[4] > 0
