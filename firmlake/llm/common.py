@@ -158,11 +158,12 @@ class FlatWords:
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LOWER[data] * power[: len(data)], dtype=np.uint64)))
             self.h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
         at = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
-        self.doc = np.searchsorted(at, start, "right") - 1
         breaks = np.flatnonzero(data == 10)
-        self.line = np.searchsorted(breaks, start)
+        self.word_ends = np.searchsorted(start, at[1:])
+        self.doc = np.repeat(np.arange(len(raw)), np.diff(self.word_ends, prepend=0))
+        line_ends = np.searchsorted(start, breaks)
+        self.line = np.repeat(np.arange(len(breaks)), np.diff(line_ends, prepend=0))
         self.first_line = np.searchsorted(breaks, at[:-1])
-        self.word_ends = np.searchsorted(self.doc, np.arange(1, len(raw) + 1))
 
     def of(self, i: int) -> np.ndarray:
         """Word hashes of text ``i``."""

@@ -1,22 +1,24 @@
 """Best-fit packing of token sequences by hierarchical residual packing (operator 10).
 
 Every partition packs its pieces best-fit, longest first. Bins that are nearly full are final; the others
-become items, as long as what they hold, and a tree of fewer and fewer groups packs those again. A group
-holds a bounded number of items, and what goes up the tree is a small share of what came in, so no task
-sees the whole input.
+become items, as long as what they hold, and a tree of fewer groups packs those again. A group holds a bounded
+number of items on every level: while many bins stay open, there are many groups, and the tree ends when one group
+holds all of them or a level saves next to nothing. So no task sees the whole input.
 
-Null and empty texts are one token, the closing id. Repeated rows are packed as often as they occur.
+Null and empty texts are one token, the closing id. Repeated rows are packed as often as they occur, and a null
+doc_id stays null. Of items of one length, the smaller number goes first. Very long texts are cut into pieces. An
+empty table gives no rows. Columns other than doc_id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,45 +27,64 @@ from firmlake.llm.common import Memo, durable, importable, local_path, map_rows,
 
 CAPACITY = 4096
 CLOSING_ID = 1
-#: Items that one task packs, and groups that meet in one on the next level.
+#: Items that one task packs.
 GROUP_ITEMS = 40_000
-FAN_IN = 8
-#: A bin goes up the tree while this many tokens or more are free in it.
+#: A bin goes up the tree while this many tokens or more are free in it; the tree ends when a level saves less than
+#: this share of the open bins.
 SLACK = 8
-#: How the tokenizer splits lower-case ASCII text (a fixed value of the public tokenizer).
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-TAIL = regex.compile(r"^(\p{L}+)([.,;:!?|$%&#*]+)$")
-#: Characters that str.split() takes as white space and the tokenizer does not.
+LEAST_SAVED = 0.005
+#: How the tokenizer splits a lower-case text of plain characters, and what marks the end of a word in its vocabulary
+#: (fixed values of the public tokenizer).
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ɏ0-9²³¹¼-¾]+")
+WORD_END = "</w>"
+#: Characters beyond those that every Unicode version classes and lower-cases alike.
+ODD = re.compile("[^\x00-įı-ɏ]")
+#: Characters that Python takes as white space and the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class WordEncoder:
-    """Ids of texts under a tokenizer that drops white space: every blank-free run is merged once and remembered."""
+    """Ids of texts under a tokenizer of words that drops white space.
+
+    The words of plain characters, each with a blank in place of the mark of its end, go through the same merges as
+    byte ranks, far faster and with the same ids. Words with other characters go to the tokenizers library, as do
+    whole texts that may hold special tokens.
+    """
 
     def __init__(self, path: str):
-        self.library = opened(path)
-        self.parts, self.runs = Memo(self._parts, 300_000, "packing"), Memo(self._runs, 400_000, "packing")
-
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _runs(self, runs: list[str]) -> list[bytes]:
-        split = []
-        for r in runs:
-            if "<|" in r:
-                split.append([r])
-            elif r.isascii():
-                split.append(WORDS.findall(r.lower()))
-            else:
-                m = TAIL.match(r)
-                split.append([m[1], m[2]] if m else [r])
-        flat = iter(self.parts.look([p for s in split for p in s]))
-        return [b"".join([next(flat) for _ in s]) for s in split]
-
-    def encode(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(self.runs.look(text.split()))
+        import tiktoken
+
+        self.library, self.odd = opened(path), Memo(self._words, 50_000, "packing")
+        model = json.load(open(path, encoding="utf-8"))["model"]
+        keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        back = {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(keep))}
+        merged = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        # a word's last sign and the mark of its end are one sign from the start, so these come first
+        tokens = [t for t in model["vocab"] if len(t) == 1 + len(WORD_END) and t.endswith(WORD_END)] + [t for t in model["vocab"] if len(t) == 1]
+        tokens += ["".join(m) for m in merged]
+        ranks = {bytes(back[c] for c in t.removesuffix(WORD_END)) + b" " * t.endswith(WORD_END): i for i, t in enumerate(tokens)}
+        self.ids = np.array([model["vocab"][t] for t in tokens], np.uint32)
+        self.fast = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+
+    def _words(self, words: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _plain(self, text: str) -> np.ndarray:
+        words = WORDS.findall(text.lower())
+        return self.ids[self.fast.encode_ordinary(" ".join(words) + " ")] if words else np.empty(0, np.uint32)
+
+    def encode(self, text: str) -> np.ndarray:
+        if ODD_SPACE.search(text) or "<|" in text:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        if not ODD.search(text):
+            return self._plain(text)
+        words = text.split()
+        at = [i for i, w in enumerate(words) if ODD.search(w)]
+        out, done = [], 0
+        for i, ids in zip(at, self.odd.look([words[i] for i in at])):
+            out += [self._plain(" ".join(words[done:i])), np.array(ids, np.uint32)]
+            done = i + 1
+        return np.concatenate([*out, self._plain(" ".join(words[done:]))])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -76,11 +97,11 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, c
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         if path not in _ENCODERS:
             _ENCODERS[path] = WordEncoder(path)
-        e, end = _ENCODERS[path], np.array([closing], "<u4").tobytes()
+        e = _ENCODERS[path]
         for batch in batches:
             rows = []
             for i, text in zip(batch["doc_id"], batch["text"]):
-                ids = memoryview(e.encode(text or "") + end)
+                ids = memoryview(np.append(e.encode(text or ""), np.uint32(closing)).astype("<u4").tobytes())
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -124,11 +145,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
 
     schema = "item long, bin long, at long, fill long"
     importable(items.sparkSession)
-    n = items.count()
-    groups = max(1, -(-n // group_items))
-    current, parts = items.select("item", "length"), None
+    current, parts, level = items.select("item", "length"), None, 0
+    left = current.count()
     while True:
-        mark = (F.pmod(F.xxhash64("item"), F.lit(groups))).alias("g")
+        groups = max(1, -(-left // group_items))
+        # other items meet on every level
+        mark = F.pmod(F.xxhash64("item", F.lit(level)), F.lit(groups)).alias("g")
         placed = durable(current.select(mark, "item", "length").groupBy("g").applyInPandas(local, schema))
         step = placed.select(F.col("item").alias("child"), F.col("bin").alias("to"), F.col("at").alias("shift"))
         if parts is None:
@@ -139,10 +161,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
         if groups == 1:
             return parts
         current = placed.where(F.col("fill") <= capacity - slack).select(F.col("bin").alias("item"), F.col("fill").alias("length")).distinct()
-        left = current.count()
-        if not left:
+        before, left, level = left, current.count(), level + 1
+        if not left or level > 1 and placed.select("bin").distinct().count() > (1 - LEAST_SAVED) * before:
             return parts
-        groups = min(-(-groups // FAN_IN), max(1, -(-left // group_items)))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
