@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import weakref
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -66,29 +65,14 @@ def bucket(column: str, mod: int) -> F.Column:
 class Memo:
     """A bounded word memo that survives between tasks of one Python worker.
 
-    Two generations: when the young one is full it becomes the old one, so frequent words stay. Memos of one
-    ``group`` live side by side; a worker that turns to another group lets go of the others' words.
+    Two generations: when the young one is full it becomes the old one, so frequent words stay.
     """
 
-    active = ""
-    every: weakref.WeakSet = weakref.WeakSet()
-
-    def __init__(self, make: Callable[[list[str]], list], limit: int = 400_000, group: str = "words"):
-        self.make, self.limit, self.young, self.old, self.group = make, limit // 2, {}, {}, group
-        Memo.every.add(self)
-
-    @staticmethod
-    def use(group: str) -> None:
-        """From now on this worker works for ``group``."""
-        if Memo.active != group:
-            Memo.active = group
-            for m in list(Memo.every):
-                if m.group != group:
-                    m.young, m.old = {}, {}
+    def __init__(self, make: Callable[[list[str]], list], limit: int = 400_000):
+        self.make, self.limit, self.young, self.old = make, limit // 2, {}, {}
 
     def look(self, words: list) -> list:
         """The value of each word; what is not known yet is made in one go."""
-        Memo.use(self.group)
         out = list(map(self.young.get, words))
         if None in out:
             young, old = self.young, self.old
@@ -124,6 +108,9 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint64) + np.uint64(1)
+#: 1 and 2 for letters, others as they are.
+_SHAPE = np.where((_LOWER > 97) & (_LOWER <= 123) | (np.arange(256) >= 128), 1, np.arange(256) + 3).astype(np.uint16)
+_SHAPE[65:91] = 2
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 
@@ -136,27 +123,33 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+def _hashed(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans of ``code``: differences of running sums of its numbers times powers, divided by the power at
+    a span's start, so that they do not depend on where it stands."""
+    power, inverse = _powers(len(code))
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(code * power[: len(code)], out=total[1:])
+        return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
 class FlatWords:
     """All words of a list of texts as arrays: A-Z lower-cased, ends at ASCII white space.
 
     ``h``: a 64-bit hash of each word, ``doc``: number of its text, ``line``: number of its line over all texts,
-    ``first_line``: number of each text's first line. A word's hash is a difference of running sums of its bytes times
-    powers, divided by the power at its start, so that it does not depend on where the word stands.
+    ``first_line``: number of each text's first line, ``start`` and ``end``: its place in ``data``, the bytes of all
+    texts with a line break behind each.
     """
 
     def __init__(self, texts: list[str | None]):
-        Memo.use("flat words")
         raw = [(t or "").encode() for t in texts]
-        data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        self.data = data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         space = _SPACE[data]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if len(data) and not space[0]:
             edge = np.concatenate(([0], edge))
-        start, end = edge[::2], edge[1::2]
-        power, inverse = _powers(len(data))
-        with np.errstate(over="ignore"):
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LOWER[data] * power[: len(data)], dtype=np.uint64)))
-            self.h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+        self.start, self.end = start, end = edge[::2], edge[1::2]
+        self.h = _hashed(_LOWER[data], start, end)
         at = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
         breaks = np.flatnonzero(data == 10)
         self.word_ends = np.searchsorted(start, at[1:])
@@ -165,6 +158,14 @@ class FlatWords:
         self.line = np.repeat(np.arange(len(breaks)), np.diff(line_ends, prepend=0))
         self.first_line = np.searchsorted(breaks, at[:-1])
 
+    def shapes(self) -> np.ndarray:
+        """A hash of each word's shape: runs of small letters (and of all signs beyond ASCII) and of capitals as one."""
+        code = _SHAPE[self.data]
+        kept = np.ones(len(code), bool)
+        kept[1:] = (code[1:] != code[:-1]) | (code[1:] > 2)
+        place = np.cumsum(kept)
+        return _hashed(code[kept].astype(np.uint64), place[self.start] - 1, place[self.end - 1])
+
     def of(self, i: int) -> np.ndarray:
         """Word hashes of text ``i``."""
         return self.h[(self.word_ends[i - 1] if i else 0) : self.word_ends[i]]

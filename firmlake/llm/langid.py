@@ -5,7 +5,10 @@ reads it. Both are trained together by stochastic gradient descent in numpy on a
 sample that training leaves out sets the temperature of the probabilities and the confidence below which a text is
 rejected. Because the model is linear in the n-grams, scoring adds up one short vector for each word.
 
-Null texts and texts without a letter are `und` with score 0 and rejected. Repeated rows get the same answer.
+Null texts and texts without a letter are `und` with score 0 and rejected, as are all texts if no language was
+learned. Repeated rows get the same answer; of languages that tie, the first by name wins. A row without a doc_id is
+recognised and never learned from. Very long texts are read whole. An empty table gives no rows. Only doc_id, text
+and, for learning, lang are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import Memo, bucket, durable, filtered, map_rows, mix, table
+from firmlake.llm.common import FlatWords, bucket, durable, filtered, map_rows, mix, table
 
 #: Hash buckets and width of the embeddings; n-gram lengths; documents learned from at most.
 BUCKETS = 1 << 15
@@ -27,19 +30,21 @@ SAMPLE_ROWS = 2_000
 #: A text is rejected below the confidence that this share of rightly recognised left-out texts stays under.
 REJECT_SHARE = 0.001
 UNKNOWN = "und"
+_LETTER: np.ndarray | None = None
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, number of its word) of all n-grams of the runs of letters in ``words``; a run's ends count as a letter.
+def grams(words: str) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, number of its word) of all n-grams of the runs of letters in ``words``, which stand between marks.
 
-    Runs stand one after the other with a mark between them; an n-gram may hold a mark only at its ends.
+    Each word has a mark before and one behind it; an n-gram may hold a mark only at its ends.
     """
-    marked = "\x01" + "\x01\x01".join(words) + "\x01"
-    code = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 2)
-    kinds, which = np.unique(code, return_inverse=True)
-    letter = np.array([chr(int(c)).isalpha() for c in kinds])[which]
-    code = np.where(letter, code, np.uint64(1))
+    global _LETTER
+    if _LETTER is None:
+        _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    code = np.frombuffer(words.encode("utf-32-le"), np.uint32)
+    word = (np.cumsum(code == 1) - 1) // 2
+    letter = _LETTER[code]
+    code = np.where(letter, code, 1).astype(np.uint64)
     buckets, owners = [], []
     h, inner = np.zeros(len(code), np.uint64), np.ones(len(code), bool)
     for n in range(1, max(GRAMS) + 1):
@@ -57,6 +62,10 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def marked(words: list[str]) -> str:
+    return "".join([f"\x01{w}\x01" for w in words])
+
+
 @dataclass
 class Model:
     """Bucket-by-language logits, their bias, and what calibration found."""
@@ -66,7 +75,6 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
-    number: int = 0
 
     def probabilities(self, mean: np.ndarray) -> np.ndarray:
         z = (mean + self.bias) / self.temperature
@@ -93,7 +101,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str],
             w -= step * np.outer(p, h)
             b -= step * 0.1 * p
             e[at] -= step * 20 * x[:, None] * back
-    model = Model(languages, (e @ w.T).astype(np.float32), b, number=int(rng.integers(1 << 60)))
+    model = Model(languages, (e @ w.T).astype(np.float32), b)
     left_out = [r for i, r in enumerate(rows) if i % 5 == 0] if len(rows) >= 10 else rows
     if left_out:
         means = np.array([(n / n.sum()) @ model.logits[at] for at, n, _ in left_out])
@@ -122,7 +130,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, folds: int = 4, held_out: int
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "y": [], "at": [], "n": []}
             for i, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"]):
-                at, n = np.unique(grams(text.lower().split())[0], return_counts=True)
+                at, n = np.unique(grams(marked(_lower(text).split()))[0], return_counts=True)
                 if len(at):
                     for k, v in zip(out, (i, number[lang], at.tobytes(), n.astype(np.int32).tobytes())):
                         out[k].append(v)
@@ -132,36 +140,28 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, folds: int = 4, held_out: int
     return train([(np.frombuffer(r.at, np.int32), np.frombuffer(r.n, np.int32), r.y) for r in got], languages)
 
 
-_MEMOS: dict[int, Memo] = {}
-
-
-def _memo(model: Model) -> Memo:
-    if model.number not in _MEMOS:
-        def vectors(words: list[str]) -> list[bytes]:
-            at, owner = grams(words)
-            out = np.zeros((len(words), len(model.languages) + 1), np.float32)
-            for k in range(len(model.languages)):
-                out[:, k] = np.bincount(owner, model.logits[at, k], minlength=len(words))
-            out[:, -1] = np.bincount(owner, minlength=len(words))
-            return [row.tobytes() for row in out]
-
-        _MEMOS.clear()
-        _MEMOS[model.number] = Memo(vectors, 400_000, "language")
-    return _MEMOS[model.number]
+def _lower(text: str | None) -> str:
+    return (text or "").lower().replace("\x01", " ")
 
 
 def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, bool]]:
-    """(language, confidence, rejected) of each text."""
-    memo, width = _memo(model), len(model.languages) + 1
-    words = [(t or "").lower().split() for t in texts]
-    flat = np.frombuffer(b"".join(memo.look([w for ws in words for w in ws])), np.float32).reshape(-1, width)
+    """(language, confidence, rejected) of each text: every different word of all texts is looked at once."""
+    flat, width = FlatWords([_lower(t) for t in texts]), len(model.languages)
+    sums = np.zeros((len(texts), width + 1))
+    if len(flat.h) and width:
+        _, first, which = np.unique(flat.h, return_index=True, return_inverse=True)
+        raw = flat.data.tobytes()
+        words = b"".join([b"\x01%b\x01" % raw[a:b] for a, b in zip(flat.start[first].tolist(), flat.end[first].tolist())])
+        at, owner = grams(words.decode())
+        for k in range(width + 1):
+            of_word = np.bincount(owner, model.logits[at, k] if k < width else None, minlength=len(first))
+            sums[:, k] = np.bincount(flat.doc, of_word[which], minlength=len(texts))
     out = []
-    for ws, end in zip(words, np.cumsum([len(ws) for ws in words])):
-        sums = flat[end - len(ws) : end].sum(0, dtype=float)
-        if not model.languages or not sums[-1]:
+    for s in sums:
+        if not s[-1]:
             out.append((UNKNOWN, 0.0, True))
             continue
-        p = model.probabilities(sums[:-1] / sums[-1])
+        p = model.probabilities(s[:-1] / s[-1])
         best = int(p.argmax())
         out.append((model.languages[best], float(p[best]), bool(p[best] < model.reject_below)))
     return out

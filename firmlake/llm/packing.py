@@ -54,7 +54,7 @@ class WordEncoder:
     def __init__(self, path: str):
         import tiktoken
 
-        self.library, self.odd = opened(path), Memo(self._words, 50_000, "packing")
+        self.library, self.odd = opened(path), Memo(self._words, 50_000)
         model = json.load(open(path, encoding="utf-8"))["model"]
         keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         back = {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(keep))}

@@ -5,20 +5,20 @@ size of the text. The machine adds to a linear score the interaction of every tw
 the sum-of-squares identity makes that linear in the number of features of a document.
 
 It is trained in numpy on a bounded sample of labelled rows outside the held-out fold. Null and empty texts have
-no words and get a score from their statistics alone. Repeated rows get the same score.
+no words and get a score from their statistics alone. Repeated rows get the same score, and so do ties. A row without
+a doc_id is scored and never learned from. Very long texts are read whole. An empty table gives no rows, and without
+labelled rows every score is one half. Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import Memo, bucket, filtered, map_rows, table
+from firmlake.llm.common import FlatWords, bucket, distinct, filtered, map_rows, mix, table
 from firmlake.llm.learning import labelled_sample, sigmoid
 
 #: Buckets of hashed words and shapes, rank of the factors, statistics; labelled rows learned from at most.
@@ -27,42 +27,33 @@ RANK = 6
 STATS = 13
 SAMPLE_ROWS = 5_000
 THRESHOLD = 0.3
-_LOWER, _UPPER = re.compile(r"[^\W\d_A-Z]+"), re.compile(r"[A-Z]+")
 _CLASS = np.zeros(256, np.int64)
 for _c in range(256):
     _CLASS[_c] = 6 if _c >= 128 else 0 if chr(_c).islower() else 1 if chr(_c).isupper() else 2 if chr(_c).isdigit() else 3 if chr(_c).isspace() else 4 if chr(_c) in ".,;:'?-" else 5
 
 
-def _buckets(words: list[str]) -> list[bytes]:
-    out = []
-    for w in words:
-        shape = _UPPER.sub("A", _LOWER.sub("a", w))[:24]
-        out.append(np.array([zlib.crc32(w.lower().encode()) % BUCKETS, zlib.crc32(b"s" + shape.encode()) % BUCKETS], np.int32).tobytes())
+def features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(indices, values) of each text: words and shapes, weighted by frequency to unit norm, then the statistics."""
+    flat = FlatWords(texts)
+    buckets = np.concatenate([flat.h % np.uint64(BUCKETS), mix(flat.shapes()) % np.uint64(BUCKETS)]).astype(np.int32)
+    size, out = len(flat.h), []
+    for i, text in enumerate(texts):
+        text = text or ""
+        a, b = flat.word_ends[i - 1] if i else 0, flat.word_ends[i]
+        at, n = np.unique(np.concatenate([buckets[a:b], buckets[size + a : size + b]]), return_counts=True)
+        value = np.log1p(n)
+        value = value / max(1e-9, np.sqrt((value * value).sum()))
+        raw = text.encode()
+        share = np.bincount(_CLASS, np.bincount(np.frombuffer(raw, np.uint8), minlength=256), minlength=7) / max(1, len(raw))
+        lines, words = text.split("\n"), int(b - a)
+        stats = [
+            *share, np.log1p(len(text)) / 10, np.log1p(len(lines)) / 5, 1 - len(set(lines)) / len(lines), len(distinct(flat.h[a:b])) / max(1, words),
+            n.max() / (2 * words) if words else 0.0, min(20, len(text) / max(1, words)) / 20,
+        ]
+        out.append((np.concatenate([at, BUCKETS + np.arange(STATS)]).astype(np.int32), np.concatenate([value, stats]).astype(np.float32)))
     return out
 
 
-WORD_BUCKETS = Memo(_buckets, 400_000, "quality")
-
-
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, values): words and shapes with unit norm each, then the statistics."""
-    text = text or ""
-    raw = text.encode()
-    words = text.split()
-    ids = np.frombuffer(b"".join(WORD_BUCKETS.look(words)), np.int32)
-    at, n = np.unique(ids, return_counts=True)
-    value = np.log1p(n)
-    value = value / max(1e-9, np.sqrt((value * value).sum()))
-    share = np.bincount(_CLASS, np.bincount(np.frombuffer(raw, np.uint8), minlength=256), minlength=7) / max(1, len(raw))
-    lines = text.split("\n")
-    different = len(set(words))
-    stats = [
-        *share, np.log1p(len(text)) / 10, np.log1p(len(lines)) / 5, 1 - len(set(lines)) / len(lines), different / max(1, len(words)),
-        n.max() / max(1, len(ids)) if len(n) else 0.0, min(20, len(text) / max(1, len(words))) / 20,
-    ]
-    return np.concatenate([at, BUCKETS + np.arange(STATS)]).astype(np.int32), np.concatenate([value, stats]).astype(np.float32)
-
-
 class Machine:
     """w0 + w.x + sum over pairs of <v_i, v_j> x_i x_j, the last by half of (sum v x) squared less sum (v x) squared."""
 
@@ -100,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
     """A machine trained on at most ``rows`` labelled rows outside the held-out fold; on none, it scores one half."""
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            found = [features(t) for t in batch["text"]]
+            found = features(batch["text"])
             yield {"doc_id": batch["doc_id"], "y": [int(y) for y in batch["y"]], "at": [a.tobytes() for a, _ in found], "x": [x.tobytes() for _, x in found]}
 
     sample = labelled_sample(docs, labels, "quality", rows)
@@ -118,7 +109,7 @@ def score_quality(docs: DataFrame, machine: Machine, threshold: float = THRESHOL
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         m = held.value
         for batch in batches:
-            yield {"doc_id": batch["doc_id"], "score": sigmoid(np.array([m.score(*features(t)) for t in batch["text"]]))}
+            yield {"doc_id": batch["doc_id"], "score": sigmoid(np.array([m.score(*x) for x in features(batch["text"])]))}
 
     got = map_rows(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double")
     return got.select("doc_id", (bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -126,7 +117,8 @@ def score_quality(docs: DataFrame, machine: Machine, threshold: float = THRESHOL
 
 def kept(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
-    return filtered(docs, lambda texts: sigmoid(np.array([machine.score(*features(t)) for t in texts])) >= threshold)
+    held = docs.sparkSession.sparkContext.broadcast(machine)
+    return filtered(docs, lambda texts: sigmoid(np.array([held.value.score(*x) for x in features(texts)])) >= threshold)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

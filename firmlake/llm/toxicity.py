@@ -141,7 +141,7 @@ class Automaton:
 class Matcher:
     def __init__(self, terms: list[tuple[str, bool]]):
         self.terms, self.automaton = terms, Automaton(terms)
-        self.memo = Memo(lambda words: [self.automaton.match(w) or self.masked(w) or 0 for w in words], 400_000, "toxicity")
+        self.memo = Memo(lambda words: [self.automaton.match(w) or self.masked(w) or 0 for w in words], 400_000)
         self.short: dict[str, int] = {}
         for i, (text, stem) in enumerate(terms):
             if not stem and len(text) == 4:

@@ -75,7 +75,7 @@ def test_quotation_counts_apart():
 
 def test_factorisation_identity():
     m = quality.Machine()
-    at, x = quality.features("Some words, some more words!\nSome")
+    at, x = quality.features(["Some words, some more words!\nSome"])[0]
     pairs = sum(float(m.v[a] @ m.v[b]) * x[i] * x[j] for i, a in enumerate(at) for j, b in enumerate(at) if i < j)
     assert m.score(at, x) == pytest.approx(m.bias + float(m.w[at] @ x) + pairs, abs=1e-5)
 
