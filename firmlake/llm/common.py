@@ -106,6 +106,17 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate((np.ones(1, bool), x[1:] != x[:-1]))] if len(x) else x
 
 
+def packed(x: np.ndarray, size: int) -> bytes:
+    """The lowest ``size`` bytes of each unsigned number."""
+    return np.ascontiguousarray(x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+
+def unpacked(raw: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    return out.view("<u8").ravel().astype(np.uint64, copy=False)
+
+
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint64) + np.uint64(1)
 #: 1 and 2 for letters, others as they are.

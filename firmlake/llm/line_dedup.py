@@ -3,18 +3,24 @@
 A line is the set of its distinct words. Its words are ordered by rarity in the corpus; two lines whose Jaccard
 similarity reaches the threshold share a word among the first few of each (prefix filter). Pairs that share one
 pass a length filter, a positional filter and a bitmap bound before their whole sets are compared. A line goes if
-an earlier line, in the order of doc_id and line number, is similar to it, whether or not that one stays.
-
-Rarity comes from a fixed table of counters indexed by word hash; it only steers the order, never the result. Words
-are compared by 44 bits of their hash. Equal sets are collapsed first. In groups that share a word and are large, lines are compared with the earliest
-line at first, so near-copies of one line never become all their pairs; what stays open is compared in full.
-
-Blank lines hold no words and always stay. Null texts stay null. Rows that repeat a doc_id count as one document.
-Rows without a doc_id stay as they are.
+an earlier line is similar to it, whether or not that one stays; lines stand in the order of doc_id, of a hash of the
+text where several rows have one doc_id, and of their place in the text.
+
+Texts are taken apart once: the words of every different line, as 48-bit hashes, are a table that the later steps
+read. Prefix words are dealt into buckets by hash, many to a row, and each bucket finds its candidates. Rarity comes
+from a fixed table of counters; it only steers the order, never the result, and bounds from above how many lines hold a
+word. Words of more lines than ``HOT_WORD`` are joined apart: their lines meet the earliest line first, so near copies
+of one line never become all their pairs; what stays open is compared in full, in a join that Spark can split.
+
+Blank lines hold no words and always stay. Null texts stay null. Rows with one doc_id and different texts are documents
+of their own; rows that repeat doc_id and text count as one, and lose the same lines. Rows without a doc_id stay as
+they are. Very long texts and lines are read whole. An empty table gives no rows. Of equal lines, the earliest stays.
+Other columns are carried along; n_lines and n_removed are replaced where a table has columns of these names.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -24,21 +30,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import BROADCAST_ROWS, FlatWords, distinct, durable, map_rows, mix, table
+from firmlake.llm.common import FlatWords, durable, importable, map_rows, mix, packed, table, unpacked
 
 PERCENT = 80
 #: Bits of a word's hash, of the rarity counters' index, and counters in one row of what tasks send.
-WORD_BITS = 44
-SKETCH_BITS = 20
+WORD_BITS = 48
+SKETCH_BITS = 21
 PART = 4096
-#: Levels of rarity, a power of sqrt(2) apart; a level takes the place of the top bits of a word's hash.
+#: Levels of rarity, a power of sqrt(2) apart, stand in front of a word's hash.
 LEVEL_BITS = 6
-#: Lines with a common prefix word from which the earliest is compared alone at first.
-HOT_WORD = 50
-LINES = "doc_id long, line_no int, k1 long, k2 long, n int, part int, counts binary"
-#: Bytes of text that a task takes apart at once, and lines that it remembers not to send twice.
+#: A word that more lines than this may hold is joined apart.
+HOT_WORD = 4_000
+#: Prefix words that one bucket gets on average; pairs that it looks at together.
+BUCKET = 1_000_000
+TOGETHER = 2_000_000
+#: Bytes of text that a task takes apart at once, lines that it remembers, bytes of a broadcast, lines of a bitmap.
 PIECE = 2e6
-REMEMBERED = 500_000
+REMEMBERED = 300_000
+BROADCAST_BYTES = 32 << 20
+BITMAP = 48
+#: What is stored of a number in a bucket: bytes and greatest value. Greater ones only weaken a filter.
+STORED = {"word": 5, "k": 6, "bits": 6, "n": 2, "place": 1}
+MANY_WORDS = 65_535
+LINES = "part int, counts binary, k1 long, k2 long, doc_id long, t long, line_no int, copy boolean, n int, words binary"
+FOUND = "a long, b long, word long, n int, place int, bits long"
 
 
 class _Lines:
@@ -49,65 +64,52 @@ class _Lines:
         new = np.concatenate(([True], flat.line[1:] != flat.line[:-1])) if len(flat.h) else np.empty(0, bool)
         dense = np.cumsum(new) - 1
         doc = flat.doc[new]
-        self.doc = np.array([i if i is not None else -1 for i in batch["doc_id"]], np.int64)[doc]
+        self.doc, self.t = (np.array([i if i is not None else 0 for i in batch[c]], np.int64)[doc] for c in ("doc_id", "t"))
         self.no = (flat.line[new] - flat.first_line[doc]).astype(np.int32)
-        word = flat.h >> np.uint64(64 - WORD_BITS)
-        parts = []
-        for low in range(0, len(doc), 1 << (64 - WORD_BITS)):  # so many lines have a number of their own above a word
-            a, b = np.searchsorted(dense, [low, low + (1 << (64 - WORD_BITS))])
-            key = distinct(((dense[a:b] - low).astype(np.uint64) << np.uint64(WORD_BITS)) | word[a:b])
+        word, parts, room = flat.h >> np.uint64(64 - WORD_BITS), [], 1 << (64 - WORD_BITS)
+        for low in range(0, len(doc), room):  # so many lines have a number of their own above a word
+            a, b = np.searchsorted(dense, [low, low + room])
+            key = np.sort(((dense[a:b] - low).astype(np.uint64) << np.uint64(WORD_BITS)) | word[a:b])
+            key = key[np.concatenate((np.ones(1, bool), key[1:] != key[:-1]))]
             parts.append(((key >> np.uint64(WORD_BITS)).astype(np.int64) + low, key & np.uint64((1 << WORD_BITS) - 1)))
         self.line = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
         self.word = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.uint64)
         self.n = np.bincount(self.line, minlength=len(doc)).astype(np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.n)[:-1])).astype(np.int64)
-        self.counter = (self.word >> np.uint64(WORD_BITS - SKETCH_BITS)).astype(np.int64)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """A 128-bit hash of each line's set."""
-        if not len(self.word):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
         salts = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
         return tuple(mix(np.add.reduceat(mix(self.word ^ np.uint64(s)), self.start)).view(np.int64) for s in salts)
 
 
-class _Once:
-    """Which lines of a batch this task has not met yet; it remembers a bounded number."""
-
-    def __init__(self):
-        self.seen: set[int] = set()
-
-    def fresh(self, k1: np.ndarray) -> np.ndarray:
-        mask = np.zeros(len(k1), bool)
-        _, first = np.unique(k1, return_index=True)
-        mask[first] = True
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        for i in first.tolist():
-            x = int(k1[i])
-            if x in self.seen:
-                mask[i] = False
-            else:
-                self.seen.add(x)
-        return mask
-
-
 def _described(batches: Iterator[dict]) -> Iterator[dict]:
-    """Each line's key and size, and at the end of a task its word counters."""
-    counts, once = np.zeros(1 << SKETCH_BITS, np.uint32), _Once()
+    """Each line's key and place, the words of each line that the task meets first, and the task's word counters."""
+    counts, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
     for batch in batches:
         x = _Lines(batch)
         if not len(x.doc):
             continue
         k1, k2 = x.keys()
-        mask = once.fresh(k1)
-        counts += np.bincount(x.counter[mask[x.line]], minlength=1 << SKETCH_BITS).astype(np.uint32)
+        order = np.lexsort((x.no, x.t, x.doc, k2, k1))
+        new = np.ones(len(order), bool)
+        new[1:] = (k1[order[1:]] != k1[order[:-1]]) | (k2[order[1:]] != k2[order[:-1]])
+        first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        copy = np.zeros(len(order), bool)
+        copy[order] = (x.doc[order] != x.doc[first]) | (x.t[order] != x.t[first]) | (x.no[order] != x.no[first])
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        fresh = np.array([not c and k not in seen for c, k in zip(copy.tolist(), k1.tolist())])
+        seen.update(k1[fresh].tolist())
+        counts += np.bincount((x.word[fresh[x.line]] >> np.uint64(WORD_BITS - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+        raw, size = packed(x.word, 6), 6
+        words = [raw[size * a : size * (a + n)] if f else None for a, n, f in zip(x.start.tolist(), x.n.tolist(), fresh.tolist())]
         none = [None] * len(x.doc)
-        yield {"doc_id": x.doc, "line_no": x.no, "k1": k1, "k2": k2, "n": x.n.astype(np.int32), "part": none, "counts": none}
+        yield {"part": none, "counts": none, "k1": k1, "k2": k2, "doc_id": x.doc, "t": x.t, "line_no": x.no, "copy": copy, "n": x.n.astype(np.int32), "words": words}
     parts = [i for i, row in enumerate(counts.reshape(-1, PART)) if row.any()]
-    none = [None] * len(parts)
     blobs = [zlib.compress(counts[i * PART : (i + 1) * PART].tobytes(), 1) for i in parts]
-    yield {"doc_id": none, "line_no": none, "k1": none, "k2": none, "n": none, "part": parts, "counts": blobs}
+    none = [None] * len(parts)
+    yield {"part": parts, "counts": blobs} | {k: none for k in ("k1", "k2", "doc_id", "t", "line_no", "copy", "n", "words")}
 
 
 def _summed(frame: pd.DataFrame) -> pd.DataFrame:
@@ -117,126 +119,168 @@ def _summed(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [frame.part.iloc[0]], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
 
-def _rarity(rows: DataFrame) -> np.ndarray:
-    """The counters of all tasks: 2 ** SKETCH_BITS numbers, whatever the size of the corpus."""
+def _levels(rows: DataFrame) -> np.ndarray:
+    """The level of rarity of each counter, 0 for words of one line: 2 ** SKETCH_BITS numbers, whatever the corpus."""
     out = np.zeros(1 << SKETCH_BITS, np.uint32)
     added = rows.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(_summed, "part int, counts binary")
     for r in added.collect():
         out[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.counts, np.uint32)
-    return out
+    return np.minimum(2 * np.log2(np.maximum(out, 1)), (1 << LEVEL_BITS) - 1).astype(np.uint8)
 
 
-def _prefixes(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
-    """(k1, bits, sized, words): the rarest words of each line that another line may hold too, and their places.
+def _dealt(lines: DataFrame, levels: np.ndarray, percent: int, hot: int, buckets: int) -> DataFrame:
+    """(bucket, blob): the rarest words of each line that another line may hold too, in buckets by word.
 
-    ``sized`` packs the size of the set above the place of a word; a word stands with its level of rarity in front.
+    Hot words have negative buckets, dealt by line.
     """
-    levels = np.minimum(2 * np.log2(np.maximum(rarity, 1)), (1 << LEVEL_BITS) - 1).astype(np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast((levels, rarity > 1))
+    held = lines.sparkSession.sparkContext.broadcast(levels)
+    above = int(2 * math.log2(max(1, hot)))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        level, repeated = held.value
-        once = _Once()
+        level = held.value
         for batch in batches:
-            x = _Lines(batch)
-            if not len(x.doc):
+            n = np.array(batch["n"], np.int64)
+            if not len(n):
                 continue
-            k1, _ = x.keys()
-            mask = once.fresh(k1)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (x.word & np.uint64(63)), x.start).view(np.int64)
-            most = x.n - (x.n * percent + 99) // 100 + 1
-            # words in order of level and hash, behind the number of their line
-            shift = WORD_BITS - LEVEL_BITS
-            ranked = (level[x.counter].astype(np.uint64) << np.uint64(shift)) | (x.word >> np.uint64(LEVEL_BITS))
-            single = np.uint64(1) << np.uint64(WORD_BITS)
-            ranked |= np.where(repeated[x.counter], np.uint64(0), single)
-            room = np.uint64(1 << (63 - WORD_BITS))
-            line = x.line.astype(np.uint64)
-            key = np.empty_like(ranked)
-            for low in range(0, len(x.doc), int(room)):
-                a, b = np.searchsorted(x.line, [low, low + int(room)])
-                # words of one line only go first: their mark is turned around
-                key[a:b] = np.sort(((line[a:b] - np.uint64(low)) << np.uint64(WORD_BITS + 1)) | (ranked[a:b] ^ single))
-            ranked = key & np.uint64((1 << (WORD_BITS + 1)) - 1)
-            place = np.arange(len(ranked)) - x.start[x.line]
-            keep = (place < most[x.line]) & (ranked >= single) & mask[x.line]
-            got, size = np.unique(x.line[keep], return_counts=True)
-            ends = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
-            sized = (x.n[x.line[keep]] << 32) | place[keep]
-            yield {
-                "k1": k1[got], "bits": bits[got],
-                "words": pa.ListArray.from_arrays(ends, pa.array(ranked[keep].view(np.int64))), "sized": pa.ListArray.from_arrays(ends, pa.array(sized)),
-            }
-
-    return map_rows(docs, run, "k1 long, bits long, words array<long>, sized array<long>", PIECE)
-
-
-def _of_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(k1, words) of the lines named by ``lines`` (k1, doc_id, line_no)."""
-    wanted = durable(lines.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "k1")).alias("wanted")))
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+            start = np.concatenate(([0], np.cumsum(n)[:-1]))
+            word = unpacked(b"".join(batch["words"]), 6)
+            line = np.repeat(np.arange(len(n)), n)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (word % np.uint64(BITMAP)), start)
+            rank = (level[(word >> np.uint64(WORD_BITS - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(WORD_BITS)) | word
+            bottom, room = np.uint64(WORD_BITS + LEVEL_BITS), 1 << (64 - WORD_BITS - LEVEL_BITS)
+            for low in range(0, len(n), room):
+                a, b = start[low], start[low + room] if low + room < len(n) else len(word)
+                rank[a:b] = np.sort(((line[a:b] - low).astype(np.uint64) << bottom) | rank[a:b]) & np.uint64((1 << int(bottom)) - 1)
+            place = np.arange(len(word)) - start[line]
+            degree = (rank >> np.uint64(WORD_BITS)).astype(np.int64)
+            keep = (place < (n - (n * percent + 99) // 100 + 1)[line]) & (degree > 0)
+            line, place, mixed, often = line[keep], place[keep], mix(rank[keep]), degree[keep] > above
+            k = (np.array(batch["k1"], np.int64).view(np.uint64) >> np.uint64(16))[line]
+            bucket = (mixed % np.uint64(buckets)).astype(np.int64)
+            bucket = np.where(often, -1 - (k % np.uint64(buckets)).astype(np.int64), bucket)
+            order = np.argsort(bucket, kind="stable")
+            kept = {"word": mixed >> np.uint64(24), "k": k, "bits": bits[line], "n": np.minimum(n[line], MANY_WORDS), "place": np.minimum(place, 255)}
+            kept = {c: packed(v[order].astype(np.uint64), STORED[c]) for c, v in kept.items()}
+            which, first = np.unique(bucket[order], return_index=True)
+            ends = np.append(first[1:], len(order)).tolist()
+            yield {"bucket": which} | {c: [v[STORED[c] * a : STORED[c] * b] for a, b in zip(first.tolist(), ends)] for c, v in kept.items()}
+
+    return map_rows(lines, run, "bucket long, " + ", ".join(f"{c} binary" for c in STORED), 4e6)
+
+
+def _candidates(percent: int):
+    def found(a, b, word=None, n=None, place=None, bits=None) -> dict:
+        none = [None] * len(a)
+        return {k: none if v is None else v for k, v in (("a", a), ("b", b), ("word", word), ("n", n), ("place", place), ("bits", bits))}
+
+    def of_bucket(key: tuple, rows: pa.Table) -> pa.Table:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("word", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("bits", pa.int64())])
+        word, k, bits, n, place = (unpacked(b"".join(rows.column(c).to_pylist()), STORED[c]) for c in STORED)
+        k, n, place = k.astype(np.int64), n.astype(np.int64), place.astype(np.int64)
+        if key[0].as_py() < 0:
+            return pa.Table.from_pydict(found(k, [None] * len(k), word.astype(np.int64), n.astype(np.int32), place.astype(np.int32), bits.astype(np.int64)), schema)
+        by = (word << np.uint64(16)) | n.astype(np.uint64)
+        order = np.argsort(by)
+        by, k, bits, n, place = by[order], k[order], bits[order], n[order], place[order]
+        # the shorter of two lines must have its first common word here; the longer ones come behind it
+        at = np.flatnonzero((place <= n - -(-2 * percent * n // (100 + percent))) | (n == MANY_WORDS))
+        longest = np.minimum(n[at] * 100 // percent, MANY_WORDS).astype(np.uint64)
+        others = np.searchsorted(by, (by[at] >> np.uint64(16) << np.uint64(16)) | longest, "right") - at - 1
+        at, others = at[others > 0], others[others > 0]
+        done, out = np.cumsum(others), []
+        low = 0
+        while low < len(at):
+            high = max(low + 1, int(np.searchsorted(done, (done[low - 1] if low else 0) + TOGETHER, "right")))
+            size = others[low:high]
+            x = np.repeat(at[low:high], size)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+            total = n[x] + n[y]
+            most = np.minimum(n[x] - place[x], n[y] - place[y])
+            fine = ((100 + percent) * most >= percent * total) | (n[y] == MANY_WORDS)
+            x, y, total = x[fine], y[fine], total[fine]
+            fine = ((100 + percent) * np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) <= (100 - percent) * total) | (n[y] == MANY_WORDS)
+            a, b = k[x[fine]], k[y[fine]]
+            out.append(np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)])[a != b], axis=0))
+            low = high
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+        return pa.Table.from_pydict(found(pairs[:, 0], pairs[:, 1]), schema)
+
+    return of_bucket
+
+
+def _verified(lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(a1, a2, b1, b2): keys of the lines of ``pairs`` (a, b) whose whole sets are similar enough."""
+    pairs = durable(pairs.distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    some = lines.where("words is not null").withColumn("k", F.shiftrightunsigned("k1", 16))
+    sets = durable(some.join(wanted, "k", "left_semi").groupBy("k", "k1", "k2").agg(F.first("words").alias("w")))
+    one, two = (sets.select(F.col("k").alias(x), F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("w").alias(f"w{x}")) for x in "ab")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            x = _Lines(batch)
-            at = {(d, n): i for i, (d, n) in enumerate(zip(x.doc.tolist(), x.no.tolist()))}
-            out: dict[str, list] = {"k1": [], "words": []}
-            for i, rows in zip(batch["doc_id"], batch["wanted"]):
-                for r in rows:
-                    k = at.get((i, r["line_no"]))
-                    if k is not None:
-                        out["k1"].append(r["k1"])
-                        out["words"].append(x.word[x.start[k] : x.start[k] + x.n[k]].view(np.int64))
-            yield out
-
-    return map_rows(docs.join(F.broadcast(wanted) if small else wanted, "doc_id"), run, "k1 long, words array<long>", PIECE)
-
-
-def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b: keys of lines) whose whole sets are similar enough."""
-    pairs = durable(pairs.distinct())
-    lines = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct().join(firsts.select("k1", "at.*"), "k1")
-    sets = durable(_of_lines(docs, lines))
-    both = pairs.join(sets.select(F.col("k1").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("k1").alias("b"), F.col("words").alias("wb")), "b")
-    both = both.withColumn("same", F.size(F.array_intersect("wa", "wb")))
-    return durable(both.where((100 + percent) * F.col("same") >= percent * (F.size("wa") + F.size("wb"))).select("a", "b").distinct())
-
-
-def similar_earlier(docs: DataFrame, percent: int = PERCENT, hot: int = HOT_WORD) -> tuple[DataFrame, DataFrame]:
-    """(all lines with the first line of their set, first lines that an earlier line with another set is similar to)."""
-    all_rows = durable(map_rows(docs, _described, LINES, PIECE))
-    lines = all_rows.where("part is null").select("doc_id", "line_no", "k1", "k2", "n")
-    firsts = durable(lines.groupBy("k1").agg(F.min(F.struct("doc_id", "line_no")).alias("at")))
-    prefixes = _prefixes(docs, _rarity(all_rows), percent).dropDuplicates(["k1"])
-    rows = prefixes.select("k1", "bits", F.explode(F.arrays_zip("words", "sized")).alias("w")).select(F.col("w.words").alias("word"), "k1", "bits", F.col("w.sized").alias("sized"))
-    rows = rows.withColumn("others", F.count("*").over(Window.partitionBy("word"))).where("others > 1")
-
+            sizes = [np.array([len(w) // 6 for w in batch[c]], np.int64) for c in ("wa", "wb")]
+            same = np.zeros(len(sizes[0]), np.int64)
+            words = [unpacked(b"".join(batch[c]), 6) for c in ("wa", "wb")]
+            owner = [np.repeat(np.arange(len(s)), s) for s in sizes]
+            room = 1 << (64 - WORD_BITS)
+            for low in range(0, len(same), room):
+                key = []
+                for w, o in zip(words, owner):
+                    a, b = np.searchsorted(o, [low, low + room])
+                    key.append(((o[a:b] - low).astype(np.uint64) << np.uint64(WORD_BITS)) | w[a:b])
+                key = np.sort(np.concatenate(key))
+                both = (key[1:][key[1:] == key[:-1]] >> np.uint64(WORD_BITS)).astype(np.int64) + low
+                same += np.bincount(both, minlength=len(same))
+            fine = np.flatnonzero((100 + percent) * same >= percent * (sizes[0] + sizes[1])).tolist()
+            yield {c: [batch[c][i] for i in fine] for c in ("a1", "a2", "b1", "b2")}
+
+    both = pairs.join(one, "a").join(two, "b").select("a1", "a2", "b1", "b2", "wa", "wb")
+    return durable(map_rows(both, run, "a1 long, a2 long, b1 long, b2 long"))
+
+
+def _hot_pairs(lines: DataFrame, firsts: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(pairs to compare, pairs found similar already) of ``rows``: prefix words that very many lines may hold."""
     def near(a: str, b: str) -> Column:
-        na, nb = F.shiftright(f"{a}.sized", 32), F.shiftright(f"{b}.sized", 32)
-        pa_, pb = F.col(f"{a}.sized").bitwiseAND(F.lit(0xFFFFFFFF)), F.col(f"{b}.sized").bitwiseAND(F.lit(0xFFFFFFFF))
-        length = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-        place = (100 + percent) * F.least(na - pa_, nb - pb) >= percent * (na + nb)
-        bitmap = (100 + percent) * F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= (100 - percent) * (na + nb)
-        return length & place & bitmap
-
-    few = rows.where(F.col("others") <= hot)
-    x, y = few.alias("x"), few.alias("y")
-    pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.k1") < F.col("y.k1")) & near("x", "y"))
-    pairs = pairs.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b"))
-
-    many = durable(rows.where(F.col("others") > hot).join(firsts, "k1").select("word", "k1", "at", "bits", "sized"))
-    first = many.groupBy("word").agg(F.min(F.struct("at", "k1", "bits", "sized")).alias("y"))
-    led = many.join(first, "word").select(F.struct("k1", "at", "bits", "sized").alias("x"), "y")
-    led = led.where((F.col("x.k1") != F.col("y.k1")) & near("x", "y")).select(F.col("x.k1").alias("b"), F.col("y.k1").alias("a"))
-    gone = _verified(docs, firsts, led.select("a", "b"), percent)
-    open_rows = many.join(gone.select(F.col("b").alias("k1")).distinct(), "k1", "left_anti")
+        na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+        most = F.least(na - F.col(f"{a}.place"), nb - F.col(f"{b}.place"))
+        differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+        fits = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
+        return (fits & ((100 + percent) * differ <= (100 - percent) * (na + nb))) | (na == MANY_WORDS) | (nb == MANY_WORDS)
+
+    first = firsts.groupBy(F.shiftrightunsigned("k1", 16).alias("k")).agg(F.min("at").alias("at"))
+    many = durable(rows.select("word", F.col("a").alias("k"), "n", "place", "bits").distinct().join(first, "k"))
+    if many.isEmpty():
+        return many.select(F.col("k").alias("a"), F.col("k").alias("b")), None
+    leaders = many.groupBy("word").agg(F.min(F.struct("at", "k", "n", "place", "bits")).alias("y"))
+    led = many.join(leaders, "word").select(F.struct("k", "n", "place", "bits").alias("x"), "y").where((F.col("x.k") != F.col("y.k")) & near("x", "y"))
+    gone = _verified(lines, led.select(F.col("y.k").alias("a"), F.col("x.k").alias("b")), percent)
+    open_rows = many.join(gone.select(F.shiftrightunsigned("b1", 16).alias("k")).distinct(), "k", "left_anti")
     x, y = open_rows.alias("x"), many.alias("y")
     rest = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.at") > F.col("y.at")) & near("x", "y"))
-    rest = rest.select(F.least("x.k1", "y.k1").alias("a"), F.greatest("x.k1", "y.k1").alias("b"))
-    found = _verified(docs, firsts, pairs.unionByName(rest), percent).unionByName(gone)
-    at = firsts.select(F.col("k1").alias("a"), F.col("at").alias("at_a"))
-    both = found.join(at, "a").join(at.select(F.col("a").alias("b"), F.col("at_a").alias("at_b")), "b")
-    return lines.join(firsts, "k1"), both.select(F.greatest("at_a", "at_b").alias("later")).distinct()
+    return rest.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")), gone
+
+
+def removed_lines(docs: DataFrame, percent: int = PERCENT, hot: int = HOT_WORD) -> DataFrame:
+    """(doc_id, t, line_no) of all lines of ``docs`` (doc_id, t, text) that go."""
+    importable(docs.sparkSession)
+    rows = durable(map_rows(docs, _described, LINES, PIECE))
+    levels = _levels(rows)
+    lines = rows.where("part is null")
+    here = ("doc_id", "t", "line_no")
+    order = Window.partitionBy("k1", "k2").orderBy(*here)
+    places = lines.where("not copy").select("k1", "k2", *here).withColumn("number", F.row_number().over(order)).withColumn("rank", F.rank().over(order))
+    places = durable(places.select("k1", "k2", *here, (F.col("number") == 1).alias("first"), (F.col("rank") > 1).alias("later")))
+    firsts = places.where("first").select("k1", "k2", F.struct(*here).alias("at"))
+    total = lines.where("words is not null").agg(F.sum("n"), F.count("n")).first()
+    buckets = max(1, int(((total[0] or 0) * (100 - percent) // 100 + total[1]) // BUCKET + 1))
+    dealt = _dealt(lines.where("words is not null").select("k1", "n", "words"), levels, percent, hot, buckets)
+    found = durable(dealt.groupBy("bucket").applyInArrow(_candidates(percent), FOUND))
+    rest, gone = _hot_pairs(lines, firsts, found.where("b is null"), percent)
+    similar = _verified(lines, found.where("b is not null").select("a", "b").unionByName(rest), percent)
+    similar = similar.unionByName(gone) if gone else similar
+    one, two = (firsts.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("at").alias(f"at_{x}")) for x in "ab")
+    later = similar.join(one, ["a1", "a2"]).join(two, ["b1", "b2"]).select(F.greatest("at_a", "at_b").alias("at")).select("at.*")
+    return later.unionByName(places.where("later").select(*here)).unionByName(lines.where("copy").select(*here))
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, hot: int = HOT_WORD) -> DataFrame:
@@ -244,19 +288,20 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, hot: int = HOT_WORD) ->
 
     A line break stays between the lines that stay. ``n_chars``, where there is one, is not touched.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines, similar = similar_earlier(plain, percent, hot)
-    copies = lines.where(F.struct("doc_id", "line_no") != F.col("at")).select("doc_id", "line_no")
-    removed = copies.unionByName(similar.select("later.*")).groupBy("doc_id").agg(F.collect_set("line_no").alias("__removed"))
-    removed = durable(removed)
-    small = removed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    out = docs.join(F.broadcast(removed) if small else removed, "doc_id", "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(F.coalesce("__removed", F.array().cast("array<int>")), i))
+    mark = F.xxhash64("text")
+    gone = removed_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("t"), "text"), percent, hot)
+    gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).agg(F.collect_set("line_no").alias("__removed"))
+    gone = durable(gone)
+    size = gone.agg(F.sum(48 + 4 * F.size("__removed"))).first()[0] or 0
+    same = (F.col("doc_id").cast("long") == F.col("__id")) & (mark == F.col("__t"))
+    out = docs.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, same, "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__removed", i))
+    breaks = F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("")))
     return (
-        out.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long"))
+        out.withColumn("n_lines", (breaks + 1).cast("long"))
         .withColumn("n_removed", F.coalesce(F.size("__removed"), F.lit(0)).cast("long"))
         .withColumn("text", F.when(F.col("n_removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text")))
-        .drop("__removed")
+        .drop("__removed", "__id", "__t")
     )
 
 

@@ -1,6 +1,7 @@
 """Classifiers on held-out rows, tokenizers against the library, packing, license scans and the pipeline."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -95,9 +96,44 @@ def test_bpe(docs):
 
 def test_chunks_follow_the_content():
     text = " ".join(f"word{i * i}" for i in range(4_000)).encode()
-    inside = lambda raw: {raw[a:b] for a, b, c in bpe.spans_of(raw) if c}
-    one, two = inside(text), inside(b"something before " + text)
-    assert len(one & two) > 0.9 * len(one)
+
+    def chunks(raw):
+        ends = bpe.chunk_ends(raw)
+        return {raw[a:b] for a, b in zip([0, *ends], ends)}
+
+    one, two = chunks(text), chunks(b"something before " + text)
+    assert len(one) > 10 and len(one & two) > 0.9 * len(one)
+
+
+def test_joins_are_repaired(monkeypatch):
+    path = local_path("byte_bpe_50k.json")
+    e, t, r = bpe.ByteEncoder(path), Tokenizer.from_file(path), random.Random(5)
+    signs = ["a", "b", " ", "  ", "\n", "'", "'re", "1", "你", "好", "，", "　", "é", "<|", "x\x1cy", " '", "word", "\x85"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 500))) for _ in range(100)]
+    texts += ["你好世界" * 500, "x" * 3_000, "\n" * 2_000, "a'r" * 1_000, "你好，世界。" * 300 + " and so on " * 100]
+    whole = bpe.chunk_ends
+    for mask in (0x3FF, 0xF):
+        monkeypatch.setattr(bpe, "chunk_ends", lambda raw, mask=mask: whole(raw, mask))
+        for text in texts:
+            ids = e.encode(text, {})
+            assert ids.tolist() == t.encode(text, add_special_tokens=False).ids and e.decoded(ids) == text.encode()
+
+
+def test_words_with_ends_as_blanks():
+    path = local_path("word_bpe_49k.json")
+    e, t, r = packing.WordEncoder(path), Tokenizer.from_file(path), random.Random(6)
+    signs = [*"abIXZé1²'.-_<|ßİǄΣ好’", "  ", " ", "\n", "　", "\x1c", "\x85", "́", "'LL", "ing", "tion", "<|endoftext|>"]
+    for _ in range(1_500):
+        text = "".join(r.choice(signs) for _ in range(r.randint(0, 40)))
+        assert e.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_ends_when_nothing_fits(spark):
+    items = spark.range(600).selectExpr("id as item", "2100 as length")
+    got = packing.pack(items, group_items=20).toPandas()
+    assert len(got) == got.sequence_id.nunique() == 600 and (got.offset == 0).all()
+    small = packing.pack(spark.range(600).selectExpr("id as item", "1000 + id % 50 as length"), group_items=20).toPandas()
+    assert small.sequence_id.nunique() <= 1.25 * 600 / 4 and sorted(small.item) == list(range(600))
 
 
 def test_packing(docs):
