@@ -194,8 +194,9 @@ def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def map_rows(df: DataFrame, f: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str, size: float = 4e6) -> DataFrame:
-    """``mapInArrow`` over plain column lists; batches over ``size`` bytes are cut so that a worker's memory stays bounded."""
+def map_rows(df: DataFrame, f: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str, size: float = 4e6, rows: int = 10_000) -> DataFrame:
+    """``mapInArrow`` over plain column lists; batches over ``size`` bytes or ``rows`` rows are cut so that a worker's
+    memory stays bounded."""
     from pyspark.sql.types import StructType
 
     importable(df.sparkSession)
@@ -204,7 +205,7 @@ def map_rows(df: DataFrame, f: Callable[[Iterator[dict[str, list]]], Iterator[di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[dict[str, list]]:
             for batch in batches:
-                step = max(1, int(batch.num_rows * min(1.0, size / max(1, batch.nbytes))))
+                step = max(1, min(rows, int(batch.num_rows * min(1.0, size / max(1, batch.nbytes)))))
                 for at in range(0, batch.num_rows, step):
                     cut = batch.slice(at, step)
                     yield {name: cut.column(i).to_pylist() for i, name in enumerate(cut.schema.names)}

@@ -1,22 +1,24 @@
 """Near-duplicate documents by an n-gram Jaccard join with PartEnum signatures (operator 7).
 
 A document is the set of its distinct 5-word shingles. Set sizes fall into bands in which similar sets lie at
-most one band apart, so each set joins the family of its own band and that of the band below. For a family with
-largest size s, two similar sets differ in at most k elements. The shingle domain is partitioned into groups of
-three parts; with more than k/2 groups, some group has at most one differing part, and both sets agree on two of
-its parts. Each set therefore has one signature for every two parts of every group, and similar sets share one.
-
-Sets whose family needs more than ``GROUPS`` groups (over about 160 shingles) use the first ``GROUPS`` of them. The
-differences of a pair are spread over the groups by a hash, and each group independently keeps two common parts
-with probability over 0.5 even at the threshold, so all fail with probability under 1e-6 (measured in the tests).
-
-Equal sets are collapsed first. Sets with a common signature are compared with one leader of the group at first,
-and every group whose members are linked already needs no more, so a group of copies never becomes all its pairs.
-In what is left, sets of different components meet pair by pair; a bitmap of each set bounds the difference of two
-from below and rules out nearly all that merely share a passage. Pairs are verified exactly on the whole sets.
-
-Null or word-free texts have no shingles and link with nothing. Rows that repeat a doc_id count as one document.
-Rows without a doc_id link with nothing and have no component.
+most one band apart, so each set joins the family of its own band and that of the band below. Two similar sets of a
+family differ in at most k elements. The shingle domain is partitioned into more than k parts, and every part is a
+subset to enumerate: similar sets agree in all parts but k, so they share a signature, that of a part's elements.
+
+Parts may be empty in both sets, which shows nothing. There are therefore more parts than k + 1, and a set of which
+too many parts are empty counts as sparse. Sparse sets have other partitions to be found by, and sets that are sparse
+in all of them, which hardly occurs, share one signature of their family. So every similar pair shares a signature,
+at every size, without exception.
+
+Equal sets are collapsed first. Signatures are dealt into buckets by hash, many to a row; a bucket gives its groups
+of sets with a common signature, each different group once. Sets of a group are compared with one leader at first.
+Groups whose sets are not all linked then get a few other leaders, round by round, so a group of near copies never
+becomes all its pairs. What no round links any more meets pair by pair. A bitmap of each set bounds the difference of
+two from below before their whole sets are compared.
+
+Null or word-free texts have no shingles and link with nothing. Rows that repeat a doc_id count as one document that
+has the links of all its rows. Rows without a doc_id link with nothing and have no component. Very long texts are read
+whole. An empty table gives no rows. Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -26,19 +28,24 @@ from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import FlatWords, components, distinct, durable, map_rows, mix, semi_by_id, shingle_hashes, table
+from firmlake.llm.common import FlatWords, components, distinct, durable, importable, map_rows, mix, packed, shingle_hashes, table, unpacked
 
 SHINGLE = 5
 PERCENT = 80
-GROUPS = 20
-#: Independent partitions for small sets, whose parts may be empty.
-REPEATS = 3
+#: Rounds of further leaders, and leaders of a group in each.
+ROUNDS = 4
+LEADERS = 3
 #: 64-bit words of the bitmap of a set.
-BITMAP = 8
+BITMAP = 32
+#: Signatures that one bucket gets on average; bytes of a broadcast.
+BUCKET = 2_000_000
+BROADCAST_BYTES = 32 << 20
+BASE = "doc_id long, t long, n_shingles long, k1 long, k2 long, n_sigs long"
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -56,114 +63,222 @@ def band(n: int, percent: int = PERCENT) -> int:
 
 
 @lru_cache(1_000)
-def family(i: int, percent: int = PERCENT) -> tuple[int, int]:
-    """(most differing elements, groups) for pairs whose smaller set is in band ``i``."""
+def family(i: int, percent: int = PERCENT) -> tuple[int, int, int]:
+    """(most differing elements, parts, partitions) for pairs whose smaller set is in band ``i``."""
     top = 1
     for _ in range(i):
         top = (top + 1) * 100 // percent
     g = Fraction(percent, 100)
     k = int((1 - g) / (1 + g) * (1 + 1 / g) * top)
-    return k, k // 2 + 1
+    return k, k + 1 + max(2, k // 5), 3 if k < 20 else 2 if k < 100 else 1
 
 
-def signatures(s: np.ndarray, percent: int = PERCENT, most: int = GROUPS, repeats: int = REPEATS) -> np.ndarray:
+def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """PartEnum signatures of one set, for its own band's family and the one below."""
     out = []
     for i in {band(len(s), percent), band(len(s), percent) - 1}:
-        if i < 0:
+        if i < 0 or not (k := family(i, percent)[0]):
             continue
-        k, groups = family(i, percent)
-        if not k:
-            continue
-        used = min(groups, most)
-        for r in range(max(1, min(repeats, most // groups))):
+        _, parts, repeats = family(i, percent)
+        sparse = True
+        for r in range(repeats):
             h = mix(s ^ np.uint64(0x5851F42D4C957F2D + 2 * r + 1000 * i))
-            g = h % np.uint64(groups)
-            cell = ((g * np.uint64(3)) + (h // np.uint64(groups)) % np.uint64(3)).astype(np.int64)
-            if used < groups:
-                keep = cell < 3 * used
-                h, cell = h[keep], cell[keep]
-            sums, counts = np.zeros(3 * used, np.uint64), np.bincount(cell, minlength=3 * used).reshape(used, 3)
-            with np.errstate(over="ignore"):
-                np.add.at(sums, cell, h)
-                sums = sums.reshape(used, 3)
-                rest = sums.sum(1, dtype=np.uint64)[:, None] - sums
-                tags = np.arange(3 * used, dtype=np.uint64).reshape(used, 3) + np.uint64(1_000_003 * (i * 16 + r) + 17)
-                signed = mix(rest + mix(tags))
-            out.append(signed[(counts.sum(1)[:, None] - counts) > 0])
+            part = (h % np.uint64(parts)).astype(np.int64)
+            sums, full = np.zeros(parts, np.uint64), np.bincount(part, minlength=parts) > 0
+            np.add.at(sums, part, mix(h))
+            sparse &= parts - np.count_nonzero(full) >= parts - k
+            out.append(mix(sums + mix(np.arange(parts, dtype=np.uint64) + np.uint64(1_000_003 * (i * 16 + r) + 17)))[full])
+        if sparse:
+            out.append(mix(np.array([1_000_003 * (i * 16 + 15) + 5], np.uint64)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def _key(s: np.ndarray) -> np.ndarray:
+    return np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
+
+
 def _described(batches: Iterator[dict], percent: int, size: int) -> Iterator[dict]:
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n_shingles", "k1", "k2", "sigs", "bits")}
+        out: dict[str, list] = {k: [] for k in ("n_shingles", "k1", "k2", "n_sigs", "bits")}
         words = FlatWords(batch["text"])
         for d, i in enumerate(batch["doc_id"]):
             s = distinct(shingle_hashes(words.of(d), size))
-            k = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
             bits = np.zeros(64 * BITMAP, bool)
             bits[(s % np.uint64(64 * BITMAP)).astype(np.int64)] = True
-            for name, value in zip(out, (i, len(s), int(k[0]), int(k[1]), signatures(s, percent).view(np.int64), np.packbits(bits).view(np.int64))):
+            k = _key(s)
+            for name, value in zip(out, (len(s), int(k[0]), int(k[1]), _most(len(s), percent), np.packbits(bits).view(np.int64))):
                 out[name].append(value)
-        yield out
+        yield {"doc_id": batch["doc_id"], "t": batch["t"]} | out
+
+
+@lru_cache(100_000)
+def _most(n: int, percent: int) -> int:
+    """Signatures of a set of ``n`` elements at most."""
+    return sum(f[1] * f[2] for i in {band(n, percent), band(n, percent) - 1} if i >= 0 and (f := family(i, percent))[0])
+
+
+def _dealt(docs: DataFrame, percent: int, size: int, buckets: int) -> DataFrame:
+    """(bucket, ids, at, sig): signatures in buckets; ``at`` is the place of a set in ``ids``."""
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            words, seen, ids, sigs = FlatWords(batch["text"]), set(), [], []
+            for d, i in enumerate(batch["doc_id"]):
+                if i is None:
+                    continue
+                s = distinct(shingle_hashes(words.of(d), size))
+                if len(s) and (k := int(_key(s)[0])) not in seen:
+                    seen.add(k)
+                    ids.append(k)
+                    sigs.append(signatures(s, percent))
+            if not sigs:
+                continue
+            at = np.repeat(np.arange(len(ids)), [len(x) for x in sigs])
+            sig = np.concatenate(sigs)
+            bucket = (sig % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, at = bucket[order], at[order]
+            # sets are numbered anew in each bucket
+            new = np.ones(len(order), bool)
+            new[1:] = (bucket[1:] != bucket[:-1]) | (at[1:] != at[:-1])
+            which, first = np.unique(bucket, return_index=True)
+            ends = np.append(first[1:], len(order))
+            number = np.cumsum(new) - 1
+            number -= np.repeat(number[first], ends - first)
+            id_ends = np.cumsum(np.add.reduceat(new, first)) if len(first) else first
+            own = packed(np.array(ids, np.int64).view(np.uint64)[at[new]], 8)
+            at_bytes, sig_bytes = packed(number.astype(np.uint64), 2), packed(sig[order] >> np.uint64(24), 5)
+            yield {
+                "bucket": which, "ids": [own[8 * a : 8 * b] for a, b in zip([0, *id_ends.tolist()], id_ends.tolist())],
+                "at": [at_bytes[2 * a : 2 * b] for a, b in zip(first.tolist(), ends.tolist())], "sig": [sig_bytes[5 * a : 5 * b] for a, b in zip(first.tolist(), ends.tolist())],
+            }
+
+    return map_rows(docs, run, "bucket long, ids binary, at binary, sig binary", 2e6, 50_000)
+
+
+def _groups(key: tuple, rows: pa.Table) -> pa.Table:
+    """(g, id, low): the different groups of sets with a common signature in a bucket; ``low`` is a group's leader."""
+    ids, sigs = [], []
+    for own, at, sig in zip(*(rows.column(c).to_pylist() for c in ("ids", "at", "sig"))):
+        ids.append(np.frombuffer(own, "<i8")[unpacked(at, 2).astype(np.int64)])
+        sigs.append(unpacked(sig, 5))
+    ids, sigs = np.concatenate(ids), np.concatenate(sigs)
+    order = np.lexsort((ids, sigs))
+    ids, sigs = ids[order], sigs[order]
+    again = np.zeros(len(ids), bool)
+    again[1:] = (sigs[1:] == sigs[:-1]) & (ids[1:] == ids[:-1])
+    ids, sigs = ids[~again], sigs[~again]
+    first = np.flatnonzero(np.concatenate((np.ones(1, bool), sigs[1:] != sigs[:-1])))
+    size = np.diff(first, append=len(sigs))
+    g = mix(np.add.reduceat(mix(ids.view(np.uint64)), first) + size.astype(np.uint64))
+    _, one = np.unique(g, return_index=True)
+    one = one[size[one] > 1]
+    first, size, g = first[one], size[one], g[one].view(np.int64)
+    places = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    ids = ids[places]
+    leader = np.lexsort((mix(ids.view(np.uint64)), np.repeat(np.arange(len(size)), size)))
+    low = ids[leader[np.cumsum(size) - size]] if len(size) else ids
+    schema = pa.schema([("g", pa.int64()), ("id", pa.int64()), ("low", pa.int64())])
+    return pa.Table.from_pydict({"g": np.repeat(g, size), "id": ids, "low": np.repeat(low, size)}, schema)
 
 
 def _may_be_similar(x: str, y: str, percent: int) -> Column:
     """Sizes and bitmaps of two sets leave the similarity possible: every bit that differs is an element that does."""
     a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differ = sum(F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))) for i in range(BITMAP))
+    differ = sum(F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseXOR(F.get(f"{y}.bits", F.lit(i)))) for i in range(BITMAP))
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * differ <= (100 - percent) * (a + b))
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            words = FlatWords(batch["text"])
-            yield {"doc_id": batch["doc_id"], "words": [distinct(shingle_hashes(words.of(d), size)).view(np.int64) for d in range(len(batch["text"]))]}
+class _Sets:
+    """The different sets of a table of documents: their sketches, and whole sets where they are asked for."""
 
-    return map_rows(docs, run, "doc_id long, words array<long>", 2e6).dropDuplicates(["doc_id"])
+    def __init__(self, docs: DataFrame, base: DataFrame, percent: int, size: int):
+        self.docs, self.percent, self.size = docs, percent, size
+        full = base.where("n_shingles > 0 and doc_id is not null")
+        same = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first(F.struct("doc_id", "t", "bits", "n_shingles")).alias("x"))
+        same = same.select("k1", "k2", "rep", F.col("x.doc_id").alias("at_id"), F.col("x.t").alias("at_t"), F.col("x.bits").alias("bits"), F.col("x.n_shingles").alias("n"))
+        self.sketch = durable(same)
 
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that sizes and bitmaps leave possible."""
+        x, y = self.sketch.select("k1", "n", "bits").alias("x"), self.sketch.select("k1", "n", "bits").alias("y")
+        both = pairs.join(x, F.col("a") == F.col("x.k1")).join(y, F.col("b") == F.col("y.k1"))
+        return both.where(_may_be_similar("x", "y", self.percent)).select("a", "b").distinct()
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough, as a table."""
-    pairs = durable(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = durable(_sets(semi_by_id(docs, durable(ids), "doc_id"), size))
-    one = sets.select(F.col("doc_id").alias("a"), F.col("words").alias("wa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("words").alias("wb"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("same", F.size(F.array_intersect("wa", "wb")))
-    return durable(both.where(100 * F.col("same") >= percent * (F.size("wa") + F.size("wb") - F.col("same"))).select("a", "b"))
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose whole sets are similar enough, as a table."""
+        size, percent, pairs = self.size, self.percent, durable(pairs)
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
+        rows = durable(self.sketch.join(ids, "k1", "left_semi").select(F.col("at_id").alias("doc_id"), F.col("at_t").alias("t")).distinct())
+        small = 64 * rows.count() <= BROADCAST_BYTES
 
+        def run(batches: Iterator[dict]) -> Iterator[dict]:
+            for batch in batches:
+                words = FlatWords(batch["text"])
+                sets = [distinct(shingle_hashes(words.of(d), size)) for d in range(len(batch["text"]))]
+                yield {"k1": [int(_key(s)[0]) for s in sets], "w": [s.tobytes() for s in sets]}
 
-def ngram_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+        mine = self.docs.join(F.broadcast(rows) if small else rows, ["doc_id", "t"], "left_semi").select("text")
+        sets = durable(map_rows(mine, run, "k1 long, w binary", 2e6).dropDuplicates(["k1", "w"]))
+
+        def compared(batches: Iterator[dict]) -> Iterator[dict]:
+            for batch in batches:
+                out: dict[str, list] = {"a": [], "b": []}
+                for a, b, one, two in zip(batch["a"], batch["b"], batch["wa"], batch["wb"]):
+                    both = np.sort(np.concatenate([np.frombuffer(one, "<u8"), np.frombuffer(two, "<u8")]))
+                    same = np.count_nonzero(both[1:] == both[:-1])
+                    if 100 * same >= percent * (len(both) - same):
+                        out["a"].append(a)
+                        out["b"].append(b)
+                yield out
+
+        one, two = (sets.select(F.col("k1").alias(x), F.col("w").alias(f"w{x}")) for x in "ab")
+        return durable(map_rows(pairs.join(one, "a").join(two, "b"), compared, "a long, b long").distinct())
+
+
+def ngram_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_shingles long, k1 long, k2 long, sigs array<long>, bits array<long>"
-    base = durable(map_rows(docs, lambda b: _described(b, percent, size), schema, 2e6))
-    reps = base.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
-    sketch = durable(reps.select("rep", "n", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP)]))
-    signed = semi_by_id(base.where(F.size("sigs") > 0), sketch.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-    group = Window.partitionBy("sig")
-    shared = signed.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("rep")).withColumn("low", F.min("rep").over(group))
-    shared = durable(shared.withColumn("high", F.max("rep").over(group)).where("low < high").select("sig", "rep", "low"))
-
-    star = shared.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    star = star.join(sketch.alias("x"), F.col("a") == F.col("x.rep")).join(sketch.alias("y"), F.col("b") == F.col("y.rep"))
-    edges = _verified(docs, star.where(_may_be_similar("x", "y", percent)).select("a", "b"), percent, size)
+    importable(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    base = durable(map_rows(docs, lambda b: _described(b, percent, size), BASE + ", bits array<long>", 2e6))
+    sets = _Sets(docs, base, percent, size)
+    buckets = int((base.agg(F.sum("n_sigs")).first()[0] or 0) // BUCKET + 1)
+    dealt = _dealt(docs, percent, size, buckets)
+    found = durable(dealt.groupBy("bucket").applyInArrow(_groups, "g long, id long, low long"))
+    pairs = found.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    edges = sets.similar(sets.likely(pairs))
+
+    # sets that one doc_id has in several rows belong together
+    numbered = base.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.collect_set("k1").alias("all"))
+    edges = edges.unionByName(durable(numbered.where("a < b").select("a", F.explode("all").alias("b")).where("a <> b")))
     linked = durable(components(edges))
-    known = shared.select("sig", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rest = known.withColumn("lo", F.min("component").over(group)).withColumn("hi", F.max("component").over(group)).where("lo < hi")
-    rest = durable(rest.select("sig", "rep", "component").join(sketch, "rep"))
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-    pairs = x.join(y, apart & _may_be_similar("x", "y", percent)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = _verified(docs, pairs, percent, size)
-    if not more.isEmpty():
-        linked = durable(components(edges.unionByName(more)))
-    found = base.select("doc_id", "n_shingles", "k1", "k2").join(reps.select("k1", "k2", "rep").where("rep is not null"), ["k1", "k2"], "left")
-    found = found.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    whole = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), whole).alias("component_id"))
+    rest = found.select("g", "id").distinct()
+    for r in range(rounds + 1):
+        known = rest.select("g", "id").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = known.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g")
+        rest = durable(known.join(mixed, "g", "left_semi").select("g", "id", "component"))
+        if rest.isEmpty():
+            break
+        if r < rounds:
+            order = [F.xxhash64("id", F.lit(LEADERS * r + j)) for j in range(LEADERS)]
+            chosen = rest.groupBy("g").agg(*[f(c, h).alias(f"{c}{j}") for j, h in enumerate(order) for c, f in (("id", F.min_by), ("component", F.min_by))])
+            leaders = F.array(*[F.struct(F.col(f"id{j}").alias("id"), F.col(f"component{j}").alias("component")) for j in range(LEADERS)])
+            to = rest.join(chosen.select("g", F.explode(F.array_distinct(leaders)).alias("y")), "g").where("component <> y.component")
+            pairs = to.select(F.least("id", "y.id").alias("a"), F.greatest("id", "y.id").alias("b")).distinct()
+        else:
+            whole = rest.join(sets.sketch.select(F.col("k1").alias("id"), "n", "bits"), "id")
+            x, y = whole.alias("x"), whole.alias("y")
+            apart = (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
+            pairs = x.join(y, apart & _may_be_similar("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        more = sets.similar(sets.likely(pairs) if r < rounds else pairs)
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            linked = durable(components(edges))
+    reps = sets.sketch.select("k1", "k2", "rep").join(linked.select(F.col("node").alias("k1"), "component"), "k1", "left")
+    smallest = reps.where("component is not null").groupBy("component").agg(F.min("rep").alias("first"))
+    reps = reps.join(smallest, "component", "left").select("k1", "k2", F.coalesce("first", "rep").alias("first"))
+    out = base.select("doc_id", "n_shingles", "k1", "k2").join(reps, ["k1", "k2"], "left")
+    own = F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
