@@ -128,10 +128,21 @@ def joined_url(base: Column, link: Column) -> Column:
     relative = F.regexp_replace(F.regexp_replace(link, r"^(\./)+", ""), r"^\.$", "")
     return (
         F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.\\-]*:"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(host, link)).otherwise(F.concat(folder, relative))
+        .when(link.startswith("/"), _without_dots(F.concat(host, link))).otherwise(_without_dots(F.concat(folder, relative)))
     )
 
 
+def _without_dots(url: Column) -> Column:
+    """The path's ``.`` parts go, and each ``..`` takes the part before it along; what would lead above the root goes."""
+    path = F.regexp_extract(url, r"^https?://[^/?#]*([^?#]*)", 1)
+    parts = F.split(path, "/")
+    start = F.array().cast("array<string>")
+    folded = F.aggregate(parts, start, lambda kept, x: F.when(x == ".", kept).when(x == "..", F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)).otherwise(F.concat(kept, F.array(x))))
+    ends = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
+    clean = F.concat(F.regexp_extract(url, r"^(https?://[^/?#]*)", 1), F.array_join(folded, "/"), ends, F.regexp_extract(url, r"([?#].*)$", 1))
+    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), clean).otherwise(url)
+
+
 def safe_key(value: Column, most: int | None = 120) -> Column:
     out = F.regexp_replace(value, "[^a-zA-Z0-9]", "_")
     return F.substring(out, 1, most) if most else out

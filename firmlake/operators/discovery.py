@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from firmlake.functions import rules
-from firmlake.functions.urls import canonical_url, has_any, is_firm_site, is_profile_url, is_rejected_url, joined_url, once, url_base
+from firmlake.functions.urls import canonical_url, is_firm_site, is_profile_url, is_rejected_url, joined_url, let, once, url_base
 
 
 def _list(spark: SparkSession, name: str, values) -> DataFrame:
@@ -118,9 +120,9 @@ def relevance(df: DataFrame, confidence: str = "confidence", source_type: str =
 
 
 def passes_prefilter(*parts: Column) -> Column:
-    """Whether the joined text of a hit holds any word that speaks of investing."""
+    """Whether the joined text of a hit holds any word that speaks of investing: plain searches, which end at the first find."""
     text = F.lower(F.concat_ws(" ", *[F.coalesce(p, F.lit("")) for p in parts]))
-    return has_any(text, rules.PREFILTER_WORDS)
+    return let(text, lambda t: reduce(lambda a, b: a | b, [t.contains(w) for w in rules.PREFILTER_WORDS]))
 
 
 @once

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firmlake.functions.arrays import cosine, embedding_text, fill, keyed_distinct, text_key, union_any_case, union_exact
+from firmlake.functions.arrays import cosine, embedding_text, fill, text_key, union_exact
+from firmlake.functions.encoders import embed_text
 from firmlake.functions.names import firm_key, resolver_name
 from firmlake.functions.urls import url_domain
 
@@ -236,23 +237,41 @@ def entity_components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> D
     raise RuntimeError(f"labels did not settle in {rounds} rounds")
 
 
-def merge_children(existing: DataFrame, incoming: DataFrame, name: str, fills: tuple[str, ...]) -> DataFrame:
-    """Children (firm_id, <name>, fills) by firm and lower-case name: existing values stay, blank ones are filled."""
-    key = text_key(F.col(name))
-    a = existing.withColumn("k", key).groupBy("firm_id", "k").agg(*[F.first(c).alias(c) for c in (name, *fills)])
-    b = incoming.withColumn("k", key).where("k <> ''").groupBy("firm_id", "k").agg(*[F.max(c).alias(f"new_{c}") for c in (name, *fills)])
+def _some(c: str) -> Column:
+    return F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+
+
+def _children(df: DataFrame, name: str, fills: tuple[str, ...], order: str) -> DataFrame:
+    """One row for each firm and lower-case name: the first spelling, and of each other field the first that is not blank."""
+    rows = df.withColumn("k", text_key(F.col(name))).where("k <> ''")
+    return rows.groupBy("firm_id", "k").agg(
+        F.min(order).alias("at"), F.min_by(name, order).alias(name), *[F.min_by(c, F.when(_some(c), F.col(order))).alias(c) for c in fills]
+    )
+
+
+def merge_children(existing: DataFrame, incoming: DataFrame, name: str, fills: tuple[str, ...], order: str = "seq") -> DataFrame:
+    """Children (firm_id, <name>, fills) by firm and lower-case name: existing values stay, blank ones are filled.
+
+    Of several rows for one child the first in ``order`` counts, and blanks are filled by the next ones in turn. Adds
+    ``is_new`` and ``at``, the place of its first row: existing children stand before new ones.
+    """
+    a, b = _children(existing, name, fills, order), _children(incoming, name, fills, order)
+    b = b.withColumnsRenamed({c: f"new_{c}" for c in (name, "at", *fills)})
     out = a.join(b, ["firm_id", "k"], "full_outer")
-    return out.select("firm_id", F.coalesce(name, f"new_{name}").alias(name), *[fill(F.col(c), F.col(f"new_{c}")).alias(c) for c in fills])
+    return out.select(
+        "firm_id", F.coalesce(name, f"new_{name}").alias(name), *[fill(F.col(c), F.col(f"new_{c}")).alias(c) for c in fills],
+        F.col(name).isNull().alias("is_new"), F.coalesce("at", "new_at").alias("at"),
+    )
 
 
-def merge_firms(existing: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
+def merge_firms(existing: DataFrame, incoming: DataFrame, now: Column, order: str = "seq") -> DataFrame:
     """The firm table after an upsert by id: name from the incoming row, arrays united with existing ones first, website
     and source from the incoming row unless blank, created_at kept, updated_at ``now``, and the text to embed anew.
 
-    Of several incoming rows for one id the one with the largest name counts.
+    Of several incoming rows for one id the last in ``order`` counts.
     """
     cols = ("firm_name", *SCALARS, *LISTS)
-    new = incoming.groupBy("id").agg(F.max_by(F.struct(*cols), F.struct("firm_name", F.coalesce("website", F.lit("")))).alias("n"))
+    new = incoming.groupBy("id").agg(F.max_by(F.struct(*cols), order).alias("n"))
     out = existing.join(new, "id", "full_outer")
     seen = F.col("n").isNotNull()
     return out.select(
@@ -262,23 +281,65 @@ def merge_firms(existing: DataFrame, incoming: DataFrame, now: Column) -> DataFr
     ).withColumn("embedding_text", embedding_text(F.col("firm_name"), F.col("website"), *[F.array_join(c, " ") for c in LISTS]))
 
 
-def insert_missing_children(existing: DataFrame, incoming: DataFrame, name: str) -> DataFrame:
-    """``existing`` plus the incoming children whose (firm, lower-case name) it does not hold, each once."""
-    new = incoming.withColumn("k", text_key(F.col(name))).dropDuplicates(["firm_id", "k"])
+def upsert_firms(firms: DataFrame, partners: DataFrame, companies: DataFrame, incoming: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(firms, partners, companies) after an upsert of whole records.
+
+    ``incoming`` (id, seq, scalars, lists, partners, portfolio_companies) holds records of known ids. Firms are merged as by
+    ``merge_firms``, their children as by ``merge_children``; ``embedding_text`` then names all partners and companies in
+    order, and the vector is made anew from it.
+    """
+    def given(column: str, name: str, fields: tuple[str, ...]) -> DataFrame:
+        rows = incoming.select("id", "seq", F.posexplode(column).alias("p", "x")).select(F.col("id").alias("firm_id"), F.struct("seq", "p").alias("seq"), *[F.col(f"x.{c}").alias(c) for c in (name, *fields)])
+        return rows
+
+    def known(df: DataFrame, name: str, fields: tuple[str, ...]) -> DataFrame:
+        return df.select("firm_id", F.struct(F.col("id").alias("seq"), F.lit(0).alias("p")).alias("seq"), name, *fields)
+
+    people = merge_children(known(partners, "name", ()), given("partners", "name", ()), "name", ())
+    owned = merge_children(known(companies, "company_name", ("sector",)), given("portfolio_companies", "company_name", ("sector",)), "company_name", ("sector",))
+
+    def listed(df: DataFrame, name: str, out: str) -> DataFrame:
+        rows = df.groupBy(F.col("firm_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("is_new", "at", name))).alias(out))
+        return rows.select("id", F.col(f"{out}.{name}").alias(out))
+
+    merged = merge_firms(firms, incoming, now).join(listed(people, "name", "names"), "id", "left").join(listed(owned, "company_name", "company_names"), "id", "left")
+    text = embedding_text(F.col("firm_name"), F.col("website"), *[F.array_join(c, " ") for c in (*LISTS, "names", "company_names")])
+    return embed_text(merged.withColumn("embedding_text", text).drop("names", "company_names"), "embedding_text"), people, owned
+
+
+def insert_missing_children(existing: DataFrame, incoming: DataFrame, name: str, order: str | None = None) -> DataFrame:
+    """``existing`` plus the incoming children whose (firm, lower-case name) it does not hold, each once: the first row in
+    ``order``, or else the one whose name comes first."""
+    rows = incoming.withColumn("k", text_key(F.col(name)))
+    new = rows.groupBy("firm_id", "k").agg(F.min_by(F.struct(*incoming.columns), order or name).alias("x"))
     held = existing.select("firm_id", text_key(F.col(name)).alias("k")).distinct()
-    return existing.unionByName(new.join(held, ["firm_id", "k"], "left_anti").drop("k"), allowMissingColumns=True)
+    return existing.unionByName(new.join(held, ["firm_id", "k"], "left_anti").select("x.*"), allowMissingColumns=True)
 
 
 def merge_groups(records: DataFrame) -> DataFrame:
     """One record for each entity_id from records (entity_id, seq, firm, website, lists, partners, portfolio_companies), in
-    order of seq: the first non-blank scalar, and unions that take spellings of different case as one."""
-    cols = ("firm", "website", *LISTS, "partners", "portfolio_companies")
-    rows = records.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("seq", *cols))).alias("rows"))
-    first = lambda c: F.coalesce(F.get(F.filter(F.col(f"rows.{c}"), lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(0)), F.lit(""))
-    every = lambda c: F.flatten(F.filter(F.col(f"rows.{c}"), lambda x: x.isNotNull()))
-    none = F.array().cast("array<string>")
-    by_name = lambda c, k: keyed_distinct(F.filter(every(c), lambda x: F.trim(x.getField(k)) != ""), lambda x: text_key(x.getField(k)))
-    return rows.select(
-        "entity_id", first("firm").alias("firm"), first("website").alias("website"), *[union_any_case(every(c), none).alias(c) for c in LISTS],
-        by_name("partners", "name").alias("partners"), by_name("portfolio_companies", "company_name").alias("portfolio_companies"),
-    )
+    order of seq: the first non-blank scalar, and unions that take spellings of different case as one.
+
+    Elements are brought together by (entity, list, key) first, so a group's repeats meet in partial sums and the record
+    of an entity holds each element once.
+    """
+    kinds = {c: records.schema[c].dataType.elementType.simpleString() for c in ("partners", "portfolio_companies")}
+    shape = f"array<struct<list:string,pos:int,k:string,s:string,p:{kinds['partners']},c:{kinds['portfolio_companies']}>>"
+
+    def elements(column: str, key, slot: str) -> Column:
+        values = {z: F.lit(None) for z in "spc"}
+        one = lambda x, i: F.struct(F.lit(column).alias("list"), i.alias("pos"), text_key(key(x)).alias("k"), *[(x if z == slot else v).alias(z) for z, v in values.items()])
+        return F.transform(F.coalesce(column, F.array().cast(records.schema[column].dataType)), one).cast(shape)
+
+    every = F.concat(*[elements(c, lambda x: x, "s") for c in LISTS], elements("partners", lambda x: x["name"], "p"), elements("portfolio_companies", lambda x: x.company_name, "c"))
+    rows = records.select("entity_id", "seq", F.explode(every).alias("x")).where("x.k <> ''").select("entity_id", "seq", "x.*")
+    first = rows.groupBy("entity_id", "list", "k").agg(F.min(F.struct("seq", "pos")).alias("at"), F.min_by(F.struct("s", "p", "c"), F.struct("seq", "pos")).alias("v"))
+
+    def united(column: str, slot: str) -> Column:
+        found = F.array_sort(F.collect_list(F.when(F.col("list") == column, F.struct("at", F.col(f"v.{slot}").alias("v")))), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
+        return F.transform(found, lambda x: x["v"]).alias(column)
+
+    lists = first.groupBy("entity_id").agg(*[united(c, "s") for c in LISTS], united("partners", "p"), united("portfolio_companies", "c"))
+    scalars = records.groupBy("entity_id").agg(*[F.coalesce(F.min_by(c, F.when(F.coalesce(c, F.lit("")) != "", F.col("seq"))), F.lit("")).alias(c) for c in ("firm", "website")])
+    out = scalars.join(lists, "entity_id", "left")
+    return out.select("entity_id", "firm", "website", *[F.coalesce(c, F.array().cast(lists.schema[c].dataType)).alias(c) for c in (*LISTS, "partners", "portfolio_companies")])

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from firmlake.functions.arrays import cosine, norm
-
-#: Queries up to which their block is broadcast to the firms; more are joined by Spark's own choice.
+#: Queries that go to the firms together.
 QUERY_BLOCK = 10_000
+FACETS = (("focus_sectors", "q_sector"), ("investment_stage", "q_stage"), ("geography", "q_geography"))
+BOOSTS = (0.15, 0.05, 0.10)
 
 
 def facet_filter(sector: str | None = None, stage: str | None = None, geography: str | None = None) -> Column:
@@ -23,28 +27,80 @@ def _has(array: str, value: str) -> Column:
     return F.col(value).isNotNull() & F.array_contains(array, F.col(value))
 
 
-def search(firms: DataFrame, queries: DataFrame, limit: int = 10, filter_mode: str = "filter") -> DataFrame:
+def _block_top(frame: pd.DataFrame, queries: pd.DataFrame, limit: int, filtering: bool) -> pd.DataFrame:
+    """The rows of a batch of firms that may be among the ``limit`` best of each query, with their distance."""
+    def matrix(vectors: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        by_width: dict[int, list[int]] = {}
+        whole = [None if v is None else np.array([np.nan if z is None else z for z in v], float) for v in vectors]
+        for k, v in enumerate(whole):
+            if v is not None and len(v) and np.isfinite(v).all() and v.any():
+                by_width.setdefault(len(v), []).append(k)
+        return {w: (np.array(at), np.array([whole[k] for k in at])) for w, at in by_width.items()}
+
+    def holds(array: str, wanted: pd.Series) -> np.ndarray:
+        """Whether a firm's list holds a query's facet."""
+        values = {v: frame[array].map(lambda x, v=v: x is not None and v in x).to_numpy(bool) for v in wanted.dropna().unique()}
+        return np.column_stack([values.get(v, np.zeros(len(frame), bool)) for v in wanted]) if len(wanted) else np.zeros((len(frame), 0), bool)
+
+    facets = {(c, v): holds(c, queries[v]) for c, v in FACETS}
+    firms, asked, out = matrix(frame.embedding), matrix(queries.query_vector), []
+    for width, (rows, x) in firms.items():
+        if width not in asked:
+            continue
+        columns, q = asked[width]
+        near = x @ q.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(q, axis=1)[None, :]
+        if filtering:
+            for (_, v), has in facets.items():
+                near[~(has[np.ix_(rows, columns)] | queries[v].isna().to_numpy()[columns][None, :])] = -np.inf
+            score, slack = near, 1e-9
+        else:
+            score = near + sum(w * facets[f][np.ix_(rows, columns)] for f, w in zip(FACETS, BOOSTS))
+            slack = 2e-4  # scores are rounded to four places before they are compared
+        last = np.sort(score, axis=0)[-min(limit, len(rows))] - slack
+        i, j = np.nonzero((score >= last[None, :]) & np.isfinite(score))
+        a, b = x[i], q[j]
+        cosine = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
+        part = frame.iloc[rows[i]].drop(columns="embedding").reset_index(drop=True)
+        mine = queries.iloc[columns[j]].drop(columns="query_vector").reset_index(drop=True)
+        out.append(pd.concat([part, mine], axis=1).assign(distance=1 - cosine))
+    return pd.concat(out) if out else frame.iloc[:0].drop(columns="embedding").assign(**{c: pd.Series(dtype=object) for c in queries.columns if c != "query_vector"}, distance=pd.Series(dtype=float))
+
+
+def search(firms: DataFrame, queries: DataFrame, limit: int = 10, filter_mode: str = "filter", block: int = QUERY_BLOCK) -> DataFrame:
     """The ``limit`` nearest firms of each query and their hybrid score.
 
     ``queries``: query_id, query_vector, and optional sector, stage, geography (null: not given). "filter" keeps firms
     that match all given facets, cuts at the nearest ``limit`` and then scores; "boost" scores all firms and cuts by
     score. Firms or queries without a usable vector are left out. Ties go to the smaller firm id.
+
+    Queries go to the tasks in blocks of at most ``block``; a task multiplies a batch of firms with a block and passes on
+    the few rows that may be among the best.
     """
     q = queries.select("query_id", "query_vector", *[F.col(c) if c in queries.columns else F.lit(None).cast("string").alias(c) for c in ("sector", "stage", "geography")])
     q = q.withColumnsRenamed({"sector": "q_sector", "stage": "q_stage", "geography": "q_geography"})
-    small = q.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
-    match = reduce(lambda a, b: a & b, [F.col(v).isNull() | F.array_contains(c, F.col(v)) for c, v in FACETS]) if filter_mode == "filter" else F.lit(True)
-    pairs = firms.where(norm(F.col("embedding")) > 0).join(F.broadcast(q) if small else q, match, "inner")
-    scored = pairs.withColumn("distance", 1 - cosine(F.col("embedding"), F.col("query_vector"))).where("distance is not null").drop("embedding", "query_vector")
-    boost = sum(F.when(_has(c, v), w).otherwise(0.0) for (c, v), w in zip(FACETS, (0.15, 0.05, 0.10)))
+    blocks = max(1, -(-q.count() // block))
+    kept = [f for f in firms.schema.fields if f.name != "embedding"]
+    schema = T.StructType([*kept, *[f for f in q.schema.fields if f.name != "query_vector"], T.StructField("distance", T.DoubleType())])
+    filtering, parts = filter_mode == "filter", []
+    for k in range(blocks):
+        some = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toPandas()
+        held = firms.sparkSession.sparkContext.broadcast(some)
+
+        def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    yield _block_top(frame, held.value, limit, filtering)
+
+        parts.append(firms.mapInPandas(run, schema))
+    scored = reduce(DataFrame.unionByName, parts)
+    boost = sum(F.when(_has(c, v), w).otherwise(0.0) for (c, v), w in zip(FACETS, BOOSTS))
     scored = scored.withColumn("hybrid_score", F.round(1 - F.col("distance") + boost, 4))
-    order = [F.col("distance"), F.col("id")] if filter_mode == "filter" else [F.desc("hybrid_score"), F.col("distance"), F.col("id")]
+    order = [F.col("distance"), F.col("id")] if filtering else [F.desc("hybrid_score"), F.col("distance"), F.col("id")]
     top = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= limit)
     last = Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), "distance", "id")
     return top.withColumn("rank", F.row_number().over(last)).withColumn("match_percent", F.least(F.round((1 - F.col("distance")) * 100, 2), F.lit(100.0)))
 
 
-FACETS = (("focus_sectors", "q_sector"), ("investment_stage", "q_stage"), ("geography", "q_geography"))
 
 
 def explain_match(df: DataFrame) -> DataFrame:

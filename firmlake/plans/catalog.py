@@ -48,7 +48,7 @@ def _names(column: str) -> Query:
 
 
 def _vectors(spark: SparkSession, d: str, **facets: str | None) -> DataFrame:
-    q = t.table(spark, d, "embeddings").where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    q = t.table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return q.withColumns({k: F.lit(v).cast("string") for k, v in facets.items()})
 
 
@@ -95,7 +95,7 @@ def embedding_texts(s, d):
 
 
 def embed_texts(s, d):
-    return embed_text(embedding_texts(s, d), "embedding_text").select("id", F.size("embedding").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("norm"))
+    return embed_text(embedding_texts(s, d), "embedding_text").select("id", _text(F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("string"))).alias("embedding"))
 
 
 def list_firms_page(s, d):
@@ -117,7 +117,7 @@ def list_companies(s, d):
 
 def firm_details(s, d):
     out = listing.nest_children(t.firms(s, d, False), t.partners(s, d), t.portfolio(s, d))
-    return out.select("id", F.size("partners").alias("partners"), _text(F.transform("companies", lambda c: F.concat(c.company_name, F.lit("/"), c.sector))).alias("companies"))
+    return out.select("id", _text(F.transform("partners", lambda p: p["name"])).alias("partners"), _text(F.transform("companies", lambda c: F.concat(c.company_name, F.lit("/"), c.sector))).alias("companies"))
 
 
 def metrics(s, d):
@@ -292,13 +292,17 @@ def links_top10(s, d):
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
-    return t.table(spark, d, "pages").select(F.col("page_id").alias("seq"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".md")).alias("file"), "url", F.substring("html", 1, 200).alias("markdown"))
+    return t.table(spark, d, "pages").select(F.col("page_id").alias("seq"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".md")).alias("file"), "url", F.col("html").alias("markdown"))
 
 
 def domain_bundles(s, d):
     return pages.domain_bundles(_stored(s, d)).select("domain", "safe_name", "homepage_url", _text("files").alias("files"), F.sha2("markdown", 256).alias("markdown_sha256"))
 
 
+def bundle_parts(s, d):
+    return pages.bundle_parts(_stored(s, d), 50_000).select("domain", "part", _text("files").alias("files"), F.sha2("markdown", 256).alias("markdown_sha256"))
+
+
 def bundle_incremental_skip(s, d):
     b = pages.domain_bundles(_stored(s, d))
     done = pages.domain_bundles(_stored(s, d).where("seq % 5 <> 0")).select("domain", F.col("files").alias("processed_files"))
@@ -327,7 +331,7 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_extract(s, d):
-    return _responses(s, d).select("source_url", records.json_object(F.col("response")).isNotNull().alias("has_json"))
+    return _responses(s, d).select("source_url", F.to_json(records.json_object(F.col("response"))).alias("json"))
 
 
 def normalise_records(s, d):
@@ -401,7 +405,7 @@ def partner_filter(s, d):
 
 def _incoming(spark: SparkSession, d: str) -> DataFrame:
     """A batch to load: names with other endings and case, on other sites."""
-    return t.table(spark, d, "customer").where("c_custkey % 3 = 0").select(
+    return t.table(spark, d, "customer").select(
         F.col("c_custkey").alias("seq"), F.expr("CASE c_custkey % 4 WHEN 0 THEN upper(c_name) WHEN 1 THEN concat(c_name, ' Ventures') WHEN 2 THEN concat('New ', c_custkey) ELSE 'Capital Group' END").alias("firm_name"),
         F.expr("CASE WHEN c_custkey % 2 = 0 THEN concat('http://firm-', c_custkey % 150, '.example.com/team') ELSE '' END").alias("website"), F.expr("concat('https://www.firm-', c_custkey % 130, '.example.com')").alias("source_url"),
     )
@@ -426,9 +430,9 @@ def ordered_ci_union(s, d):
 
 
 def merge_children(s, d):
-    a = t.portfolio(s, d).groupBy("firm_id", "company_name").agg(F.max(F.when(F.col("id") % 2 == 0, F.col("sector")).otherwise("")).alias("sector"))
-    b = t.portfolio(s, d).select((F.col("firm_id") + F.col("id") % 2).alias("firm_id"), F.upper("company_name").alias("company_name"), "sector")
-    return entities.merge_children(a, b, "company_name", ("sector",))
+    a = t.portfolio(s, d).select("firm_id", F.col("id").alias("seq"), "company_name", F.when(F.col("id") % 2 == 0, F.col("sector")).otherwise("").alias("sector"))
+    b = t.portfolio(s, d).select((F.col("firm_id") + F.col("id") % 2).alias("firm_id"), F.col("id").alias("seq"), F.upper("company_name").alias("company_name"), "sector")
+    return entities.merge_children(a, b, "company_name", ("sector",)).drop("is_new", "at")
 
 
 def insert_missing_children(s, d):
@@ -438,19 +442,56 @@ def insert_missing_children(s, d):
 
 def merge_firms(s, d):
     old = t.firms(s, d, False).withColumn("source_url", F.when(F.col("id") % 2 == 0, F.col("website")).otherwise("")).withColumn("created_at", F.col("updated_at"))
-    new = _facets(s, d).where("id % 3 = 0").select((F.col("id") + F.when(F.col("id") % 2 == 0, 0).otherwise(1_000_000)).alias("id"), F.concat(F.lit("Firm "), F.col("id").cast("string")).alias("firm_name"), F.when(F.col("id") % 4 == 0, "").otherwise("https://new.example.com").alias("website"), F.lit("https://src.example.com").alias("source_url"), "focus_sectors", "investment_stage", "geography")
+    new = _facets(s, d).select(F.col("id").alias("seq"), (F.col("id") + F.when(F.col("id") % 2 == 0, 0).otherwise(1_000_000)).alias("id"), F.concat(F.lit("Firm "), F.col("id").cast("string")).alias("firm_name"), F.when(F.col("id") % 4 == 0, "").otherwise("https://new.example.com").alias("website"), F.lit("https://src.example.com").alias("source_url"), "focus_sectors", "investment_stage", "geography")
     out = entities.merge_firms(old, new, F.lit("2025-01-01").cast("timestamp"))
     return out.select("id", "firm_name", "website", "source_url", *[_text(c).alias(c) for c in ("focus_sectors", "investment_stage", "geography")], "embedding_text", F.date_format("updated_at", "yyyy-MM-dd").alias("updated_on"))
 
 
+def firm_upsert(s, d):
+    """Records for every other firm: two partners each, and companies that it may hold in another spelling."""
+    old = t.firms(s, d, False).withColumn("source_url", F.lit("")).withColumn("created_at", F.col("updated_at"))
+    k = F.col("id")
+    people = F.array(F.struct(F.concat(F.lit("Ann "), (k % 5).cast("string")).alias("name")), F.struct(F.concat(F.lit("supplier#"), F.lpad((k % 9).cast("string"), 9, "0")).alias("name")))
+    owned = F.array(F.struct(F.concat(F.lit("Acme "), (k % 3).cast("string")).alias("company_name"), F.lit("x").alias("sector")), F.struct(F.upper("firm_name").alias("company_name"), F.lit("y").alias("sector")))
+    new = old.where("id % 2 = 0").select(k.alias("seq"), "id", "firm_name", F.lit("").alias("website"), "source_url", "focus_sectors", "investment_stage", "geography", people.alias("partners"), owned.alias("portfolio_companies"))
+    out, people, owned = entities.upsert_firms(old, t.partners(s, d), t.portfolio(s, d), new, F.lit("2025-01-01").cast("timestamp"))
+    counts = people.groupBy(F.col("firm_id").alias("id")).agg(F.count("*").alias("partners")).join(owned.groupBy(F.col("firm_id").alias("id")).agg(F.count("*").alias("companies")), "id", "full_outer")
+    return out.join(counts, "id", "left").select("id", F.sha2("embedding_text", 256).alias("text_sha256"), F.size("embedding").alias("width"), F.coalesce("partners", F.lit(0)).alias("partners"), F.coalesce("companies", F.lit(0)).alias("companies"))
+
+
+def list_children_of(s, d):
+    return listing.list_children(t.partners(s, d), t.firms(s, d, False), "name", firm_id=7, limit=250).select("firm_id", "id", "name", "firm_name")
+
+
+def firm_by_id(s, d):
+    out = listing.firm_detail(t.firms(s, d, False), t.partners(s, d), t.portfolio(s, d), 7)
+    return out.select("id", "firm_name", _text(F.transform("partners", lambda p: p["name"])).alias("partners"), _text(F.transform("companies", lambda c: c.company_name)).alias("companies"))
+
+
+def mock_file_filter(s, d):
+    p = t.table(s, d, "pages").select("page_id", F.concat(F.when(F.col("page_id") % 4 == 0, "x_MOCK_Investor_").otherwise("investor_"), F.col("page_id").cast("string"), F.lit(".json")).alias("file_name"))
+    return validation.without_mocks(p)
+
+
+def page_sidecar_join(s, d):
+    p = t.table(s, d, "pages").select("page_id", "url", F.regexp_replace("url", F.when(F.col("page_id") % 3 == 0, F.lit("^https?://|[^a-zA-Z0-9]")).otherwise(F.lit("[^a-zA-Z0-9]")), F.lit("_")).alias("name"), F.col("html").alias("markdown"))
+    p = p.select("page_id", "url", F.concat("name", F.lit("_"), F.col("page_id").cast("string")).alias("stem"), "markdown")
+    side = p.where("page_id % 2 = 0").select("stem", F.when(F.col("page_id") % 10 == 0, "").otherwise(F.col("url")).alias("url"))
+    return pages.with_source_urls(p.drop("url"), side).select("page_id", "url", "url_reconstructed")
+
+
+def joined_arrays(s, d):
+    return listing.joined(t.firms(s, d, False), "focus_sectors", "investment_stage", "geography").select("id", "focus_sectors", "investment_stage", "geography")
+
+
 def group_merge(s, d):
     f = t.firms(s, d, False)
     rows = f.select(
-        (F.col("id") % 50).alias("entity_id"), F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, F.col("firm_name")).otherwise("").alias("firm"), "website", "focus_sectors", "investment_stage", "geography",
+        F.floor(F.col("id") / 8).alias("entity_id"), F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, F.col("firm_name")).otherwise("").alias("firm"), "website", "focus_sectors", "investment_stage", "geography",
         F.array(F.struct(F.concat(F.lit("Partner "), (F.col("id") % 5).cast("string")).alias("name"))).alias("partners"), F.array(F.struct(F.upper(F.col("firm_name")).alias("company_name"))).alias("portfolio_companies"),
     )
     out = entities.merge_groups(rows)
-    return out.select("entity_id", "firm", "website", *[_text(c).alias(c) for c in ("focus_sectors", "investment_stage", "geography")], F.size("partners").alias("partners"), F.size("portfolio_companies").alias("companies"))
+    return out.select("entity_id", "firm", "website", *[_text(c).alias(c) for c in ("focus_sectors", "investment_stage", "geography")], _text(F.transform("partners", lambda p: p["name"])).alias("partners"), _text(F.transform("portfolio_companies", lambda c: c.company_name)).alias("companies"))
 
 
 def pair_resolution(s, d):
@@ -486,11 +527,11 @@ QUERIES: dict[str, Query] = {
     "queue_summary": queue_summary, "crawl_ledger_upsert": crawl_ledger_upsert, "recrawl_filter": recrawl_filter, "first_hit_per_site": first_hit_per_site, "first_hit_per_url": first_hit_per_url, "paging_stop": paging_stop,
     "url_budget": url_budget, "priority_score": priority_score, "relevance_tier": relevance_tier, "keyword_prefilter": keyword_prefilter, "discovery_gate": discovery_gate, "discover": discover,
     "query_universe": query_universe, "facet_queries": facet_queries, "profile_queries": profile_queries, "theme_expansion": theme_expansion, "team_page_candidates": team_page_candidates, "subpages": subpages,
-    "html_text": html_text, "markdown_links": markdown_links, "links_top10": links_top10, "domain_bundles": domain_bundles, "bundle_incremental_skip": bundle_incremental_skip, "context_slice": context_slice,
+    "html_text": html_text, "markdown_links": markdown_links, "links_top10": links_top10, "domain_bundles": domain_bundles, "bundle_parts": bundle_parts, "bundle_incremental_skip": bundle_incremental_skip, "context_slice": context_slice,
     "page_rank_in_domain": page_rank_in_domain, "min_length_gate": min_length_gate,
     "json_extract": json_extract, "normalise_records": normalise_records, "taxonomy_step1": taxonomy_step1, "taxonomy_step2": taxonomy_step2, "sparse_recovery": sparse_recovery, "validate_reason": validate_reason,
     "provenance_reason": provenance_reason, "partner_filter": partner_filter,
     "dup_exact": _duplicates(1), "dup_key": _duplicates(2), "dup_domain": _duplicates(3), "dup_cascade": _duplicates(None), "firm_key_dedup": firm_key_dedup, "ordered_ci_union": ordered_ci_union, "merge_children": merge_children,
-    "insert_missing_children": insert_missing_children, "merge_firms": merge_firms, "group_merge": group_merge, "pair_resolution": pair_resolution, "entity_components": entity_components,
+    "insert_missing_children": insert_missing_children, "merge_firms": merge_firms, "group_merge": group_merge, "firm_upsert": firm_upsert, "list_children_of": list_children_of, "firm_by_id": firm_by_id, "mock_file_filter": mock_file_filter, "page_sidecar_join": page_sidecar_join, "joined_arrays": joined_arrays, "pair_resolution": pair_resolution, "entity_components": entity_components,
     "log_level_counts": log_level_counts, "log_tail": log_tail, "log_matches": log_matches,
 }

@@ -7,7 +7,7 @@ import re
 from firmlake.functions import rules
 
 LI = """li AS (SELECT o_custkey, p_partkey, p_name, p_type, s_suppkey, s_name, o_orderpriority, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1 AND l_returnflag = 'R')"""
+    JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
 FIRMS = LI + """, facets AS (SELECT o_custkey, list_sort(list_distinct(list(p_type))) fs, list_sort(list_distinct(list(o_orderpriority))) st, max(l_shipdate) u FROM li GROUP BY 1),
   firms AS (SELECT c_custkey id, c_name firm_name, 'https://www.firm-' || (c_custkey % 100) || '.example.com/' website, coalesce(fs, []) focus_sectors,
     coalesce(st, []) investment_stage, [n_name, r_name] geography, u updated_at, embedding FROM customer JOIN nation ON c_nationkey = n_nationkey
@@ -69,7 +69,7 @@ def _names(column: str) -> str:
     return f"WITH {NAME_CASES}, {names('name_cases')} SELECT id, {column} FROM n"
 
 
-SCORED = """q AS (SELECT vec_id query_id, embedding qv FROM embeddings WHERE vec_id < 3),
+SCORED = """q AS (SELECT vec_id query_id, embedding qv FROM embeddings WHERE vec_id % 20 = 0),
   s AS (SELECT query_id, f.*, 1 - list_cosine_similarity(f.embedding::DOUBLE[], qv::DOUBLE[]) distance FROM firms f, q)"""
 
 
@@ -133,7 +133,7 @@ PROFILE_QUERIES = f"""WITH {THEMES}, {EXPANSIONS}, p AS (SELECT profile_id, CASE
     UNION SELECT profile_id, expanded || ' ' || w FROM p JOIN expansion ON t = theme, w UNION SELECT profile_id, expanded || ' investors in ' || p FROM p JOIN expansion ON t = theme),
   sm AS (SELECT * FROM made WHERE query IS NOT NULL) SELECT * FROM sm
   UNION ALL SELECT profile_id, x FROM p, (VALUES {', '.join('(' + repr(q) + ')' for q in rules.FALLBACK_QUERIES)}) y(x) WHERE profile_id NOT IN (SELECT profile_id FROM sm)"""
-STORED = "stored AS (SELECT page_id seq, 'p' || page_id || '.md' \"file\", url, substr(html, 1, 200) markdown FROM pages)"
+STORED = "stored AS (SELECT page_id seq, 'p' || page_id || '.md' \"file\", url, html markdown FROM pages)"
 DEPTH = urls("stored") + r""", ranked AS (SELECT *, CASE WHEN trim(d0, '/') = '' THEN 0 ELSE length(trim(d0, '/')) - length(replace(trim(d0, '/'), '/', '')) + 1 END AS "depth"
     FROM (SELECT *, regexp_replace(regexp_extract(t, '^https?://[^/?#]*([^?#]*)', 1), ';[^/]*$', '') d0 FROM u))"""
 BUNDLE = f"""WITH {STORED}, {DEPTH}, b AS (SELECT "domain", list("file" ORDER BY "depth", seq) files, first(url ORDER BY "depth", seq) homepage_url,
@@ -148,7 +148,7 @@ LINKS = rf"""md AS (SELECT page_id, url, regexp_replace(html, '<a href="([^"]*)"
   {urls('l2', 'k', 'link')}, links AS (SELECT DISTINCT page_url url, link FROM k WHERE reject_reason = 'ok' AND link <> page_url
     AND replace(lower(regexp_extract(link, {HOST}, 1)), 'www.', '') = replace(lower(regexp_extract(page_url, {HOST}, 1)), 'www.', ''))"""
 INCOMING = """inc AS (SELECT c_custkey seq, CASE c_custkey % 4 WHEN 0 THEN upper(c_name) WHEN 1 THEN c_name || ' Ventures' WHEN 2 THEN 'New ' || c_custkey ELSE 'Capital Group' END "name",
-    CASE WHEN c_custkey % 2 = 0 THEN 'firm-' || (c_custkey % 150) || '.example.com' ELSE 'firm-' || (c_custkey % 130) || '.example.com' END site FROM customer WHERE c_custkey % 3 = 0)"""
+    CASE WHEN c_custkey % 2 = 0 THEN 'firm-' || (c_custkey % 150) || '.example.com' ELSE 'firm-' || (c_custkey % 130) || '.example.com' END site FROM customer)"""
 CASCADE = f"""WITH {FIRMS}, {names('firms', 'firm_name', 'f')}, {INCOMING}, {names('inc')}, c AS (SELECT seq, (SELECT min(id) FROM firms WHERE lower(firm_name) = lower(n."name")) t1,
     (SELECT min(id) FROM f WHERE f.firm_key = n.firm_key AND n.firm_key <> '') t2, (SELECT min(id) FROM firms WHERE 'firm-' || (id % 100) || '.example.com' = n.site) t3 FROM n),
   casc AS (SELECT seq, coalesce(t1, t2, t3) duplicate_id, CASE WHEN t1 IS NOT NULL THEN 1 WHEN t2 IS NOT NULL THEN 2 WHEN t3 IS NOT NULL THEN 3 END tier FROM c)"""
@@ -180,7 +180,7 @@ ORACLE: dict[str, str] = {
     "firm_pages": "SELECT count(*) total, greatest(1, ceil(count(*) / 15.0))::BIGINT pages FROM customer",
     "list_partners_by_firm": f"WITH {FIRMS}, {PARTNERS} SELECT firm_id, p.id, p.\"name\", firm_name FROM partners p JOIN firms f ON f.id = firm_id WHERE p.\"name\" ILIKE '%supplier%' AND firm_name ILIKE '%00001%' ORDER BY p.\"name\", firm_id, p.id LIMIT 100",
     "list_companies": f"WITH {FIRMS}, {PORTFOLIO} SELECT firm_id, p.id, company_name, firm_name FROM portfolio p LEFT JOIN firms f ON f.id = firm_id WHERE company_name ILIKE '%w%t%' ORDER BY company_name, firm_id, p.id LIMIT 250 OFFSET 5",
-    "firm_detail": f"""WITH {FIRMS}, {PARTNERS}, {PORTFOLIO} SELECT id, (SELECT count(*) FROM partners p WHERE p.firm_id = f.id)::INT partners,
+    "firm_detail": f"""WITH {FIRMS}, {PARTNERS}, {PORTFOLIO} SELECT id, coalesce((SELECT string_agg(p."name", '|' ORDER BY p.id, p."name") FROM partners p WHERE p.firm_id = f.id), '') partners,
       coalesce((SELECT string_agg(company_name || '/' || sector, '|' ORDER BY p.id, company_name, sector) FROM portfolio p WHERE p.firm_id = f.id), '') companies FROM firms f""",
     "metrics": f"WITH {FIRMS}, {PARTNERS}, {PORTFOLIO} SELECT (SELECT count(*) FROM firms) firms, (SELECT max(updated_at) FROM firms) last_updated, (SELECT count(*) FROM partners) partners, (SELECT count(*) FROM portfolio) companies",
     "sector_distribution": f"WITH {FIRMS} SELECT trim(x) \"value\", count(*) n FROM (SELECT unnest(focus_sectors) x FROM firms) WHERE trim(x) <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6",
@@ -245,7 +245,8 @@ ORACLE: dict[str, str] = {
       x AS (SELECT id, 'any' kind, list_concat(b, geography) v FROM a UNION ALL SELECT id, 'exact', list_concat(b, [' ']) FROM a), e AS (SELECT id, kind, unnest(v) v, generate_subscripts(v, 1) i FROM x),
       k AS (SELECT id, kind, arg_min(v, i) v, min(i) i FROM e WHERE trim(v) <> '' GROUP BY id, kind, CASE kind WHEN 'any' THEN lower(trim(v)) ELSE v END)
       SELECT id, string_agg(v, '|' ORDER BY i) FILTER (kind = 'any') any_case, string_agg(v, '|' ORDER BY i) FILTER (kind = 'exact') "exact" FROM k GROUP BY id""",
-    "merge_children": f"""WITH {LI}, {PORTFOLIO}, a AS (SELECT firm_id, company_name, max(CASE WHEN id % 2 = 0 THEN sector ELSE '' END) sector FROM portfolio GROUP BY 1, 2), b AS (SELECT firm_id + id % 2 firm_id, upper(company_name) company_name, max(sector) sector FROM portfolio GROUP BY 1, 2)
+    "merge_children": f"""WITH {LI}, {PORTFOLIO}, a AS (SELECT firm_id, arg_min(company_name, id) company_name, arg_min(sector, id) FILTER (id % 2 = 0 AND sector <> '') sector FROM portfolio GROUP BY 1, lower(trim(company_name))),
+      b AS (SELECT firm_id + id % 2 firm_id, upper(arg_min(company_name, id)) company_name, arg_min(sector, id) FILTER (sector <> '') sector FROM portfolio GROUP BY 1, lower(trim(company_name)))
       SELECT coalesce(a.firm_id, b.firm_id) firm_id, coalesce(a.company_name, b.company_name) company_name, coalesce(nullif(a.sector, ''), b.sector) sector FROM a FULL JOIN b ON a.firm_id = b.firm_id AND lower(a.company_name) = lower(b.company_name)""",
     "insert_missing_children": f"""WITH {LI}, {PORTFOLIO}, a AS (SELECT firm_id, company_name FROM portfolio WHERE id % 2 = 0), b AS (SELECT DISTINCT firm_id, lower(company_name) k FROM portfolio)
       SELECT firm_id, count(*) n FROM (SELECT firm_id FROM a UNION ALL SELECT firm_id FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.firm_id = b.firm_id AND lower(company_name) = k)) GROUP BY 1""",
@@ -276,8 +277,44 @@ def _united(column: str) -> str:
 
 
 ORACLE["merge_firms"] = f"""WITH {FIRMS}, {FACETS}, o AS (SELECT *, CASE WHEN id % 2 = 0 THEN website ELSE '' END source_url FROM firms),
-  n AS (SELECT id + CASE WHEN id % 2 = 0 THEN 0 ELSE 1000000 END id, 'Firm ' || id firm_name, CASE WHEN id % 4 = 0 THEN '' ELSE 'https://new.example.com' END website, focus_sectors, investment_stage, geography FROM fc WHERE id % 3 = 0),
+  n AS (SELECT id + CASE WHEN id % 2 = 0 THEN 0 ELSE 1000000 END id, 'Firm ' || id firm_name, CASE WHEN id % 4 = 0 THEN '' ELSE 'https://new.example.com' END website, focus_sectors, investment_stage, geography FROM fc),
   m AS (SELECT coalesce(n.id, o.id) id, coalesce(n.firm_name, o.firm_name) firm_name, coalesce(nullif(n.website, ''), o.website) website, CASE WHEN n.id IS NULL THEN o.source_url ELSE 'https://src.example.com' END source_url,
     {_united('focus_sectors')} fs1, {_united('investment_stage')} st1, {_united('geography')} ge1, CASE WHEN n.id IS NULL THEN strftime(o.updated_at, '%Y-%m-%d') ELSE '2025-01-01' END updated_on FROM o FULL JOIN n ON o.id = n.id)
   SELECT id, firm_name, website, source_url, {_join('fs1')} focus_sectors, {_join('st1')} investment_stage, {_join('ge1')} geography,
     firm_name || ' ' || coalesce(website, '') || ' ' || coalesce(array_to_string(fs1, ' '), '') || ' ' || coalesce(array_to_string(st1, ' '), '') || ' ' || coalesce(array_to_string(ge1, ' '), '') embedding_text, updated_on FROM m"""
+
+ORACLE["bundle_parts"] = f"""WITH {STORED}, {DEPTH}, n AS (SELECT *, row_number() OVER (PARTITION BY "domain" ORDER BY "depth", seq) k FROM ranked WHERE "domain" <> ''),
+  p AS (SELECT *, (coalesce(sum(length(markdown)) OVER (PARTITION BY "domain" ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 50000)::INT part FROM n)
+  SELECT "domain", part, string_agg("file", '|' ORDER BY k) files, sha256(string_agg(chr(10) || chr(10) || '--- SOURCE URL: ' || url || ' ---' || chr(10) || chr(10) || markdown, '' ORDER BY k)) markdown_sha256 FROM p GROUP BY 1, 2"""
+
+
+def _group_list(name: str, source: str) -> str:
+    """CTE with the ordered union of a list over each group of eight firms."""
+    return f"""{name} AS (SELECT e, string_agg(v, '|' ORDER BY a) v FROM (SELECT e, arg_min(v, a) v, min(a) a FROM (SELECT id // 8 e, v, id * 10000 + i a FROM ({source})) WHERE trim(v) <> '' GROUP BY e, lower(trim(v))) GROUP BY e)"""
+
+
+_LISTS = ("focus_sectors", "investment_stage", "geography")
+ORACLE["group_merge"] = f"""WITH {FIRMS}, {', '.join(_group_list(f'g_{c}', f'SELECT id, unnest({c}) v, generate_subscripts({c}, 1) i FROM firms') for c in _LISTS)},
+  {_group_list('g_partners', "SELECT id, 'Partner ' || id % 5 v, 1 i FROM firms")}, {_group_list('g_companies', 'SELECT id, upper(firm_name) v, 1 i FROM firms')},
+  s AS (SELECT id // 8 e, coalesce(arg_min(firm_name, id) FILTER (id % 3 = 0), '') firm, arg_min(website, id) website FROM firms GROUP BY 1)
+  SELECT e entity_id, firm, website, {', '.join(f"coalesce(g_{c}.v, '') {c}" for c in (*_LISTS, 'partners', 'companies'))} FROM s {' '.join(f'LEFT JOIN g_{c} USING (e)' for c in (*_LISTS, 'partners', 'companies'))}"""
+
+
+def _after_upsert(child: str, name: str, new: str) -> str:
+    """Names of each firm's children after the upsert, existing ones by id first, then new ones in their order."""
+    return f"""SELECT firm_id, count(*) n, string_agg(nm, ' ' ORDER BY is_new, a) names FROM (SELECT firm_id, arg_min(nm, (is_new, a)) nm, min(is_new) is_new, arg_min(a, (is_new, a)) a FROM (
+    SELECT firm_id, "{name}" nm, 0 is_new, id a FROM {child} UNION ALL SELECT id, unnest({new}), 1, generate_subscripts({new}, 1) FROM firms WHERE id % 2 = 0) GROUP BY firm_id, lower(trim(nm))) GROUP BY 1"""
+
+
+_PEOPLE, _OWNED = "['Ann ' || id % 5, 'supplier#' || lpad((id % 9)::VARCHAR, 9, '0')]", "['Acme ' || id % 3, upper(firm_name)]"
+ORACLE["firm_upsert"] = f"""WITH {FIRMS}, {PARTNERS}, {PORTFOLIO}, pe AS ({_after_upsert('partners', 'name', _PEOPLE)}), ow AS ({_after_upsert('portfolio', 'company_name', _OWNED)})
+  SELECT id, sha256(firm_name || ' ' || website || ' ' || {' '.join(f"coalesce(array_to_string({c}, ' '), '') || ' ' ||" for c in _LISTS)} coalesce(pe.names, '') || ' ' || coalesce(ow.names, '')) text_sha256, 64 width, coalesce(pe.n, 0) partners, coalesce(ow.n, 0) companies
+  FROM firms LEFT JOIN pe ON pe.firm_id = id LEFT JOIN ow ON ow.firm_id = id"""
+ORACLE["list_children_of"] = f'WITH {FIRMS}, {PARTNERS} SELECT firm_id, p.id, p."name", firm_name FROM partners p LEFT JOIN firms f ON f.id = firm_id WHERE firm_id = 7 ORDER BY p."name", p.id LIMIT 250'
+ORACLE["firm_by_id"] = f"""WITH {FIRMS}, {PARTNERS}, {PORTFOLIO} SELECT id, firm_name, coalesce((SELECT string_agg(p."name", '|' ORDER BY p.id) FROM partners p WHERE p.firm_id = 7), '') partners,
+  coalesce((SELECT string_agg(company_name, '|' ORDER BY p.id) FROM portfolio p WHERE p.firm_id = 7), '') companies FROM firms WHERE id = 7"""
+ORACLE["mock_file_filter"] = "SELECT page_id, 'investor_' || page_id || '.json' file_name FROM pages WHERE page_id % 4 <> 0"
+ORACLE["page_sidecar_join"] = """WITH p AS (SELECT page_id, url, replace(regexp_replace(url, CASE WHEN page_id % 3 = 0 THEN '^https?://|[^a-zA-Z0-9]' ELSE '[^a-zA-Z0-9]' END, '_', 'g') || '_' || page_id, '_', '/') n FROM pages)
+  SELECT page_id, CASE WHEN page_id % 2 = 0 AND page_id % 10 <> 0 THEN url WHEN starts_with(n, 'http') THEN n ELSE 'https://' || n END url, NOT (page_id % 2 = 0 AND page_id % 10 <> 0) url_reconstructed FROM p"""
+_SHOWN = ", ".join(f"coalesce(array_to_string({c}, ', '), '') {c}" for c in _LISTS)
+ORACLE["joined_arrays"] = f"WITH {FIRMS} SELECT id, {_SHOWN} FROM firms"

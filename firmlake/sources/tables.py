@@ -70,7 +70,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def narrow_items(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_linenumber = 1 and l_returnflag = 'R'")
+    li = table(spark, d, "lineitem")
     out = li.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return out.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
         "o_custkey", "p_partkey", "p_name", "p_type", "s_suppkey", "s_name", "o_orderpriority", "l_shipdate"

@@ -92,7 +92,7 @@ def test_validation_reasons(spark):
 def test_merge_with_itself_changes_nothing(spark):
     rows = [(1, "A", "", "s", ["x"], [], ["g"], None, None)]
     df = spark.createDataFrame(rows, "id long, firm_name string, website string, source_url string, focus_sectors array<string>, investment_stage array<string>, geography array<string>, created_at timestamp, updated_at timestamp")
-    out = entities.merge_firms(df, df, F.lit("2025-01-01").cast("timestamp")).first()
+    out = entities.merge_firms(df, df.withColumn("seq", F.lit(1)), F.lit("2025-01-01").cast("timestamp")).first()
     assert (out.firm_name, out.website, out.source_url, out.focus_sectors, out.geography) == ("A", "", "s", ["x"], ["g"])
 
 

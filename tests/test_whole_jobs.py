@@ -3,7 +3,6 @@
 import random
 import string
 
-from firmlake.llm import licenses, toxicity
 from firmlake.operators import entities
 
 
@@ -29,38 +28,3 @@ def test_pairs_against_brute_force(spark):
         got = {(r.a, r.b): r for r in found if r.same_entity}
         assert len(found) == len({(r.a, r.b) for r in found}) and got.keys() == want.keys()
         assert all(abs(got[k].confidence - r.confidence) <= 1e-4 and got[k].method == r.method and got[k].fuzzy == r.fuzzy for k, r in want.items())
-
-
-def test_licenses_by_name_and_whole_text(spark):
-    texts = {n: licenses.TEMPLATES[n] for n in licenses.TEXTS}
-    rows = [(k, f"Some words before. {t} And after.") for k, t in enumerate(texts.values())]
-    cases = {
-        "Licensed under CC BY 4.0.": {"CC-BY-4.0-notice"}, "Licensed under CC BY-SA 4.0.": {"CC-BY-SA-4.0-notice"}, "Licensed under CC BY-NC-SA 4.0.": {"CC-BY-NC-SA-4.0-notice"},
-        "Licensed under CC BY-NC 4.0.": {"CC-BY-NC-4.0-notice"}, "This work is licensed under the GNU General Public License, version 2.": {"GPL-2.0-notice"},
-        "This work is licensed under the GNU General Public License, version 3.0.": {"GPL-3.0-notice"}, "This work is licensed under the GNU Affero General Public License, version 3.": {"AGPL-3.0-notice"},
-        "Licensed under the Apache License, Version 1.1": {"Apache-1.1-notice"}, "Licensed under the terms of the Apache License, Version 2.0": {"Apache-2.0-notice"},
-        "Licensed under the Apache License, Version 1.0": set(), "Released under the Apache License.": set(), "Released under the terms of the MIT License.": {"MIT-notice"},
-        licenses.TEMPLATES["GPL-3.0-header"].replace("version 3", "version 2"): {"GPL-2.0-header"}, licenses.TEMPLATES["MIT"][:400]: {"MIT-grant"},
-        licenses.TEMPLATES["BSD-3-Clause"].replace("the University", "Acme Limited"): {"BSD-3-Clause"}, licenses.TEMPLATES["GPL-3.0"].replace("GENERAL", "AFFERO GENERAL", 1).replace("General Public", "Affero General Public"): {"AGPL-3.0-header"},
-        (licenses.TEMPLATES["MIT"] + "\n") * 2: {"MIT"},
-    }
-    rows += [(100 + k, t) for k, t in enumerate(cases)]
-    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
-    for k, (name, text) in enumerate(texts.items()):
-        (r,) = [r for r in got if r.doc_id == k]
-        words = licenses.WORD.findall(text.lower())
-        assert r.license == name and r.coverage == 1 and licenses.WORD.findall(r.passage.lower()) == words
-    for k, (text, want) in enumerate(cases.items()):
-        assert {r.license for r in got if r.doc_id == 100 + k} == want, text[:90]
-    assert sum(r.doc_id == 99 + len(cases) for r in got) == 2
-
-
-def test_misspelled_with_digits_and_symbols():
-    m = toxicity.Matcher([(w, False) for w in toxicity.LEXICON])
-    matches = lambda text: round(float(toxicity.np.expm1(m.features(text)[:4]).sum()))
-    for word in ("id1ot", "m0ron", "st*pid", "ST_PID", "d*mb", "f0ol", "sc#m", "wor7hles5"):
-        assert matches(f"what a {word}, really") == 1, word
-    assert matches("idiot-proof") == 1 and matches("id1ot and stupid") == 2 and matches("\u201cm0ron\u201d") == 1
-    for text in ("user1 sent 12 a1b2c3", "well-known co-op", "d**b", "1234", "f1st", "", None):
-        assert matches(text) == 0, text
-    assert m.features("you are an id1ot")[5] > 0 and m.features("he said id1ot")[4] > 0
