@@ -118,21 +118,35 @@ def _inside(array: str, wanted: Column) -> Column:
     return F.lower(F.array_join(array, " ")).contains(F.lower(F.trim(F.coalesce(wanted, F.lit("")))))
 
 
-def rank_firms(firms: DataFrame, profiles: DataFrame, limit: int = 10) -> DataFrame:
+def _met(firms: DataFrame, profiles: DataFrame, match: Column, block: int) -> DataFrame:
+    """Firms and profiles for which ``match`` holds; profiles go to the firms in blocks of at most ``block``."""
+    blocks = max(1, -(-profiles.count() // block))
+    parts = [firms.join(F.broadcast(profiles.where(F.pmod(F.xxhash64("profile_id"), F.lit(blocks)) == k)), match) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _profiles(profiles: DataFrame) -> DataFrame:
+    return profiles.select("profile_id", F.col("sector").alias("p_sector"), F.col("stage").alias("p_stage"), F.col("geography").alias("p_geography"))
+
+
+def rank_firms(firms: DataFrame, profiles: DataFrame, limit: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
     """Rule score of every firm for every profile (profile_id, sector, stage, geography): 5 + 5 + 3; the best ``limit`` above 0."""
-    p = profiles.select("profile_id", F.col("sector").alias("p_sector"), F.col("stage").alias("p_stage"), F.col("geography").alias("p_geography"))
-    small = p.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
     weights = (("focus_sectors", "p_sector", 5), ("investment_stage", "p_stage", 5), ("geography", "p_geography", 3))
     score = sum(F.when(_inside(c, F.col(v)), w).otherwise(0) for c, v, w in weights)
-    scored = firms.join(F.broadcast(p) if small else p, F.lit(True)).withColumn("score", score).where("score > 0")
+    scored = _met(firms, _profiles(profiles), F.lit(True), block).withColumn("score", score).where("score > 0")
     order = Window.partitionBy("profile_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def match_firms(firms: DataFrame, profiles: DataFrame, exact: bool = False) -> DataFrame:
-    """Firms that match all three facets of a profile: as substrings, or ("exact") as whole elements."""
-    p = profiles.select("profile_id", F.col("sector").alias("p_sector"), F.col("stage").alias("p_stage"), F.col("geography").alias("p_geography"))
-    small = p.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
+def match_firms(firms: DataFrame, profiles: DataFrame, exact: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+    """Firms that match all three facets of a profile: as substrings, or ("exact") as whole elements.
+
+    Whole elements are joined on the sector, so that only firms and profiles that share one meet.
+    """
+    p = _profiles(profiles)
+    if exact:
+        listed = firms.withColumn("__sector", F.explode(F.array_distinct("focus_sectors")))
+        rest = F.array_contains("investment_stage", F.col("p_stage")) & F.array_contains("geography", F.col("p_geography"))
+        return listed.join(p, F.col("__sector") == F.col("p_sector")).where(rest).drop("__sector")
     pairs = (("focus_sectors", "p_sector"), ("investment_stage", "p_stage"), ("geography", "p_geography"))
-    match = reduce(lambda a, b: a & b, [F.array_contains(c, F.col(v)) if exact else _inside(c, F.col(v)) for c, v in pairs])
-    return firms.join(F.broadcast(p) if small else p, match)
+    return _met(firms, p, reduce(lambda a, b: a & b, [_inside(c, F.col(v)) for c, v in pairs]), block)

@@ -495,8 +495,7 @@ def group_merge(s, d):
 
 
 def pair_resolution(s, d):
-    out = entities.resolve_entities(t.firms(s, d))
-    return out.select("a", "b", "same_entity", "confidence", "method")
+    return entities.resolve_entities(t.resolution_firms(s, d)).select("a", "b", "same_entity", "confidence", "method")
 
 
 def entity_components(s, d):

@@ -99,6 +99,17 @@ def firms(spark: SparkSession, d: str, vectors: bool = True) -> DataFrame:
     return out.withColumn("vec_id", F.col("id") % n).join(e.select("vec_id", "embedding"), "vec_id").drop("vec_id")
 
 
+def resolution_firms(spark: SparkSession, d: str) -> DataFrame:
+    """One firm for each customer to find doubles among: made-up names of which two neighbours differ by an ending, sites
+    that three share, and the vectors of ``embeddings``, by number."""
+    e, k = table(spark, d, "embeddings"), F.col("c_custkey")
+    letters = F.translate(F.substring(F.md5(F.floor(k / 2).cast("string")), 1, 18), "0123456789", "ghijklmnop")
+    name = F.concat(F.substring(letters, 1, 8), F.lit(" "), F.substring(letters, 9, 10), F.when(k % 2 == 1, "s").otherwise(""))
+    site = F.concat(F.lit("https://www."), F.substring(F.md5(F.floor(k / 3).cast("string")), 1, 12), F.lit(".example.com/"))
+    firms = table(spark, d, "customer").select(k.alias("id"), name.alias("firm_name"), site.alias("website"), (k % e.count()).alias("vec_id"))
+    return firms.join(e.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+
+
 def partners(spark: SparkSession, d: str) -> DataFrame:
     return narrow_items(spark, d).select(F.col("o_custkey").alias("firm_id"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")).distinct()
 

@@ -90,3 +90,13 @@ def test_search_in_blocks_of_queries(spark):
         got = sorted(map(tuple, search.search(firms.repartition(7), asked, 4, mode, block=2).select("query_id", "id", "rank", "hybrid_score").collect()))
         assert got == want and len(want) == 36
     assert all(r.focus_sectors == ["A"] for r in search.search(firms, asked.where("sector = 'A'"), 5).collect())
+
+
+def test_facets_in_blocks_of_profiles(spark):
+    rows = [(i, [("A b", "B"), ("b",), ()][i % 3], ["s", "t"][: i % 2 + 1], ["g"]) for i in range(24)]
+    firms = spark.createDataFrame(rows, "id int, focus_sectors array<string>, investment_stage array<string>, geography array<string>")
+    asked = spark.createDataFrame([(k, ("B", "b", "", "A b", None)[k % 5], ("s", "t")[k % 2], "g") for k in range(10)], "profile_id int, sector string, stage string, geography string")
+    for job in (lambda b: search.rank_firms(firms, asked, 5, b).select("profile_id", "id", "score", "rank"), lambda b: search.match_firms(firms, asked, block=b).select("profile_id", "id")):
+        assert sorted(map(tuple, job(2).collect())) == sorted(map(tuple, job(1_000).collect())) != []
+    exact = {(r.profile_id, r.id) for r in search.match_firms(firms, asked, True).collect()}
+    assert exact == {(p, i) for p, s, st, g in asked.collect() for i, fs, sts, gs in rows if s in fs and st in sts and g in gs}
