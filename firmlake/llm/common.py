@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -36,21 +38,55 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.firmlake.local.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-firmlake-")
         spark.conf.set("spark.firmlake.local.dir", found)
     return found
 
 
+#: Tables that the operators now at work have written, innermost last.
+_WRITTEN: list[list[str]] = []
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back, so lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/firmlake-{uuid.uuid4().hex}"
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are removed at the end, whether or not it ends well."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for path in _WRITTEN.pop():
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def tidy(job: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A job whose result is a table of its own; all tables that it wrote on the way are removed."""
+    @wraps(job)
+    def run(*args, **kwargs) -> DataFrame:
+        spark = SparkSession.getActiveSession()
+        with scratch(spark):
+            out = job(*args, **kwargs)
+            mine = _WRITTEN.pop()
+            try:
+                return durable(out)
+            finally:
+                _WRITTEN.append(mine)
+
+    return run
+
+
 def semi_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``ids``; the ids are broadcast only while they are few."""
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -92,12 +128,14 @@ class Memo:
         return out
 
 
+_30, _27, _31, _FIRST, _SECOND = map(np.uint64, (30, 27, 31, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser: spreads every input bit over the result."""
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
+    """The splitmix64 finaliser: spreads every input bit of an array's numbers over the result."""
+    h = (h ^ (h >> _30)) * _FIRST
+    h = (h ^ (h >> _27)) * _SECOND
+    return h ^ (h >> _31)
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -188,9 +226,8 @@ def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
         return h
     n = min(size, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(n):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
+    for i in range(n):
+        out = mix(out * np.uint64(_BASE) + h[i : len(h) - n + 1 + i])
     return out
 
 
@@ -236,6 +273,7 @@ def _arrow(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+@tidy
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) for all nodes of ``edges`` (a, b longs): component is the smallest reachable node.
 

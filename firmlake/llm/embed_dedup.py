@@ -11,7 +11,9 @@ have, so no list of pairs is ever written: a block pair gives each vector its nu
 connect what it linked. Pairs of similarity 0.93 share some filter with a probability over 0.999 (see the tests).
 
 Vectors that are null, zero or hold null or non-finite components, and rows without a label or vec_id, link with
-nothing. Vectors of different width are not compared. Rows that repeat a vec_id count as one node each time they occur.
+nothing. Vectors of different width are not compared. Rows that repeat a vec_id count as one node each time they occur; a
+null vec_id stays null and is never kept. Of linked vectors the smallest vec_id names the component. An empty table gives
+no rows. Only vec_id, label and embedding are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import components, durable, importable, map_rows, table
+from firmlake.llm.common import components, durable, importable, map_rows, table, tidy
 
 COSINE = 0.93
 #: Code words of each block at most; directions a vector falls to at least; rows of a block that a task multiplies.
@@ -218,6 +220,7 @@ def _linked(cosine: float):
     return run
 
 
+@tidy
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label)."""
     importable(vectors.sparkSession)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import FlatWords, bucket, durable, filtered, map_rows, mix, table
+from firmlake.llm.common import FlatWords, bucket, durable, filtered, map_rows, mix, scratch, table
 
 #: Hash buckets and width of the embeddings; n-gram lengths; documents learned from at most.
 BUCKETS = 1 << 15
@@ -45,7 +45,7 @@ def grams(words: str) -> tuple[np.ndarray, np.ndarray]:
     word = (np.cumsum(code == 1) - 1) // 2
     letter = _LETTER[code]
     code = np.where(letter, code, 1).astype(np.uint64)
-    buckets, owners = [], []
+    buckets, owners = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
     h, inner = np.zeros(len(code), np.uint64), np.ones(len(code), bool)
     for n in range(1, max(GRAMS) + 1):
         m = len(code) - n + 1
@@ -120,24 +120,25 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str],
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, folds: int = 4, held_out: int = 2) -> Model:
     """Learns from at most ``rows`` documents with a language outside the held-out fold, picked by a hash of doc_id."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (bucket("doc_id", folds) != held_out))
-    ids = known.select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
-    sample = durable(known.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]))
-    languages = [r.lang for r in sample.select("lang").distinct().orderBy("lang").collect()]
-    number = {x: i for i, x in enumerate(languages)}
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "y": [], "at": [], "n": []}
-            for i, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"]):
-                at, n = np.unique(grams(marked(_lower(text).split()))[0], return_counts=True)
-                if len(at):
-                    for k, v in zip(out, (i, number[lang], at.tobytes(), n.astype(np.int32).tobytes())):
-                        out[k].append(v)
-            yield out
-
-    got = map_rows(sample.select("doc_id", "text", "lang"), run, "doc_id long, y int, at binary, n binary").orderBy("doc_id").collect()
-    return train([(np.frombuffer(r.at, np.int32), np.frombuffer(r.n, np.int32), r.y) for r in got], languages)
+    with scratch(docs.sparkSession):
+        known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (bucket("doc_id", folds) != held_out))
+        ids = known.select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
+        sample = durable(known.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]))
+        languages = [r.lang for r in sample.select("lang").distinct().orderBy("lang").collect()]
+        number = {x: i for i, x in enumerate(languages)}
+
+        def run(batches: Iterator[dict]) -> Iterator[dict]:
+            for batch in batches:
+                out: dict[str, list] = {"doc_id": [], "y": [], "at": [], "n": []}
+                for i, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"]):
+                    at, n = np.unique(grams(marked(_lower(text).split()))[0], return_counts=True)
+                    if len(at):
+                        for k, v in zip(out, (i, number[lang], at.tobytes(), n.astype(np.int32).tobytes())):
+                            out[k].append(v)
+                yield out
+
+        got = map_rows(sample.select("doc_id", "text", "lang"), run, "doc_id long, y int, at binary, n binary").orderBy("doc_id").collect()
+        return train([(np.frombuffer(r.at, np.int32), np.frombuffer(r.n, np.int32), r.y) for r in got], languages)
 
 
 def _lower(text: str | None) -> str:

@@ -7,7 +7,10 @@ with the template's in a band around their diagonals, which gives the matched wo
 license texts are matched by the longest common subsequence with a window of the text, on the bits of one number.
 Notices must also say name, kind and version, and of licenses that claim the same span the best one is reported.
 
-Null, empty and word-free texts have no match and no row. Repeated rows are reported as often as they occur.
+Null, empty and word-free texts have no match and no row. Repeated rows are reported as often as they occur. A null
+doc_id stays null. Of matches of one worth, the first template by name and place wins. Very long texts are read whole,
+in memory that follows the text and the width of a band. An empty table gives no rows. Only doc_id and text are read,
+so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -82,6 +85,12 @@ for _kind, _long in (
 _HASHES = Memo(lambda words: [xxhash.xxh3_64_intdigest(w) for w in words], 400_000)
 
 
+def lower(text: str) -> str:
+    """The text in lower case; characters whose small form is longer stay, so that places are those of the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join([c.lower() if len(c.lower()) == 1 else c for c in text])
+
+
 def words_of(low: str) -> list[str]:
     """The words of a lower-case text; 3.0 and 3 are one version."""
     return [w.removesuffix(".0") for w in WORD.findall(low)]
@@ -133,8 +142,9 @@ class Index:
                     hits.append((t, p - q))
         out: list[list[int]] = []
         for t, d in sorted(set(hits)):
-            # long templates repeat themselves, so that hits lie on many diagonals: their groups are of one band at most
-            if out and out[-1][0] == t and d - out[-1][1 if len(self.words[t]) > LONG else 2] <= self.band[t]:
+            # texts and templates repeat themselves, so hits may lie on many diagonals; groups are of one band at most, and
+            # an alignment, whose diagonals lie within a band, is found with the group of its lowest hit
+            if out and out[-1][0] == t and d - out[-1][1] <= self.band[t]:
                 out[-1][2] = d
             else:
                 out.append([t, d, d])
@@ -240,7 +250,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
         for batch in batches:
             rows = []
             for i, text in zip(batch["doc_id"], batch["text"]):
-                low = (text or "").lower()
+                low = lower(text or "")
                 words = words_of(low)
                 found = []
                 for t, lowest, highest in index.candidates(words, coverage) if words else []:
@@ -251,10 +261,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
                 if not found:
                     continue
                 spans = [x.span() for x in WORD.finditer(low)]
-                same = len(low) == len(text)
                 for t, first, behind, m in best_of_each_span(found, [len(w) for w in index.words]):
                     a, b = spans[first][0], spans[behind - 1][1]
-                    rows.append((i, index.names[t], len(index.words[t]), m, m / len(index.words[t]), a, b, (text if same else low)[a:b]))
+                    rows.append((i, index.names[t], len(index.words[t]), m, m / len(index.words[t]), a, b, text[a:b]))
             yield dict(zip(names, map(list, zip(*rows)))) if rows else {n: [] for n in names}
 
     schema = "doc_id long, license string, template_words long, matched_words long, coverage double, start long, end long, passage string"

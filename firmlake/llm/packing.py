@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlake.llm.bpe import opened
-from firmlake.llm.common import Memo, durable, importable, local_path, map_rows, table
+from firmlake.llm.common import Memo, durable, importable, local_path, map_rows, table, tidy
 
 CAPACITY = 4096
 CLOSING_ID = 1
@@ -166,6 +166,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
             return parts
 
 
+@tidy
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
     """One row for each piece of each document: where it stands in which sequence of ``capacity`` tokens at most."""
     cut = durable(pieces(docs, path, capacity).withColumn("item", F.monotonically_increasing_id()))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import FlatWords, bucket, distinct, filtered, map_rows, mix, table
+from firmlake.llm.common import FlatWords, bucket, distinct, filtered, map_rows, mix, scratch, table
 from firmlake.llm.learning import labelled_sample, sigmoid
 
 #: Buckets of hashed words and shapes, rank of the factors, statistics; labelled rows learned from at most.
@@ -94,8 +94,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
             found = features(batch["text"])
             yield {"doc_id": batch["doc_id"], "y": [int(y) for y in batch["y"]], "at": [a.tobytes() for a, _ in found], "x": [x.tobytes() for _, x in found]}
 
-    sample = labelled_sample(docs, labels, "quality", rows)
-    got = map_rows(sample.select("doc_id", "text", "y"), run, "doc_id long, y int, at binary, x binary").orderBy("doc_id").collect()
+    with scratch(docs.sparkSession):
+        sample = labelled_sample(docs, labels, "quality", rows)
+        got = map_rows(sample.select("doc_id", "text", "y"), run, "doc_id long, y int, at binary, x binary").orderBy("doc_id").collect()
     machine = Machine()
     machine.fit([(np.frombuffer(r.at, np.int32), np.frombuffer(r.x, np.float32), r.y) for r in got])
     machine.w, machine.v = machine.w.astype(np.float32), machine.v.astype(np.float32)

@@ -10,7 +10,9 @@ and a pair is dropped before its sets are compared when its sizes or places rule
 
 Texts without an anchor use all pairs of neighbouring words; texts of one word or none use the whole text, so every
 text has a fingerprint and equal texts have equal ones. Null texts count as empty. Repeated rows are documents of
-their own. Rows without a doc_id come before all others.
+their own; rows of one doc_id stand in the order of their texts. Rows without a doc_id stand outside the order: they have
+no next document, so nothing replaces the second half of their text and they are like no next one. Very long texts are
+read whole. An empty table gives no rows. Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import durable, table
+from firmlake.llm.common import durable, table, tidy
 
 #: Common words of four languages that anchor a signature.
 ANCHORS = (
@@ -66,12 +68,13 @@ def likeness(a: str | Column, b: str | Column, least: float = 0.0) -> Column:
 
 
 def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
-    """Adds next_<column>: that of the next row by doc_id, and for the last row that of the first.
+    """Adds next_<column>: that of the next row by doc_id, and for the last row that of the first; null without a doc_id.
 
     Rows are dealt into ranges of doc_id, and each range borrows the first row of the one behind it, so no task
     sorts more than a range. The driver holds one boundary for each range.
     """
-    spark = docs.sparkSession
+    spark, lost = docs.sparkSession, docs.where("doc_id is null")
+    docs = docs.where("doc_id is not null")
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []
     literal = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<long>")
@@ -85,12 +88,13 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -
     to = F.element_at(F.create_map(*[F.lit(x).cast(t) for p in lender for x, t in zip(p, ("long", "int"))]), F.col("doc_id"))
     lent = F.when(to.isNotNull(), F.array(F.struct(to.alias("r"), F.lit(1).alias("lent")))).otherwise(F.array().cast("array<struct<r:int,lent:int>>"))
     rows = rows.withColumn("__to", F.explode(F.concat(own, lent))).withColumn("__range", F.col("__to.r")).withColumn("__lent", F.col("__to.lent"))
-    order = Window.partitionBy("__range").orderBy("__lent", F.asc_nulls_first("doc_id"), "text")
+    order = Window.partitionBy("__range").orderBy("__lent", "doc_id", "text")
     for c in columns:
         rows = rows.withColumn(f"next_{c}", F.lead(c).over(order))
-    return rows.where("__lent = 0").drop("__range", "__to", "__lent")
+    return rows.where("__lent = 0").drop("__range", "__to", "__lent").unionByName(lost, allowMissingColumns=True)
 
 
+@tidy
 def near_pairs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b, likeness) of all pairs of different fingerprints whose likeness reaches ``percent``; a and b are the
     smallest doc_id of each."""
@@ -118,11 +122,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edit, whose second half is replaced by the start of the next text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(with_signatures(rows, "text", "sigs"), ["text", "sigs"]).withColumn("n_chars", F.length("text").cast("long"))
-    rows = rows.withColumn("edited", F.expr("concat(left(text, cast(n_chars - n_chars div 2 as int)), left(next_text, cast(n_chars div 2 as int)))")).drop("text", "next_text")
+    rows = rows.withColumn("edited", F.expr("concat(left(text, cast(n_chars - n_chars div 2 as int)), left(coalesce(next_text, ''), cast(n_chars div 2 as int)))")).drop("text", "next_text")
     rows = with_signatures(rows, "edited", "edited_sigs")
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_string("sigs").alias("fingerprint"), as_string("edited_sigs").alias("edited_fingerprint"),
-        likeness("sigs", "edited_sigs").alias("near_edited"), likeness("sigs", "next_sigs").alias("near_next"),
+        likeness("sigs", "edited_sigs").alias("near_edited"), F.coalesce(likeness("sigs", "next_sigs"), F.lit(0.0)).alias("near_next"),
     )
 
 

@@ -6,7 +6,10 @@ made as words ask for them. Matches are then looked at in a window of words: quo
 speak for quotation, words that address somebody for abuse. A logistic regression turns the counts into a score.
 
 Only a bounded sample of labelled rows outside the held-out fold is learned from. Null and empty texts are scored
-as texts without a match. Repeated rows get the same score.
+as texts without a match. Repeated rows get the same score; of terms that match with as many edits, the first counts.
+A row without a doc_id is scored and never learned from. Very long texts are read whole. An empty table gives no rows,
+and without labelled rows the lexicon alone is known and every score is the same. Only doc_id and text are read, so
+other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import Memo, bucket, map_rows, table
+from firmlake.llm.common import Memo, bucket, map_rows, scratch, table
 from firmlake.llm.learning import labelled_sample, logistic, sigmoid
 
 #: Insults known from the start; learned terms and stems come on top.
@@ -54,6 +57,9 @@ def edits_allowed(term: str, stem: bool) -> int:
 class Automaton:
     """Levenshtein automata of all terms, intersected with their trie; deterministic states are made on demand.
 
+    Two neighbouring letters that change places are one edit: beside nodes of the trie, a state may hold the node behind
+    both letters and the one that must still come.
+
     ``terms``: (text, is a stem) pairs. A stem matches every word that starts with it or with a misspelling of it.
     """
 
@@ -87,6 +93,8 @@ class Automaton:
         todo = list(nodes)
         while todo:
             node = todo.pop()
+            if isinstance(node, tuple):
+                continue
             e = nodes[node] + 1
             for c in self.child[node].values():
                 if e <= self.room[c] and e < nodes.get(c, 99):
@@ -96,7 +104,7 @@ class Automaton:
 
     def _id(self, nodes: dict[int, int], hit: tuple[int, int] | None) -> int:
         for node, e in nodes.items():
-            for i in self.ends[node]:
+            for i in self.ends[node] if isinstance(node, int) else ():
                 if self.terms[i][1] and e <= edits_allowed(*self.terms[i]) and (hit is None or (e, i) < hit):
                     hit = (e, i)
         key = (frozenset(nodes.items()), hit)
@@ -110,6 +118,15 @@ class Automaton:
         nodes, hit = self.sets[state]
         out: dict[int, int] = {}
         for node, e in nodes.items():
+            if isinstance(node, tuple):
+                to, missing = node
+                if letter == missing:
+                    out[to] = min(e, out.get(to, 99))
+                continue
+            for c, to in self.child[node].items():
+                behind = self.child[to].get(letter)
+                if c != letter and behind is not None and e + 1 <= self.room[behind]:
+                    out[behind, c] = min(e + 1, out.get((behind, c), 99))
             if e + 1 <= self.room[node]:
                 out[node] = min(e + 1, out.get(node, 99))
             for c, to in self.child[node].items():
@@ -132,7 +149,7 @@ class Automaton:
                 return None
         nodes, hit = self.sets[state]
         for node, e in nodes.items():
-            for i in self.ends[node]:
+            for i in self.ends[node] if isinstance(node, int) else ():
                 if e <= edits_allowed(*self.terms[i]) and (hit is None or (e, i) < hit):
                     hit = (e, i)
         return hit
@@ -231,22 +248,25 @@ def learned_terms(sample: DataFrame, most: int = LEARNED_TERMS) -> list[tuple[st
     clean = {(r.term, r.least): r.clean for r in good.orderBy(F.desc(F.col("toxic") - CLEAN_COST * F.col("clean")), "term", "least").limit(CANDIDATES).collect()}
     if not clean:
         return []
-    least = {}
-    for t, k in clean:
-        least[t] = min(k, least.get(t, 9))
+    number = {x: i for i, x in enumerate(clean)}
 
     def holds(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            found = [sorted((t, n) for t, n in _terms(text).items() if n >= least.get(t, 1_000_000)) for text in batch["text"]]
-            yield {"doc_id": batch["doc_id"], "terms": [[t for t, _ in f] for f in found], "n": [[n for _, n in f] for f in found]}
+            bits = np.zeros((len(batch["text"]), len(number)), bool)
+            for row, text in zip(bits, batch["text"]):
+                for t, n in _terms(text).items():
+                    for k in (1, 2):
+                        if n >= k and (t, k) in number:
+                            row[number[t, k]] = True
+            yield {"doc_id": batch["doc_id"], "bits": [x.tobytes() for x in np.packbits(bits, axis=1)]}
 
-    held = map_rows(sample.where("y = 1").select("doc_id", "text"), holds, "doc_id long, terms array<string>, n array<long>").collect()
+    # a bit for each candidate of each toxic document of the sample: a few megabytes at most
+    held = map_rows(sample.where("y = 1").select("doc_id", "text"), holds, "doc_id long, bits binary").collect()
     in_docs: dict[tuple[str, int], set[int]] = {x: set() for x in clean}
+    keys = list(clean)
     for r in held:
-        for t, n in zip(r.terms, r.n):
-            for k in (1, 2):
-                if n >= k and (t, k) in in_docs:
-                    in_docs[t, k].add(r.doc_id)
+        for i in np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), count=len(keys))):
+            in_docs[keys[i]].add(r.doc_id)
     out: dict[tuple[str, bool], None] = {}
     while len(out) < most:
         best = max(in_docs, key=lambda x: (len(in_docs[x]) - CLEAN_COST * clean[x], x[0][-1] == "$", len(x[0]), x))
@@ -261,20 +281,21 @@ def learned_terms(sample: DataFrame, most: int = LEARNED_TERMS) -> list[tuple[st
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[tuple[str, bool]], np.ndarray]:
     """(terms, weights) learned from at most ``rows`` labelled rows outside the held-out fold."""
-    sample = labelled_sample(docs, labels, "toxic", rows)
-    terms = [(w, False) for w in LEXICON]
-    terms += [t for t in learned_terms(sample) if t[0] not in LEXICON]
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        m = matcher(terms)
-        for batch in batches:
-            yield {"doc_id": batch["doc_id"], "y": [int(y) for y in batch["y"]], "x": [m.features(t).tolist() for t in batch["text"]]}
-
-    got = map_rows(sample.select("doc_id", "text", "y"), run, "doc_id long, y int, x array<double>").orderBy("doc_id").collect()
-    if len({r.y for r in got}) < 2:
-        prior = np.clip(np.mean([r.y for r in got]) if got else 0.0, 0.001, 0.999)
-        return terms, np.array([0.0] * FEATURES + [np.log(prior / (1 - prior))])
-    return terms, logistic(np.array([r.x for r in got]), np.array([r.y for r in got], float))
+    with scratch(docs.sparkSession):
+        sample = labelled_sample(docs, labels, "toxic", rows)
+        terms = [(w, False) for w in LEXICON]
+        terms += [t for t in learned_terms(sample) if t[0] not in LEXICON]
+
+        def run(batches: Iterator[dict]) -> Iterator[dict]:
+            m = matcher(terms)
+            for batch in batches:
+                yield {"doc_id": batch["doc_id"], "y": [int(y) for y in batch["y"]], "x": [m.features(t).tolist() for t in batch["text"]]}
+
+        got = map_rows(sample.select("doc_id", "text", "y"), run, "doc_id long, y int, x array<double>").orderBy("doc_id").collect()
+        if len({r.y for r in got}) < 2:
+            prior = np.clip(np.mean([r.y for r in got]) if got else 0.0, 0.001, 0.999)
+            return terms, np.array([0.0] * FEATURES + [np.log(prior / (1 - prior))])
+        return terms, logistic(np.array([r.x for r in got]), np.array([r.y for r in got], float))
 
 
 def score_toxicity(docs: DataFrame, model: tuple[list[tuple[str, bool]], np.ndarray], threshold: float = 0.5) -> DataFrame:

@@ -64,7 +64,7 @@ def test_odd_rows_for_classifiers(spark, sf):
 
 def test_automaton():
     a = toxicity.Automaton([("idiot", False), ("worthless", False), ("réeux", True), ("scum", False)])
-    assert a.match("idiot") == (0, 0) and a.match("idoit") is None and a.match("idot") == (1, 0) and a.match("idiots") == (1, 0)
+    assert a.match("idiot") == (0, 0) and a.match("idoit") == (1, 0) and a.match("diito") is None and a.match("idot") == (1, 0) and a.match("idiots") == (1, 0)
     assert a.match("wortles") == (2, 1) and a.match("réeuxment") == (0, 2) and a.match("réaux") is None and a.match("scun") is None and a.match("") is None
 
 
