@@ -1,7 +1,10 @@
 """A corpus pipeline of five operators: quality, language, line dedup, near duplicates, packing.
 
 Every stage takes (spark, docs, sf_dir) and all rows that its predecessor kept; all but the last return the columns
-of documents. Null or empty texts pass the first two stages only as far as their scores allow.
+of documents, whatever other columns a table has. Rows that are repeated are treated alike, and an empty table gives
+an empty table. Null or empty texts pass the first stage as far as their score allows; the second rejects texts without
+a letter, and all texts if no row tells a language. Rows without a doc_id pass line dedup and the near-duplicate stage
+as they are. Rows that repeat a doc_id are one document to the near-duplicate stage and stay or go together.
 """
 
 from __future__ import annotations
@@ -65,7 +68,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: SQL cannot express the trained classifiers nor the tokenizer; tests compare the stages with brute-force versions.
+#: SQL cannot express the trained classifiers nor the tokenizer; tests/llm/test_pipeline.py holds every stage against a
+#: plain version of its rule.
 ORACLE_SQL = None
 
 
