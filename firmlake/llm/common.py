@@ -17,13 +17,19 @@ from pyspark.sql import functions as F
 
 #: Rows up to which an id list is broadcast; longer lists are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch between Spark and Python, where the session leaves it at Spark's default.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 #: Edges of one file while components are worked out; few edges need few files.
 EDGES_A_PART = 200_000
 
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers of a session that was started elsewhere import this package."""
+    """Lets Python workers of a session that was started elsewhere import this package, and keeps batches of whole texts
+    small where the session has no setting of its own."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    if spark.conf.get(BATCH_SETTING, None) == "67108864b":  # Spark's default
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -231,7 +237,7 @@ def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def map_rows(df: DataFrame, f: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str, size: float = 4e6, rows: int = 10_000) -> DataFrame:
+def map_rows(df: DataFrame, f: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str, size: float = 2e6, rows: int = 10_000) -> DataFrame:
     """``mapInArrow`` over plain column lists; batches over ``size`` bytes or ``rows`` rows are cut so that a worker's
     memory stays bounded."""
     from pyspark.sql.types import StructType
@@ -260,7 +266,7 @@ def filtered(df: DataFrame, keep: Callable[[list], np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            step = max(1, int(batch.num_rows * min(1.0, 4e6 / max(1, batch.nbytes))))
+            step = max(1, int(batch.num_rows * min(1.0, 2e6 / max(1, batch.nbytes))))
             for at in range(0, batch.num_rows, step):
                 yield batch.slice(at, step).filter(pa.array(keep(texts.slice(at, step).to_pylist())))
 

@@ -13,8 +13,8 @@ at every size, without exception.
 Equal sets are collapsed first. Signatures are dealt into buckets by hash, many to a row; a bucket gives its groups
 of sets with a common signature, each different group once. Sets of a group are compared with one leader at first.
 Groups whose sets are not all linked then get a few other leaders, round by round, so a group of near copies never
-becomes all its pairs. What no round links any more meets pair by pair. A bitmap of each set bounds the difference of
-two from below before their whole sets are compared.
+becomes all its pairs. What no round links any more meets pair by pair. A map of parities of each set bounds the
+difference of two from below before their whole sets are compared.
 
 Null or word-free texts have no shingles and link with nothing. Rows that repeat a doc_id count as one document that
 has the links of all its rows. Rows without a doc_id link with nothing and have no component. Very long texts are read
@@ -33,14 +33,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import FlatWords, components, distinct, durable, importable, map_rows, mix, packed, shingle_hashes, table, unpacked
+from firmlake.llm.common import FlatWords, components, distinct, durable, importable, map_rows, mix, packed, shingle_hashes, table, tidy, unpacked
 
 SHINGLE = 5
 PERCENT = 80
 #: Rounds of further leaders, and leaders of a group in each.
 ROUNDS = 4
 LEADERS = 3
-#: 64-bit words of the bitmap of a set.
+#: Share of the pairs with leaders that a round must link for another one to follow.
+LEAST_LINKED = 0.05
+#: 64-bit words of the parity map of a set.
 BITMAP = 32
 #: Signatures that one bucket gets on average; bytes of a broadcast.
 BUCKET = 2_000_000
@@ -73,6 +75,12 @@ def family(i: int, percent: int = PERCENT) -> tuple[int, int, int]:
     return k, k + 1 + max(2, k // 5), 3 if k < 20 else 2 if k < 100 else 1
 
 
+@lru_cache(1_000)
+def _tags(i: int, r: int, parts: int) -> np.ndarray:
+    """Numbers of the parts of one partition of one family, spread out."""
+    return mix(np.arange(parts, dtype=np.uint64) + np.uint64(1_000_003 * (i * 16 + r) + 17))
+
+
 def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """PartEnum signatures of one set, for its own band's family and the one below."""
     out = []
@@ -87,7 +95,7 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
             sums, full = np.zeros(parts, np.uint64), np.bincount(part, minlength=parts) > 0
             np.add.at(sums, part, mix(h))
             sparse &= parts - np.count_nonzero(full) >= parts - k
-            out.append(mix(sums + mix(np.arange(parts, dtype=np.uint64) + np.uint64(1_000_003 * (i * 16 + r) + 17)))[full])
+            out.append(mix(sums + _tags(i, r, parts))[full])
         if sparse:
             out.append(mix(np.array([1_000_003 * (i * 16 + 15) + 5], np.uint64)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
@@ -103,8 +111,8 @@ def _described(batches: Iterator[dict], percent: int, size: int) -> Iterator[dic
         words = FlatWords(batch["text"])
         for d, i in enumerate(batch["doc_id"]):
             s = distinct(shingle_hashes(words.of(d), size))
-            bits = np.zeros(64 * BITMAP, bool)
-            bits[(s % np.uint64(64 * BITMAP)).astype(np.int64)] = True
+            # parities of how many shingles fall on each bit: bits that differ between two sets are shingles that do
+            bits = (np.bincount((s % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1).astype(bool)
             k = _key(s)
             for name, value in zip(out, (len(s), int(k[0]), int(k[1]), _most(len(s), percent), np.packbits(bits).view(np.int64))):
                 out[name].append(value)
@@ -182,7 +190,7 @@ def _groups(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def _may_be_similar(x: str, y: str, percent: int) -> Column:
-    """Sizes and bitmaps of two sets leave the similarity possible: every bit that differs is an element that does."""
+    """Sizes and parity maps of two sets leave the similarity possible: every bit that differs is an element that does."""
     a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
     differ = sum(F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseXOR(F.get(f"{y}.bits", F.lit(i)))) for i in range(BITMAP))
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * differ <= (100 - percent) * (a + b))
@@ -204,9 +212,12 @@ class _Sets:
         both = pairs.join(x, F.col("a") == F.col("x.k1")).join(y, F.col("b") == F.col("y.k1"))
         return both.where(_may_be_similar("x", "y", self.percent)).select("a", "b").distinct()
 
+    @tidy
     def similar(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose whole sets are similar enough, as a table."""
-        size, percent, pairs = self.size, self.percent, durable(pairs)
+        """The pairs (a, b), a table, whose whole sets are similar enough, as a table."""
+        size, percent = self.size, self.percent
+        if pairs.isEmpty():
+            return pairs
         ids = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
         rows = durable(self.sketch.join(ids, "k1", "left_semi").select(F.col("at_id").alias("doc_id"), F.col("at_t").alias("t")).distinct())
         small = 64 * rows.count() <= BROADCAST_BYTES
@@ -232,9 +243,10 @@ class _Sets:
                 yield out
 
         one, two = (sets.select(F.col("k1").alias(x), F.col("w").alias(f"w{x}")) for x in "ab")
-        return durable(map_rows(pairs.join(one, "a").join(two, "b"), compared, "a long, b long").distinct())
+        return map_rows(pairs.join(one, "a").join(two, "b"), compared, "a long, b long").distinct()
 
 
+@tidy
 def ngram_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     importable(docs.sparkSession)
@@ -245,14 +257,14 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGL
     dealt = _dealt(docs, percent, size, buckets)
     found = durable(dealt.groupBy("bucket").applyInArrow(_groups, "g long, id long, low long"))
     pairs = found.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    edges = sets.similar(sets.likely(pairs))
+    edges = sets.similar(durable(sets.likely(pairs)))
 
     # sets that one doc_id has in several rows belong together
     numbered = base.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.collect_set("k1").alias("all"))
     edges = edges.unionByName(durable(numbered.where("a < b").select("a", F.explode("all").alias("b")).where("a <> b")))
-    linked = durable(components(edges))
-    rest = found.select("g", "id").distinct()
-    for r in range(rounds + 1):
+    linked = components(edges)
+    rest, r = found.select("g", "id").distinct(), 0
+    while True:
         known = rest.select("g", "id").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = known.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g")
         rest = durable(known.join(mixed, "g", "left_semi").select("g", "id", "component"))
@@ -269,10 +281,15 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGL
             x, y = whole.alias("x"), whole.alias("y")
             apart = (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
             pairs = x.join(y, apart & _may_be_similar("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        more = sets.similar(sets.likely(pairs) if r < rounds else pairs)
-        if not more.isEmpty():
+        pairs = durable(sets.likely(pairs) if r < rounds else pairs)
+        more = sets.similar(pairs)
+        met, new = pairs.count(), more.count()
+        if new:
             edges = edges.unionByName(more)
-            linked = durable(components(edges))
+            linked = components(edges)
+        if r >= rounds:
+            break
+        r = r + 1 if new > LEAST_LINKED * met else rounds  # leaders that link little give way to the full comparison
     reps = sets.sketch.select("k1", "k2", "rep").join(linked.select(F.col("node").alias("k1"), "component"), "k1", "left")
     smallest = reps.where("component is not null").groupBy("component").agg(F.min("rep").alias("first"))
     reps = reps.join(smallest, "component", "left").select("k1", "k2", F.coalesce("first", "rep").alias("first"))

@@ -137,6 +137,28 @@ def test_line_dedup_of_rows_with_one_id(spark):
     assert texts in [sorted(x + rest, key=str) for x in one]
 
 
+def test_lines_that_ask_again(spark):
+    """The earliest candidate of a line passes the filters and is not similar, a later one is."""
+    r = random.Random(4)
+    rows, n = [], 0
+    for g in range(25):
+        base = [f"g{g}_{k}" for k in range(10)]
+        rows.append((n, " ".join([*base[:8], f"x{g}", f"y{g}"])))  # shares 8 of 12 words with the whole
+        rows.append((n + 1, " ".join([*base[:9], f"z{g}"])))  # shares 9 of 11
+        rows.append((n + 2, " ".join(r.sample(base, 10))))
+        n += 3
+    sets = {i: frozenset(words(t)) for i, t in rows}
+    want = {i for i in sets if any(j < i and 180 * len(sets[i] & sets[j]) >= 80 * (len(sets[i]) + len(sets[j])) for j in sets)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    asked = []
+    again = line_dedup._asked_again
+    line_dedup._asked_again = lambda *a: asked.append(1) or again(*a)
+    try:
+        assert {x.doc_id for x in line_dedup.dedup_lines(df).where("n_removed > 0").collect()} == want and len(want) >= 25
+    finally:
+        line_dedup._asked_again = again
+
+
 def test_long_and_hot_lines(spark):
     r = random.Random(3)
     words_ = [f"v{i}" for i in range(900)]
@@ -214,3 +236,50 @@ def test_spot_signatures(spark, sf):
             and 100 * len(a := {f[k : k + 8] for k in range(0, len(f), 8)} & {g[k : k + 8] for k in range(0, len(g), 8)}) >= 80 * (len(f) // 8 + len(g) // 8 - len(a))}
     assert {(r.a, r.b) for r in spotsigs.near_pairs(docs).collect()} == want
     assert spotsigs.edited_fingerprints(docs.limit(0)).count() == 0
+
+
+def test_spot_signatures_of_odd_ids(spark):
+    rows = [(None, "the lost text of a row", "x"), (3, "the cat of a house", "x"), (3, "the cat of a house", "x"), (1, "one of the dogs", "x"), (None, None, "x")]
+    got = spotsigs.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string, sigs string")).collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in got) == [("1", 15), ("3", 18), ("3", 18), ("None", 0), ("None", 22)]
+    lost = next(r for r in got if r.doc_id is None and r.n_chars)
+    assert lost.edited_sha256 == hashlib.sha256(b"the lost te").hexdigest() and lost.near_next == 0.0
+    one = next(r for r in got if r.doc_id == 1)
+    assert one.edited_sha256 == hashlib.sha256(b"one of t" + b"the cat").hexdigest()
+    assert sorted(r.near_next for r in got if r.doc_id == 3)[-1] == 1.0
+
+
+def test_ngram_join_of_rows_with_one_id(spark):
+    r = random.Random(1)
+    a, b = ([f"{c}{r.randint(0, 99)}" for _ in range(60)] for c in "xy")
+    near = lambda w: " ".join([*w[:-1], "end"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, None), (None, " ".join(a)), (5, "a b c d e f g"), (5, "a b c d e f g")]
+    for order in (rows, [rows[1], rows[0], *rows[2:]], rows[::-1]):
+        got = ngram_join.ngram_components(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        assert sorted({(str(x.doc_id), x.component_id) for x in got}, key=str) == [("1", 1), ("2", 1), ("3", 1), ("4", 4), ("5", 5), ("None", None)] and len(got) == 8
+
+
+def test_ngram_join_in_rounds(spark):
+    """A large group of near copies of which many are not near each other, and a passage that others share."""
+    r = random.Random(2)
+    base = [f"w{r.randint(0, 5_000)}" for _ in range(300)]
+    rows = []
+    for i in range(90):
+        x = list(base)
+        for _ in range(r.randint(0, 6)):
+            x[r.randrange(len(x))] = f"n{i}"
+        rows.append((i, " ".join(x)))
+    rows += [(200 + i, " ".join([*base[:80], *(f"v{i}_{k}" for k in range(100))])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    want = smallest(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    for rounds in (0, 1, 4):
+        assert {x.doc_id: x.component_id for x in ngram_join.ngram_components(df, rounds=rounds).collect()} == want
+
+
+def test_embeddings_with_odd_ids(spark):
+    rows = [(1, [1.0, 2.0, 0.5], 1, "x"), (1, [1.0, 2.0, 0.5], 1, "x"), (None, [1.0, 2.0, 0.5], 1, "x"), (7, [1.0, 2.0, 0.4], 1, "x"), (8, [1.0] * 5, 1, "x"), (9, [1.0] * 6, 1, "x"), (10, [1.1, *[1.0] * 5], 1, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, cap string")
+    got = sorted(((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df).collect()), key=str)
+    assert got == [("1", 2, 1, True), ("1", 2, 1, True), ("10", 1, 9, False), ("7", 2, 1, False), ("8", 0, 8, True), ("9", 1, 9, True), ("None", 0, None, None)]
+    assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
