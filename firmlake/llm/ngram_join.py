@@ -190,10 +190,16 @@ def _groups(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def _may_be_similar(x: str, y: str, percent: int) -> Column:
-    """Sizes and parity maps of two sets leave the similarity possible: every bit that differs is an element that does."""
+    """Sizes and parity maps of two sets leave the similarity possible: every bit that differs is an element that does.
+
+    The first words of the maps alone rule out most pairs, so they are looked at before the rest.
+    """
     a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differ = sum(F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseXOR(F.get(f"{y}.bits", F.lit(i)))) for i in range(BITMAP))
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * differ <= (100 - percent) * (a + b))
+    fits = 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    for words in (BITMAP // 8, BITMAP // 2, BITMAP):
+        differ = sum(F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseXOR(F.get(f"{y}.bits", F.lit(i)))) for i in range(words))
+        fits = fits & ((100 + percent) * differ <= (100 - percent) * (a + b))
+    return fits
 
 
 class _Sets:
