@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +12,7 @@ from firmlake.functions.arrays import cosine, embedding_text, fill, text_key, un
 from firmlake.functions.encoders import embed_text
 from firmlake.functions.names import firm_key, resolver_name
 from firmlake.functions.urls import url_domain
+from firmlake.operators.graph import components
 
 FUZZY, SEMANTIC, COMBINED = 0.88, 0.82, 0.87
 SCALARS = ("website", "source_url")
@@ -207,34 +206,9 @@ def batch_edges(incoming: DataFrame, key_columns: tuple[str, ...] = ("name_key",
 
 
 def entity_components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, entity_id): the smallest id that links lead to. Labels spread and are followed up; each round is written to
-    the checkpoint folder, so the plan stays short and lost executors cost one round."""
-    spark = nodes.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-firmlake-")
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = f"{folder}/entities-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = kept(nodes.select("id", F.col("id").alias("entity_id")))
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("entity_id").alias("m"))
-        low = labels.join(near, labels.id == near.a, "left").select("id", F.least("entity_id", F.coalesce("m", "entity_id")).alias("entity_id"))
-        jump = low.select(F.col("id").alias("j"), F.col("entity_id").alias("t"))
-        new = kept(low.join(jump, low.entity_id == jump.j).select("id", "t").withColumnRenamed("t", "entity_id"))
-        changed = new.join(labels.withColumnRenamed("entity_id", "old"), "id").where("entity_id <> old").isEmpty()
-        labels = new
-        if changed:
-            return labels
-    raise RuntimeError(f"labels did not settle in {rounds} rounds")
+    """(id, entity_id): the smallest id that links lead to. Only linked nodes take part in the rounds."""
+    linked = components(edges, rounds)
+    return nodes.join(linked, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("entity_id"))
 
 
 def _some(c: str) -> Column:
