@@ -3,11 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -15,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firmlake.operators.graph import components  # noqa: F401  used by the operators from here, as the next ones
+from firmlake.sources.shared import durable, scratch, shared_dir, tidy  # noqa: F401
+
 #: Rows up to which an id list is broadcast; longer lists are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of an Arrow batch between Spark and Python, where the session leaves it at Spark's default.
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
-#: Edges of one file while components are worked out; few edges need few files.
-EDGES_A_PART = 200_000
 
 
 def importable(spark: SparkSession) -> None:
@@ -37,62 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A local session without that setting gets a temporary folder of its own; a cluster must name one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.firmlake.local.dir", None)
-    if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-firmlake-")
-        spark.conf.set("spark.firmlake.local.dir", found)
-    return found
-
-
-#: Tables that the operators now at work have written, innermost last.
-_WRITTEN: list[list[str]] = []
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back, so lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/firmlake-{uuid.uuid4().hex}"
-    if _WRITTEN:
-        _WRITTEN[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are written inside are removed at the end, whether or not it ends well."""
-    _WRITTEN.append([])
-    try:
-        yield
-    finally:
-        for path in _WRITTEN.pop():
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def tidy(job: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """A job whose result is a table of its own; all tables that it wrote on the way are removed."""
-    @wraps(job)
-    def run(*args, **kwargs) -> DataFrame:
-        spark = SparkSession.getActiveSession()
-        with scratch(spark):
-            out = job(*args, **kwargs)
-            mine = _WRITTEN.pop()
-            try:
-                return durable(out)
-            finally:
-                _WRITTEN.append(mine)
-
-    return run
-
-
 def semi_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``ids``; the ids are broadcast only while they are few."""
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -279,39 +220,6 @@ def _arrow(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-@tidy
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component) for all nodes of ``edges`` (a, b longs): component is the smallest reachable node.
-
-    Alternating large-star and small-star rounds: each is two grouped minima and a join, hubs only ever
-    send one row per neighbour, and each round is written to the shared folder.
-    """
-    spark = edges.sparkSession
-    now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    for _ in range(rounds):
-        if not state[0]:
-            break
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b")
-        parts = 1 + state[0] // EDGES_A_PART
-        now = durable(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(parts))
-        last, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if last == state:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    if not state[0]:
-        return spark.createDataFrame([], "node long, component long")
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(
-        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
-
-
 def local_path(name: str, folder: str | None = None) -> str:
     """A public tokenizer's file: in ``folder``, else where the installed ``public_tokenizers`` has it."""
     if folder:
