@@ -11,7 +11,8 @@ have, so no list of pairs is ever written: a block pair gives each vector its nu
 connect what it linked. Pairs of similarity 0.93 share some filter with a probability over 0.999 (see the tests).
 
 Vectors that are null, zero or hold null or non-finite components, and rows without a label or vec_id, link with
-nothing. Vectors of different width are not compared. Rows that repeat a vec_id count as one node each time they occur; a
+nothing. Vectors of different width are not compared. Rows that repeat a vec_id are nodes of their own, with the vector and
+label that each has; every distinct vector of a label has a number of its own, and vec_ids come back only at the end. A
 null vec_id stays null and is never kept. Of linked vectors the smallest vec_id names the component. An empty table gives
 no rows. Only vec_id, label and embedding are read, so other columns cannot clash.
 """
@@ -232,8 +233,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     )
     key = F.when(F.col("fine"), F.sha2(F.to_json(F.struct("label", F.transform("v", lambda z: z.cast("double") + 0.0).alias("v"))), 256))
     rows = rows.withColumn("key", key)
-    reps = rows.where("fine").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
-    reps = durable(reps)
+    reps = rows.where("fine").groupBy("key").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
+    reps = durable(reps.withColumn("rep", F.monotonically_increasing_id()))
     capped = map_rows(reps.select("rep", "v"), _filtered, "rep long, filters array<int>")
     capped = durable(reps.select("rep", "label", "copies", "v").join(capped, "rep"))
     members = capped.select("rep", "label", F.size("v").alias("width"), F.explode("filters").alias("cap"))
@@ -249,12 +250,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     dealt = sent.select(*KEYS, "rep", "copies", "side", "v", "filters").repartition(*KEYS).sortWithinPartitions(*KEYS)
     found = durable(dealt.mapInArrow(_linked(cosine), "rep long, n long, to long"))
     links = found.groupBy("rep").agg(F.sum("n").alias("links"))
-    linked = components(found.where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    reps = reps.select("key", "rep", "copies").join(links, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
+    linked = components(found.where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "rep")
+    lows = linked.join(reps.select("rep", "low"), "rep").groupBy("component").agg(F.min("low").alias("least"))
+    reps = reps.select("key", "rep", "low", "copies").join(links, "rep", "left").join(linked, "rep", "left").join(lows, "component", "left")
     out = rows.select("vec_id", "key").join(reps, "key", "left").select(
         "vec_id",
         F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "rep", "vec_id").alias("component_id"),
+        F.coalesce("least", "low", "vec_id").alias("component_id"),
     )
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 

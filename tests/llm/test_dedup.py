@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from firmlake.llm import embed_dedup, line_dedup, ngram_join, spotsigs
 from firmlake.llm.common import FlatWords, components
@@ -198,6 +199,25 @@ def test_caps_recall():
     assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(embed_dedup.caps(x), embed_dedup.caps(y))]) > 0.998
 
 
+@pytest.mark.parametrize("width", [6, 64])
+def test_embeddings_that_share_ids(spark, width):
+    """One vec_id with other vectors and other labels: every row is a node of its own."""
+    rng = np.random.default_rng(9)
+    e = [v / np.linalg.norm(v) for v in rng.normal(size=(5, width))]
+    near = lambda v: (v + 0.02 * rng.normal(size=width)).tolist()
+    rows = [(1, near(e[0]), 1), (1, near(e[3]), 1), (2, near(e[0]), 1), (3, near(e[3]), 1), (2, near(e[0]), 2), (1, near(e[0]), 2), (9, near(e[1]), 1), (9, near(e[1]), 1), (9, near(e[1]), 2)]
+    rows += [(20 + i % 4, near(e[2]), i % 2) for i in range(30)] + [(5, e[4].tolist(), 1), (5, e[4].tolist(), 2), (4, e[4].tolist(), 1)]
+    fine = [(i, np.array(v), y) for i, v, y in rows]
+    unit = [v / np.linalg.norm(v) for _, v, _ in fine]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if fine[a][2] == fine[b][2] and unit[a] @ unit[b] >= 0.93]
+    n, group = Counter(x for link in links for x in link), smallest(range(len(rows)), links)
+    low = {g: min(rows[k][0] for k in group if group[k] == g) for g in group.values()}
+    want = [(rows[k][0], n[k], low[group[k]], rows[k][0] == low[group[k]]) for k in range(len(rows))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = embed_dedup.near_duplicates(df, block=8).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(links) > 200
+
+
 def sigs(text):
     """Spot signatures as tuples of words: anchor run and two content words."""
     stop = set(spotsigs.ANCHORS)
