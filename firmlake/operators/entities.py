@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from firmlake.functions.arrays import cosine, embedding_text, fill, text_key, union_exact
 from firmlake.functions.encoders import embed_text
 from firmlake.functions.names import firm_key, resolver_name
 from firmlake.functions.urls import url_domain
 from firmlake.operators.graph import components
+from firmlake.operators.similar import indel_ratio, similar_names, similar_vectors
+from firmlake.sources.shared import durable, tidy
 
 FUZZY, SEMANTIC, COMBINED = 0.88, 0.82, 0.87
 SCALARS = ("website", "source_url")
+PARTNER_FIELDS, COMPANY_FIELDS = ("role", "linkedin_url", "twitter_url"), ("sector",)
 LISTS = ("focus_sectors", "investment_stage", "geography")
-#: Firms of a block of pairwise resolution; a task compares two blocks.
-BLOCK = 1024
 
 
 def keyed(firms: DataFrame) -> DataFrame:
@@ -46,26 +44,6 @@ def session_firsts(df: DataFrame, order: str = "seq") -> DataFrame:
     return df.withColumn("firm_key", firm_key(F.col("firm_name"))).where("firm_key <> ''").withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
-def indel(x: str, y: str) -> float:
-    """2 * LCS / (len x + len y); 0 when either is blank. The LCS is worked out on the bits of one number."""
-    if not x or not y:
-        return 0.0
-    at: dict[str, int] = {}
-    for k, c in enumerate(y):
-        at[c] = at.get(c, 0) | 1 << k
-    full = v = (1 << len(y)) - 1
-    for c in x:
-        u = v & at.get(c, 0)
-        v = ((v + u) | (v - u)) & full
-    return 2.0 * (len(y) - v.bit_count()) / (len(x) + len(y))
-
-
-@F.pandas_udf(T.DoubleType())
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """2 * LCS / (len a + len b); 0 when either is blank."""
-    return pd.Series([indel(x, y) for x, y in zip(a.fillna(""), b.fillna(""))])
-
-
 def _verdict(df: DataFrame) -> DataFrame:
     """Adds same_entity, confidence, method by fuzzy, semantic and by_domain."""
     out = df.withColumn("combined", 0.4 * F.col("fuzzy") + 0.6 * F.col("semantic"))
@@ -85,110 +63,83 @@ def pair_verdict(df: DataFrame, a: str, b: str) -> DataFrame:
     return _verdict(out.withColumn("semantic", F.coalesce(alike, F.lit(0.0))).withColumn("by_domain", F.coalesce(domain, F.lit(False))))
 
 
-def _indel_matrix(xs: list[str], ys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Indel ratios of all names of two lists, and which of them are still to be worked out: those of two names of over
-    64 letters. The bits of one 64-bit number hold a name, and one name meets a whole list at once."""
-    out, left = np.zeros((len(xs), len(ys))), np.zeros((len(xs), len(ys)), bool)
-    long_x, long_y = (np.array([len(n) > 64 for n in names], bool) for names in (xs, ys))
-    left[np.ix_(long_x, long_y)] = True
-    for some, others, turned in ((xs, np.flatnonzero(~long_y), False), (ys, np.flatnonzero(~long_x), True)):
-        names = [(xs if turned else ys)[k] for k in others]
-        at: dict[str, np.ndarray] = {}
-        for k, n in enumerate(names):
-            for p, c in enumerate(n):
-                if c not in at:
-                    at[c] = np.zeros(len(names), np.uint64)
-                at[c][k] |= np.uint64(1 << p)
-        sizes = np.array([len(n) for n in names], float)
-        for i, n in enumerate(some):
-            if not n or not len(names) or (turned and not long_y[i]):
-                continue
-            v = np.full(len(names), np.iinfo(np.uint64).max, np.uint64)
-            for c in n:
-                if c in at:
-                    u = v & at[c]
-                    v = (v + u) | (v - u)
-            ratio = 2.0 * np.bitwise_count(~v) / (len(n) + sizes)
-            if turned:
-                out[others, i] = ratio
-            else:
-                out[i, others] = ratio
-    return out, left
-
-
-def _cosine_matrix(xs: list, ys: list) -> np.ndarray:
-    """Cosines of all vectors of two lists; 0 for null, zero and non-finite ones and for those of different width."""
-    out = np.zeros((len(xs), len(ys)))
-
-    def by_width(vectors: list) -> dict[int, tuple[list[int], np.ndarray]]:
-        found: dict[int, list[int]] = {}
-        whole = [None if v is None else np.array([np.nan if z is None else z for z in v], float) for v in vectors]
-        for k, v in enumerate(whole):
-            if v is not None and len(v) and np.isfinite(v).all() and v.any():
-                found.setdefault(len(v), []).append(k)
-        return {w: (at, np.array([whole[k] for k in at])) for w, at in found.items()}
-
-    two = by_width(ys)
-    for width, (rows, x) in by_width(xs).items():
-        if width in two:
-            columns, y = two[width]
-            out[np.ix_(rows, columns)] = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+def _marked(firms: DataFrame) -> DataFrame:
+    """What resolution needs of each firm: id, fresh, name, domain, site, vector (null where it has no direction)."""
+    v, domain = F.col("embedding"), url_domain(F.col("website"))
+    fine = F.forall(v, lambda z: z.isNotNull() & ~F.isnan(z) & (F.abs(z) < float("inf"))) & F.exists(v, lambda z: z != 0)
+    fresh = F.col("fresh") if "fresh" in firms.columns else F.lit(True)
+    return firms.select(
+        "id", fresh.alias("fresh"), F.coalesce(resolver_name(F.col("firm_name")), F.lit("")).alias("name"), F.coalesce(domain, F.lit("")).alias("domain"),
+        resolver_name(F.col("website")).alias("site"), F.when(fine, v).alias("vector"),
+    )
+
+
+def _numbered(marked: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct values of a column with numbers (no, <column>, fresh, low: smallest id), and (id, fresh, no)."""
+    known = (F.col(column) != "") if column == "name" else F.col(column).isNotNull()
+    values = marked.where(known).groupBy(column).agg(F.max("fresh").alias("fresh"), F.min("id").alias("low"))
+    values = durable(values.withColumn("no", F.monotonically_increasing_id()))
+    return values, marked.where(known).join(values.select("no", column), column).select("id", "fresh", "no")
+
+
+def _similar(marked: DataFrame) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+    """For names and for vectors: distinct values, which firm has which, and the pairs of values that the rule links."""
+    out = []
+    for column, join, least in (("name", similar_names, FUZZY), ("vector", similar_vectors, SEMANTIC)):
+        values, of = _numbered(marked, column)
+        out.append((values, of, durable(join(values.select("no", column, "fresh"), least))))
     return out
 
 
-def _compared(rows: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of two blocks that the rule links or that share a domain."""
-    same = rows.x.iloc[0] == rows.y.iloc[0]
-    one = rows if same else rows[rows.side == 0]
-    two = one if same else rows[rows.side == 1]
-    left, right = one.id.to_numpy(), two.id.to_numpy()
-    (nx, px), (ny, py) = ((sorted(set(d["name"])), d["name"]) for d in (one, two))
-    kx, ky = pd.Index(nx).get_indexer(px), pd.Index(ny).get_indexer(py)
-    ratio, open_ = _indel_matrix(nx, ny)
-    fuzzy, open_ = ratio[np.ix_(kx, ky)], open_[np.ix_(kx, ky)]
-    semantic = _cosine_matrix(list(one.embedding), list(two.embedding))
-    x_first = left[:, None] < right[None, :]
-    pair = x_first if same else left[:, None] != right[None, :]
-    site = one.site.to_numpy()[:, None] == two.site.to_numpy()[None, :]
-    dx, dy = one.domain.to_numpy()[:, None], two.domain.to_numpy()[None, :]
-    by_domain = site & np.where(x_first, dx != "", dy != "")
-    wanted = by_domain | ((dx == dy) & (dx != "")) | (semantic >= SEMANTIC)
-    sx, sy = px.str.len().to_numpy()[:, None], py.str.len().to_numpy()[None, :]
-    for i, j in zip(*np.nonzero(open_ & pair & (wanted | (2.0 * np.minimum(sx, sy) >= FUZZY * (sx + sy) - 1e-9)))):
-        fuzzy[i, j] = indel(px.iloc[i], py.iloc[j])
-    i, j = np.nonzero(pair & (wanted | (fuzzy >= FUZZY)))
-    a, b = left[i], right[j]
-    return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "fuzzy": fuzzy[i, j], "semantic": semantic[i, j], "by_domain": by_domain[i, j]})
-
-
-def compared_pairs(firms: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b, fuzzy, semantic, by_domain), a < b: every pair of firms that the rule links, and every pair of one domain.
-
-    Firms are dealt into blocks and every block meets every other, so no link depends on a word or a letter that two
-    firms must share, nor on the size of the table. COMBINED needs no look of its own: what is under FUZZY and under
-    SEMANTIC is under it. The work grows with the square of the table; a task holds two blocks.
-    """
-    domain, site = url_domain(F.col("website")), resolver_name(F.col("website"))
-    blocks = max(1, -(-firms.count() // block))
-    f = firms.select(
-        "id", resolver_name(F.col("firm_name")).alias("name"), F.coalesce(domain, F.lit("")).alias("domain"), site.alias("site"), "embedding",
-        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("z"),
-    )
-    meet = F.transform(
-        F.sequence(F.lit(0), F.lit(blocks - 1)),
-        lambda o: F.struct(F.least("z", o).alias("x"), F.greatest("z", o).alias("y"), F.when(F.col("z") <= o, 0).otherwise(1).alias("side")),
-    )
-    dealt = f.select("id", "name", "domain", "site", "embedding", F.explode(meet).alias("p")).select("id", "name", "domain", "site", "embedding", "p.*")
-    kind = firms.schema["id"].dataType.simpleString()
-    dealt = dealt.repartition(min(2000, blocks * (blocks + 1) // 2), "x", "y")
-    return dealt.groupBy("x", "y").applyInPandas(_compared, f"a {kind}, b {kind}, fuzzy double, semantic double, by_domain boolean")
+def _site_pairs(marked: DataFrame, key: str) -> DataFrame:
+    x, y = marked.alias("x"), marked.alias("y")
+    known = F.col("x.domain") != ""  # of equal sites the smaller id's domain counts
+    return x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & known & (F.col("x.id") < F.col("y.id")) & (F.col("x.fresh") | F.col("y.fresh"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
+def linked_pairs(firms: DataFrame) -> DataFrame:
+    """(a, b), a < b: every pair of firms that the rule links, and every pair of one domain; with a column ``fresh``, only
+    pairs of which one is.
+
+    Equal sites and domains are joined, and so are firms of one name or one vector. Distinct names meet by rare grams and
+    distinct vectors by caps (``operators.similar``), so what is compared are mostly pairs that the rule links. COMBINED
+    needs no look of its own: what is under FUZZY and under SEMANTIC is under it.
+    """
+    marked = durable(_marked(firms))
+    slim = marked.drop("name", "vector")
+    pairs = _site_pairs(slim, "site").unionByName(_site_pairs(slim, "domain"))
+    for _, of, alike in _similar(marked):
+        x, y = of.alias("x"), of.alias("y")
+        new = F.col("x.fresh") | F.col("y.fresh")
+        same = x.join(y, (F.col("x.no") == F.col("y.no")) & (F.col("x.id") < F.col("y.id")) & new)
+        other = alike.join(x, F.col("a") == F.col("x.no")).join(y, F.col("b") == F.col("y.no")).where((F.col("x.id") != F.col("y.id")) & new)
+        for found in (same, other):
+            pairs = pairs.unionByName(found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+    return pairs.distinct()
+
+
+@tidy
+def entity_links(firms: DataFrame) -> DataFrame:
+    """(a, b): links enough to connect all firms that the rule links, directly or not: every firm with the first one of its
+    site, name and vector, and similar names and vectors by their first firms. With a column ``fresh``, links that touch
+    a fresh firm or value suffice, since older ones are known. Unlike all pairs these stay about as many as firms."""
+    marked = durable(_marked(firms))
+    first = marked.where("domain <> ''").groupBy("site").agg(F.min("id").alias("low"))
+    out = marked.join(first, "site").where("id > low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    for values, of, alike in _similar(marked):
+        low = values.select("no", "low")
+        out = out.unionByName(of.join(low, "no").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
+        both = alike.join(low.withColumnsRenamed({"no": "a", "low": "x"}), "a").join(low.withColumnsRenamed({"no": "b", "low": "y"}), "b")
+        out = out.unionByName(both.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return out.where("a <> b").distinct()
+
+
+@tidy
 def resolve_entities(firms: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(a, b, same_entity, confidence, method, fuzzy, semantic) for given pairs of firms, or else for all that the rule
     links and all of one domain."""
     if pairs is None:
-        return _verdict(compared_pairs(firms))
+        pairs = linked_pairs(firms)
     f = firms.select("id", F.struct("firm_name", "website", "embedding").alias("f"))
     both = pairs.join(f.select(F.col("id").alias("a"), F.col("f").alias("fa")), "a").join(f.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b")
     return pair_verdict(both, "fa", "fb").drop("fa", "fb")
@@ -211,6 +162,35 @@ def entity_components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> D
     return nodes.join(linked, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("entity_id"))
 
 
+@tidy
+def extend_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, entity_id) after new ``links`` (a, b) between their ids.
+
+    Only the labels at the ends of links are looked up and connected; the other labels pass by, whatever their number.
+    The result is that of all links at once.
+    """
+    at = labels.select(F.col("id").alias("a"), F.col("entity_id").alias("la"))
+    ends = links.select("a", "b").join(at, "a").join(at.withColumnsRenamed({"a": "b", "la": "lb"}), "b").where("la <> lb")
+    moved = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).where("node <> component")
+    return labels.join(moved, F.col("entity_id") == F.col("node"), "left").select("id", F.coalesce("component", "entity_id").alias("entity_id"))
+
+
+def resolve_batch(firms: DataFrame, labels: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(labels, touched): the entity of every firm after a ``batch`` of new firms, and the entities that gained a firm or
+    were joined, which are those to be merged anew.
+
+    ``firms`` and ``batch`` hold id, firm_name, website and embedding, ``labels`` (id, entity_id) the result so far. Old firms
+    are compared with new ones only, never with each other again. One batch after the other gives the same labels as all
+    at once.
+    """
+    columns = ("id", "firm_name", "website", "embedding")
+    every = firms.select(*columns, F.lit(False).alias("fresh")).unionByName(batch.select(*columns, F.lit(True).alias("fresh")))
+    start = labels.unionByName(batch.select("id", F.col("id").alias("entity_id")))
+    new = extend_components(start, entity_links(every))
+    changed = new.join(labels.withColumnRenamed("entity_id", "was"), "id", "left").where("was is null or was <> entity_id")
+    return new, changed.select("entity_id").distinct()
+
+
 def _some(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
 
@@ -259,18 +239,26 @@ def upsert_firms(firms: DataFrame, partners: DataFrame, companies: DataFrame, in
     """(firms, partners, companies) after an upsert of whole records.
 
     ``incoming`` (id, seq, scalars, lists, partners, portfolio_companies) holds records of known ids. Firms are merged as by
-    ``merge_firms``, their children as by ``merge_children``; ``embedding_text`` then names all partners and companies in
-    order, and the vector is made anew from it.
+    ``merge_firms``, their children with all fields as by ``merge_children``: role and links of partners and sectors of
+    companies stay where they are known and are filled where they are blank. Children keep their id; that of a new one
+    is null until it is stored. ``embedding_text`` then names all partners and companies in order, and the vector is made
+    anew from it.
     """
     def given(column: str, name: str, fields: tuple[str, ...]) -> DataFrame:
-        rows = incoming.select("id", "seq", F.posexplode(column).alias("p", "x")).select(F.col("id").alias("firm_id"), F.struct("seq", "p").alias("seq"), *[F.col(f"x.{c}").alias(c) for c in (name, *fields)])
-        return rows
+        held = incoming.schema[column].dataType.elementType.fieldNames()
+        cells = [F.col(f"x.{c}").alias(c) if c in held else F.lit(None).cast("string").alias(c) for c in (name, *fields)]
+        return incoming.select("id", "seq", F.posexplode(column).alias("p", "x")).select(F.col("id").alias("firm_id"), F.struct("seq", "p").alias("seq"), *cells)
 
     def known(df: DataFrame, name: str, fields: tuple[str, ...]) -> DataFrame:
-        return df.select("firm_id", F.struct(F.col("id").alias("seq"), F.lit(0).alias("p")).alias("seq"), name, *fields)
+        cells = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in fields]
+        return df.select("firm_id", F.struct(F.col("id").alias("seq"), F.lit(0).alias("p")).alias("seq"), name, *cells)
+
+    def merged_children(stored: DataFrame, column: str, name: str, fields: tuple[str, ...]) -> DataFrame:
+        out = merge_children(known(stored, name, fields), given(column, name, fields), name, fields)
+        return out.withColumn("id", F.when(~F.col("is_new"), F.col("at.seq")))
 
-    people = merge_children(known(partners, "name", ()), given("partners", "name", ()), "name", ())
-    owned = merge_children(known(companies, "company_name", ("sector",)), given("portfolio_companies", "company_name", ("sector",)), "company_name", ("sector",))
+    people = merged_children(partners, "partners", "name", PARTNER_FIELDS)
+    owned = merged_children(companies, "portfolio_companies", "company_name", COMPANY_FIELDS)
 
     def listed(df: DataFrame, name: str, out: str) -> DataFrame:
         rows = df.groupBy(F.col("firm_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("is_new", "at", name))).alias(out))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firmlake.operators.running import running_sums
+from firmlake.sources.shared import tidy
+
 
 def record_failures(ledger: DataFrame, events: DataFrame) -> DataFrame:
     """``ledger`` (url, error_message, retry_count, last_attempt, status) after ``events`` (url, error_message, ts): pending again."""
@@ -16,6 +19,16 @@ def record_failures(ledger: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def apply_failure_events(ledger: DataFrame, events: DataFrame) -> DataFrame:
+    """``ledger`` after ``events`` (url, error_message, ts, kind), kind "failed" or "resolved": failures count as in
+    ``record_failures``, and a URL whose last event resolves it is resolved. Of events at one time a failure counts last."""
+    failed = F.col("kind") == "failed"
+    out = record_failures(ledger, events.where(failed).select("url", "error_message", "ts"))
+    last = events.groupBy("url").agg(F.max_by("kind", F.struct("ts", failed)).alias("last"))
+    known = out.join(last, "url", "left")
+    return known.withColumn("status", F.when(F.col("last") == "resolved", "resolved").otherwise(F.col("status"))).drop("last")
+
+
 def resolve_failures(ledger: DataFrame, urls: DataFrame) -> DataFrame:
     done = urls.select("url").distinct().withColumn("done", F.lit(True))
     return ledger.join(done, "url", "left").withColumn("status", F.when(F.col("done"), "resolved").otherwise(F.col("status"))).drop("done")
@@ -65,11 +78,28 @@ def not_recently_crawled(hits: DataFrame, crawled: DataFrame, queue: DataFrame,
     return hits.join(fresh, "url", "left_anti").join(held, "url", "left_anti")
 
 
+def hits_due(hits: DataFrame, crawled: DataFrame, days: int = 30) -> DataFrame:
+    """Hits (url, ts) whose URL no row of ``crawled`` (url, ts) shows as crawled in the ``days`` before them.
+
+    Crawls of the same and of the next stretch of ``days`` are enough to look at, so a hit meets the crawls of two stretches
+    of its URL at most.
+    """
+    span = F.lit(days * 86_400)
+    second, stretch = lambda c: F.unix_micros(c) / 1_000_000, lambda c: F.floor(F.unix_micros(c) / 1_000_000 / span)
+    last = crawled.groupBy("url", stretch(F.col("ts")).alias("part")).agg(F.array_sort(F.collect_set("ts")).alias("crawls"))
+    reach = last.withColumn("part", F.explode(F.array("part", F.col("part") + 1)))
+    reach = reach.groupBy("url", "part").agg(F.flatten(F.collect_list("crawls")).alias("crawls"))
+    out = hits.withColumn("part", stretch(F.col("ts"))).join(reach, ["url", "part"], "left")
+    ago = lambda c: second(F.col("ts")) - second(c)
+    recent = F.exists(F.coalesce("crawls", F.array().cast("array<timestamp>")), lambda c: (ago(c) >= 0) & (ago(c) < span))
+    return out.where(~recent).drop("part", "crawls")
+
+
+@tidy
 def within_budget(counts: DataFrame, budget: int) -> DataFrame:
     """Queries (seq, n) to run until ``budget`` URLs are found (0: no limit), and how many each may still take.
 
-    The window runs over a list of queries, which is short by nature.
+    The sum of what earlier queries found runs over ranges of seq, so the list may be of any length.
     """
-    before = F.coalesce(F.sum("n").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = counts.withColumn("before", before).where((F.lit(budget) == 0) | (F.col("before") < budget))
+    out = running_sums(counts, {"before": F.col("n")}, [F.col("seq")]).where((F.lit(budget) == 0) | (F.col("before") < budget))
     return out.withColumn("take", F.when(F.lit(budget) == 0, F.col("n")).otherwise(F.least(F.col("n"), budget - F.col("before"))))

@@ -9,10 +9,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Queries that go to the firms together.
-QUERY_BLOCK = 10_000
+from firmlake.sources.shared import durable, tidy
+
+#: Rows of a block of firms and of queries; a task compares one of each.
+FIRM_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Vectors around which blocks are built, at most.
+PIVOTS = 64
+#: Profiles that go to the firms together.
+PROFILE_BLOCK = 10_000
 FACETS = (("focus_sectors", "q_sector"), ("investment_stage", "q_stage"), ("geography", "q_geography"))
 BOOSTS = (0.15, 0.05, 0.10)
 
@@ -27,72 +32,129 @@ def _has(array: str, value: str) -> Column:
     return F.col(value).isNotNull() & F.array_contains(array, F.col(value))
 
 
-def _block_top(frame: pd.DataFrame, queries: pd.DataFrame, limit: int, filtering: bool) -> pd.DataFrame:
-    """The rows of a batch of firms that may be among the ``limit`` best of each query, with their distance."""
-    def matrix(vectors: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        by_width: dict[int, list[int]] = {}
-        whole = [None if v is None else np.array([np.nan if z is None else z for z in v], float) for v in vectors]
-        for k, v in enumerate(whole):
-            if v is not None and len(v) and np.isfinite(v).all() and v.any():
-                by_width.setdefault(len(v), []).append(k)
-        return {w: (np.array(at), np.array([whole[k] for k in at])) for w, at in by_width.items()}
-
-    def holds(array: str, wanted: pd.Series) -> np.ndarray:
-        """Whether a firm's list holds a query's facet."""
-        values = {v: frame[array].map(lambda x, v=v: x is not None and v in x).to_numpy(bool) for v in wanted.dropna().unique()}
-        return np.column_stack([values.get(v, np.zeros(len(frame), bool)) for v in wanted]) if len(wanted) else np.zeros((len(frame), 0), bool)
-
-    facets = {(c, v): holds(c, queries[v]) for c, v in FACETS}
-    firms, asked, out = matrix(frame.embedding), matrix(queries.query_vector), []
-    for width, (rows, x) in firms.items():
-        if width not in asked:
-            continue
-        columns, q = asked[width]
-        near = x @ q.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(q, axis=1)[None, :]
-        if filtering:
-            for (_, v), has in facets.items():
-                near[~(has[np.ix_(rows, columns)] | queries[v].isna().to_numpy()[columns][None, :])] = -np.inf
-            score, slack = near, 1e-9
-        else:
-            score = near + sum(w * facets[f][np.ix_(rows, columns)] for f, w in zip(FACETS, BOOSTS))
+def _usable(v: str) -> Column:
+    return F.coalesce(F.forall(v, lambda z: z.isNotNull() & ~F.isnan(z) & (F.abs(z) < float("inf"))) & F.exists(v, lambda z: z != 0), F.lit(False))
+
+
+def _angles(pivots: dict[int, np.ndarray], vector: str, rest: list[str]):
+    """Adds to frames the width of each vector and its angles to all pivots of that width."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for width, rows in frame.groupby(frame[vector].map(len)):
+                x = np.array(rows[vector].tolist(), float)
+                near = x / np.linalg.norm(x, axis=1, keepdims=True) @ pivots[width].T if width in pivots else np.zeros((len(x), 1))
+                yield rows[rest].assign(width=width, angles=list(np.arccos(np.clip(near, -1, 1))))
+
+    return run
+
+
+def _best(limit: int, filtering: bool):
+    """Of a block of queries and one of firms, the rows that may be among the ``limit`` best of a query, with their distance.
+
+    A query's ``floor`` is a score that it reaches ``limit`` times elsewhere: what stays below is left out.
+    """
+    def compare(queries: pd.DataFrame, firms: pd.DataFrame) -> pd.DataFrame:
+        def holds(array: str, wanted: pd.Series) -> np.ndarray:
+            """Whether a firm's list holds a query's facet."""
+            values = {v: firms[array].map(lambda x, v=v: x is not None and v in x).to_numpy(bool) for v in wanted.dropna().unique()}
+            return np.column_stack([values.get(v, np.zeros(len(firms), bool)) for v in wanted])
+
+        none = pd.DataFrame({"query_id": queries.query_id.iloc[:0], "id": firms.id.iloc[:0], "distance": pd.Series(dtype=float), "score": pd.Series(dtype=float)})
+        if not len(queries) or not len(firms):
+            return none
+        x, q = (np.array(v.tolist(), float) for v in (firms.embedding, queries.query_vector))
+        score, slack = x @ q.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(q, axis=1)[None, :], 1e-9
+        for (array, wanted), boost in zip(FACETS, BOOSTS):
+            if filtering and queries[wanted].notna().any():
+                score[~(holds(array, queries[wanted]) | queries[wanted].isna().to_numpy()[None, :])] = -np.inf
+            elif not filtering and queries[wanted].notna().any():
+                score += boost * holds(array, queries[wanted])
+        if not filtering:
             slack = 2e-4  # scores are rounded to four places before they are compared
-        last = np.sort(score, axis=0)[-min(limit, len(rows))] - slack
+        last = np.maximum(np.partition(score, -min(limit, len(x)), axis=0)[-min(limit, len(x))], queries.floor.to_numpy()) - slack
         i, j = np.nonzero((score >= last[None, :]) & np.isfinite(score))
         a, b = x[i], q[j]
         cosine = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
-        part = frame.iloc[rows[i]].drop(columns="embedding").reset_index(drop=True)
-        mine = queries.iloc[columns[j]].drop(columns="query_vector").reset_index(drop=True)
-        out.append(pd.concat([part, mine], axis=1).assign(distance=1 - cosine))
-    return pd.concat(out) if out else frame.iloc[:0].drop(columns="embedding").assign(**{c: pd.Series(dtype=object) for c in queries.columns if c != "query_vector"}, distance=pd.Series(dtype=float))
+        out = pd.DataFrame({"query_id": queries.query_id.to_numpy()[j], "id": firms.id.to_numpy()[i], "distance": 1 - cosine, "score": score[i, j]})
+        return out if len(out) else none
+
+    return compare
 
 
-def search(firms: DataFrame, queries: DataFrame, limit: int = 10, filter_mode: str = "filter", block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(firms: DataFrame, queries: DataFrame, limit: int, filtering: bool, block: int = FIRM_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, distance) of all ``firms`` that may be among the ``limit`` best of a query: exact, none is missed.
+    ``firms`` is a stored table with usable vectors; it is read several times.
+
+    Firms are dealt into blocks by the pivot nearest to them and by rings of their angle to it, queries by the pivot
+    nearest to them. Every block of queries first meets the block of firms that may lie nearest, which gives each query
+    ``limit`` scores, and so a floor. Then it meets those blocks only that may hold more than the floor of one of its
+    queries: no firm of a ring is nearer to a query than the difference of their angles to the pivot. Blocks meet by
+    joins on their numbers, so the plan is of one size for any number of queries, and the driver sees the pivots only.
+    """
+    held = firms.select("id", "embedding", *[c for c, _ in FACETS])
+    asked = durable(queries.where(_usable("query_vector")))
+    total, many = held.count(), asked.count()
+    sample = held.select("embedding").orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, total // block))).collect()
+    pivots: dict[int, np.ndarray] = {}
+    for width in {len(r.embedding) for r in sample}:
+        p = np.array([r.embedding for r in sample if len(r.embedding) == width], float)
+        pivots[width] = p / np.linalg.norm(p, axis=1, keepdims=True)
+    angled = "width int, angles array<double>"
+
+    def near(df: DataFrame) -> DataFrame:
+        nearest_ = F.array_min("angles")
+        return df.withColumn("pivot", (F.array_position("angles", nearest_) - 1).cast("int")).withColumn("angle", nearest_)
+
+    id_type, query_type = (df.schema[c].dataType.simpleString() for df, c in ((held, "id"), (asked, "query_id")))
+    around = durable(near(held.select("id", "embedding").mapInPandas(_angles(pivots, "embedding", ["id"]), f"id {id_type}, {angled}")).drop("angles"))
+    span = around.groupBy("width", "pivot").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
+    ring = F.floor(F.coalesce(F.try_divide(F.col("angle") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * F.ceil(F.col("n") / block)).cast("int")
+    ringed = around.join(F.broadcast(span), ["width", "pivot"]).withColumn("ring", ring).select("id", "width", "pivot", "ring", "angle")
+    rings = ringed.groupBy("width", "pivot", "ring").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
+    rings = rings.withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    cells = durable(rings.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("cell", F.monotonically_increasing_id()))
+    same = ["width", "pivot", "ring"]
+    homes = ringed.join(rings.select(*same, "parts"), same).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    homes = homes.join(cells.select(*same, "part", "cell"), [*same, "part"]).select("id", "cell")
+    members = durable(held.join(homes, "id"))
+    # queries by pivot where they fill more than a block, in parts of about a block
+    to = near(asked.select("query_id", "query_vector").mapInPandas(_angles(pivots, "query_vector", ["query_id"]), f"query_id {query_type}, {angled}"))
+    to = to.withColumn("home", F.col("pivot") if many > query_block else F.lit(0))
+    parts = to.groupBy("width", "home").agg(F.ceil(F.count("*") / query_block).cast("int").alias("parts"))
+    to = durable(to.join(parts, ["width", "home"]).withColumn("block", F.xxhash64("width", "home", F.pmod(F.xxhash64("query_id"), F.col("parts")))).drop("parts"))
+    blocks = to.select("block", "width", F.posexplode("angles").alias("pivot", "angle")).groupBy("block", "width", "pivot").agg(F.min("angle").alias("from"), F.max("angle").alias("until"))
+    apart = F.greatest(F.col("lo") - F.col("until"), F.col("from") - F.col("hi"), F.lit(0.0))
+    reach = durable(blocks.join(cells, ["width", "pivot"]).select("block", "cell", "n", F.cos(apart).alias("most")))
+    wide = asked.join(to.select("query_id", "block"), "query_id").withColumn("floor", F.lit(float("-inf")))
+
+    def meet(some: DataFrame, pairs: DataFrame) -> DataFrame:
+        left, right = some.join(pairs, "block").groupBy("block", "cell"), members.join(pairs, "cell").groupBy("block", "cell")
+        return left.cogroup(right).applyInPandas(lambda q, f: _best(limit, filtering)(q, f), f"query_id {query_type}, id {id_type}, distance double, score double")
+
+    first = reach.groupBy("block").agg(F.max_by("cell", F.struct("most", "n", "cell")).alias("cell"))
+    scores = meet(wide, first.select("block", "cell")).groupBy("query_id").agg(F.array_sort(F.collect_list("score"), lambda x, y: F.when(x > y, -1).when(x < y, 1).otherwise(0)).alias("s"))
+    reached = scores.select("query_id", F.get("s", F.lit(limit - 1)).alias("reached"))
+    wide = durable(wide.drop("floor").join(reached, "query_id", "left").withColumn("floor", F.coalesce("reached", F.lit(float("-inf")))).drop("reached"))
+    floors = wide.groupBy("block").agg(F.min("floor").alias("floor"))
+    slack = 1e-6 if filtering else 1e-3 + sum(BOOSTS)
+    pairs = durable(reach.join(floors, "block").where(F.col("most") + slack >= F.col("floor")).select("block", "cell"))
+    return meet(wide, pairs).select("query_id", "id", "distance")
+
+
+@tidy
+def search(firms: DataFrame, queries: DataFrame, limit: int = 10, filter_mode: str = "filter", block: int = FIRM_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The ``limit`` nearest firms of each query and their hybrid score.
 
     ``queries``: query_id, query_vector, and optional sector, stage, geography (null: not given). "filter" keeps firms
     that match all given facets, cuts at the nearest ``limit`` and then scores; "boost" scores all firms and cuts by
-    score. Firms or queries without a usable vector are left out. Ties go to the smaller firm id.
-
-    Queries go to the tasks in blocks of at most ``block``; a task multiplies a batch of firms with a block and passes on
-    the few rows that may be among the best.
+    score. Firms or queries without a usable vector are left out. Ties go to the smaller firm id. Ids are unique.
     """
     q = queries.select("query_id", "query_vector", *[F.col(c) if c in queries.columns else F.lit(None).cast("string").alias(c) for c in ("sector", "stage", "geography")])
     q = q.withColumnsRenamed({"sector": "q_sector", "stage": "q_stage", "geography": "q_geography"})
-    blocks = max(1, -(-q.count() // block))
-    kept = [f for f in firms.schema.fields if f.name != "embedding"]
-    schema = T.StructType([*kept, *[f for f in q.schema.fields if f.name != "query_vector"], T.StructField("distance", T.DoubleType())])
-    filtering, parts = filter_mode == "filter", []
-    for k in range(blocks):
-        some = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toPandas()
-        held = firms.sparkSession.sparkContext.broadcast(some)
-
-        def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if len(frame):
-                    yield _block_top(frame, held.value, limit, filtering)
-
-        parts.append(firms.mapInPandas(run, schema))
-    scored = reduce(DataFrame.unionByName, parts)
+    filtering = filter_mode == "filter"
+    held = durable(firms.where(_usable("embedding")))
+    found = nearest(held, q, limit, filtering, block, query_block)
+    scored = held.drop("embedding").join(found, "id").join(q.drop("query_vector"), "query_id")
     boost = sum(F.when(_has(c, v), w).otherwise(0.0) for (c, v), w in zip(FACETS, BOOSTS))
     scored = scored.withColumn("hybrid_score", F.round(1 - F.col("distance") + boost, 4))
     order = [F.col("distance"), F.col("id")] if filtering else [F.desc("hybrid_score"), F.col("distance"), F.col("id")]
@@ -101,8 +163,6 @@ def search(firms: DataFrame, queries: DataFrame, limit: int = 10, filter_mode: s
     return top.withColumn("rank", F.row_number().over(last)).withColumn("match_percent", F.least(F.round((1 - F.col("distance")) * 100, 2), F.lit(100.0)))
 
 
-
-
 def explain_match(df: DataFrame) -> DataFrame:
     """Adds ``explanation``: how near a search result is, and which facets it was raised for."""
     names = ("Focus Sector", "Investment Stage", "Target Geography")
@@ -129,7 +189,7 @@ def _profiles(profiles: DataFrame) -> DataFrame:
     return profiles.select("profile_id", F.col("sector").alias("p_sector"), F.col("stage").alias("p_stage"), F.col("geography").alias("p_geography"))
 
 
-def rank_firms(firms: DataFrame, profiles: DataFrame, limit: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+def rank_firms(firms: DataFrame, profiles: DataFrame, limit: int = 10, block: int = PROFILE_BLOCK) -> DataFrame:
     """Rule score of every firm for every profile (profile_id, sector, stage, geography): 5 + 5 + 3; the best ``limit`` above 0."""
     weights = (("focus_sectors", "p_sector", 5), ("investment_stage", "p_stage", 5), ("geography", "p_geography", 3))
     score = sum(F.when(_inside(c, F.col(v)), w).otherwise(0) for c, v, w in weights)
@@ -138,7 +198,7 @@ def rank_firms(firms: DataFrame, profiles: DataFrame, limit: int = 10, block: in
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def match_firms(firms: DataFrame, profiles: DataFrame, exact: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+def match_firms(firms: DataFrame, profiles: DataFrame, exact: bool = False, block: int = PROFILE_BLOCK) -> DataFrame:
     """Firms that match all three facets of a profile: as substrings, or ("exact") as whole elements.
 
     Whole elements are joined on the sector, so that only firms and profiles that share one meet.

@@ -448,15 +448,26 @@ def merge_firms(s, d):
 
 
 def firm_upsert(s, d):
-    """Records for every other firm: two partners each, and companies that it may hold in another spelling."""
+    """Records for every other firm: three partners each with some of their fields, and companies that it may hold in another
+    spelling."""
     old = t.firms(s, d, False).withColumn("source_url", F.lit("")).withColumn("created_at", F.col("updated_at"))
     k = F.col("id")
-    people = F.array(F.struct(F.concat(F.lit("Ann "), (k % 5).cast("string")).alias("name")), F.struct(F.concat(F.lit("supplier#"), F.lpad((k % 9).cast("string"), 9, "0")).alias("name")))
+    supplier = F.concat(F.lit("supplier#"), F.lpad((k % 9).cast("string"), 9, "0"))
+    partner = lambda name, role, link, bird: F.struct(name.alias("name"), F.lit(role).alias("role"), link.alias("linkedin_url"), F.lit(bird).alias("twitter_url"))
+    people = F.array(
+        partner(F.concat(F.lit("Ann "), (k % 5).cast("string")), "", F.lit(""), "@a"), partner(supplier, "Partner", F.concat(F.lit("https://linkedin.com/in/n"), k.cast("string")), None),
+        partner(F.upper(supplier), "Analyst", F.lit("second"), "@s"),
+    )
     owned = F.array(F.struct(F.concat(F.lit("Acme "), (k % 3).cast("string")).alias("company_name"), F.lit("x").alias("sector")), F.struct(F.upper("firm_name").alias("company_name"), F.lit("y").alias("sector")))
     new = old.where("id % 2 = 0").select(k.alias("seq"), "id", "firm_name", F.lit("").alias("website"), "source_url", "focus_sectors", "investment_stage", "geography", people.alias("partners"), owned.alias("portfolio_companies"))
     out, people, owned = entities.upsert_firms(old, t.partners(s, d), t.portfolio(s, d), new, F.lit("2025-01-01").cast("timestamp"))
-    counts = people.groupBy(F.col("firm_id").alias("id")).agg(F.count("*").alias("partners")).join(owned.groupBy(F.col("firm_id").alias("id")).agg(F.count("*").alias("companies")), "id", "full_outer")
-    return out.join(counts, "id", "left").select("id", F.sha2("embedding_text", 256).alias("text_sha256"), F.size("embedding").alias("width"), F.coalesce("partners", F.lit(0)).alias("partners"), F.coalesce("companies", F.lit(0)).alias("companies"))
+    def shown(children: DataFrame, name: str, fields: tuple[str, ...], column: str) -> DataFrame:
+        cells = F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("new")), name, *[F.coalesce(F.col(c), F.lit("-")) for c in fields])
+        one = children.groupBy(F.col("firm_id").alias("firm")).agg(F.array_sort(F.collect_list(F.struct("is_new", "at", cells.alias("t")))).alias("x"))
+        return one.select(F.col("firm").alias("id"), _text("x.t").alias(column))
+
+    out = out.join(shown(people, "name", entities.PARTNER_FIELDS, "partners"), "id", "left").join(shown(owned, "company_name", entities.COMPANY_FIELDS, "companies"), "id", "left")
+    return out.select("id", F.sha2("embedding_text", 256).alias("text_sha256"), F.size("embedding").alias("width"), F.coalesce("partners", F.lit("")).alias("partners"), F.coalesce("companies", F.lit("")).alias("companies"))
 
 
 def list_children_of(s, d):

@@ -300,15 +300,28 @@ ORACLE["group_merge"] = f"""WITH {FIRMS}, {', '.join(_group_list(f'g_{c}', f'SEL
   SELECT e entity_id, firm, website, {', '.join(f"coalesce(g_{c}.v, '') {c}" for c in (*_LISTS, 'partners', 'companies'))} FROM s {' '.join(f'LEFT JOIN g_{c} USING (e)' for c in (*_LISTS, 'partners', 'companies'))}"""
 
 
-def _after_upsert(child: str, name: str, new: str) -> str:
-    """Names of each firm's children after the upsert, existing ones by id first, then new ones in their order."""
-    return f"""SELECT firm_id, count(*) n, string_agg(nm, ' ' ORDER BY is_new, a) names FROM (SELECT firm_id, arg_min(nm, (is_new, a)) nm, min(is_new) is_new, arg_min(a, (is_new, a)) a FROM (
-    SELECT firm_id, "{name}" nm, 0 is_new, id a FROM {child} UNION ALL SELECT id, unnest({new}), 1, generate_subscripts({new}, 1) FROM firms WHERE id % 2 = 0) GROUP BY firm_id, lower(trim(nm))) GROUP BY 1"""
-
-
-_PEOPLE, _OWNED = "['Ann ' || id % 5, 'supplier#' || lpad((id % 9)::VARCHAR, 9, '0')]", "['Acme ' || id % 3, upper(firm_name)]"
-ORACLE["firm_upsert"] = f"""WITH {FIRMS}, {PARTNERS}, {PORTFOLIO}, pe AS ({_after_upsert('partners', 'name', _PEOPLE)}), ow AS ({_after_upsert('portfolio', 'company_name', _OWNED)})
-  SELECT id, sha256(firm_name || ' ' || website || ' ' || {' '.join(f"coalesce(array_to_string({c}, ' '), '') || ' ' ||" for c in _LISTS)} coalesce(pe.names, '') || ' ' || coalesce(ow.names, '')) text_sha256, 64 width, coalesce(pe.n, 0) partners, coalesce(ow.n, 0) companies
+def _after_upsert(known: str, new: str, fields: tuple[str, ...]) -> str:
+    """Each firm's children after the upsert, existing ones by id first, then new ones in their order: their names, and all
+    that is known of them."""
+    filled = ", ".join(f"arg_min({c}, (is_new, a)) FILTER (WHERE trim(coalesce({c}, '')) <> '') {c}" for c in fields)
+    cells = " || '/' || ".join(f"coalesce({c}, '-')" for c in fields)
+    return f"""SELECT firm_id, string_agg(nm, ' ' ORDER BY is_new, a) names, string_agg((CASE WHEN is_new = 0 THEN a::VARCHAR ELSE 'new' END) || '/' || nm || '/' || {cells}, '|' ORDER BY is_new, a) shown
+    FROM (SELECT firm_id, arg_min(nm, (is_new, a)) nm, min(is_new) is_new, arg_min(a, (is_new, a)) a, {filled} FROM ({known} UNION ALL {new}) GROUP BY firm_id, lower(trim(nm))) GROUP BY 1"""
+
+
+_EVEN = "FROM firms WHERE id % 2 = 0"
+_SUPPLIER = "'supplier#' || lpad((id % 9)::VARCHAR, 9, '0')"
+_PEOPLE = _after_upsert(
+    """SELECT firm_id, "name" nm, 0 is_new, id a, CASE id % 3 WHEN 0 THEN 'GP' WHEN 1 THEN '' END "role", CASE WHEN id % 2 = 0 THEN 'https://linkedin.com/in/s' || id END linkedin_url, CASE WHEN id % 5 = 0 THEN ' ' ELSE '' END twitter_url FROM partners""",
+    f"""SELECT id, 'Ann ' || id % 5, 1, 1, '', '', '@a' {_EVEN} UNION ALL SELECT id, {_SUPPLIER}, 1, 2, 'Partner', 'https://linkedin.com/in/n' || id, NULL {_EVEN} UNION ALL SELECT id, upper({_SUPPLIER}), 1, 3, 'Analyst', 'second', '@s' {_EVEN}""",
+    ('"role"', "linkedin_url", "twitter_url"),
+)
+_OWNED = _after_upsert(
+    "SELECT firm_id, company_name nm, 0 is_new, id a, sector FROM portfolio",
+    f"SELECT id, 'Acme ' || id % 3, 1, 1, 'x' {_EVEN} UNION ALL SELECT id, upper(firm_name), 1, 2, 'y' {_EVEN}", ("sector",),
+)
+ORACLE["firm_upsert"] = f"""WITH {FIRMS}, {PARTNERS}, {PORTFOLIO}, pe AS MATERIALIZED ({_PEOPLE}), ow AS MATERIALIZED ({_OWNED})
+  SELECT id, sha256(firm_name || ' ' || website || ' ' || {' '.join(f"coalesce(array_to_string({c}, ' '), '') || ' ' ||" for c in _LISTS)} coalesce(pe.names, '') || ' ' || coalesce(ow.names, '')) text_sha256, 64 width, coalesce(pe.shown, '') partners, coalesce(ow.shown, '') companies
   FROM firms LEFT JOIN pe ON pe.firm_id = id LEFT JOIN ow ON ow.firm_id = id"""
 ORACLE["list_children_of"] = f'WITH {FIRMS}, {PARTNERS} SELECT firm_id, p.id, p."name", firm_name FROM partners p LEFT JOIN firms f ON f.id = firm_id WHERE firm_id = 7 ORDER BY p."name", p.id LIMIT 250'
 ORACLE["firm_by_id"] = f"""WITH {FIRMS}, {PARTNERS}, {PORTFOLIO} SELECT id, firm_name, coalesce((SELECT string_agg(p."name", '|' ORDER BY p.id) FROM partners p WHERE p.firm_id = 7), '') partners,
