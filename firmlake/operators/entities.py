@@ -78,6 +78,8 @@ def _numbered(marked: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """The distinct values of a column with numbers (no, <column>, fresh, low: smallest id), and (id, fresh, no)."""
     known = (F.col(column) != "") if column == "name" else F.col(column).isNotNull()
     values = marked.where(known).groupBy(column).agg(F.max("fresh").alias("fresh"), F.min("id").alias("low"))
+    # as many files as the session has shuffle partitions: few bytes, but much work for each
+    values = values.repartition(int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
     values = durable(values.withColumn("no", F.monotonically_increasing_id()))
     return values, marked.where(known).join(values.select("no", column), column).select("id", "fresh", "no")
 

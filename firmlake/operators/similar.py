@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,13 +20,13 @@ from firmlake.sources.shared import durable
 
 #: Letters of a gram by the least ratio for which similar names of any length must share some: with ratio r and grams of q
 #: letters, r / 2 must exceed (q - 1) * (1 - r).
-GRAMS = ((0.81, 3), (0.67, 2))
+GRAMS = ((0.86, 4), (0.81, 3), (0.67, 2))
 #: Caps that a vector falls into; words of a block of the code at most; rows of a block of a hot cap.
 CAPS, WORDS, BLOCK = 64, 512, 512
 #: Vectors of fewer components are too few directions to tell apart: all share one cap, whose blocks meet in full.
 FLAT = 16
-#: Member rows that one task compares, about.
-DEALT = 8192
+#: Member rows that one task compares, about; members of a cap up to which caps are compared many at once.
+DEALT, FEW = 8192, 24
 SEED = 4_219
 
 
@@ -85,13 +85,15 @@ def _gram_table(names: DataFrame, least: float) -> DataFrame:
     name answers to its first place in the other, since unbroken parts keep their order, and as many grams as must be
     shared cannot all stand behind the prefix.
     """
-    grams = names.select("no", F.char_length("name").alias("n"), "fresh", F.posexplode(_grams(F.col("name"), least)).alias("pos", "gram"))
+    n = F.col("n")
+    lowest, highest = F.ceil(n * least / (2 - least) - 1e-6), F.floor(n * (2 - least) / least + 1e-6)
+    shared = F.array_min(F.transform(F.sequence(lowest, highest), lambda m: _shared_grams(n, m, least)))
+    rows = names.select("no", "name", F.char_length("name").alias("n"), "fresh").withColumn("kept", (n + _gram(least) - F.ceil(shared)).cast("int"))
+    grams = rows.select("no", "n", "fresh", "kept", F.posexplode(_grams(F.col("name"), least)).alias("pos", "gram"))
     rarity = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    lowest, highest = F.ceil(F.col("n") * least / (2 - least) - 1e-6), F.floor(F.col("n") * (2 - least) / least + 1e-6)
-    shared = F.array_min(F.transform(F.sequence(lowest, highest), lambda m: _shared_grams(F.col("n"), m, least)))
-    place = F.row_number().over(Window.partitionBy("no").orderBy("df", "gram", "pos"))
-    ranked = grams.join(rarity, "gram").withColumn("place", place)
-    return ranked.where(F.col("place") <= F.col("n") + _gram(least) - F.ceil(shared)).select("no", "n", "fresh", "gram", "pos")
+    ranked = F.array_sort(F.collect_list(F.struct("df", "gram", "pos")))
+    first = grams.join(rarity, "gram").groupBy("no", "n", "fresh", "kept").agg(ranked.alias("ranked"))
+    return first.select("no", "n", "fresh", F.explode(F.slice("ranked", F.lit(1), F.col("kept"))).alias("g")).select("no", "n", "fresh", "g.gram", "g.pos")
 
 
 def name_candidates(names: DataFrame, least: float) -> DataFrame:
@@ -163,22 +165,32 @@ def _capped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _cap_pairs(least: float):
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         """Pairs of each cap of a frame, or of two blocks of a hot one, that their bytes do not rule out."""
-        out, frame = [], frame.sort_values(["width", "cap", "no"], kind="stable")
-        no, side, fresh = frame.no.to_numpy(), frame.side.to_numpy(), frame.fresh.to_numpy()
-        key = frame[["width", "cap"]].to_numpy()
-        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
-        for a, b in zip(starts, np.append(starts[1:], len(frame))):
-            if b - a < 2:
-                continue
-            x = np.array([np.frombuffer(v, np.int8) for v in frame.small.iloc[a:b]], np.float32)
-            scale = frame.scale.to_numpy()[a:b]
+        out = [np.zeros((2, 0), np.int64)]
+        for width, rows in frame.sort_values(["width", "cap", "no"], kind="stable").groupby("width"):
+            x = np.frombuffer(b"".join(rows.small), np.int8).reshape(-1, width).astype(np.float32)
+            no, cap, side, fresh, scale = (rows[c].to_numpy() for c in ("no", "cap", "side", "fresh", "scale"))
             # rounding moves a vector by half a step in each component at most
-            slack = 0.5 * np.sqrt(x.shape[1]) * scale
-            near = (x @ x.T) * scale[:, None] * scale[None, :] >= least - 1e-5 - (slack[:, None] + slack[None, :] + slack[:, None] * slack[None, :])
-            n, s, f = no[a:b], side[a:b], fresh[a:b]
-            i, j = np.nonzero(near & (n[:, None] < n[None, :]) & ((s[:, None] != s[None, :]) | (s[:, None] == 2)) & (f[:, None] | f[None, :]))
-            out.append(pd.DataFrame({"a": n[i], "b": n[j]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype=np.int64), "b": pd.Series(dtype=np.int64)})
+            slack = 0.5 * np.sqrt(width) * scale
+
+            def near(i: np.ndarray, j: np.ndarray, product: np.ndarray) -> np.ndarray:
+                bound = least - 1e-5 - (slack[i] + slack[j] + slack[i] * slack[j])
+                return (product * scale[i] * scale[j] >= bound) & ((side[i] != side[j]) | (side[i] == 2)) & (fresh[i] | fresh[j])
+
+            starts = np.flatnonzero(np.append(True, cap[1:] != cap[:-1]))
+            sizes = np.diff(np.append(starts, len(cap)))
+            # small caps all at once: every row with the one so many places behind it
+            few = np.repeat(sizes <= FEW, sizes)
+            for apart in range(1, min(FEW, len(cap))):
+                i = np.flatnonzero((cap[:-apart] == cap[apart:]) & few[:-apart])
+                i = i[near(i, i + apart, np.einsum("ij,ij->i", x[i], x[i + apart]))]
+                out.append(np.stack((no[i], no[i + apart])))
+            for a, n in zip(starts[sizes > FEW], sizes[sizes > FEW]):
+                i, j = np.triu_indices(n, 1)
+                product = (x[a : a + n] @ x[a : a + n].T)[i, j]
+                kept = near(a + i, a + j, product)
+                out.append(np.stack((no[a + i[kept]], no[a + j[kept]])))
+        found = np.concatenate(out, axis=1)
+        return pd.DataFrame({"a": found[0], "b": found[1]})
 
     return compare
 

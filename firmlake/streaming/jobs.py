@@ -43,30 +43,30 @@ def due_hits(events: DataFrame, days: int = 30, late: str = "1 day") -> DataFram
     count, and the stream gives the rows that ``hits_due`` gives of all events at once. Of each URL the crawls of the last
     ``days`` are kept, and nothing once they are older.
     """
-    span = days * 86_400_000
+    span = days * 86_400_000_000  # all times in microseconds, but for the watermark
 
     def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         crawls, waiting = map(list, state.get) if state.exists else ([], [])
         for frame in frames:
-            at = frame.ts.astype("int64") // {"ns": 10**6, "us": 10**3, "ms": 1}[frame.ts.dt.unit]
-            crawls += at[frame.kind == "crawl"].tolist()
-            waiting += at[frame.kind == "hit"].tolist()
+            crawls += frame["at"][frame.kind == "crawl"].tolist()
+            waiting += frame["at"][frame.kind == "hit"].tolist()
         now = state.getCurrentWatermarkMs()
-        ready, waiting = sorted(t for t in waiting if t <= now), [t for t in waiting if t > now]
+        ready, waiting = sorted(t for t in waiting if t // 1000 < now), [t for t in waiting if t // 1000 >= now]
         due = [t for t in ready if not any(t - span < c <= t for c in crawls)]
         # a hit that may still come is not older than the watermark
-        crawls = sorted({c for c in crawls if c > now - span})
+        crawls = sorted({c for c in crawls if c > now * 1000 - span})
         if crawls or waiting:
             state.update((crawls, waiting))
-            state.setTimeoutTimestamp(max(now + 1, min([t + 1 for t in waiting] or [max(crawls) + span + 1])))
+            state.setTimeoutTimestamp(max(now + 1, min(waiting or [max(crawls) + span]) // 1000 + 1))
         else:
             state.remove()
         if due:
-            yield pd.DataFrame({"url": key[0], "ts": pd.to_datetime(pd.Series(due), unit="ms", utc=True)})
+            yield pd.DataFrame({"url": key[0], "at": due})
 
     kind = events.schema["url"].dataType.simpleString()
-    grouped = events.where("url is not null and ts is not null").withWatermark("ts", late).groupBy("url")
-    return grouped.applyInPandasWithState(decide, f"url {kind}, ts timestamp", "crawls array<bigint>, waiting array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    grouped = events.where("url is not null and ts is not null").select("url", "ts", F.unix_micros("ts").alias("at"), "kind").withWatermark("ts", late).groupBy("url")
+    found = grouped.applyInPandasWithState(decide, f"url {kind}, at bigint", "crawls array<bigint>, waiting array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("url", F.timestamp_micros("at").alias("ts"))
 
 
 def keep_bundles(pages: DataFrame, all_pages: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
