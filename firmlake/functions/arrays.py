@@ -57,3 +57,13 @@ def embedding_text(*parts: Column) -> Column:
     """Parts joined by single blanks; blank parts keep their blank."""
     cells = [F.coalesce(p, F.lit("")) for p in parts]
     return F.concat(*[c for i, p in enumerate(cells) for c in ((F.lit(" "), p) if i else (p,))])
+
+
+def profile_text(firm: str = "firm_name", lists: tuple[str, ...] = ("focus_sectors", "investment_stage", "geography")) -> Column:
+    """The text of a firm's profile that is embedded when only its focus is known: name and lists."""
+    return embedding_text(F.col(firm), *[F.array_join(c, " ") for c in lists])
+
+
+def resolver_text(firm: str = "firm_name", website: str = "website", lists: tuple[str, ...] = ("focus_sectors", "investment_stage")) -> Column:
+    """The text by which two firms are compared: name, website, sectors and stages."""
+    return embedding_text(F.col(firm), F.col(website), *[F.array_join(c, " ") for c in lists])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from firmlake.functions import rules
 from firmlake.functions.urls import canonical_url, is_firm_site, is_profile_url, is_rejected_url, joined_url, let, once, url_base
+from firmlake.operators.running import running_sums
 
 
 def _list(spark: SparkSession, name: str, values) -> DataFrame:
@@ -55,6 +56,13 @@ def facet_queries(universe: DataFrame, *facets: str) -> DataFrame:
     return universe.withColumn("hit", hit).withColumn("any", any_hit).where((F.col("any") == 0) | F.col("hit")).select("query")
 
 
+def in_order(queries: DataFrame, most: int | None = None) -> DataFrame:
+    """(position, query): the distinct queries in order of their text, from 1; in a trial run only the first ``most``."""
+    out = running_sums(queries.select("query").distinct(), {"position": F.lit(1).cast("long")}, [F.col("query")])
+    out = out.select((F.col("position") + 1).alias("position"), "query")
+    return out if most is None else out.where(F.col("position") <= most)
+
+
 def expand_themes(themes: DataFrame, expansions: dict[str, tuple[str, ...]] = rules.THEME_EXPANSIONS) -> DataFrame:
     """(theme, expanded): each theme with its synonyms and itself."""
     known = F.create_map(*[x for k, v in expansions.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])

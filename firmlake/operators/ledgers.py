@@ -84,14 +84,15 @@ def hits_due(hits: DataFrame, crawled: DataFrame, days: int = 30) -> DataFrame:
     Crawls of the same and of the next stretch of ``days`` are enough to look at, so a hit meets the crawls of two stretches
     of its URL at most.
     """
-    span = F.lit(days * 86_400)
-    second, stretch = lambda c: F.unix_micros(c) / 1_000_000, lambda c: F.floor(F.unix_micros(c) / 1_000_000 / span)
-    last = crawled.groupBy("url", stretch(F.col("ts")).alias("part")).agg(F.array_sort(F.collect_set("ts")).alias("crawls"))
+    span = F.lit(days * 86_400_000_000)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    stretch = F.floor(micros(F.col("ts")) / span).alias("part")
+    last = crawled.where("ts is not null").groupBy("url", stretch).agg(F.collect_set(micros(F.col("ts"))).alias("crawls"))
     reach = last.withColumn("part", F.explode(F.array("part", F.col("part") + 1)))
     reach = reach.groupBy("url", "part").agg(F.flatten(F.collect_list("crawls")).alias("crawls"))
-    out = hits.withColumn("part", stretch(F.col("ts"))).join(reach, ["url", "part"], "left")
-    ago = lambda c: second(F.col("ts")) - second(c)
-    recent = F.exists(F.coalesce("crawls", F.array().cast("array<timestamp>")), lambda c: (ago(c) >= 0) & (ago(c) < span))
+    out = hits.withColumn("part", stretch).join(reach, ["url", "part"], "left")
+    ago = lambda c: micros(F.col("ts")) - c
+    recent = F.exists(F.coalesce("crawls", F.array().cast("array<long>")), lambda c: (ago(c) >= 0) & (ago(c) < span))
     return out.where(~recent).drop("part", "crawls")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from firmlake.functions.urls import safe_key, url_domain
+
 _texts = T.ArrayType(T.StringType())
 _partner = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "role", "linkedin_url", "twitter_url")] + [T.StructField("confidence", T.DoubleType())])
 _company = T.StructType([T.StructField(n, T.StringType()) for n in ("company_name", "sector")])
@@ -159,3 +161,42 @@ def queue(spark: SparkSession, d: str) -> DataFrame:
 def log_lines(spark: SparkSession, d: str) -> DataFrame:
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "WARN").otherwise("INFO")
     return table(spark, d, "events").select(F.col("event_id").alias("line_no"), F.concat(level, F.lit(" user="), F.col("user_id").cast("string")).alias("value"))
+
+
+def conformed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with exactly the columns and types of a stored table; columns that it lacks are null."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
+
+
+def raw_pages(pages: DataFrame, collected_at, source: str = "web_crawl", kind: str = "text/markdown") -> DataFrame:
+    """Pages (url, markdown) as they are stored: a file-safe name, the text, and the metadata that stands beside it.
+
+    Later steps check the provenance of a record against these columns. Pages without a URL are left out.
+    """
+    text = F.coalesce("markdown", F.lit(""))
+    return pages.where(F.trim(F.coalesce("url", F.lit(""))) != "").select(
+        safe_key(F.col("url")).alias("stem"), "url", text.alias("markdown"), F.lit(source).alias("ingestion_source"), F.lit(kind).alias("content_type"),
+        F.length(text).cast("long").alias("markdown_length"), collected_at.alias("collected_at"), url_domain(F.col("url")).alias("domain"),
+    )
+
+
+def write_raw_pages(pages: DataFrame, path: str, collected_at) -> None:
+    """Stores ``raw_pages`` by source, so that a later batch adds files and rewrites none."""
+    raw_pages(pages, collected_at).write.mode("append").partitionBy("ingestion_source").parquet(path)
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """Parsed records as JSON lines, one folder for each domain of their source."""
+    records.withColumn("domain", url_domain(F.col("source_url"))).repartition("domain").write.mode("errorifexists").partitionBy("domain").json(path)
+
+
+def read_records(spark: SparkSession, path: str, whole_files: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) of stored records, one to a line or to a file: records with their file's name and the types of the
+    schema, and for what is no record its file, the reason and the text."""
+    raw = spark.read.text(path, wholetext=whole_files).select(F.col("_metadata.file_name").alias("file_name"), "value").where(F.trim("value") != "")
+    shape = T.StructType([*SCHEMAS["records"].fields, T.StructField("_bad", T.StringType())])
+    read = raw.withColumn("r", F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    reason = F.when(F.try_parse_json("value").isNull(), "not_json").when(F.col("r._bad").isNotNull(), "not_a_record")
+    read = read.withColumn("reason", reason)
+    good = read.where("reason is null").select("file_name", *[F.col(f"r.{c}").alias(c) for c in SCHEMAS["records"].names])
+    return good, read.where("reason is not null").select("file_name", "reason", "value")
