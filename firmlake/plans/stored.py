@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from firmlake.functions.arrays import keyed_distinct, profile_text, resolver_text, text_key
 from firmlake.functions.names import resolver_name
-from firmlake.operators import discovery, entities, ledgers
+from firmlake.operators import discovery, entities, ledgers, pages
 from firmlake.plans import catalog, oracle
 from firmlake.sources import snapshots
 from firmlake.sources import tables as t
@@ -66,8 +66,8 @@ def ledger_in_buckets(s, d):
 
 def raw_page_sink(s, d):
     path = _place(s)
-    pages = t.table(s, d, "pages").select("url", F.col("html").alias("markdown"))
-    t.write_raw_pages(pages, path, F.lit("2024-02-01T00:00:00Z"))
+    found = t.table(s, d, "pages").select("url", F.col("html").alias("markdown"))
+    t.write_raw_pages(found, path, F.lit("2024-02-01T00:00:00Z"))
     out = s.read.parquet(path)
     return out.select("stem", "url", F.sha2("markdown", 256).alias("markdown_sha256"), "ingestion_source", "content_type", "markdown_length", "collected_at")
 
@@ -154,6 +154,10 @@ _J = "coalesce(array_to_string({0}, '|'), '') {0}"
 _REPLACED = "lower(\"name\")"
 for _word in ("capital", "ventures", "venture partners", "partners", "vc", ",", "."):
     _REPLACED = f"replace({_REPLACED}, '{_word}', '')"
+_IGNORED, _BLOCKS = ("|".join(sorted(tags)) for tags in (pages.IGNORED_TAGS, pages.BLOCK_TAGS))
+_PLAIN = "token"
+for _name, _sign in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+    _PLAIN = f"replace({_PLAIN}, '&{_name};', '{_sign}')"
 _SORTED = "SELECT row_number() OVER (ORDER BY query) AS position, query"
 ORACLE: dict[str, str] = {
     "firm_scan": f"WITH {oracle.FIRMS} SELECT id, firm_name, website, {', '.join(_J.format(c) for c in ('focus_sectors', 'investment_stage', 'geography'))}, updated_at::TIMESTAMP updated_at FROM firms",
@@ -177,6 +181,15 @@ ORACLE: dict[str, str] = {
     "sorted_queries": f"WITH q AS ({oracle.ORACLE['query_universe']}) {_SORTED}, documents FROM q",
     "query_cap": f"WITH {oracle.UNIVERSE} SELECT * FROM ({_SORTED} FROM universe) WHERE position <= 25",
     "facet_queries_fallback": f"WITH {oracle.UNIVERSE} SELECT query, r_regionkey place FROM universe, region",
+    "html_text": rf"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', '<!>', 'gs'), '(?is)<(script|style)[^>]*>.*?</(script|style)>', '<\1></\1>', 'g') h FROM pages),
+      m AS (SELECT page_id, string_split_regex(h, '(?i)</?(?:{_IGNORED})(?:\s[^>]*)?>') parts, list_concat([''], regexp_extract_all(h, '(?i)</?(?:{_IGNORED})(?:\s[^>]*)?>')) marks FROM c),
+      p AS (SELECT page_id, unnest(parts) part, unnest(marks) mark, generate_subscripts(parts, 1) i FROM m),
+      k AS (SELECT page_id, i, starts_with(mark, '<') AND NOT starts_with(mark, '</') hidden, regexp_extract_all(part, '<[^>]*>|[^<]+') tokens FROM p),
+      t AS (SELECT page_id, i, hidden, unnest(tokens) token, generate_subscripts(tokens, 1) j FROM k),
+      x AS (SELECT page_id, i, j, CASE WHEN starts_with(token, '<') THEN CASE WHEN regexp_matches(token, '(?i)^</(?:{_BLOCKS})\s*>$|^<(?:{_BLOCKS})[^>]*/>$') THEN chr(10) ELSE '' END WHEN hidden THEN ''
+        ELSE regexp_replace({_PLAIN}, '^\s+|\s+$', '', 'g') END s, starts_with(token, '<') tag FROM t),
+      w AS (SELECT page_id, regexp_replace(string_agg(CASE WHEN tag OR s = '' THEN s ELSE s || ' ' END, '' ORDER BY i, j), '\n\n\n+', chr(10) || chr(10), 'g') "text" FROM x GROUP BY 1)
+      SELECT page_id, length("text") n, sha256("text") text_sha256 FROM w""",
     "entity_components": """WITH RECURSIVE k AS (SELECT c_custkey id, lower(c_name) n, c_custkey % 100 site FROM customer),
       e AS (SELECT id a, min(id) OVER (PARTITION BY n) b FROM k UNION SELECT id, min(id) OVER (PARTITION BY site) FROM k), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
       r AS (SELECT id, id entity FROM k UNION SELECT both_ways.b, r.entity FROM r JOIN both_ways ON r.id = both_ways.a) SELECT id, min(entity) entity_id FROM r GROUP BY 1""",

@@ -7,6 +7,7 @@ from firmlake.functions.names import firm_key, firm_name, matches_source, resolv
 from firmlake.functions.urls import canonical_url, is_firm_site, is_profile_url, raw_base, url_reject_reason
 from firmlake.operators import entities, listing, logs, pages, records, validation
 from firmlake.streaming import jobs
+from tests.plain_html import html_to_text
 
 
 def one(spark, column, *values):
@@ -54,10 +55,10 @@ def test_source_match(spark):
     assert one(spark, resolver_name, "Foo-Bar Capital, V.C.") == "foo bar  vc"
 
 
-def test_html():
+def test_html(spark):
     html = "<head><title>no</title></head><p>a</p><nav>x<script>y</script>z</nav><div>b<b>c</b></div>"
-    assert pages.html_to_text(html) == "a \nz b c \n"
-    assert pages.html_to_text(None) == ""
+    assert html_to_text(html) == one(spark, pages.html_text, html) == "a \nz b c \n"
+    assert html_to_text(None) == one(spark, pages.html_text, None) == ""
 
 
 def test_context_slice(spark):

@@ -12,6 +12,7 @@ from firmlake.operators import entities, ledgers, pages, search, similar
 from firmlake.operators.graph import components
 from firmlake.operators.running import running_sums
 from firmlake.sources import tables
+from tests.plain_html import html_to_text
 
 
 def test_similar_names_lose_nothing(spark):
@@ -212,3 +213,19 @@ def test_search_rules_out_blocks_and_misses_none(spark, mode):
     for block, query_block in ((8192, 1024), (40, 8)):
         got = {(r.query_id, r.id) for r in search.search(firms, queries, 7, mode, block, query_block).collect()}
         assert got == want
+
+
+def test_html_against_the_standard_parser(spark, sf):
+    cases = [
+        "<nav>a<footer>b</nav>c</footer>d<p>e</p>", "<p>x<br/>y &amp; z", "", None, "a < b", "a<!--x-->b", "<script>var a='</p>';</script>t", "<style>x", "<p title='a>b'>q</p>", "<P>Q</P >r</DIV>s", '<a href="x>y">k</a>',
+        "&copy; &#169; &#xA9 &notit; &eacute &bogus; &#0; &#150; &#xD800; &#x1F600; &#99999999999; &#xFFFF; &#13; &amp;lt; & &; &#; &#x; &Aacutex; &ampx &ltfoo &hellip;", "<header/>v", "<h1>t</h1><li>u</li>\n\n<tr>w</tr>", "text &nbsp; end&nbsp;",
+        "<!DOCTYPE html><?php x ?>z", "</>k</ p>m", "<p", "<p foo", "<b>bold</b>it", "<script/>shown", "<head>x</head>y<header>z</header>w", "<navy>kept</navy>", "\x1c a \x85", "<script>a<b</script>k", "<!-- a -- >b",
+        "<p>" + "<i a='1' b=\"2\" c=3 d>" * 3000 + "x</p>", "<script>" + "x < y;" * 50_000 + "</script>seen", "<p " + "a='b' " * 20_000 + ">long", "word " * 200_000,
+    ]
+    rng = random.Random(3)
+    bits = ["<nav>", "</nav>", "<p>", "</p>", "<br/>", "<br>", "text", "é ", "&amp;", "&copy", "&#65;", "<script>", "</script>", "<style>", "</style>", " ", "\n", "<!-- c -->", "<div class='x'>", "</div>", "<li>", "</li >", "<footer>", "</footer>", "<h2 id=a>", "</H2>", "<img src='a>b'/>", "& ", "<a>", "</a>"]
+    cases += ["".join(rng.choices(bits, k=rng.randint(1, 25))) for _ in range(1500)]
+    df = spark.createDataFrame([(c,) for c in cases], "html string").union(spark.read.parquet(f"{sf}/pages.parquet").select("html"))
+    for r in df.select("html", pages.html_text(F.col("html")).alias("text")).collect():
+        assert r.text == html_to_text(r.html), (r.html or "")[:300]
+    assert "Python" not in pages.page_text(df)._jdf.queryExecution().executedPlan().toString()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from firmlake.functions.urls import joined_url
 from firmlake.operators import entities, pages, search
-from firmlake.operators.pages import html_to_text
+from tests.plain_html import html_to_text
 from firmlake.sources import tables
 
 
