@@ -156,8 +156,25 @@ for _word in ("capital", "ventures", "venture partners", "partners", "vc", ",",
     _REPLACED = f"replace({_REPLACED}, '{_word}', '')"
 _IGNORED, _BLOCKS = ("|".join(sorted(tags)) for tags in (pages.IGNORED_TAGS, pages.BLOCK_TAGS))
 _PLAIN = "token"
-for _name, _sign in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+for _name, _sign in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">")):
     _PLAIN = f"replace({_PLAIN}, '&{_name};', '{_sign}')"
+_PLAIN = f"regexp_replace({_PLAIN}, '&amp;?', '&', 'g')"
+# the answers of catalog._responses, and the object in each
+_ANSWERS = r"""b AS (SELECT c_custkey k, replace('{"firm_name": ' || CASE WHEN c_custkey % 3 = 0 THEN '["", "NAME"]' ELSE '"NAME "' END || ', "website": "https://firm.example.com/", "focus_sectors": '
+      || CASE WHEN c_custkey % 2 = 0 THEN '"SaaS"' ELSE '["ai", " ai ", {"name": "b2b"}, null]' END || ', "partners": ["Ann Lee", {"name": "ann lee", "role": "GP"}, {"name": "Bo", "confidence": 0.5}], "portfolio_companies": [{"company_name": "Acme", "sector": "x"}, "acme", "Zed"]}', 'NAME', c_name) body FROM customer),
+      a AS (SELECT k::VARCHAR source_url, CASE WHEN k % 7 = 0 THEN 'no answer' WHEN k % 5 = 0 THEN '```json' || chr(10) || body || chr(10) || '```' ELSE 'Here: ' || body || ' done' END response FROM b),
+      o AS (SELECT source_url, nullif(regexp_extract(response, '\{(.|\n)*\}'), '')::JSON j FROM a)"""
+_SORTED_OBJECT = "CASE json_type({0}) WHEN 'OBJECT' THEN '{{' || array_to_string(list_transform(list_sort(json_keys({0})), lambda n: '\"' || n || '\":' || json_extract({0}, '$.' || n)::VARCHAR), ',') || '}}' ELSE coalesce({0}::VARCHAR, 'null') END"
+
+
+def _listed(column: str, text: str, rest: str = "") -> str:
+    """The elements of a list of each answer by lower-case text, the first one of each: text and ``rest``, in order."""
+    return f"""(SELECT source_url, string_agg(s, '|' ORDER BY i) {column} FROM (SELECT source_url, min(i) i, arg_min({text}{rest}, i) s FROM
+      (SELECT source_url, unnest(CASE json_type(j->'{column}') WHEN 'ARRAY' THEN json_extract(j, '$.{column}[*]') ELSE [j->'{column}'] END) x, generate_subscripts(CASE json_type(j->'{column}') WHEN 'ARRAY' THEN json_extract(j, '$.{column}[*]') ELSE [j->'{column}'] END, 1) i FROM o WHERE j IS NOT NULL)
+      WHERE trim(coalesce({text}, '')) <> '' GROUP BY source_url, lower(trim({text}))) GROUP BY 1)"""
+
+
+_TEXT = "trim(CASE json_type(x) WHEN 'OBJECT' THEN x->>'$.{0}' ELSE x->>'$' END)"
 _SORTED = "SELECT row_number() OVER (ORDER BY query) AS position, query"
 ORACLE: dict[str, str] = {
     "firm_scan": f"WITH {oracle.FIRMS} SELECT id, firm_name, website, {', '.join(_J.format(c) for c in ('focus_sectors', 'investment_stage', 'geography'))}, updated_at::TIMESTAMP updated_at FROM firms",
@@ -190,6 +207,12 @@ ORACLE: dict[str, str] = {
         ELSE regexp_replace({_PLAIN}, '^\s+|\s+$', '', 'g') END s, starts_with(token, '<') tag FROM t),
       w AS (SELECT page_id, regexp_replace(string_agg(CASE WHEN tag OR s = '' THEN s ELSE s || ' ' END, '' ORDER BY i, j), '\n\n\n+', chr(10) || chr(10), 'g') "text" FROM x GROUP BY 1)
       SELECT page_id, length("text") n, sha256("text") text_sha256 FROM w""",
+    "json_extract": f"""WITH {_ANSWERS} SELECT source_url, CASE WHEN j IS NOT NULL THEN '{{' || array_to_string(list_transform(list_sort(json_keys(j)), lambda key: '"' || key || '":' ||
+      CASE json_type(json_extract(j, '$.' || key)) WHEN 'ARRAY' THEN '[' || array_to_string(list_transform(json_extract(j, '$.' || key)::JSON[], lambda x: {_SORTED_OBJECT.format('x')}), ',') || ']' ELSE json_extract(j, '$.' || key)::VARCHAR END), ',') || '}}' END json FROM o""",
+    "normalise_records": f"""WITH {_ANSWERS}, n AS (SELECT source_url, trim(CASE json_type(j->'firm_name') WHEN 'ARRAY' THEN list_filter(json_extract_string(j, '$.firm_name[*]'), lambda v: trim(v) <> '')[1] ELSE j->>'$.firm_name' END) firm_name, j->>'$.website' website FROM o WHERE j IS NOT NULL),
+      s AS {_listed('focus_sectors', _TEXT.format('name'))}, p AS {_listed('partners', _TEXT.format('name'), " || '/' || coalesce(x->>'$.role', '') || '/' || coalesce(x->>'$.confidence', '0.85')")},
+      c AS {_listed('portfolio_companies', _TEXT.format('company_name'), " || '/' || coalesce(x->>'$.sector', '')")}
+      SELECT n.source_url, firm_name, website, focus_sectors sectors, partners, portfolio_companies companies FROM n LEFT JOIN s USING (source_url) LEFT JOIN p USING (source_url) LEFT JOIN c USING (source_url)""",
     "entity_components": """WITH RECURSIVE k AS (SELECT c_custkey id, lower(c_name) n, c_custkey % 100 site FROM customer),
       e AS (SELECT id a, min(id) OVER (PARTITION BY n) b FROM k UNION SELECT id, min(id) OVER (PARTITION BY site) FROM k), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
       r AS (SELECT id, id entity FROM k UNION SELECT both_ways.b, r.entity FROM r JOIN both_ways ON r.id = both_ways.a) SELECT id, min(entity) entity_id FROM r GROUP BY 1""",
