@@ -9,13 +9,16 @@ as they are. Rows that repeat a doc_id are one document to the near-duplicate st
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlake.llm import langid, line_dedup, ngram_join, packing, quality
 from firmlake.llm.common import durable, importable, table
+from firmlake.sources.shared import remove, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -73,11 +76,22 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+def _kept(docs: DataFrame, held: ExitStack) -> DataFrame:
+    """A table of its own, which is removed when ``held`` is closed."""
+    path = f"{shared_dir(docs.sparkSession)}/stage-{uuid.uuid4().hex}"
+    docs.write.parquet(path)
+    held.callback(remove, docs.sparkSession, path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every stage's result is written and read again."""
+    """All stages over ``documents``; every stage's result is written and read again, and goes when the next one stands."""
+    held = ExitStack()
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = durable(docs)
+        last, held = held, ExitStack()
+        with last:
+            docs = stage(spark, docs, sf_dir)
+            if name != STAGES[-1][0]:
+                docs = _kept(docs, held)
     return docs

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlake.llm.common import FlatWords, durable, importable, map_rows, mix, packed, table, tidy, unpacked
@@ -354,10 +354,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, hot: int = HOT_WORD)
     levels = _levels(rows)
     lines = rows.where("part is null")
     here = ("doc_id", "t", "line_no")
-    order = Window.partitionBy("k1", "k2").orderBy(*here)
-    places = lines.where("not copy").select("k1", "k2", *here).withColumn("number", F.row_number().over(order)).withColumn("rank", F.rank().over(order))
-    places = durable(places.select("k1", "k2", *here, (F.col("number") == 1).alias("first"), (F.col("rank") > 1).alias("later")))
-    firsts = places.where("first").select("k1", "k2", F.struct(*here).alias("at"))
+    # the first place of each line, in partial sums by task: a line that most documents hold is no group of its own
+    places = lines.where("not copy").select("k1", "k2", F.struct(*here).alias("place"))
+    firsts = durable(places.groupBy("k1", "k2").agg(F.min("place").alias("at"), F.max("place").alias("last")))
     worded = lines.where("words is not null")
     total = worded.agg(F.sum("n"), F.count("n")).first()
     buckets = max(1, int(((total[0] or 0) * (100 - percent) // 100 + total[1]) // BUCKET + 1))
@@ -373,7 +372,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, hot: int = HOT_WORD)
     similar = similar.where("x1 <> y1 or x2 <> y2").select("x1", "x2", "y1", "y2").distinct()
     one, two = (firsts.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("at").alias(f"at_{x}")) for x in "xy")
     later = similar.join(one, ["x1", "x2"]).join(two, ["y1", "y2"]).select(F.greatest("at_x", "at_y").alias("at")).select("at.*")
-    gone = later.unionByName(places.where("later").select(*here)).unionByName(lines.where("copy").select(*here))
+    again = places.join(firsts.where("last > at").select("k1", "k2", "at"), ["k1", "k2"]).where("place > at").select("place.*")
+    gone = later.unionByName(again).unionByName(lines.where("copy").select(*here))
     return gone.groupBy("doc_id", "t").agg(F.collect_set("line_no").alias("removed"))
 
 

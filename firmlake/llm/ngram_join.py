@@ -300,7 +300,11 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGL
     smallest = reps.where("component is not null").groupBy("component").agg(F.min("rep").alias("first"))
     reps = reps.join(smallest, "component", "left").select("k1", "k2", F.coalesce("first", "rep").alias("first"))
     out = base.select("doc_id", "n_shingles", "k1", "k2").join(reps, ["k1", "k2"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id"))
+    # a row without shingles stands where the other rows of its doc_id stand, if there are any
+    bare = out.where("n_shingles = 0 and doc_id is not null").select("doc_id").distinct()
+    others = out.where("n_shingles > 0").join(bare, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("first").alias("of_others"))
+    out = out.join(others, "doc_id", "left")
+    own = F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.coalesce("of_others", "doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 

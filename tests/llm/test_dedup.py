@@ -303,3 +303,12 @@ def test_embeddings_with_odd_ids(spark):
     got = sorted(((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df).collect()), key=str)
     assert got == [("1", 2, 1, True), ("1", 2, 1, True), ("10", 1, 9, False), ("7", 2, 1, False), ("8", 0, 8, True), ("9", 1, 9, True), ("None", 0, None, None)]
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_an_empty_row_stands_with_its_document(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(5, ""), (5, text), (2, text + " z"), (5, None), (8, ""), (8, None), (None, ""), (9, " "), (9, "other words stand here today")]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.n_shingles > 0, r.component_id) for r in got), key=str) == sorted(
+        [(5, False, 2), (5, True, 2), (2, True, 2), (5, False, 2), (8, False, 8), (8, False, 8), (None, False, None), (9, False, 9), (9, True, 9)], key=str
+    )
