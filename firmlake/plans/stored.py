@@ -1,11 +1,10 @@
 """Queries over stored tables and files: what is written by Spark from the tables of a folder, and read back with its reader.
 
-Each has its DuckDB twin beside it. The tables are written in the shared folder.
+Most have their DuckDB twin beside them. The tables are written in the shared folder and go when the query's own table stands.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,19 +16,16 @@ from firmlake.operators import discovery, entities, ledgers, pages
 from firmlake.plans import catalog, oracle
 from firmlake.sources import snapshots
 from firmlake.sources import tables as t
-from firmlake.sources.shared import shared_dir
+from firmlake.sources.shared import place, tidy
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _place(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-
-
 def _scan(name: str, view: Callable[[SparkSession, str], DataFrame], *columns: str) -> Query:
     """Writes a view as a stored table, and reads it back with the table's own schema."""
+    @tidy
     def run(s: SparkSession, d: str) -> DataFrame:
-        path = _place(s)
+        path = place(s)
         t.write_new(t.conformed(view(s, d), name), path)
         out = t.read_table(s, name, path)
         kind = {f.name: f.dataType.typeName() for f in out.schema.fields}
@@ -43,38 +39,42 @@ def _crawled(s: SparkSession, d: str) -> DataFrame:
     return catalog._crawled(s, d).withColumns({"crawl_status": F.lit("completed"), "markdown_saved": F.col("url") % 2 == 0})
 
 
+@tidy
 def log_scan(s, d):
     """The log written as one file for each level, and read back by bytes."""
-    path = _place(s)
+    path = place(s)
     lines = t.log_lines(s, d).withColumn("level", F.lower(F.split("value", " ")[0]))
     lines.repartition("level").sortWithinPartitions("level", "line_no").select("level", "value").write.partitionBy("level").text(path)
     parts = [t.read_log(s, f"{path}/level={v}").select(F.lit(v).alias("level"), "line_no", "value") for v in ("error", "warn", "info")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@tidy
 def ledger_in_buckets(s, d):
     """A failure ledger in hash buckets: failures before the cut-off, then an upsert of failures and of what resolves them."""
     e = t.table(s, d, "events").where("event_type in ('error', 'purchase')")
     e = e.select(F.col("user_id").alias("url"), F.col("value").cast("string").alias("error_message"), "ts", F.when(F.col("event_type") == "error", "failed").otherwise("resolved").alias("kind"))
     none = s.createDataFrame([], f"url {e.schema['url'].dataType.simpleString()}, error_message string, retry_count long, last_attempt {e.schema['ts'].dataType.simpleString()}, status string")
-    path, cut = _place(s), F.lit(catalog.CUTOFF).cast("timestamp")
+    path, cut = place(s), F.lit(catalog.CUTOFF).cast("timestamp")
     snapshots.create(ledgers.apply_failure_events(none, e.where(F.col("ts") < cut)), path, ["url"])
     snapshots.upsert(path, e.where(F.col("ts") >= cut), ledgers.apply_failure_events, "events", 1)
     snapshots.upsert(path, e, ledgers.apply_failure_events, "events", 1)  # a replay changes nothing
     return snapshots.read(s, path)
 
 
+@tidy
 def raw_page_sink(s, d):
-    path = _place(s)
+    path = place(s)
     found = t.table(s, d, "pages").select("url", F.col("html").alias("markdown"))
     t.write_raw_pages(found, path, F.lit("2024-02-01T00:00:00Z"))
     out = s.read.parquet(path)
     return out.select("stem", "url", F.sha2("markdown", 256).alias("markdown_sha256"), "ingestion_source", "content_type", "markdown_length", "collected_at")
 
 
+@tidy
 def record_sink(s, d):
     """Records written by domain, with lines that are no records, and read back: good ones and rejects."""
-    path = _place(s)
+    path = place(s)
     k = F.col("c_custkey")
     rec = t.table(s, d, "customer").select(
         F.col("c_name").alias("firm_name"), F.lit("").alias("website"), F.concat(F.lit("https://site"), (k % 7).cast("string"), F.lit(".com/"), k.cast("string")).alias("source_url"),

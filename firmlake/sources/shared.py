@@ -30,14 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 
 
-def durable(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back, so lost executors lose nothing."""
-    spark = df.sparkSession
+def place(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the job that is at work ends."""
     path = f"{shared_dir(spark)}/firmlake-{uuid.uuid4().hex}"
     if _WRITTEN.get():
         _WRITTEN.get()[-1].append(path)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as a table in the shared folder and reads it back, so lost executors lose nothing."""
+    path = place(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -63,7 +68,8 @@ def tidy(job: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     @wraps(job)
     def run(*args, **kwargs) -> DataFrame:
         outer = _WRITTEN.get()
-        with scratch(SparkSession.getActiveSession()):
+        sessions = [a if isinstance(a, SparkSession) else a.sparkSession for a in args if isinstance(a, (SparkSession, DataFrame))]
+        with scratch(sessions[0] if sessions else SparkSession.getActiveSession()):
             out = job(*args, **kwargs)
             inner = _WRITTEN.set(outer)
             try:
