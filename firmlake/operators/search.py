@@ -14,8 +14,8 @@ from firmlake.sources.shared import durable, tidy
 
 #: Rows of a block of firms and of queries; a task compares one of each.
 FIRM_BLOCK, QUERY_BLOCK = 8192, 1024
-#: Vectors around which blocks are built, at most.
-PIVOTS = 64
+#: Vectors around which blocks are built, at most; blocks of firms up to which all of them are compared.
+PIVOTS, FEW = 64, 4
 #: Profiles that go to the firms together.
 PROFILE_BLOCK = 10_000
 FACETS = (("focus_sectors", "q_sector"), ("investment_stage", "q_stage"), ("geography", "q_geography"))
@@ -94,6 +94,16 @@ def nearest(firms: DataFrame, queries: DataFrame, limit: int, filtering: bool, b
     held = firms.select("id", "embedding", *[c for c, _ in FACETS])
     asked = durable(queries.where(_usable("query_vector")))
     total, many = held.count(), asked.count()
+    id_type, query_type = (df.schema[c].dataType.simpleString() for df, c in ((held, "id"), (asked, "query_id")))
+    found = f"query_id {query_type}, id {id_type}, distance double, score double"
+    if total <= FEW * block:  # so few blocks that looking for those to leave out costs more than it saves
+        n, m = max(1, -(-total // block)), max(1, -(-many // query_block))
+        number = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+        each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        left = asked.withColumns({"width": F.size("query_vector"), "block": number("query_id", m), "floor": F.lit(float("-inf"))}).withColumn("cell", each(n))
+        right = held.withColumns({"width": F.size("embedding"), "cell": number("id", n)}).withColumn("block", each(m))
+        keys = ("width", "block", "cell")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda q, f: _best(limit, filtering)(q, f), found).select("query_id", "id", "distance")
     sample = held.select("embedding").orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, total // block))).collect()
     pivots: dict[int, np.ndarray] = {}
     for width in {len(r.embedding) for r in sample}:
@@ -105,7 +115,6 @@ def nearest(firms: DataFrame, queries: DataFrame, limit: int, filtering: bool, b
         nearest_ = F.array_min("angles")
         return df.withColumn("pivot", (F.array_position("angles", nearest_) - 1).cast("int")).withColumn("angle", nearest_)
 
-    id_type, query_type = (df.schema[c].dataType.simpleString() for df, c in ((held, "id"), (asked, "query_id")))
     around = durable(near(held.select("id", "embedding").mapInPandas(_angles(pivots, "embedding", ["id"]), f"id {id_type}, {angled}")).drop("angles"))
     span = around.groupBy("width", "pivot").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
     ring = F.floor(F.coalesce(F.try_divide(F.col("angle") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * F.ceil(F.col("n") / block)).cast("int")
@@ -129,7 +138,7 @@ def nearest(firms: DataFrame, queries: DataFrame, limit: int, filtering: bool, b
 
     def meet(some: DataFrame, pairs: DataFrame) -> DataFrame:
         left, right = some.join(pairs, "block").groupBy("block", "cell"), members.join(pairs, "cell").groupBy("block", "cell")
-        return left.cogroup(right).applyInPandas(lambda q, f: _best(limit, filtering)(q, f), f"query_id {query_type}, id {id_type}, distance double, score double")
+        return left.cogroup(right).applyInPandas(lambda q, f: _best(limit, filtering)(q, f), found)
 
     first = reach.groupBy("block").agg(F.max_by("cell", F.struct("most", "n", "cell")).alias("cell"))
     scores = meet(wide, first.select("block", "cell")).groupBy("query_id").agg(F.array_sort(F.collect_list("score"), lambda x, y: F.when(x > y, -1).when(x < y, 1).otherwise(0)).alias("s"))

@@ -210,7 +210,7 @@ def test_search_rules_out_blocks_and_misses_none(spark, mode):
             d = 1 - x @ y / np.linalg.norm(x) / np.linalg.norm(y)
             scored.append(((d if mode == "filter" else -round(1 - d + sum(b * h for b, h in zip(search.BOOSTS, has)), 4), round(d, 12), i), i))
         want |= {(q, i) for _, i in sorted(scored)[:7]}
-    for block, query_block in ((8192, 1024), (40, 8)):
+    for block, query_block in ((8192, 1024), (400, 16), (40, 8)):
         got = {(r.query_id, r.id) for r in search.search(firms, queries, 7, mode, block, query_block).collect()}
         assert got == want
 
