@@ -23,6 +23,8 @@ from firmlake.sources.shared import durable
 GRAMS = ((0.86, 4), (0.81, 3), (0.67, 2))
 #: Caps that a vector falls into; words of a block of the code at most; rows of a block of a hot cap.
 CAPS, WORDS, BLOCK = 64, 512, 512
+#: Rows of a block of a hot gram, and rows of grams that one task compares, about.
+NAME_BLOCK, NAMES_DEALT = 2048, 32_768
 #: Vectors of fewer components are too few directions to tell apart: all share one cap, whose blocks meet in full.
 FLAT = 16
 #: Member rows that one task compares, about; members of a cap up to which caps are compared many at once.
@@ -77,51 +79,102 @@ def _grams(name: Column, least: float) -> Column:
     return F.transform(F.sequence(F.lit(1), F.char_length(name) + q - 1), lambda i: F.substring(padded, i, q))
 
 
+def _letters(name: Column) -> Column:
+    """64 bits of the letters of a name, equal ones told apart by a running number: a letter put in or taken out changes one
+    bit at most."""
+    def bit(i: Column) -> Column:
+        letter, before = F.substring(name, i, F.lit(1)), F.substring(name, F.lit(1), i)
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(letter, F.char_length(before) - F.char_length(F.replace(before, letter))), F.lit(64)))
+
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.char_length(name)), bit), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+
+
 def _gram_table(names: DataFrame, least: float) -> DataFrame:
-    """(no, n, fresh, gram, pos): the rarest grams of each name, so many that two similar names share one of them at a place
-    that their edits allow.
+    """(no, name, fresh, letters, reach, gram, pos): the rarest grams of each name, so many that two similar names share one of
+    them at a place that their edits allow. ``reach`` is the most edits to any similar name, ``letters`` are bits of the name.
 
     Of similar names some grams are unbroken. Take the one that comes first by (rarity, gram): its first place in the one
     name answers to its first place in the other, since unbroken parts keep their order, and as many grams as must be
     shared cannot all stand behind the prefix.
     """
-    n = F.col("n")
+    n, whole = F.col("n"), ("no", "name", "fresh", "letters", "reach", "kept")
     lowest, highest = F.ceil(n * least / (2 - least) - 1e-6), F.floor(n * (2 - least) / least + 1e-6)
     shared = F.array_min(F.transform(F.sequence(lowest, highest), lambda m: _shared_grams(n, m, least)))
-    rows = names.select("no", "name", F.char_length("name").alias("n"), "fresh").withColumn("kept", (n + _gram(least) - F.ceil(shared)).cast("int"))
-    grams = rows.select("no", "n", "fresh", "kept", F.posexplode(_grams(F.col("name"), least)).alias("pos", "gram"))
+    rows = names.select("no", "name", "fresh", _letters(F.col("name")).alias("letters"), F.char_length("name").alias("n"))
+    rows = rows.withColumns({"kept": (n + _gram(least) - F.ceil(shared)).cast("int"), "reach": F.floor((1 - least) * (n + highest) + 1e-6).cast("int")})
+    grams = rows.select(*whole, F.posexplode(_grams(F.col("name"), least)).alias("pos", "gram"))
     rarity = grams.groupBy("gram").agg(F.count("*").alias("df"))
     ranked = F.array_sort(F.collect_list(F.struct("df", "gram", "pos")))
-    first = grams.join(rarity, "gram").groupBy("no", "n", "fresh", "kept").agg(ranked.alias("ranked"))
-    return first.select("no", "n", "fresh", F.explode(F.slice("ranked", F.lit(1), F.col("kept"))).alias("g")).select("no", "n", "fresh", "g.gram", "g.pos")
+    first = grams.join(rarity, "gram").groupBy(*whole).agg(ranked.alias("ranked"))
+    return first.select(*whole[:-1], F.explode(F.slice("ranked", F.lit(1), F.col("kept"))).alias("g")).select(*whole[:-1], "g.gram", "g.pos")
+
+
+def _met(members: DataFrame, keys: tuple[str, ...], block: int, dealt: int) -> tuple[DataFrame, DataFrame]:
+    """``members`` (no, <keys>, ...) that share their keys with others, with the group (home, x, y) in which they meet and their
+    ``side``, and (<keys>, size, blocks).
+
+    Members of a hot key are dealt into blocks, and every two blocks meet, so a key of any size is spread over tasks; small
+    keys meet many to a task.
+    """
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1")
+    sizes = durable(sizes.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")))
+    groups = max(1, -(-(sizes.agg(F.sum("size")).first()[0] or 0) // dealt))
+    placed = members.join(sizes, list(keys)).withColumn("z", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
+    # side 0 and 1: the two blocks that meet, 2: a block that meets itself
+    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
+        F.least("z", o).alias("x"), F.greatest("z", o).alias("y"), F.when(F.col("z") == o, 2).when(F.col("z") < o, 0).otherwise(1).alias("side")))
+    sent = placed.select(*members.columns, "blocks", F.explode(meet).alias("p"))
+    hot = F.col("blocks") > 1
+    home = F.when(hot, F.xxhash64(*keys)).otherwise(F.pmod(F.xxhash64(*keys), F.lit(groups)))
+    return sent.select(*members.columns, "p.side", home.alias("home"), F.when(hot, F.col("p.x")).otherwise(-1).alias("x"), F.when(hot, F.col("p.y")).otherwise(-1).alias("y")), sizes
+
+
+def _gram_pairs(frame: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of names of each gram of a frame, or of two blocks of a hot one, whose letters and places may be similar."""
+    frame = frame.sort_values(["gram", "no"], kind="stable")
+    gram, no, letters, reach, pos, side, fresh = (frame[c].to_numpy() for c in ("gram", "no", "letters", "reach", "pos", "side", "fresh"))
+    out = [np.zeros((2, 0), np.int64)]
+
+    def near(i: np.ndarray, j: np.ndarray) -> None:
+        kept = np.bitwise_count((letters[i] ^ letters[j]).view(np.uint64)) <= reach[i]
+        i, j = i[kept], j[kept]
+        kept = (no[i] != no[j]) & (np.abs(pos[i] - pos[j]) <= reach[i]) & ((side[i] != side[j]) | (side[i] == 2)) & (fresh[i] | fresh[j])
+        out.append(np.stack((i[kept], j[kept])))
+
+    starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    sizes = np.diff(np.append(starts, len(gram)))
+    few = np.repeat(sizes <= FEW, sizes)
+    for apart in range(1, min(FEW, len(gram))):
+        i = np.flatnonzero((gram[:-apart] == gram[apart:]) & few[:-apart])
+        near(i, i + apart)
+    for a, n in zip(starts[sizes > FEW], sizes[sizes > FEW]):
+        i, j = np.triu_indices(n, 1)
+        near(a + i, a + j)
+    i, j = np.concatenate(out, axis=1)
+    i, j = np.where(no[i] < no[j], i, j), np.where(no[i] < no[j], j, i)
+    name = frame.name.to_numpy()
+    return pd.DataFrame({"a": no[i], "x": name[i], "b": no[j], "y": name[j]}).drop_duplicates(["a", "b"])
 
 
 def name_candidates(names: DataFrame, least: float) -> DataFrame:
-    """(a, b): pairs of ``names`` (no, name, fresh) that lengths and rare grams at fitting places leave."""
-    found = durable(_gram_table(names, least))
-    x, y = found.alias("x"), found.alias("y")
-    edits = _most_edits(F.col("x.n"), F.col("y.n"), least)
-    out, into = (edits + F.col("x.n") - F.col("y.n")) / 2, (edits - F.col("x.n") + F.col("y.n")) / 2
-    shift = F.col("y.pos") - F.col("x.pos")
-    fits = (F.col("x.no") < F.col("y.no")) & (out >= 0) & (into >= 0) & (shift >= -out) & (shift <= into) & (F.col("x.fresh") | F.col("y.fresh"))
-    return x.join(y, (F.col("x.gram") == F.col("y.gram")) & fits).select(F.col("x.no").alias("a"), F.col("y.no").alias("b")).distinct()
+    """(a, x, b, y): numbers and names of pairs of ``names`` (no, name, fresh) that rare grams at fitting places and a bound on
+    their edits leave.
+
+    Names travel with their grams, so pairs are looked at where their gram lies, and only what may be similar moves on.
+    """
+    members = durable(_gram_table(names, least).withColumn("gram", F.xxhash64("gram")))
+    sent, _ = _met(members, ("gram",), NAME_BLOCK, NAMES_DEALT)
+    return sent.groupBy("home", "x", "y").applyInPandas(_gram_pairs, "a long, x string, b long, y string").distinct()
 
 
 def similar_names(names: DataFrame, least: float) -> DataFrame:
     """(a, b) of all pairs of different ``names`` (no, name, fresh; names distinct) whose Indel ratio is ``least`` or more.
 
-    No pair is lost. Pairs that share a rare gram are counted over all grams of both, and what is left is worked out.
-    Names of over a few dozen letters keep few letters out; blank names are like nothing.
+    No pair is lost. What shares a rare gram and may be near enough is worked out. Names of over a few dozen letters keep few
+    letters out; blank names are like nothing.
     """
-    # equal grams of one name are told apart by a running number, so sets count like bags
-    numbered = F.transform("grams", lambda g, i: F.concat(g, F.size(F.filter(F.slice("grams", 1, i), lambda h: h == g)).cast("string")))
-    held = names.where("name <> ''").withColumn("grams", _grams(F.col("name"), least)).select("no", "name", "fresh", numbered.alias("grams"))
-    held = durable(held)
-    pairs = name_candidates(held.select("no", "name", "fresh"), least)
-    both = pairs.join(held.select(F.col("no").alias("a"), F.col("name").alias("x"), F.col("grams").alias("gx")), "a")
-    both = both.join(held.select(F.col("no").alias("b"), F.col("name").alias("y"), F.col("grams").alias("gy")), "b")
-    enough = F.size(F.array_intersect("gx", "gy")) >= _shared_grams(F.char_length("x"), F.char_length("y"), least)
-    return both.where(enough).withColumn("ratio", indel_ratio("x", "y")).where(F.col("ratio") >= least).select("a", "b")
+    pairs = name_candidates(names.where("name <> ''"), least)
+    return pairs.withColumn("ratio", indel_ratio("x", "y")).where(F.col("ratio") >= least).select("a", "b")
 
 
 @lru_cache(8)
@@ -199,22 +252,10 @@ def vector_candidates(vectors: DataFrame, least: float, block: int = BLOCK) -> t
     """(a, b) of pairs of ``vectors`` (no, vector, fresh; finite and not zero) that share a cap and whose bytes are near
     enough, and (compared) how many pairs were looked at in caps.
 
-    Vectors travel to their caps as bytes. Members of a hot cap are dealt into blocks, and every two blocks meet, so a cap of
-    any size is spread over tasks; small caps meet many to a task.
+    Vectors travel to their caps as bytes.
     """
     capped = vectors.mapInPandas(_capped, "no long, width int, fresh boolean, scale double, small binary, cap array<long>")
-    members = durable(capped.withColumn("cap", F.explode("cap")))
-    sizes = members.groupBy("width", "cap").agg(F.count("*").alias("size")).where("size > 1")
-    sizes = durable(sizes.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")))
-    groups = max(1, -(-(sizes.agg(F.sum("size")).first()[0] or 0) // DEALT))
-    placed = members.join(sizes, ["width", "cap"]).withColumn("z", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
-    # side 0 and 1: the two blocks that meet, 2: a block that meets itself
-    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
-        F.least("z", o).alias("x"), F.greatest("z", o).alias("y"), F.when(F.col("z") == o, 2).when(F.col("z") < o, 0).otherwise(1).alias("side")))
-    sent = placed.select("no", "width", "cap", "blocks", "fresh", "scale", "small", F.explode(meet).alias("p"))
-    hot = F.col("blocks") > 1
-    home = F.when(hot, F.xxhash64("width", "cap")).otherwise(F.pmod(F.xxhash64("width", "cap"), F.lit(groups)))
-    sent = sent.select("no", "width", "cap", "fresh", "scale", "small", "p.side", home.alias("home"), F.when(hot, F.col("p.x")).otherwise(-1).alias("x"), F.when(hot, F.col("p.y")).otherwise(-1).alias("y"))
+    sent, sizes = _met(durable(capped.withColumn("cap", F.explode("cap"))), ("width", "cap"), block, DEALT)
     pairs = sent.groupBy("home", "x", "y").applyInPandas(_cap_pairs(least), "a long, b long").distinct()
     return pairs, sizes.select(F.col("size") * (F.col("size") - 1) / 2).toDF("compared")
 

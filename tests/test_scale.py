@@ -229,3 +229,12 @@ def test_html_against_the_standard_parser(spark, sf):
     for r in df.select("html", pages.html_text(F.col("html")).alias("text")).collect():
         assert r.text == html_to_text(r.html), (r.html or "")[:300]
     assert "Python" not in pages.page_text(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_of_names_stay_few(spark):
+    """Names of 16 letters share many grams by chance; hardly any pair of them moves on."""
+    rng = random.Random(5)
+    names = ["".join(rng.choices("abcdefghijklmnop", k=18)) for _ in range(3000)]
+    names += [n + "s" for n in names]
+    df = spark.createDataFrame([(i, n, True) for i, n in enumerate(names)], "no long, name string, fresh boolean")
+    assert 3000 <= similar.name_candidates(df, 0.88).count() < 4500
