@@ -312,3 +312,58 @@ def test_an_empty_row_stands_with_its_document(spark):
     assert sorted(((r.doc_id, r.n_shingles > 0, r.component_id) for r in got), key=str) == sorted(
         [(5, False, 2), (5, True, 2), (2, True, 2), (5, False, 2), (8, False, 8), (8, False, 8), (None, False, None), (9, False, 9), (9, True, 9)], key=str
     )
+
+
+def test_signatures_leave_out_what_similar_sets_need_not_share():
+    rng = np.random.default_rng(5)
+    for n in (60, 150, 400, 2_000):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        own = {ngram_join.band(n), ngram_join.band(n) - 1}
+        assert len(ngram_join.signatures(x)) <= sum(ngram_join.family(i)[0] + 1 for i in own)
+
+
+def _open_group(spark, sets: dict[int, list[int]], components: dict[int, int]):
+    """The rows of one group, with the bounds that the operator works out for texts of these words."""
+    words = {i: " ".join(f"w{x}" for x in s) for i, s in sets.items()}
+    df = spark.createDataFrame(list(words.items()), "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) t", "text").cache()
+    base = ngram_join.map_rows(df, lambda b: ngram_join._described(b, 80, 1), ngram_join.BASE + ", bits array<long>")
+    found = ngram_join._Sets(df, base, 80, 1)
+    ids = found.sketch.selectExpr("k1 id", "rep")
+    tops = found.tops(ids.select("id")).join(ids, "id").toPandas().assign(g=7)
+    tops["component"] = tops["rep"].map(components)
+    return tops
+
+
+def test_sets_with_much_of_their_own_leave_a_group(spark):
+    """Copies that are too far from each other do not meet pair by pair; those that may be similar do."""
+    import pyarrow as pa
+
+    common = list(range(100))
+    far = {i: common[:86] + [1000 * i + j for j in range(14)] for i in range(1, 61)}
+    rows = pa.Table.from_pandas(_open_group(spark, far, {i: i for i in far}), preserve_index=False)
+    assert len(ngram_join._open(rows)) == 0
+    near = far | {100: common[:86] + list(range(200, 214)), 101: common[:86] + list(range(200, 213))}
+    rows = pa.Table.from_pandas(_open_group(spark, near, {i: i for i in near}), preserve_index=False)
+    assert sorted(ngram_join._open(rows).column("rep").to_pylist()) == [100, 101]
+
+
+def test_ngram_join_of_a_large_open_group(spark, monkeypatch):
+    """Groups in several chunks and tasks lose no link: copies of one text with edits that partly agree, against all pairs."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 16)
+    monkeypatch.setattr(ngram_join, "MAP_ROWS", 40)
+    monkeypatch.setattr(ngram_join, "OPEN_ROWS", 50)
+    monkeypatch.setattr(ngram_join, "BLOCK", 100)
+    rng = random.Random(11)
+    plain = [f"w{i}" for i in range(150)]
+    texts = {}
+    for i in range(160):
+        w = plain[:]
+        for at in rng.sample(range(150), rng.randint(0, 9)):
+            w[at] = f"x{rng.randint(0, 2)}"
+        texts[i] = " ".join(w)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, x.split()) for i, x in texts.items())}
+    want = smallest(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert 1 < len(set(want.values()))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    for rounds in (0, 4):
+        assert {r.doc_id: r.component_id for r in ngram_join.ngram_components(df, rounds=rounds).collect()} == want
