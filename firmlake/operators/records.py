@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from firmlake.functions import rules
 from firmlake.functions.arrays import keyed_distinct, text_key
-from firmlake.functions.urls import has_any
+from firmlake.functions.urls import has_any, let, once
 
 NONE = "array<string>"
 LISTS = ("focus_sectors", "investment_stage", "geography")
@@ -23,6 +23,7 @@ def _kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
+@once
 def _items(v: Column) -> Column:
     """Elements of a list, or a scalar as the only one."""
     one = F.when(_kind(v) == "STRING", F.array(v))
@@ -45,7 +46,9 @@ def text_list(v: Column) -> Column:
 
 def partner_list(v: Column) -> Column:
     def one(x: Column) -> Column:
-        is_object = _kind(x).startswith("OBJECT")
+        return let(_kind(x).startswith("OBJECT"), lambda is_object: cells(x, is_object))
+
+    def cells(x: Column, is_object: Column) -> Column:
         name = F.when(is_object, _text(x, "$.name")).otherwise(_text(x))
         rest = [F.when(is_object, _text(x, f"$.{k}")).otherwise("").alias(k) for k in ("role", "linkedin_url", "twitter_url")]
         return F.struct(name.alias("name"), *rest, F.coalesce(F.when(is_object, F.try_variant_get(x, "$.confidence", "double")), F.lit(0.85)).alias("confidence"))
@@ -55,7 +58,9 @@ def partner_list(v: Column) -> Column:
 
 def company_list(v: Column) -> Column:
     def one(x: Column) -> Column:
-        is_object = _kind(x).startswith("OBJECT")
+        return let(_kind(x).startswith("OBJECT"), lambda is_object: cells(x, is_object))
+
+    def cells(x: Column, is_object: Column) -> Column:
         name = F.when(is_object, _text(x, "$.company_name")).otherwise(_text(x))
         return F.struct(name.alias("company_name"), F.when(is_object, _text(x, "$.sector")).otherwise("").alias("sector"))
 

@@ -139,3 +139,14 @@ def test_partition_invariance(spark, sf):
         got = sorted(map(repr, pages.domain_bundles(stored.repartition(n)).select("domain", "files").collect()))
         want = want or got
         assert got == want
+
+
+def test_keys_of_arrays_are_worked_out_once(spark):
+    """An array and its keys are named once: neither is worked out again for each element."""
+    from firmlake.functions.arrays import keyed_distinct, text_key
+
+    for keep in ("first", "last"):
+        plan = spark.range(1).select(keyed_distinct(F.split(F.lit("b a B").substr(F.lit(1), F.col("id").cast("int") + 9), " "), text_key, keep).alias("x"))
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("split(") == 1
+        assert plan.first()[0] == (["b", "a"] if keep == "first" else ["B", "a"])
