@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import FlatWords, durable, importable, map_rows, mix, packed, table, tidy, unpacked
+from firmlake.llm.common import FlatWords, durable, importable, map_rows, mix, packed, releasing, table, tidy, unpacked
 
 PERCENT = 80
 #: Bits of a word's hash, of the rarity counters' index, and counters in one row of what tasks send.
@@ -49,7 +49,7 @@ TOGETHER = 500_000
 #: Bits of the table that tells which words the second pass needs.
 WANTED_BITS = 24
 #: Bytes of text that a task takes apart at once, lines that it remembers, bytes of a broadcast.
-PIECE = 2e6
+PIECE = 1e6
 REMEMBERED = 300_000
 BROADCAST_BYTES = 32 << 20
 #: Places of lines that are broadcast, each a few dozen bytes.
@@ -193,7 +193,7 @@ def _dealt(lines: DataFrame, levels, percent: int, hot: int, buckets: int, askin
                 out[c] = [v[8 * at[a] : 8 * at[b]] for a, b in zip(first, ends)]
             yield out
 
-    return map_rows(lines.select("n", "words", *WHERE), run, "bucket long, asking boolean, " + ", ".join(f"{c} binary" for c in (*STORED, "low", "high")), 4e6)
+    return map_rows(lines.select("n", "words", *WHERE), run, "bucket long, asking boolean, " + ", ".join(f"{c} binary" for c in (*STORED, "low", "high")), 2e6)
 
 
 def _candidates(percent: int):
@@ -203,6 +203,7 @@ def _candidates(percent: int):
         ("xd", pa.int64()), ("xn", pa.int32()), ("yd", pa.int64()), ("yn", pa.int32()), ("more", pa.bool_()), ("word", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("bits", pa.int64()),
     ])
 
+    @releasing
     def of_bucket(key: tuple, rows: pa.Table) -> pa.Table:
         word, doc, no, bits, n, place = (unpacked(b"".join(rows.column(c).to_pylist()), STORED[c]) for c in STORED)
         doc, no, n, place = doc.view(np.int64), no.astype(np.int32), n.astype(np.int32), place.astype(np.int32)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import FlatWords, components, distinct, durable, importable, map_rows, mix, packed, shingle_hashes, table, tidy, unpacked
+from firmlake.llm.common import FlatWords, components, distinct, durable, importable, map_rows, mix, packed, releasing, shingle_hashes, table, tidy, unpacked
 
 SHINGLE = 5
 PERCENT = 80
@@ -50,7 +50,7 @@ LEAST_LINKED = 0.05
 #: 64-bit words of the parity map of a set.
 BITMAP = 32
 #: Signatures that one bucket gets on average; bytes of a broadcast.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 BROADCAST_BYTES = 32 << 20
 #: Sets of open groups that one task gets on average, without and with their maps; sets of a group that meet in one task.
 OPEN_ROWS = 100_000
@@ -174,7 +174,7 @@ def _dealt(docs: DataFrame, size: int, buckets: int, made: Callable[[np.ndarray]
                 "at": [at_bytes[2 * a : 2 * b] for a, b in zip(first.tolist(), ends.tolist())], "sig": [sig_bytes[5 * a : 5 * b] for a, b in zip(first.tolist(), ends.tolist())],
             }
 
-    return map_rows(docs, run, "bucket long, ids binary, at binary, sig binary", 2e6, 50_000)
+    return map_rows(docs, run, "bucket long, ids binary, at binary, sig binary", 1e6, 50_000)
 
 
 def _of_bucket(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -191,6 +191,7 @@ def _of_bucket(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids[~again], sigs[~again]
 
 
+@releasing
 def _own(key: tuple, rows: pa.Table) -> pa.Table:
     """(id, own): how many elements of each set in a bucket no other set there holds."""
     ids, sigs = _of_bucket(rows)
@@ -245,6 +246,7 @@ def _near(rows: pa.Table, percent: int, leaders: int, seed: int) -> dict[str, np
     return {"a": np.concatenate(a), "b": np.concatenate(b)}
 
 
+@releasing
 def _groups(key: tuple, rows: pa.Table) -> pa.Table:
     """(g, id, low): the different groups of sets with a common signature in a bucket; ``low`` is a group's leader."""
     ids, sigs = _of_bucket(rows)
@@ -343,7 +345,7 @@ class _Sets:
                 sets = [distinct(shingle_hashes(words.of(d), size)) for d in range(len(batch["text"]))]
                 yield {"k1": [int(_key(s)[0]) for s in sets], "w": [s.tobytes() for s in sets]}
 
-        sets = durable(map_rows(self._rows(ids).select("text"), run, "k1 long, w binary", 2e6).dropDuplicates(["k1", "w"]))
+        sets = durable(map_rows(self._rows(ids).select("text"), run, "k1 long, w binary").dropDuplicates(["k1", "w"]))
 
         def compared(batches: Iterator[dict]) -> Iterator[dict]:
             for batch in batches:
@@ -365,7 +367,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGL
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     importable(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
-    base = durable(map_rows(docs, lambda b: _described(b, percent, size), BASE + ", bits array<long>", 2e6))
+    base = durable(map_rows(docs, lambda b: _described(b, percent, size), BASE + ", bits array<long>"))
     sets = _Sets(docs, base, percent, size)
     buckets = int((base.agg(F.sum("n_sigs")).first()[0] or 0) // BUCKET + 1)
     dealt = _dealt(docs, size, buckets, lambda s: signatures(s, percent))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from firmlake.llm import langid, line_dedup, ngram_join, quality
+from firmlake.llm import common, langid, line_dedup, ngram_join, quality
 from firmlake.llm.common import local_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -149,3 +149,28 @@ def test_runs_leave_only_their_result(spark, sf_dir):
     assert ngram_join.ngram_components(docs).count() == docs.count() == line_dedup.dedup_lines(docs).count()
     assert len(set(folder.iterdir()) - before) == 2
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_workers_hand_memory_back(spark):
+    """A worker that made and dropped many small things between ones that stay is small again in its next task."""
+    def fill(batches):
+        import builtins
+
+        for batch in batches:
+            stay, gone = [], []
+            for _ in range(200_000):
+                gone.append(bytes(1_500))
+                stay.append(bytes(600)) if len(gone) % 40 == 0 else None
+            builtins.stay = stay
+            del gone
+            yield {"mb": [0] * len(batch["id"])}
+
+    def size(batches):
+        held = re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())
+        for batch in batches:
+            yield {"mb": [int(held[1]) // 1024] * len(batch["id"])}
+
+    one = spark.range(1, numPartitions=1)
+    before = common.map_rows(one, size, "mb long").first().mb
+    common.map_rows(one, fill, "mb long").collect()
+    assert max(r.mb for r in common.map_rows(one, size, "mb long").collect()) < max(before, 100) + 100
