@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from firmlake.operators import entities, ledgers, pages, search, similar
 from firmlake.operators.graph import components
 from firmlake.operators.running import running_sums
+from firmlake.plans import catalog
 from firmlake.sources import tables
 from tests.plain_html import html_to_text
 
@@ -254,3 +255,15 @@ def test_search_sends_asked_values_and_large_blocks(spark):
     x = np.array([r.embedding for r in firms.orderBy("id").collect()])
     want = {(q, int(i)) for q, v, *_ in asked for i in np.argsort(-(x @ np.array(v)) / np.linalg.norm(x, axis=1))[:3]}
     assert got == want
+
+
+def test_upsert_reads_its_tables_once(spark, sf):
+    """Children are merged by one grouping without a join, lists are sorted without a comparator in an expression, and the
+    result of the upsert does not work out the firms again."""
+    old = spark.createDataFrame([(1, 1, "Ann", ""), (1, 2, "Bo", "GP")], "firm_id long, seq long, name string, role string")
+    new = spark.createDataFrame([(1, 1, "ANN", "Partner"), (1, 2, "Cy", None)], "firm_id long, seq long, name string, role string")
+    both = entities.merge_children(old, new, "name", ("role",))
+    assert sorted(map(tuple, both.collect())) == [(1, "Ann", "Partner", False, 1), (1, "Bo", "GP", False, 2), (1, "Cy", None, True, 2)]
+    assert "Join" not in both._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.firm_upsert(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "array_sort" not in plan
