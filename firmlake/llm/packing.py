@@ -43,6 +43,19 @@ ODD = re.compile("[^\x00-įı-ɏ]")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
+def word_ranks(path: str) -> tuple[np.ndarray, dict[bytes, int]]:
+    """(id of each rank, rank of each word or part of one) of the tokenizer's file; read once for the whole cluster."""
+    model = json.load(open(path, encoding="utf-8"))["model"]
+    keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    back = {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(keep))}
+    merged = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    # a word's last sign and the mark of its end are one sign from the start, so these come first
+    tokens = [t for t in model["vocab"] if len(t) == 1 + len(WORD_END) and t.endswith(WORD_END)] + [t for t in model["vocab"] if len(t) == 1]
+    tokens += ["".join(m) for m in merged]
+    ranks = {bytes(back[c] for c in t.removesuffix(WORD_END)) + b" " * t.endswith(WORD_END): i for i, t in enumerate(tokens)}
+    return np.array([model["vocab"][t] for t in tokens], np.uint32), ranks
+
+
 class WordEncoder:
     """Ids of texts under a tokenizer of words that drops white space.
 
@@ -51,21 +64,18 @@ class WordEncoder:
     whole texts that may hold special tokens.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, read: tuple[np.ndarray, dict[bytes, int]] | None = None):
         import tiktoken
 
-        self.library, self.odd = opened(path), Memo(self._words, 50_000)
-        model = json.load(open(path, encoding="utf-8"))["model"]
-        keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        back = {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(keep))}
-        merged = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        # a word's last sign and the mark of its end are one sign from the start, so these come first
-        tokens = [t for t in model["vocab"] if len(t) == 1 + len(WORD_END) and t.endswith(WORD_END)] + [t for t in model["vocab"] if len(t) == 1]
-        tokens += ["".join(m) for m in merged]
-        ranks = {bytes(back[c] for c in t.removesuffix(WORD_END)) + b" " * t.endswith(WORD_END): i for i, t in enumerate(tokens)}
-        self.ids = np.array([model["vocab"][t] for t in tokens], np.uint32)
+        self.path, self.odd = path, Memo(self._words, 50_000)
+        self.ids, ranks = read or word_ranks(path)
         self.fast = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def library(self):
+        """Opened where a text needs it, as it takes more memory than all else here."""
+        return opened(self.path)
+
     def _words(self, words: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -93,10 +103,11 @@ _ENCODERS: dict[str, WordEncoder] = {}
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, closing: int = CLOSING_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids, cut only where it is too long."""
     path = path or local_path("word_bpe_49k.json")
+    held = docs.sparkSession.sparkContext.broadcast(word_ranks(path))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         if path not in _ENCODERS:
-            _ENCODERS[path] = WordEncoder(path)
+            _ENCODERS[path] = WordEncoder(path, held.value)
         e = _ENCODERS[path]
         for batch in batches:
             rows = []

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from firmlake.llm import common, langid, line_dedup, ngram_join, quality
+from firmlake.llm import common, langid, line_dedup, ngram_join, packing, quality
 from firmlake.llm.common import local_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -174,3 +174,18 @@ def test_workers_hand_memory_back(spark):
     before = common.map_rows(one, size, "mb long").first().mb
     common.map_rows(one, fill, "mb long").collect()
     assert max(r.mb for r in common.map_rows(one, size, "mb long").collect()) < max(before, 100) + 100
+
+
+def test_workers_keep_little_between_tasks(monkeypatch):
+    """Plain texts need no second tokenizer in memory, and tables that are soon made anew go with the task."""
+    path = local_path("word_bpe_49k.json")
+    text, odd = "Plain words, straße 12's\nand café", "a word of 漢字 too"
+    want = [Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids for x in (text, odd)]
+    used = []
+    monkeypatch.setattr(packing, "opened", lambda p, f=packing.opened: used.append(p) or f(p))
+    e = packing.WordEncoder(path, packing.word_ranks(path))
+    assert e.encode(text).tolist() == want[0] and not used
+    assert e.encode(odd).tolist() == want[1] and used
+    common.FlatWords(["some words"])
+    common.release()
+    assert not common._POWERS
