@@ -57,13 +57,27 @@ BROADCAST_PLACES = 1_000_000
 #: Lines of more words than this have a parity map of 128 bits beside that of 64.
 LONG = 80
 #: What is stored of a number in a bucket, in bytes; a greater ``n`` or ``place`` is cut, which only weakens a filter.
-STORED = {"word": 5, "doc": 8, "no": 4, "bits": 8, "n": 2, "place": 1}
+STORED = {"word": 4, "doc": 8, "no": 4, "bits": 8, "n": 2, "place": 1}
 MANY_WORDS = 65_535
-LINES = "part int, counts binary, k1 long, k2 long, doc_id long, t long, line_no int, copy boolean, n int, words binary"
+LINES = "part int, counts binary, k1 long, k2 long, doc_id long, t long, line_no int, copy boolean, fresh boolean, n int, words binary"
 FOUND = "xd long, xn int, yd long, yn int, more boolean, word long, n int, place int, bits long"
 WHERE = ("doc_id", "line_no")
 
 
+def _planes(x: np.ndarray, size: int, ends: list[tuple[int, int]]) -> list[bytes]:
+    """The lowest ``size`` bytes of each span of unsigned numbers, all first bytes first: high bytes, which are mostly alike,
+    stand side by side and take next to no room in a shuffle."""
+    raw = np.ascontiguousarray(x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :size].T)
+    return [raw[:, a:b].tobytes() for a, b in ends]
+
+
+def _from_planes(blobs: list[bytes], size: int) -> np.ndarray:
+    raw = np.concatenate([np.frombuffer(b, np.uint8).reshape(size, -1) for b in blobs], 1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :size] = raw.T
+    return out.view("<u8").ravel().astype(np.uint64, copy=False)
+
+
 class _Lines:
     """All lines of a batch that hold words, as flat arrays: the distinct words of each line, line by line."""
 
@@ -114,11 +128,11 @@ def _described(batches: Iterator[dict]) -> Iterator[dict]:
         raw, size = packed(x.word, 6), 6
         words = [raw[size * a : size * (a + n)] if f else None for a, n, f in zip(x.start.tolist(), x.n.tolist(), fresh.tolist())]
         none = [None] * len(x.doc)
-        yield {"part": none, "counts": none, "k1": k1, "k2": k2, "doc_id": x.doc, "t": x.t, "line_no": x.no, "copy": copy, "n": x.n.astype(np.int32), "words": words}
+        yield {"part": none, "counts": none, "k1": k1, "k2": k2, "doc_id": x.doc, "t": x.t, "line_no": x.no, "copy": copy, "fresh": fresh, "n": x.n.astype(np.int32), "words": words}
     parts = [i for i, row in enumerate(counts.reshape(-1, PART)) if row.any()]
     blobs = [zlib.compress(counts[i * PART : (i + 1) * PART].tobytes(), 1) for i in parts]
     none = [None] * len(parts)
-    yield {"part": parts, "counts": blobs} | {k: none for k in ("k1", "k2", "doc_id", "t", "line_no", "copy", "n", "words")}
+    yield {"part": parts, "counts": blobs} | {k: none for k in ("k1", "k2", "doc_id", "t", "line_no", "copy", "fresh", "n", "words")}
 
 
 def _summed(frame: pd.DataFrame) -> pd.DataFrame:
@@ -158,9 +172,13 @@ class _Prefixes:
         degree = (rank >> np.uint64(WORD_BITS)).astype(np.int64)
         keep = (place < (n - (n * percent + 99) // 100 + 1)[line]) & (degree > 0)
         self.line, self.place, self.degree, self.mixed = line[keep], place[keep], degree[keep], mix(rank[keep])
+        self.step = math.log(100 / percent) + 1e-6
 
-    def wanted(self) -> np.ndarray:
-        return (self.mixed >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
+    def wanted(self, further: int = 0) -> np.ndarray:
+        """A number of each word and the length of its line. Lengths of similar lines are ``further`` by -1, 0 or 1 step."""
+        length = np.floor(np.log(self.n) / self.step).astype(np.int64)[self.line] + further
+        with np.errstate(over="ignore"):
+            return (mix(self.mixed + length.view(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
 
 
 def _dealt(lines: DataFrame, levels, percent: int, hot: int, buckets: int, asking: bool | None = None, only=None) -> DataFrame:
@@ -180,17 +198,17 @@ def _dealt(lines: DataFrame, levels, percent: int, hot: int, buckets: int, askin
             bucket = np.where(often, -1 - line % buckets, (mixed % np.uint64(buckets)).astype(np.int64))
             order = np.argsort(bucket, kind="stable")
             doc, no = (np.array(batch[c], np.int64).view(np.uint64)[line] for c in WHERE)
-            kept = {"word": mixed >> np.uint64(24), "doc": doc, "no": no, "bits": x.bits[line], "n": np.minimum(x.n[line], MANY_WORDS), "place": np.minimum(place, 255)}
-            kept = {c: packed(v[order].astype(np.uint64), STORED[c]) for c, v in kept.items()}
+            kept = {"word": mixed >> np.uint64(32), "doc": doc, "no": no, "bits": x.bits[line], "n": np.minimum(x.n[line], MANY_WORDS), "place": np.minimum(place, 255)}
             long = (x.n[line] > LONG)[order]
             which, first = np.unique(bucket[order], return_index=True)
             ends = np.append(first[1:], len(order)).tolist()
             first = first.tolist()
-            out = {"bucket": which, "asking": [asking] * len(which)} | {c: [v[STORED[c] * a : STORED[c] * b] for a, b in zip(first, ends)] for c, v in kept.items()}
+            spans = list(zip(first, ends))
+            out = {"bucket": which, "asking": [asking] * len(which)} | {c: _planes(v[order].astype(np.uint64), STORED[c], spans) for c, v in kept.items()}
             at = np.concatenate(([0], np.cumsum(long)))
             for c, v in (("low", x.low), ("high", x.high)):
                 v = packed(v[line][order][long], 8)
-                out[c] = [v[8 * at[a] : 8 * at[b]] for a, b in zip(first, ends)]
+                out[c] = [v[8 * at[a] : 8 * at[b]] for a, b in spans]
             yield out
 
     return map_rows(lines.select("n", "words", *WHERE), run, "bucket long, asking boolean, " + ", ".join(f"{c} binary" for c in (*STORED, "low", "high")), 2e6)
@@ -205,7 +223,7 @@ def _candidates(percent: int):
 
     @releasing
     def of_bucket(key: tuple, rows: pa.Table) -> pa.Table:
-        word, doc, no, bits, n, place = (unpacked(b"".join(rows.column(c).to_pylist()), STORED[c]) for c in STORED)
+        word, doc, no, bits, n, place = (_from_planes(rows.column(c).to_pylist(), STORED[c]) for c in STORED)
         doc, no, n, place = doc.view(np.int64), no.astype(np.int32), n.astype(np.int32), place.astype(np.int32)
         if key[0].as_py() < 0:
             none = [None] * len(doc)
@@ -273,6 +291,13 @@ def _of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(wanted) if small else wanted, list(WHERE), "left_semi")
 
 
+def _without(lines: DataFrame, again: DataFrame) -> DataFrame:
+    """``lines`` but for those at ``again``, which equal an earlier one and need no partner, so that copies that different
+    tasks have met are not dealt and compared. More than a bounded number stay, which changes no result: shuffling the
+    table of words would cost more."""
+    return lines.join(F.broadcast(again), again.columns, "left_anti") if again.count() <= BROADCAST_PLACES else lines
+
+
 @tidy
 def _verified(lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (xd, xn, yd, yn) whose whole sets are similar enough, with the keys (x1, x2, y1, y2) of their lines."""
@@ -304,13 +329,15 @@ def _verified(lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _asked_again(lines: DataFrame, open_lines: DataFrame, levels, percent: int, hot: int, buckets: int) -> DataFrame:
-    """All candidates of ``open_lines`` (xd, xn) among earlier lines; only words of their prefixes are dealt again."""
+    """All candidates of ``open_lines`` (xd, xn) among earlier lines; only words of their prefixes are dealt again, and of
+    them only those in lines of such lengths as may be similar."""
     mine = durable(_of(lines, open_lines).select("n", "words", *WHERE))
 
     def words(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             if batch["n"]:
-                yield {"w": np.unique(_Prefixes(batch, levels.value, percent).wanted())}
+                x = _Prefixes(batch, levels.value, percent)
+                yield {"w": np.unique(np.concatenate([x.wanted(k) for k in (-1, 0, 1)]))}
 
     bits = map_rows(mine, words, "w long").groupBy(F.bitmap_bucket_number("w").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("w")).alias("bits"))
     only = np.zeros(1 << WANTED_BITS, bool)
@@ -357,8 +384,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, hot: int = HOT_WORD)
     here = ("doc_id", "t", "line_no")
     # the first place of each line, in partial sums by task: a line that most documents hold is no group of its own
     places = lines.where("not copy").select("k1", "k2", F.struct(*here).alias("place"))
-    firsts = durable(places.groupBy("k1", "k2").agg(F.min("place").alias("at"), F.max("place").alias("last")))
-    worded = lines.where("words is not null")
+    firsts = durable(places.groupBy("k1", "k2").agg(F.min("place").alias("at"), F.count("place").alias("times")))
+    again = lines.where("not copy").select("k1", "k2", "fresh", F.struct(*here).alias("place")).join(firsts.where("times > 1").select("k1", "k2", "at"), ["k1", "k2"])
+    again = durable(again.where("place > at").select("place.*", "fresh"))
+    worded = _without(lines.where("words is not null"), again.where("fresh").select(*here))
     total = worded.agg(F.sum("n"), F.count("n")).first()
     buckets = max(1, int(((total[0] or 0) * (100 - percent) // 100 + total[1]) // BUCKET + 1))
     held = docs.sparkSession.sparkContext.broadcast(levels)
@@ -373,8 +402,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, hot: int = HOT_WORD)
     similar = similar.where("x1 <> y1 or x2 <> y2").select("x1", "x2", "y1", "y2").distinct()
     one, two = (firsts.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("at").alias(f"at_{x}")) for x in "xy")
     later = similar.join(one, ["x1", "x2"]).join(two, ["y1", "y2"]).select(F.greatest("at_x", "at_y").alias("at")).select("at.*")
-    again = places.join(firsts.where("last > at").select("k1", "k2", "at"), ["k1", "k2"]).where("place > at").select("place.*")
-    gone = later.unionByName(again).unionByName(lines.where("copy").select(*here))
+    gone = later.unionByName(again.select(*here)).unionByName(lines.where("copy").select(*here))
     return gone.groupBy("doc_id", "t").agg(F.collect_set("line_no").alias("removed"))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -173,6 +174,48 @@ def test_long_and_hot_lines(spark):
         assert {x.doc_id for x in line_dedup.dedup_lines(df, hot=hot).where("n_removed > 0").collect()} == gone
 
 
+def test_lines_that_several_tasks_meet_are_not_compared(spark, monkeypatch):
+    """Copies of a line need no partner, in whatever task they are; a near copy meets the first of them only."""
+    r = random.Random(6)
+    lines = [" ".join(r.sample([f"v{i}" for i in range(300)], 20)) for _ in range(30)]
+    rows = [(100 * k + i, t) for k in range(6) for i, t in enumerate(lines)] + [(900 + i, t.rsplit(" ", 1)[0] + " other") for i, t in enumerate(lines)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    pairs = []
+    verified = line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda lines, p, percent: pairs.append({(x.xd, x.yd) for x in p.collect()}) or verified(lines, p, percent))
+    want = {i for i, _ in rows if i >= 100}
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_PLACES", most)
+        pairs.clear()
+        assert {x.doc_id for x in line_dedup.dedup_lines(df).where("n_removed > 0").collect()} == want
+        if most:
+            assert set().union(*pairs) == {(900 + i, i) for i in range(30)}
+
+
+def test_lines_of_other_lengths_are_not_asked_again(spark):
+    """A word of a line that asks brings only lines that are long enough and not too long, and none of these is missed."""
+    levels = np.full(1 << line_dedup.SKETCH_BITS, 2, np.uint8)
+
+    def wanted(n, further=0):
+        batch = {"n": [n], "words": [b"".join(i.to_bytes(6, "little") for i in range(n))]}
+        return line_dedup._Prefixes(batch, levels, 80).wanted(further)
+
+    for n in [*range(1, 300), 1_000, 1_024, 1_280, 70_000]:
+        asked = {x for k in (-1, 0, 1) for x in wanted(n, k).tolist()}
+        for m in {n, -(-80 * n // 100), n * 100 // 80}:
+            assert set(wanted(m)[: min(len(wanted(n)), len(wanted(m)))].tolist()) <= asked
+        assert not set(wanted(2 * n).tolist()) & asked or n == 70_000
+
+
+def test_bytes_of_dealt_words(spark):
+    """Numbers come back from a bucket's bytes as they were; those of small ids take little room."""
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2), r.integers(0, 256, 500).astype(np.uint64)])
+    blobs = line_dedup._planes(x, 8, [(0, 3), (3, 3), (3, 1_000)])
+    assert (line_dedup._from_planes(blobs, 8) == x).all() and [len(b) for b in blobs] == [24, 0, 7_976]
+    assert len(zlib.compress(line_dedup._planes(x, 8, [(500, 1_000)])[0], 1)) < 600
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 16))
