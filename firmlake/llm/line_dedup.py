@@ -45,7 +45,7 @@ LEVEL_BITS = 6
 HOT_WORD = 4_000
 #: Prefix words that one bucket gets on average; pairs that it looks at together.
 BUCKET = 500_000
-TOGETHER = 500_000
+TOGETHER = 250_000
 #: Bits of the table that tells which words the second pass needs.
 WANTED_BITS = 24
 #: Bytes of text that a task takes apart at once, lines that it remembers, bytes of a broadcast.
@@ -304,7 +304,7 @@ def _verified(lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     pairs = durable(pairs.select(*X, *Y).distinct())
     wanted = pairs.select(*X).unionByName(pairs.select(F.col("yd").alias("xd"), F.col("yn").alias("xn")))
     # dealt once by place, which serves repeats and both joins
-    sets = _of(lines.where("words is not null"), wanted).select(*WHERE, "k1", "k2", "words").repartition(*WHERE).dropDuplicates([*WHERE, "k1", "k2"])
+    sets = _of(lines.where("fresh"), wanted).select(*WHERE, "k1", "k2", "words").repartition(*WHERE).dropDuplicates([*WHERE, "k1", "k2"])
     one, two = (sets.toDF(f"{x}d", f"{x}n", f"{x}1", f"{x}2", f"w{x}") for x in "xy")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -328,10 +328,10 @@ def _verified(lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return map_rows(pairs.join(one, list(X)).join(two, list(Y)), run, "xd long, xn int, x1 long, x2 long, y1 long, y2 long")
 
 
-def _asked_again(lines: DataFrame, open_lines: DataFrame, levels, percent: int, hot: int, buckets: int) -> DataFrame:
-    """All candidates of ``open_lines`` (xd, xn) among earlier lines; only words of their prefixes are dealt again, and of
+def _asked_again(fresh: DataFrame, lines: DataFrame, open_lines: DataFrame, levels, percent: int, hot: int, buckets: int) -> DataFrame:
+    """All candidates of ``open_lines`` (xd, xn; of ``fresh``) among earlier ``lines``; only words of their prefixes are dealt again, and of
     them only those in lines of such lengths as may be similar."""
-    mine = durable(_of(lines, open_lines).select("n", "words", *WHERE))
+    mine = durable(_of(fresh, open_lines).select("n", "words", *WHERE))
 
     def words(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -387,8 +387,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, hot: int = HOT_WORD)
     firsts = durable(places.groupBy("k1", "k2").agg(F.min("place").alias("at"), F.count("place").alias("times")))
     again = lines.where("not copy").select("k1", "k2", "fresh", F.struct(*here).alias("place")).join(firsts.where("times > 1").select("k1", "k2", "at"), ["k1", "k2"])
     again = durable(again.where("place > at").select("place.*", "fresh"))
-    worded = _without(lines.where("words is not null"), again.where("fresh").select(*here))
-    total = worded.agg(F.sum("n"), F.count("n")).first()
+    fresh = lines.where("fresh")
+    worded = _without(fresh, again.where("fresh").select(*here))
+    total = fresh.agg(F.sum("n"), F.count("n")).first()
     buckets = max(1, int(((total[0] or 0) * (100 - percent) // 100 + total[1]) // BUCKET + 1))
     held = docs.sparkSession.sparkContext.broadcast(levels)
     found = durable(_dealt(worded, held, percent, hot, buckets).groupBy("bucket").applyInArrow(_candidates(percent), FOUND))
@@ -398,7 +399,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, hot: int = HOT_WORD)
     similar = similar.unionByName(gone) if gone else similar
     open_lines = durable(first.where("more").select(*X).distinct().join(similar.select(*X).distinct(), list(X), "left_anti"))
     if not open_lines.isEmpty():
-        similar = similar.unionByName(_verified(lines, _asked_again(worded, open_lines, held, percent, hot, buckets), percent))
+        similar = similar.unionByName(_verified(lines, _asked_again(fresh, worded, open_lines, held, percent, hot, buckets), percent))
     similar = similar.where("x1 <> y1 or x2 <> y2").select("x1", "x2", "y1", "y2").distinct()
     one, two = (firsts.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("at").alias(f"at_{x}")) for x in "xy")
     later = similar.join(one, ["x1", "x2"]).join(two, ["y1", "y2"]).select(F.greatest("at_x", "at_y").alias("at")).select("at.*")
