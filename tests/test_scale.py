@@ -2,6 +2,7 @@
 
 import random
 import string
+import time
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from firmlake.operators import entities, ledgers, pages, search, similar
 from firmlake.operators.graph import components
 from firmlake.operators.running import running_sums
 from firmlake.plans import catalog
-from firmlake.sources import tables
+from firmlake.sources import shared, tables
 from tests.plain_html import html_to_text
 
 
@@ -267,3 +268,42 @@ def test_upsert_reads_its_tables_once(spark, sf):
     assert "Join" not in both._jdf.queryExecution().executedPlan().toString()
     plan = catalog.firm_upsert(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "array_sort" not in plan
+
+
+def test_tables_in_buckets_meet_without_a_shuffle(spark):
+    """Children and their lists need no shuffle where both sides lie in buckets of their firm; no name stays in the catalogue."""
+    held = shared.bucketed(spark.range(500).select((F.col("id") % 50).alias("c"), F.col("id").alias("seq"), F.concat(F.lit("n"), F.col("id") % 7).alias("name"), F.lit("").alias("role")), "c").withColumnRenamed("c", "firm_id")
+    firms = shared.bucketed(spark.range(60).select("id", F.lit("x").alias("t")), "id")
+    new = firms.where("id % 2 = 0").select("id", F.posexplode(F.array(F.lit("N1"), F.lit("z"))).alias("seq", "name")).select(F.col("id").alias("firm_id"), F.col("seq").cast("long").alias("seq"), "name", F.lit("GP").alias("role"))
+    both = entities.merge_children(held, new, "name", ("role",))
+    lists = firms.join(both.groupBy(F.col("firm_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("is_new", "at", "name", "role"))).alias("x")), "id", "left")
+    assert "Exchange hash" not in both._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.x for r in lists.select("id", F.expr("transform(x, c -> concat_ws('/', c.name, coalesce(c.role, '-')))").alias("x")).collect()}
+    for i in range(60):
+        names = list(dict.fromkeys(f"n{k % 7}" for k in range(i, 500, 50))) if i < 50 else []
+        want = [f"{n}/{'GP' if n == 'n1' and i % 2 == 0 else '-'}" for n in names]
+        want += [f"{n}/GP" for n in ("N1", "z") if i % 2 == 0 and n.lower() not in names]
+        assert (got[i] or []) == want
+    assert spark.sql("SHOW TABLES").where("tableName LIKE 'firmlake_%'").count() == 0
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    files = lambda: {str(f) for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if "shuffle_" in str(f)}
+    before = files()
+    out = shared.durable(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s")))
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert sorted(map(tuple, out.collect())) == [(k, sum(range(k, 1000, 7))) for k in range(7)]
+
+
+def test_stored_items_are_the_items(spark, sf):
+    """What firms and their children are read from holds all lines, and gives the same firms, partners and companies."""
+    items = tables.stored_items(spark, sf)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(items) == rows(tables.narrow_items(spark, sf).select(*items.columns))
+    for made in (lambda *x: tables.firms(spark, sf, False, *x), lambda *x: tables.partners(spark, sf, *x), lambda *x: tables.portfolio(spark, sf, *x)):
+        assert rows(made(items)) == rows(made())
+        plan = made(items)._jdf.queryExecution().executedPlan().toString()
+        assert "l_orderkey" not in plan and "hashpartitioning(o_custkey" not in plan
